@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, ascii_lower
+from .common import WHITE, ascii_lower, cut
 
 
 def lines_of(text: Column) -> Column:
@@ -20,38 +20,41 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def line_key(line: Column) -> Column:
-    return ascii_lower(F.btrim(line, F.lit(WHITE)))
+def stripped(line: Column) -> Column:
+    """The line without white space at its ends. The general trim is slow, so it only sees lines that need it."""
+    ends = F.substring(line, 1, 1).isin(*WHITE) | F.substring(line, -1, 1).isin(*WHITE)
+    return F.when(ends, F.btrim(line, F.lit(WHITE))).otherwise(line)
 
 
-def _hashes(text: Column, min_chars: int) -> Column:
-    """For each line its position and two independent 64-bit hashes of its key; lines with short keys are left out."""
+def _long_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    """(_id, pos, line, h) of the lines long enough. h is a hash of the line in full lower case: lines with equal keys
+    have equal h, others seldom, so it serves to find candidates without the slow exact key."""
+    lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
+    lines = lines.where(F.octet_length("line") >= min_chars).withColumn("line", stripped(F.col("line"))).where(F.char_length("line") >= min_chars)
+    return lines.withColumn("h", F.xxhash64(F.lower("line")))
 
-    def one(line: Column, i: Column) -> Column:
-        key = line_key(line)
-        return F.when(F.char_length(key) >= min_chars, F.struct(i.alias("pos"), F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2")))
 
-    # a line shorter than min_chars bytes can't have a key of min_chars code points
-    return F.filter(F.transform(lines_of(text), lambda x, i: F.when(F.octet_length(x) >= min_chars, one(x, i))), lambda x: x.isNotNull())
-
-
-def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, broadcast_rows: int = 1 << 20) -> DataFrame:
     """(id_col, dropped array<bigint>, n_dropped bigint) for the documents that lose lines; bit p % 64 of word p / 64 is
     set if line p goes.
 
     A key of at least `min_chars` code points that stands in at least `min_docs` documents keeps only its lines in the
     document with the largest id. Null texts have one empty line, which always stays. Rows with a null id count as no
     document and lose nothing; rows that share an id count as one document. Extra columns are ignored.
+
+    First the hashes that at least `min_docs` documents hold are found, then the exact keys of their lines alone. Up to
+    `broadcast_rows` such hashes (16 MB) go to the executors as they are; more are joined by a shuffle.
     """
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), _hashes(F.col(text_col), min_chars).alias("_hs"))
-    once = rows.select("_id", F.explode(F.array_distinct(F.transform("_hs", lambda x: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"))))).alias("k"))
-    firsts = (
-        once.groupBy("k.h1", "k.h2")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("_id").alias("first_id"))
-        .where(F.col("n") >= min_docs)
-        .select("h1", "h2", "first_id")
-    )
-    marks = rows.select("_id", F.inline("_hs")).join(firsts, ["h1", "h2"]).where(F.col("_id") < F.col("first_id"))
+    lines = _long_lines(docs, id_col, text_col, min_chars)
+    # a hash that stands five times in one document is a candidate too; the exact count below settles it
+    held = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("h")
+    held = cut(held)
+    few = held.count() <= broadcast_rows
+    some = lines.join(F.broadcast(held) if few else held, "h")
+    key = ascii_lower(F.col("line"))
+    exact = cut(some.withColumn("key", key).select("_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")))
+    firsts = exact.groupBy("h1", "h2", "_id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("_id").alias("first_id")).where(F.col("n") >= min_docs).select("h1", "h2", "first_id")
+    marks = exact.join(firsts, ["h1", "h2"]).where(F.col("_id") < F.col("first_id"))
     words = marks.groupBy("_id", F.shiftright("pos", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, pos & 63)")).alias("bits"))
     found = words.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m"), F.max("w").alias("last"), F.sum(F.bit_count("bits")).alias("n_dropped"))
     return found.select(F.col("_id").alias(id_col), F.transform(F.sequence(F.lit(0), "last"), lambda w: F.coalesce(F.element_at("m", w), F.lit(0).cast("long"))).alias("dropped"), "n_dropped")
