@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe
 from .common import table
 from .linededup import dedup_lines
 from .mixing import mix
@@ -34,7 +35,16 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(rows, 24).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_mixing, op5_line_dedup, op7_sharding)}
+def op9_bpe(spark: SparkSession, sf_dir: str, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """Rank file and pattern are parameters; by default those of the multilingual public vocabulary."""
+    import public_tokenizers
+
+    ranks = bpe.load_ranks(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern or public_tokenizers.PATTERN)
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.joined_ids(F.col("ids")).cast("binary"), 256).alias("ids_sha256"), F.sha2(bpe.decoded(F.col("ids"), ranks), 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_mixing, op5_line_dedup, op7_sharding, op9_bpe)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
