@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, fingerprint
 from .common import table
 from .linededup import dedup_lines
 from .mixing import mix
@@ -35,6 +35,18 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(rows, 24).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An exact digest's likeness is 1 for equal fingerprints, which the operator has confirmed byte by byte, and else 0."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    form = fingerprint.canonical(F.col("text"))
+    bad = fingerprint.colliding(docs.select(form.alias("form")).select(fingerprint.digest(F.col("form")).alias("d"), "form"))
+    rows = fingerprint.with_next(docs.withColumn("f", fingerprint.fingerprint(form, bad)))
+    rows = rows.select("doc_id", "text", F.col("f").alias("fingerprint"), F.col("next.f").alias("next_f"), fingerprint.edited_text(F.col("text"), F.col("next.text")).alias("edited"))
+    rows = rows.withColumn("edited_fingerprint", fingerprint.fingerprint(fingerprint.canonical(F.col("edited")), bad))
+    same = lambda a, b: (a == b).cast("double")
+    return rows.select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", same(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), same(F.col("fingerprint"), F.col("next_f")).alias("near_next"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Rank file and pattern are parameters; by default those of the multilingual public vocabulary."""
     import public_tokenizers
@@ -44,7 +56,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str, path: str | None = None, pattern:
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.joined_ids(F.col("ids")).cast("binary"), 256).alias("ids_sha256"), F.sha2(bpe.decoded(F.col("ids"), ranks), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_mixing, op5_line_dedup, op7_sharding, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_mixing, op5_line_dedup, op7_sharding, op8_fingerprint, op9_bpe)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
