@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, fingerprint
 from .common import table
+from .embeddings import link_embeddings
 from .linededup import dedup_lines
 from .mixing import mix
 from .sharding import shard_rows
@@ -23,6 +24,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "base", "lo", "hi")
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
@@ -56,7 +61,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str, path: str | None = None, pattern:
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.joined_ids(F.col("ids")).cast("binary"), 256).alias("ids_sha256"), F.sha2(bpe.decoded(F.col("ids"), ranks), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_mixing, op5_line_dedup, op7_sharding, op8_fingerprint, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_mixing, op4_embeddings, op5_line_dedup, op7_sharding, op8_fingerprint, op9_bpe)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
