@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint
-from .common import table
+from . import bpe, fingerprint, langid
+from .common import held_out, table
 from .embeddings import link_embeddings
 from .linededup import dedup_lines
 from .mixing import mix
@@ -61,7 +61,13 @@ def op9_bpe(spark: SparkSession, sf_dir: str, path: str | None = None, pattern:
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.joined_ids(F.col("ids")).cast("binary"), 256).alias("ids_sha256"), F.sha2(bpe.decoded(F.col("ids"), ranks), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_mixing, op4_embeddings, op5_line_dedup, op7_sharding, op8_fingerprint, op9_bpe)}
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = langid.predict(docs, langid.fit(docs))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_mixing, op4_embeddings, op5_line_dedup, op7_sharding, op8_fingerprint, op9_bpe, op10_langid)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
