@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid
+from . import bpe, fingerprint, langid, toxicity
 from .common import held_out, table
 from .embeddings import link_embeddings
 from .linededup import dedup_lines
@@ -14,6 +14,11 @@ from .sharding import shard_rows
 from .simhash import near_duplicates
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
@@ -67,7 +72,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_mixing, op4_embeddings, op5_line_dedup, op7_sharding, op8_fingerprint, op9_bpe, op10_langid)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_mixing, op4_embeddings, op5_line_dedup, op7_sharding, op8_fingerprint, op9_bpe, op10_langid)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
