@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, toxicity
-from .common import held_out, table
+from . import bpe, fingerprint, langid, toxicity, warc
+from .common import held_out, shared_dir, table
 from .embeddings import link_embeddings
 from .linededup import dedup_lines
 from .mixing import mix
@@ -38,6 +40,19 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives go to the shared folder. Responses are read with their payloads, whose size and digest are taken anew;
+    revisits by their headers alone."""
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_warc(warc.page_records(table(spark, sf_dir, "pages").select("page_id", "url", "html")), path)
+    number = lambda c: F.regexp_extract(c, r"page:(-?\d+)>", 1).cast("long")
+    full = warc.read_warc(spark, path, ["record_id", "record_type", "payload"]).where("record_type = 'response'")
+    full = full.select("record_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", F.lit(None).cast("string").alias("refers_to"))
+    again = warc.read_warc(spark, path, ["record_id", "record_type", "refers_to", "payload_digest", "full_length"]).where("record_type = 'revisit'")
+    again = again.select("record_id", F.col("full_length").alias("payload_bytes"), F.regexp_replace("payload_digest", "^sha256:", "").alias("payload_digest"), "record_type", "refers_to")
+    return full.unionByName(again).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law `rows`. Equal texts are a group only in that they share size and text_crc32: their rows are dealt one by one, since a group may be larger than a shard."""
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
@@ -72,12 +87,19 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_mixing, op4_embeddings, op5_line_dedup, op7_sharding, op8_fingerprint, op9_bpe, op10_langid)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_mixing, op4_embeddings, op5_line_dedup, op6_warc, op7_sharding, op8_fingerprint, op9_bpe, op10_langid)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 SQL = {
+    "op6_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f""",
     "op5_line_dedup": f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
