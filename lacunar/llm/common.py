@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lacunar.sources.shared import cut, shared_dir, store
+
+__all__ = ["LOWER", "UPPER", "WHITE", "WORD", "ascii_lower", "components", "cut", "held_out", "shared_dir", "store", "table"]
+
 #: White space of the contracts: \x20 and \x09 to \x0D.
 WHITE = " \t\n\x0b\x0c\r"
 #: A word of the contracts, as a Java and DuckDB pattern.
@@ -18,32 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir). Only a local session may do without the setting."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file:///tmp/lacunar-checkpoints"
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise a small frame in the shared folder, so that losing an executor never recomputes what led to it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def store(df: DataFrame, what: str) -> DataFrame:
-    """As cut(), for a larger frame: a Parquet table in the shared folder, under a name used once."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, other letters left alone; the fast path takes texts that are all ASCII."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
