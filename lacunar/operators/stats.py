@@ -60,3 +60,18 @@ def penalty(factors: DataFrame, vector: str = "factors", bias: str = "bias") ->
 def objective(sse_train: float, rows: tuple[float, float], cols: tuple[float, float], bins: tuple[float, float], weights: dict[str, float]) -> float:
     """Training error and weighted penalties; each axis is (factors2, bias2), weights are rc, rbc, ra, rba, ri, rbi."""
     return sse_train + sum(w * x for w, x in zip((weights[k] for k in ("rc", "rbc", "ra", "rba", "ri", "rbi")), (*rows, *cols, *bins), strict=True))
+
+
+def trace_windows(trace: DataFrame, win: int, spacing: int, shift: float) -> DataFrame:
+    """(iter, z): for every point of an error trace (iter from 0 without gaps, error) that ends two windows of `win`
+    points with `spacing` between them, the rank-sum statistic of the first against the second plus `shift`."""
+    from pyspark.sql.window import Window
+
+    need = 2 * win + spacing
+    ends = trace.where(F.col("iter") >= need - 1).select(F.col("iter").alias("end"))
+    span = F.sequence(F.lit(0), F.lit(need - 1))
+    points = ends.withColumn("k", F.explode(span)).where((F.col("k") < win) | (F.col("k") >= win + spacing)).withColumn("iter", F.col("end") - need + 1 + F.col("k"))
+    x = points.join(trace, "iter").withColumn("e", F.col("error") + F.when(F.col("k") < win, F.lit(0.0)).otherwise(F.lit(shift)))
+    rank = F.rank().over(Window.partitionBy("end").orderBy("e")) + (F.count(F.lit(1)).over(Window.partitionBy("end", "e")) - 1) / F.lit(2.0)
+    w = x.withColumn("r", rank).where(F.col("k") < win).groupBy("end").agg(F.sum("r").alias("w"))
+    return w.select(F.col("end").alias("iter"), ((F.col("w") - win * (2 * win + 1) / 2) / (win * win * (2 * win + 1) / 12) ** 0.5).alias("z"))
