@@ -52,6 +52,11 @@ def auc(rank: Column, positive: Column) -> Column:
     return (F.sum(F.when(positive, rank.cast("double")).otherwise(F.lit(0.0))) - pos * (pos + 1) / 2) / F.nullif(pos * neg, F.lit(0.0))
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's correlation; null if either side is constant, where the built-in function fails under ANSI rules."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def metrics(r: DataFrame) -> DataFrame:
     """All metrics of ranked(); with a column flag (0 or 1) also catchpeakobs, with alt the two of the alternative."""
     o1, p1, o5, p5 = (F.col(a) <= F.col(b) for a, b in (("po", "k1"), ("pp", "k1"), ("po", "k5"), ("pp", "k5")))
@@ -60,9 +65,9 @@ def metrics(r: DataFrame) -> DataFrame:
         "mseglobal": F.avg(_square("o", "p")),
         "mse1obs": F.avg(F.when(o1, _square("o", "p"))),
         "mse1imp": F.avg(F.when(p1, _square("o", "p"))),
-        "gwcorrasinh": F.corr("o", "p"),
-        "gwspcorr": F.corr("ro", "rp"),
-        "gwcorr": F.corr(F.sinh("o"), F.sinh("p")),
+        "gwcorrasinh": correlation(F.col("o"), F.col("p")),
+        "gwspcorr": correlation(F.col("ro"), F.col("rp")),
+        "gwcorr": correlation(F.sinh("o"), F.sinh("p")),
         "match1": share(o1 & p1),
         "catch1obs": share(o1 & p5),
         "catch1imp": share(p1 & o5),

@@ -23,7 +23,7 @@ def splits_of(splits: DataFrame) -> dict[tuple[int, int], str]:
 def train_model(t: DataFrame, splits: DataFrame, o: tr.Options, fraction: float = 1.0, n_workers: int = 8, keys: list[str] = KEYS) -> tuple[model.Axes, DataFrame, tr.Fit]:
     """(axes, bin factors of all bins, fit): centers, starts from biases, trains on a fraction of the bins, then solves all
     bins in closed form."""
-    n_rows, n_cols = t.agg(F.max("row_id") + 1, F.max("col_id") + 1).first()
+    n_rows, n_cols = t.select("row_id", "col_id").unionByName(splits.select("row_id", "col_id")).agg(F.max("row_id") + 1, F.max("col_id") + 1).first()
     mine = stats.in_split(t, splits, "train")
     mean = mine.agg(F.avg("value")).first()[0] or 0.0
     c, mine = tensor.centered(t, mean), tensor.centered(mine, mean)

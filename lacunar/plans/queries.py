@@ -500,15 +500,19 @@ def _auc(rank: str, positive: str) -> str:
     return f"(sum(CASE WHEN {positive} THEN {rank} ELSE 0 END) - {pos} * ({pos} + 1) / 2) / nullif({pos} * {neg}, 0)"
 
 
+def _corr(a: str, b: str) -> str:
+    return f"covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0)"
+
+
 METRICS = {
     "mse_global": ("mseglobal", "avg((o - p) ** 2)"),
     "mse_top1obs": ("mse1obs", "avg((o - p) ** 2) FILTER (po <= k1)"),
     "mse_top1imp": ("mse1imp", "avg((o - p) ** 2) FILTER (pp <= k1)"),
     "mse_top1alt": ("mse1altimp", "avg((o - p) ** 2) FILTER (pa <= k1)"),
     "mse_top1altprecision": ("mse1altimprecip", "avg((o - alt) ** 2) FILTER (pp <= k1)"),
-    "pearson_asinh": ("gwcorrasinh", "corr(o, p)"),
-    "spearman": ("gwspcorr", "corr(ro, rp)"),
-    "pearson_raw": ("gwcorr", "corr(sinh(o), sinh(p))"),
+    "pearson_asinh": ("gwcorrasinh", _corr("o", "p")),
+    "spearman": ("gwspcorr", _corr("ro", "rp")),
+    "pearson_raw": ("gwcorr", _corr("sinh(o)", "sinh(p)")),
     "match1": ("match1", "count(*) FILTER (po <= k1 AND pp <= k1) / max(k1)"),
     "catch1obs": ("catch1obs", "count(*) FILTER (po <= k1 AND pp <= k5) / max(k1)"),
     "catch1imp": ("catch1imp", "count(*) FILTER (pp <= k1 AND po <= k5) / max(k1)"),
