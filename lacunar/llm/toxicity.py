@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, store
+from .common import cut, held_out, store
 
 #: Seed lexicon of the first voter: common insults in four languages. Fixed values.
 SEEDS = (
@@ -38,7 +38,7 @@ BEGINNINGS = (4, 5, 6)
 WORDS = regex.compile(r"[\p{L}\p{N}]+")
 
 
-def mine_terms(docs: DataFrame, labels: DataFrame, rows: int, most: int, seed: int) -> tuple[list[str], float]:
+def mine_terms(docs: DataFrame, labels: DataFrame, rows: int, most: int, seed: int, false_share: float = 0.05) -> tuple[list[str], float]:
     """Terms over-represented in toxic documents, best first, and the share of toxic rows. A word is written w:..., a
     beginning of k letters k:.... Learns from at most `rows` labelled rows that are not held out, chosen by hash."""
     marked = labels.select(F.col("doc_id").alias("_k"), F.col("toxic").cast("int").alias("y")).where("y in (0, 1)").where(~held_out(F.col("_k"))).dropDuplicates(["_k"])
@@ -48,19 +48,26 @@ def mine_terms(docs: DataFrame, labels: DataFrame, rows: int, most: int, seed: i
     marked = marked.where(F.pmod(F.xxhash64(F.lit(seed), "_k"), F.lit(n)) < rows).orderBy(F.xxhash64(F.lit(seed), "_k")).limit(rows)
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
     begin = lambda k: F.array_distinct(F.transform(F.filter("w", lambda w: F.char_length(w) > k), lambda w: F.concat(F.lit(f"{k}:"), F.substring(w, 1, k))))
-    found = docs.join(marked, docs["doc_id"] == marked["_k"]).dropDuplicates(["text"]).select("y", words.alias("w"))  # copies are no evidence of their own
+    found = docs.join(marked, docs["doc_id"] == marked["_k"]).select("y", words.alias("w"))
+    # copies and near copies are no evidence of their own: of documents with the same three longest words one counts
+    longest = F.slice(F.reverse(F.array_sort(F.transform("w", lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))), 1, 3)
+    found = found.withColumn("_l", F.xxhash64(longest)).dropDuplicates(["_l", "y"]).drop("_l")
     total = found.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("t")).first()
     if not total["n"] or not total["t"] or total["t"] == total["n"]:
         return [], (total["t"] or 0) / max(1, total["n"])
     t1, t0 = total["t"], total["n"] - total["t"]
     terms = found.select("y", F.explode(F.concat(F.transform("w", lambda w: F.concat(F.lit("w:"), w)), *(begin(k) for k in BEGINNINGS))).alias("term"))
-    seen = terms.groupBy("term").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("n")).where("a >= 4")
+    seen = cut(terms.groupBy("term").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("n")).where("n >= 3"))
+    # a term of n documents is all toxic by chance with probability share ** n; the least n is one where that explains few of those seen
+    share = t1 / (t1 + t0)
+    by_n = {r["n"]: r for r in seen.where("n <= 16").groupBy("n").agg(F.count(F.lit(1)).alias("all"), F.sum((F.col("a") == F.col("n")).cast("long")).alias("pure")).collect()}
+    least = next((n for n in range(16, 2, -1) if n in by_n and 2 * by_n[n]["all"] * share**n > max(0.5, false_share * by_n[n]["pure"])), 2) + 1
     p1, p0 = F.col("a") / t1, (F.col("n") - F.col("a") + 0.5) / (t0 + 1)
     pooled = F.col("n") / (t1 + t0)
     z = (F.col("a") / t1 - (F.col("n") - F.col("a")) / t0) / F.sqrt(pooled * (1 - pooled) * (1 / t1 + 1 / t0))
     # a beginning stands for words never seen, so hardly any clean document may hold it
     pure = F.col("n") - F.col("a") <= F.col("n") * F.when(F.col("term").startswith("w:"), F.lit(0.05)).otherwise(F.lit(0.01))
-    best = seen.where(pure & (F.log(p1 / p0) > 3.7) & (z > 6.5)).select("term", z.alias("z")).orderBy(F.col("z").desc(), "term").limit(most).collect()
+    best = seen.where(pure & (F.col("n") >= least) & (F.log(p1 / p0) > 3.7) & (z > 5.0)).select("term", z.alias("z")).orderBy(F.col("z").desc(), "term").limit(most).collect()
     return [r["term"] for r in best], t1 / (t1 + t0)
 
 
@@ -144,21 +151,25 @@ class LabelModel:
         self.prior = prior = min(max(prior, 1e-3), 0.5)
         mean = np.diag(together) / max(rows, 1)
         cov = together / max(rows, 1) - np.outer(mean, mean)
-        use = ~np.eye(n, dtype=bool)
-        u = np.sqrt(np.maximum(np.diag(cov), 0) * 0.5)
+        off = ~np.eye(n, dtype=bool)
+        use, u = off, np.sqrt(np.maximum(np.diag(cov), 0) * 0.5)
+        chance = 4 * np.sqrt(np.outer(np.diag(cov), np.diag(cov)) / max(rows, 1))  # what sampling alone may leave
         for _ in range(4):  # fit the factor, set aside the pairs that stick out, fit again
-            for _ in range(200):
-                u = np.where((d := (use * u**2).sum(1)) > 1e-12, ((use * cov) @ u) / np.maximum(d, 1e-12), u)
-                u = np.maximum(u, 0)
+            for _ in range(100):
+                for i in range(n):  # one at a time: all at once would swing between scales
+                    weight = use[i] @ u**2
+                    if weight > 1e-12:
+                        u[i] = max((use[i] * cov[i]) @ u / weight, 0.0)
             left = cov - np.outer(u, u)
-            spread = np.median(np.abs(left[use])) * 1.4826 + 1e-12 if use.any() else 1.0
-            use = (np.abs(left) < stick_out * spread) & ~np.eye(n, dtype=bool)
-            if use.sum(1).min(initial=n) < 2:
-                use |= ~np.eye(n, dtype=bool) & (use.sum(1) < 2)[:, None]
+            spread = np.median(np.abs(left[off])) * 1.4826 if n > 1 else 0.0
+            odd = np.abs(left) > np.maximum(stick_out * spread, chance)
+            use = off & ~odd
+            use[use.sum(1) < 2] |= off[use.sum(1) < 2]
+            use = use & use.T | use & ~odd
         scale = u / np.sqrt(prior * (1 - prior))
         self.toxic = np.clip(mean + (1 - prior) * scale, 1e-4, 0.999)
         self.clean = np.clip(mean - prior * scale, 1e-4, 0.999)
-        self.correlated = (left > stick_out * spread) & ~np.eye(n, dtype=bool)
+        self.correlated = off & odd & (left > 0)
         self.weight = 1 / np.sqrt(1 + self.correlated.sum(1))
         self.gain = np.where((mean > 0) & (self.toxic > self.clean), self.weight * np.log(self.toxic / self.clean), 0.0)
         # nobody fires: the evidence of the voters together, tempered as theirs is

@@ -171,7 +171,9 @@ class WarcReader(DataSourceReader):
         base = self.path if info.type == fs.FileType.File else None
         return [Stretch(base or self.path + x.path[len(root) :], 0, None) for x in found if x.type == fs.FileType.File and ".warc" in x.base_name]
 
-    def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Stretch | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's stand-in for no partitions at all
+            return
         where, name = _open(partition.path)
         columns: list[list] = [[] for _ in self.names]
         kinds = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}

@@ -1,0 +1,558 @@
+"""The operators on small tables: brute force, exact round trips, held-out accuracy, and odd rows."""
+
+import hashlib
+import random
+import re
+import unicodedata
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from lacunar.llm import bpe, common, embeddings, fingerprint, langid, linededup, mixing, sharding, simhash, toxicity, warc
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, h string, node int, _id string, n int, hits int, ids string, d string"
+WORDS = [f"{a}{b}" for a in ("al", "be", "cor", "du", "en", "fi", "gra") for b in ("ba", "co", "di", "fen", "go", "hu")]
+
+
+def docs(spark, rows):
+    """Documents with extra columns whose names the operators use inside."""
+    rows = [(i, t, lang, src, None if t is None else len(t), "x", 1, "y", 2, 3, "z", "w") for i, t, lang, src in rows]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def odd_rows():
+    """Null and empty texts, nulls elsewhere, ties, a repeated row, a very long text."""
+    rng = random.Random(1)
+    base = " ".join(rng.choice(WORDS) for _ in range(60))
+    long = "\n".join(" ".join(rng.choice(WORDS) for _ in range(12)) for _ in range(4000))
+    rows = [(1, None, "en", "a"), (2, "", None, None), (3, base, "en", "a"), (4, base, "en", "b"), (5, base + " Zusatz", "de", "b"), (6, long, None, "c"), (None, base, "en", "a"), (7, " \t\n", "fr", None)]
+    rows += [(8, "ÄÖ é " + base.upper(), "de", "c"), (9, "\n".join(["a line that is quite long, and that is repeated " * 1] * 3), "en", "a")]
+    return rows + [rows[3]]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return docs(spark, odd_rows())
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return docs(spark, [])
+
+
+def labels(spark, rows=()):
+    return spark.createDataFrame(list(rows), "doc_id long, quality int, toxic int")
+
+
+# --- components ---
+
+
+def test_components_brute_force(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100, k) for k in range(101, 160)] + [(7, 7), (None, 3)]
+    parent = list(range(200))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None:
+            ra, rb = sorted((find(a), find(b)))
+            parent[rb] = ra
+    got = dict(map(tuple, common.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {x: find(x) for a, b in edges if a is not None for x in (a, b)}
+
+
+# --- 1 toxicity ---
+
+
+def toxic_docs(n=600):
+    rng = random.Random(9)
+    rows, marks = [], []
+    for i in range(n):
+        words = [rng.choice(WORDS) for _ in range(rng.randrange(20, 80))]
+        bad = i % 8 == 0
+        if bad:
+            for _ in range(rng.randrange(1, 4)):
+                words.insert(rng.randrange(len(words)), rng.choice(["zorg", "blarf", "quux", "snarkel"]))
+        rows.append((i, " ".join(words), "en", "a"))
+        marks.append((i, 0, int(bad)))
+    return rows, marks
+
+
+def test_toxicity_held_out(spark):
+    rows, marks = toxic_docs()
+    truth = {i: t for i, _, t in marks}
+    d = docs(spark, rows)
+    got = {r["doc_id"]: r for r in toxicity.score(d, labels(spark, marks)).withColumn("held", common.held_out(F.col("doc_id"))).collect()}
+    held = [i for i in got if got[i]["held"]]
+    assert held and all(got[i]["predicted"] == truth[i] for i in held)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got.values())
+
+
+def test_toxicity_does_not_learn_from_held_out_labels(spark):
+    rows, marks = toxic_docs(200)
+    d = docs(spark, rows)
+    held = {r["doc_id"] for r in d.where(common.held_out(F.col("doc_id"))).select("doc_id").collect()}
+    turned = [(i, q, 1 - t if i in held else t) for i, q, t in marks]
+    score = lambda m: sorted((r["doc_id"], r["score"]) for r in toxicity.score(d, labels(spark, m)).collect())
+    assert score(marks) == score(turned)
+
+
+def test_toxicity_odd_rows(spark, odd, none):
+    assert toxicity.score(odd, labels(spark)).count() == len(odd_rows())
+    assert toxicity.score(none, labels(spark)).count() == 0
+    assert toxicity.score(none, labels(spark, [(1, 0, 1)])).count() == 0
+
+
+def test_label_model_finds_good_voters():
+    rng = np.random.default_rng(0)
+    y = rng.random(20_000) < 0.15
+    rates = [(0.5, 0.01), (0.4, 0.02), (0.6, 0.01), (0.3, 0.3), (0.45, 0.02)]
+    votes = np.array([np.where(y, rng.random(len(y)) < a, rng.random(len(y)) < b) for a, b in rates]).T.astype(float)
+    m = toxicity.LabelModel(len(y), votes.T @ votes, 0.15)
+    for k, (a, b) in enumerate(rates):
+        assert abs(m.toxic[k] - a) < 0.08 and abs(m.clean[k] - b) < 0.03
+    p = m.posterior((votes @ (1 << np.arange(5))).astype(np.int64))
+    assert ((p > 0.5) == y).mean() > 0.93
+
+
+# --- 2 simhash ---
+
+
+def simhash_by_hand(text):
+    w = re.findall(r"[^\x20\x09-\x0d]+", (text or "").translate(str.maketrans(common.UPPER, common.LOWER)))
+    shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else []
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def groups_by_hand(fps, d=3):
+    """{id: smallest id reachable}; fps: list of (id, fingerprint)."""
+    parent = {i: i for i, _ in fps}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for n, (i, a) in enumerate(fps):
+        for j, b in fps[n + 1 :]:
+            if (a ^ b).bit_count() <= d:
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    return {i: find(i) for i, _ in fps}
+
+
+def test_simhash_fingerprints(spark, odd):
+    got = [(r["doc_id"], r["text"], r["fingerprint"]) for r in simhash.fingerprints(odd).join(odd.select("doc_id", "text").distinct(), "doc_id").collect()]
+    assert got and all(f & (1 << 64) - 1 == simhash_by_hand(t) for _, t, f in got)
+
+
+@pytest.mark.parametrize("node_rows", [4, 40, 4096])
+def test_simhash_links_brute_force(spark, node_rows):
+    """Clusters of near fingerprints, a dense group, and hot nodes that are divided again."""
+    rng = random.Random(node_rows)
+    fps = []
+    for _ in range(60):
+        x = rng.getrandbits(64)
+        for _ in range(rng.randrange(1, 6)):
+            fps.append(x)
+            for _ in range(rng.randrange(0, 5)):
+                x ^= 1 << rng.randrange(64)
+    hot = rng.getrandbits(64) & ~0xFFFF
+    fps += [hot | rng.getrandbits(16) for _ in range(150)]
+    rows = list(enumerate(fps))
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(i, simhash.signed(f)) for i, f in rows], "id long, fingerprint long")
+    got = {r["fingerprint"]: r["component_id"] for r in simhash.link_fingerprints(df, node_rows=node_rows).collect()}
+    want = groups_by_hand(sorted(rows))
+    assert all(got[simhash.signed(f)] == want[i] for i, f in rows)
+
+
+def test_simhash_odd_rows(spark, odd, none):
+    rows = [tuple(r) for r in simhash.near_duplicates(odd).collect()]
+    assert len(rows) == len(odd_rows())
+    by = {r[0]: r[2] for r in rows}
+    assert by[1] == by[2] == by[7] == 1 and by[3] == by[4] == 3 and by[None] is None
+    assert simhash.near_duplicates(none).count() == 0
+
+
+# --- 3 mixing ---
+
+
+def test_water_fill():
+    t = mixing.water_fill([10, 100, 1000], [5, 2, 1])
+    assert t[0] == 30 and t[1] == 300 and abs(sum(t) - 1110) < 1e-9 and t[2] == 780
+
+
+def test_sainte_lague_by_hand():
+    """Highest quotients one by one."""
+    rng = random.Random(2)
+    for _ in range(50):
+        votes = [float(rng.randrange(0, 1000)) for _ in range(rng.randrange(1, 9))]
+        room = [rng.randrange(0, 60) for _ in votes]
+        seats = rng.randrange(0, 120)
+        got = [0] * len(votes)
+        for _ in range(seats):
+            open_ = [i for i in range(len(votes)) if votes[i] > 0 and got[i] < room[i]]
+            if not open_:
+                break
+            got[max(open_, key=lambda i: (votes[i] / (2 * got[i] + 1), -i))] += 1
+        full = mixing.sainte_lague(votes, seats, room)
+        assert full == got or sum(room) < seats
+
+
+def test_mixing_targets_and_bounds(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(["w"] * rng.randrange(0, 200)), "en", rng.choice(["a", "a", "a", "b", "c", None, "é"])) for i in range(400)]
+    d = docs(spark, rows)
+    got = mixing.mix(d).collect()
+    again = mixing.mix(d.repartition(7)).collect()
+    assert sorted((r["doc_id"], r["taken"]) for r in got) == sorted((r["doc_id"], r["taken"]) for r in again)
+    sizes = {}
+    for i, t, _, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    want = dict(zip(names, mixing.water_fill([sizes[s] for s in names], [5, 2, 1, 5, 2][: len(names)]), strict=True))
+    for s in names:
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - want[s]) < 0.02 * want[s] + 2 and all(r["source_size"] == sizes[s] for r in own)
+        assert all(abs(r["target"] - want[s]) < 1e-6 for r in own)
+    assert all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+    mixed = mixing.mixed_documents(d)
+    assert mixed.columns == d.columns
+    assert mixed.select(F.sum(mixing.n_words(F.col("text")))).first()[0] == sum(r["taken"] for r in got)
+
+
+def test_mixing_odd_rows(spark, odd, none):
+    assert mixing.mix(odd).count() == len(odd_rows()) and mixing.mix(none).count() == 0
+    assert mixing.mix(docs(spark, [(1, None, None, None), (2, "", "en", "a")])).agg(F.sum("taken")).first()[0] == 0
+    assert mixing.mixed_documents(none).count() == 0
+
+
+# --- 4 embeddings ---
+
+
+def vectors(seed=0, n=300):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 16))
+    for i in range(0, n // 2, 3):
+        x[i + 1] = x[i] + 0.02 * rng.normal(size=16)
+        x[i + 2] = x[i + 1] + 0.04 * rng.normal(size=16)
+    x[10], x[11] = x[9], x[9] * 3
+    return [(i, [float(np.float32(v)) for v in row], int(i * 7 % 5 != 0)) for i, row in enumerate(x)]
+
+
+@pytest.mark.parametrize(("recall", "block_rows"), [(1.0, 4096), (0.999, 4096), (1.0, 8)])
+def test_embeddings_brute_force(spark, recall, block_rows):
+    rows = vectors()
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    near = (x @ x.T >= 0.98) & (label[:, None] == label)
+    np.fill_diagonal(near, False)
+    parent = simhash.local_components(np.arange(len(x)), *np.nonzero(near))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r for r in embeddings.link_embeddings(df, recall=recall, cell_rows=8, block_rows=block_rows).collect()}
+    assert [got[i]["n_links"] for i in range(len(x))] == near.sum(1).tolist()
+    assert [got[i]["component_id"] for i in range(len(x))] == parent.tolist()
+    assert all(got[i]["kept"] == (parent[i] == i) for i in range(len(x)))
+
+
+def test_embeddings_odd_rows(spark):
+    v = [1.0, 0.0, 2.0, 1.0]
+    rows = [(1, v, 1), (2, v, 1), (3, v, None), (4, None, 1), (5, [0.0] * 4, 1), (6, [1.0, None, 2.0, 1.0], 1), (7, [float("nan"), 0.0, 2.0, 1.0], 1), (8, [float("inf"), 0.0, 2.0, 1.0], 1), (9, [], 1), (10, v, 2), (11, [1.0, 0.0], 1), (12, [2.0, 0.0], 1)]
+    kind = "vec_id long, embedding array<float>, label int, n int, id string, links int, node int"
+    df = spark.createDataFrame([(*r, 1, "x", 2, 3) for r in rows], kind)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.link_embeddings(df).collect()}
+    assert got == {i: (1, 1, True) if i == 1 else (1, 1, False) if i == 2 else (1, 11, True) if i == 11 else (1, 11, False) if i == 12 else (0, i, True) for i in range(1, 13)}
+    assert embeddings.link_embeddings(df.limit(0)).count() == 0
+
+
+def test_traversal_order_and_bounds():
+    rng = np.random.default_rng(1)
+    b1, b2 = rng.random((20, 5)), rng.random((20, 6))
+    row, i, j = embeddings.traverse(b1, b2, 0.5)
+    for k in range(20):
+        sums = (b1[k][:, None] ** 2 + b2[k] ** 2)
+        own = sums[i[row == k], j[row == k]]
+        assert (np.diff(own) >= 0).all() and len(own) == (sums <= 0.5).sum()
+    x, book = rng.normal(size=(200, 4)), rng.normal(size=(6, 4))
+    low = embeddings.bounds(x, book)
+    cell = ((x[:, None] - book) ** 2).sum(2).argmin(1)
+    gap = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    assert all(low[a, cell[b]] <= gap[a, b] + 1e-9 for a in range(200) for b in range(200))
+
+
+# --- 5 line dedup ---
+
+
+def lines_by_hand(rows, min_chars=40, min_docs=5):
+    key = lambda x: x.strip(common.WHITE).translate(str.maketrans(common.UPPER, common.LOWER))
+    where = {}
+    for i, t, *_ in rows:
+        for x in (t or "").split("\n"):
+            if len(key(x)) >= min_chars and i is not None:
+                where.setdefault(key(x), set()).add(i)
+    last = {k: max(v) for k, v in where.items() if len(v) >= min_docs}
+    out = {}
+    for i, t, *_ in rows:
+        all_ = (t or "").split("\n")
+        kept = [x for x in all_ if i is None or key(x) not in last or last[key(x)] <= i]
+        out[i] = (len(all_), len(all_) - len(kept), "\n".join(kept))
+    return out
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 1 << 20])
+def test_line_dedup_brute_force(spark, broadcast_rows, monkeypatch):
+    rng = random.Random(6)
+    shared = ["The Terms of this LICENSE are as follows, reader: be good", "\t ÄÄhnliche Zeilen mit Umlauten stehen öfter hier im Text \x0b", "ähnliche zeilen", "x" * 39, "y" * 40, "Y" * 40]
+    rows = [(i, "\n".join(rng.choice(shared) if rng.random() < 0.5 else f"own line {i} {k} " + "z" * 30 for k in range(rng.randrange(0, 150))), "en", "a") for i in range(40)]
+    rows += [(100 + i, t, "en", "a") for i, (_, t, *_) in enumerate(odd_rows()[:3])]
+    old = linededup.keep_bitmaps
+    monkeypatch.setattr(linededup, "keep_bitmaps", lambda *a: old(*a, broadcast_rows=broadcast_rows))
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in linededup.dedup_lines(docs(spark, rows)).collect()}
+    assert got == lines_by_hand(rows) and any(x[1] for x in got.values())
+
+
+def test_line_dedup_odd_rows(spark, odd, none):
+    out = linededup.dedup_lines(odd)
+    assert out.count() == len(odd_rows()) and linededup.dedup_lines(none).count() == 0
+    assert set(odd.columns) < set(out.columns)
+
+
+# --- 6 WARC ---
+
+
+def pages(spark, rows):
+    return spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, first int, d string")
+
+
+def test_warc_round_trip_and_push_down(spark, tmp_path):
+    long = "é<p>x</p>" * 300_000
+    rows = [(5, "http://a\r\nX: y", "same " * 30), (3, "http://b", "same " * 30), (9, None, "same " * 30), (1, "u", None), (2, "u", ""), (4, "u", "short"), (6, "u", "short"), (7, "u", "WARC/1.1\r\n\r\n" * 20), (8, "u", long)]
+    path = f"file://{tmp_path}/w"
+    warc.write_warc(warc.page_records(pages(spark, rows)), path, split_bytes=100)
+    got = {r["record_id"]: r for r in warc.read_warc(spark, path).collect()}
+    name = lambda i: f"<urn:page:{i}>"
+    assert len(got) == 9
+    for i, _, html in rows:
+        r, body = got[name(i)], (html or "").encode()
+        revisit = i in (5, 9)
+        assert r["record_type"] == ("revisit" if revisit else "response") and r["refers_to"] == (name(3) if revisit else None)
+        assert r["payload_digest"] == "sha256:" + hashlib.sha256(body).hexdigest() and r["full_length"] == len(body)
+        assert r["payload"] == (b"" if revisit else body)
+    some = warc.read_warc(spark, path, ["record_id", "record_type"]).where("record_type = 'revisit'")
+    assert sorted(r["record_id"] for r in some.collect()) == [name(5), name(9)]
+
+
+def test_warc_reader_skips_payloads(tmp_path):
+    from pyspark.sql.datasource import EqualTo, In
+    from pyspark.sql.types import StructType
+
+    path = tmp_path / "a.warc.gz"
+    with open(path, "wb") as f:
+        for i in range(6):
+            f.write(warc.member(warc.header_block({"WARC-Record-ID": f"r{i}", "WARC-Type": "response" if i % 2 else "request", "Content-Length": "4"}), b"abcd", 6))
+    with open(path, "rb") as f:
+        records = warc.Records(f, None)
+        assert [h["warc-record-id"] for h, _ in records] == [f"r{i}" for i in range(6)] and records.inflated == 0
+    reader = warc.WarcReader(str(path), StructType.fromDDL("record_id string, payload binary"))
+    left = list(reader.pushFilters([EqualTo(("record_type",), "response"), In(("record_id",), ("r1", "r2", "r3")), EqualTo(("payload",), b"x")]))
+    assert len(left) == 1
+    got = [b.to_pylist() for p in reader.partitions() for b in reader.read(p)]
+    assert got == [[{"record_id": "r1", "payload": b"abcd"}, {"record_id": "r3", "payload": b"abcd"}]]
+
+
+def test_warc_foreign_files(spark, tmp_path):
+    import gzip
+
+    one = lambda i, body: b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: r%d\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, len(body), body)
+    records = [one(i, bytes([65 + i]) * i * 1000) for i in range(5)]
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "plain" / "x.warc").write_bytes(b"".join(records))
+    (tmp_path / "plain" / "y.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    got = sorted((r["record_id"], len(r["payload"])) for r in warc.read_warc(spark, str(tmp_path / "plain")).collect())
+    assert got == sorted((f"r{i}", i * 1000) for i in range(5) for _ in (0, 1))
+
+
+def test_warc_empty(spark, tmp_path):
+    warc.write_warc(warc.page_records(pages(spark, [])), f"file://{tmp_path}/w")
+    assert warc.read_warc(spark, f"file://{tmp_path}/w").count() == 0
+
+
+# --- 7 sharding ---
+
+
+def test_shards_brute_force(spark):
+    """Keys one by one, in ring order, into the next shard clockwise with room."""
+    n, shards, vnodes, cells = 500, 7, 4, 64
+    d = spark.range(n).withColumnRenamed("id", "doc_id")
+    keys = [(r["c"], r["h"], r["doc_id"]) for r in d.select("doc_id", F.xxhash64(F.lit("key"), "doc_id").alias("h")).withColumn("c", F.pmod("h", F.lit(cells))).collect()]
+    at, order = sharding.ring_owners(spark, shards, vnodes, cells)
+    room, want = [n // shards + (s < n % shards) for s in range(shards)], {}
+    held = [[] for _ in room]
+    for c, _, i in sorted(keys):
+        k = next((k for k, p in enumerate(at) if p >= c), 0)
+        while len(held[order[k % len(order)]]) == room[order[k % len(order)]]:
+            k += 1
+        held[order[k % len(order)]].append(i)
+        want[i] = order[k % len(order)]
+    got = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shard_rows(d, shards, vnodes=vnodes, cells=cells).collect()}
+    assert {i: s for i, (s, _) in got.items()} == want
+    for s in range(shards):
+        assert sorted(slot for x, slot in got.values() if x == s) == list(range(room[s]))
+
+
+def test_shards_move_little(spark):
+    d = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    a = {r["doc_id"]: r["shard"] for r in sharding.shard_rows(d, 24).collect()}
+    b = {r["doc_id"]: r["shard"] for r in sharding.shard_rows(d.where("doc_id < 19800"), 24).collect()}
+    assert sum(a[i] != b[i] for i in b) < 0.05 * len(b)
+
+
+def test_shards_odd_rows(spark, odd, none):
+    got = sharding.shard_rows(odd, 3).collect()
+    assert len(got) == len(odd_rows()) and len({(r["shard"], r["slot"]) for r in got}) == len(got)
+    assert sharding.shard_rows(none, 3).count() == 0
+
+
+# --- 8 fingerprints ---
+
+
+def canonical_by_hand(t):
+    n = lambda x: unicodedata.normalize("NFKC", x)
+    return " ".join(n(n(t or "").casefold()).split())
+
+
+def test_canonical_forms(spark):
+    texts = ["Straße", "STRASSE", "strasse", "été", "ÉTÉ", "ﬁn  de\tligne x", "fin de ligne x", " a ", "a", "", None, "Σας", "ΣΑΣ", "Å", "Å", "　x y", "①"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["fingerprint"] for r in fingerprint.fingerprints(d).collect()}
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            assert (got[i] == got[j]) == (canonical_by_hand(a) == canonical_by_hand(b)), (a, b)
+
+
+def test_colliding_digests_are_told_apart(spark):
+    forms = spark.createDataFrame([("x", "a"), ("x", "a"), ("y", "b"), ("y", "c"), ("z", "d")], "d string, form string")
+    assert fingerprint.colliding(forms) == ["y"] and fingerprint.colliding(forms, 0) == ["y"]
+    got = forms.select("form", fingerprint.fingerprint(F.col("form"), [forms.sparkSession.range(1).select(fingerprint.digest(F.lit("b"))).first()[0]]).alias("f")).collect()
+    assert {len(r["f"]) for r in got if r["form"] != "b"} == {32} and {len(r["f"]) for r in got if r["form"] == "b"} == {96}
+
+
+@pytest.mark.parametrize("spread", [1, 10**12])
+def test_next_document(spark, spread):
+    ids = [k * (spread if k > 500 else 1) for k in range(900)]
+    d = spark.createDataFrame([(i, f"t{i}") for i in random.Random(1).sample(ids, len(ids))], "doc_id long, text string")
+    got = {r["doc_id"]: r["next"]["doc_id"] for r in fingerprint.with_next(d, rows=8).collect()}
+    down = sorted(ids, reverse=True)
+    assert got == dict(zip(down, down[1:] + down[:1], strict=True))
+
+
+def test_fingerprints_odd_rows(spark, odd, none):
+    assert fingerprint.exact_groups(odd).count() == len(odd_rows()) and fingerprint.exact_groups(none).count() == 0
+    assert fingerprint.with_next(odd).count() == len(odd_rows()) and fingerprint.with_next(none).count() == 0
+
+
+# --- 9 BPE ---
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    import public_tokenizers
+
+    return bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN
+
+
+def test_bpe_equals_tiktoken(spark, vocabulary, odd, none):
+    import tiktoken
+
+    ranks, pattern = vocabulary
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(2)
+    alphabet = [chr(c) for c in range(48)] + list("abcdeé'sտ中१²́   😀") + ["<|endoftext|>", "ab" * 40]
+    rows = odd_rows() + [(100 + i, "".join(rng.choice(alphabet) for _ in range(rng.randrange(60))), None, None) for i in range(300)] + [(999, "ab" * 30_000, None, None)]
+    d = docs(spark, rows)
+    for hold in (5, 1 << 19):
+        got = bpe.encode(d, ranks, pattern, hold=hold).select("doc_id", "ids", bpe.decoded(F.col("ids"), ranks).alias("b"), bpe.joined_ids(F.col("ids")).alias("j")).collect()
+        want = sorted((repr(i), enc.encode_ordinary(t or "")) for i, t, *_ in rows)
+        assert sorted((repr(r["doc_id"]), r["ids"]) for r in got) == want
+        assert sorted((repr(r["doc_id"]), bytes(r["b"])) for r in got) == sorted((repr(i), (t or "").encode()) for i, t, *_ in rows)
+        assert all(r["j"] == ",".join(map(str, r["ids"])) for r in got)
+    assert bpe.encode(none, ranks, pattern).count() == 0
+
+
+def test_bpe_higher_order_fold(spark, vocabulary):
+    ranks, _ = vocabulary
+    words = spark.createDataFrame([(w,) for w in ["hello", " world", "x", "", "éèqzj", "aaaaaaaaaaaa", None]], "word string")
+    got = {r["word"]: r["ids"] for r in bpe.fold_words(words, ranks).collect()}
+    assert got.pop(None) is None and all(ids == bpe.fold(w.encode(), ranks) for w, ids in got.items() if w) and got[""] == []
+
+
+# --- 10 language ---
+
+
+def lang_docs(n=240):
+    rng = random.Random(5)
+    parts = {"en": "the and ing with ght er of", "de": "der und sch keit ung ein über", "fr": "les une eau tion oui être ç"}
+    rows = []
+    for i in range(n):
+        lang = list(parts)[i % 3]
+        rows.append((i, " ".join("".join(rng.choice(parts[lang].split()) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(5, 300))), lang, "a"))
+    return rows
+
+
+def test_language_held_out(spark):
+    rows = lang_docs()
+    d = docs(spark, rows)
+    net = langid.fit(d)
+    got = langid.predict(d, net).withColumn("held", common.held_out(F.col("doc_id"))).collect()
+    truth = {r[0]: r[2] for r in rows}
+    held = [r for r in got if r["held"]]
+    assert held and sum(r["lang_pred"] == truth[r["doc_id"]] for r in held) >= 0.97 * len(held)
+    assert all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_language_tables_equal_convolution():
+    net = langid.Network(["a", "b"], 1)
+    net.compile()
+    x = np.random.default_rng(0).integers(0, langid.N_CLASSES, (3, langid.WINDOW)).astype(np.uint8)
+    r, begin = net.responses(x), 0
+    for w, n in langid.WIDTHS.items():
+        want = sum(net.p[f"u{w}"][k][x[:, k : langid.WINDOW - 3 + k]] for k in range(w))
+        assert np.allclose(r[:, :, begin : begin + n], want, atol=1e-5)
+        begin += n
+
+
+def test_language_gradient():
+    net = langid.Network(["a", "b", "c"], 2)
+    net.p = {k: v.astype(float) for k, v in net.p.items()}
+    x = np.random.default_rng(0).integers(0, 30, (6, langid.WINDOW)).astype(np.uint8)
+    y = np.array([0, 1, 2, 0, 1, 2])
+    net.compile()
+    g = net.gradient(x, y)
+    loss = lambda: -np.log(net.probabilities(x)[np.arange(6), y]).mean()
+    for k in ("v", "c", "b", "u3"):
+        at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
+        old, e = net.p[k][at], 1e-5
+        net.p[k][at] = old + e
+        net.compile()
+        up = loss()
+        net.p[k][at] = old - e
+        net.compile()
+        assert abs((up - loss()) / (2 * e) - g[k][at]) < 1e-4
+        net.p[k][at] = old
+
+
+def test_language_odd_rows(spark, odd, none):
+    got = langid.predict(odd, langid.fit(docs(spark, lang_docs(60)))).collect()
+    assert len(got) == len(odd_rows())
+    assert {r["lang_pred"] for r in got if r["doc_id"] in (1, 2, 7)} == {"und"}
+    assert langid.fit(none) is None and langid.predict(none, None).count() == 0
+    assert langid.predict(docs(spark, [(1, "123 !?", "en", "a"), (2, None, "en", "a")]), langid.fit(docs(spark, lang_docs(30)))).select("lang_pred").distinct().collect() == [("und",)]
