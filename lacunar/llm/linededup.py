@@ -54,7 +54,9 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key = ascii_lower(F.col("line"))
     exact = cut(some.withColumn("key", key).select("_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")))
     firsts = exact.groupBy("h1", "h2", "_id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("_id").alias("first_id")).where(F.col("n") >= min_docs).select("h1", "h2", "first_id")
-    marks = exact.join(firsts, ["h1", "h2"]).where(F.col("_id") < F.col("first_id"))
+    firsts = cut(firsts)  # then both sides of the join are plain, and Spark can split the lines of a hot hash
+    few = firsts.count() <= broadcast_rows
+    marks = exact.join(F.broadcast(firsts) if few else firsts, ["h1", "h2"]).where(F.col("_id") < F.col("first_id"))
     words = marks.groupBy("_id", F.shiftright("pos", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, pos & 63)")).alias("bits"))
     found = words.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m"), F.max("w").alias("last"), F.sum(F.bit_count("bits")).alias("n_dropped"))
     return found.select(F.col("_id").alias(id_col), F.transform(F.sequence(F.lit(0), "last"), lambda w: F.coalesce(F.element_at("m", w), F.lit(0).cast("long"))).alias("dropped"), "n_dropped")

@@ -46,12 +46,12 @@ def mine_terms(docs: DataFrame, labels: DataFrame, rows: int, most: int, seed: i
     if not n:
         return [], 0.0
     marked = marked.where(F.pmod(F.xxhash64(F.lit(seed), "_k"), F.lit(n)) < rows).orderBy(F.xxhash64(F.lit(seed), "_k")).limit(rows)
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
     begin = lambda k: F.array_distinct(F.transform(F.filter("w", lambda w: F.char_length(w) > k), lambda w: F.concat(F.lit(f"{k}:"), F.substring(w, 1, k))))
-    found = docs.join(marked, docs["doc_id"] == marked["_k"]).select("y", words.alias("w"))
-    # copies and near copies are no evidence of their own: of documents with the same three longest words one counts
-    longest = F.slice(F.reverse(F.array_sort(F.transform("w", lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))), 1, 3)
-    found = found.withColumn("_l", F.xxhash64(longest)).dropDuplicates(["_l", "y"]).drop("_l")
+    found = docs.join(marked, docs["doc_id"] == marked["_k"]).select("y", words.alias("all"))
+    # copies and near copies are no evidence of their own: of documents with the same min-hash of word triples one counts
+    triple = lambda x, i: F.xxhash64(x, F.get("all", i + 1), F.get("all", i + 2))
+    found = found.withColumn("_m", F.array_min(F.transform("all", triple))).dropDuplicates(["_m", "y"]).select("y", F.array_distinct("all").alias("w"))
     total = found.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("t")).first()
     if not total["n"] or not total["t"] or total["t"] == total["n"]:
         return [], (total["t"] or 0) / max(1, total["n"])
