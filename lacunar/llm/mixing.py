@@ -25,6 +25,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def seeded(id_: Column, seed: int) -> Column:
+    """60 bits that the seed and the id decide, the same in any SQL engine."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_.cast("string"), F.lit("null"))).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def water_fill(sizes: list[int], weights: list[int], most: int = 3) -> list[float]:
     """Targets that share sum(sizes) by weight, none above `most` times its source's size, the excess shared again."""
     left, open_, out = Fraction(sum(sizes)), set(range(len(sizes))), [Fraction(0)] * len(sizes)
@@ -79,7 +84,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     source and shard: `shards` and the number of sources at most.
     """
     spark = docs.sparkSession
-    rows = cut(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_h")))
+    rows = cut(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), n_words(F.col(text_col)).alias("size"), seeded(F.col(id_col), seed).alias("_h")))
     fine = rows.withColumn("_cell", F.pmod("_h", F.lit(shards))).groupBy("_source", "_cell").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
     names = sorted({r["_source"] for r in fine}, key=lambda s: (s is None, (s or "").encode()))  # UTF-8 keeps the order of code points
     number = {s: i for i, s in enumerate(names)}
@@ -96,7 +101,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(names))], most)
     block = block or int(min(1024, max(1, min((t for t in targets if t), default=1) // 10000)))
     room = [sum(-(-x // block) for x in c.values()) * most for c in cells]
-    quota = sainte_lague(targets, round(sum(targets) / block), room)
+    quota = sainte_lague(targets, (2 * sum(sizes) + block) // (2 * block), room)
     plan = []
     for i, name in enumerate(names):
         keys = sorted(cells[i])
@@ -107,7 +112,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     known = spark.createDataFrame(plan, "_name string, _width int, _k int, source_size long, target double, base long, extra long")
     wide = spark.createDataFrame([(s, w) for s, w in zip(names, width, strict=True)], "_name string, _width int")
     sharded = rows.join(wide, F.col("_source").eqNullSafe(F.col("_name"))).withColumn("_k", F.pmod("_h", F.col("_width")).cast("int")).drop("_name", "_width")
-    before = F.sum("size").over(Window.partitionBy("_source", "_k").orderBy(F.xxhash64(F.lit(seed), "_h"), F.col("_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("size").over(Window.partitionBy("_source", "_k").orderBy("_h", F.col("_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1))
     out = sharded.withColumn("_at", F.coalesce(before, F.lit(0))).join(known.withColumnRenamed("_k", "_kk"), F.col("_source").eqNullSafe(F.col("_name")) & (F.col("_k") == F.col("_kk")))
     hi = F.least(F.greatest(F.col("extra") - F.col("_at"), F.lit(0)), F.col("size"))
     return out.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), "size", "source_size", "target", "base", F.lit(0).cast("long").alias("lo"), hi.alias("hi"), (F.col("base") * F.col("size") + hi).alias("taken"))

@@ -92,7 +92,43 @@ QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_mixing, op4_em
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+#: Power-of-two widths, the candidates for every seat, and the seats with the highest quotients.
+_MIX = """
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+                  CAST('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15) AS BIGINT) AS h FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS size, count(*) AS n, (row_number() OVER (ORDER BY source NULLS LAST) - 1) AS i FROM d GROUP BY source),
+s1 AS (SELECT *, CASE i % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, 512 * n // (sum(n) OVER ()) - 1 AS x FROM s0),
+s2 AS (SELECT *, sum(size) OVER () AS total,
+              coalesce(sum(3 * size) OVER (ORDER BY size / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+              sum(w) OVER (ORDER BY size / w, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w FROM s1),
+lv AS (SELECT total - capped AS rest, open_w AS open FROM s2 WHERE (total - capped) * w <= 3 * size * open_w ORDER BY size / w, i LIMIT 1),
+s AS (SELECT source, i, size, least(3 * size, rest * w / open)::DOUBLE AS target,
+             CASE WHEN x < 1 THEN 1 WHEN x < 2 THEN 2 WHEN x < 4 THEN 4 WHEN x < 8 THEN 8 WHEN x < 16 THEN 16 WHEN x < 32 THEN 32 WHEN x < 64 THEN 64 WHEN x < 128 THEN 128 WHEN x < 256 THEN 256 ELSE 512 END AS width FROM s2, lv),
+b AS (SELECT CAST(least(1024, greatest(1, floor(min(target) FILTER (target > 0) / 10000))) AS BIGINT) AS block FROM s),
+c AS (SELECT s.i, d.h % s.width AS k, sum(d.size)::BIGINT AS size, CAST(ceil(sum(d.size) / max(block)) AS BIGINT) AS n FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source, b GROUP BY ALL),
+room AS (SELECT i, sum(3 * n) AS room FROM c GROUP BY i),
+q1 AS (SELECT i, row_number() OVER (ORDER BY target / (2 * q + 1) DESC, i) AS place FROM (SELECT s.i, s.target, unnest(range(room::BIGINT)) AS q FROM s JOIN room USING (i) WHERE target > 0)),
+quota AS (SELECT i, count(*) AS quota FROM q1, b WHERE place <= (SELECT (2 * sum(size) + max(block)) // (2 * max(block)) FROM s, b) GROUP BY i),
+q2 AS (SELECT i, k, row_number() OVER (PARTITION BY i ORDER BY size::DOUBLE / (2 * q + 1) DESC, k) AS place FROM (SELECT i, k, size, unnest(range(3 * n)) AS q FROM c WHERE size > 0)),
+seats AS (SELECT i, k, count(*) AS q FROM q2 JOIN quota USING (i) WHERE place <= quota GROUP BY ALL),
+plan AS (SELECT c.i, c.k, CASE WHEN n > 0 THEN coalesce(q, 0) // n ELSE 0 END AS base, CASE WHEN n > 0 THEN coalesce(q, 0) % n * block ELSE 0 END AS extra FROM c LEFT JOIN seats USING (i, k), b),
+r AS (SELECT d.*, s.i, s.size AS source_size, s.target, base, extra,
+             coalesce(sum(d.size) OVER (PARTITION BY s.i, plan.k ORDER BY h, doc_id NULLS LAST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+      FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source JOIN plan ON plan.i = s.i AND plan.k = d.h % s.width)
+SELECT doc_id, size, source_size, target, source, base::BIGINT AS base, 0::BIGINT AS lo, least(greatest(extra - pos, 0), size)::BIGINT AS hi,
+       (base * size + least(greatest(extra - pos, 0), size))::BIGINT AS taken FROM r"""
+
 SQL = {
+    "op3_mixing": _MIX,
+    "op4_embeddings": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 1 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+lk AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, lk.b FROM r JOIN lk ON r.b = lk.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM lk GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)""",
     "op6_warc": """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
