@@ -50,6 +50,12 @@ def init_bins(bins: DataFrame, rank: int, seed: int, keys: list[str] = KEYS, spr
     return bins.select(*keys).withColumn("factors", draw).withColumn("bias", F.lit(0.0))
 
 
+def with_noise(bins: DataFrame, seed: int, scale: float, keys: list[str] = KEYS) -> DataFrame:
+    """Bin factors with uniform noise of at most `scale` added, drawn from the bin's hash; scale 0 changes nothing."""
+    draw = lambda k: (F.pmod(F.xxhash64(F.lit(seed), k, *keys), F.lit(1 << 40)) / (1 << 40) * 2 - 1) * scale
+    return bins.withColumn("factors", F.transform("factors", lambda x, k: x + draw(k)))
+
+
 def predicted(bins: DataFrame, rows: DataFrame, cols: DataFrame, mean: float = 0.0, cells: DataFrame | None = None, keys: list[str] = KEYS) -> DataFrame:
     """(keys, row_id, col_id, predicted) for the requested cells of every bin, all cells by default.
 

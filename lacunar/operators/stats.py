@@ -15,6 +15,11 @@ def in_split(t: DataFrame, splits: DataFrame, split: str) -> DataFrame:
     return t.join(F.broadcast(splits.where(F.col("split") == split).select(*CELL)), CELL, "left_semi")
 
 
+def in_bin_split(t: DataFrame, bin_splits: DataFrame, split: str, keys: list[str] = KEYS) -> DataFrame:
+    """As in_split(), for splits that differ from bin to bin: (keys, row_id, col_id, split), as long as the tensor."""
+    return t.join(bin_splits.where(F.col("split") == split).select(*keys, *CELL), [*keys, *CELL], "left_semi")
+
+
 def global_mean(t: DataFrame, splits: DataFrame | None = None, split: str = "train") -> DataFrame:
     return (t if splits is None else in_split(t, splits, split)).agg(F.avg("value").alias("mean"))
 
@@ -46,6 +51,12 @@ def mse_by_split(t: DataFrame, predicted: DataFrame, splits: DataFrame, n_bins:
     return out.select("split", F.coalesce("sse", F.lit(0.0)).alias("sse"), n.cast("long").alias("n"), (F.coalesce("sse", F.lit(0.0)) / n).alias("mse"))
 
 
+def mse_split_loci(train_bins: DataFrame, valid_bins: DataFrame, predicted: DataFrame, splits: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Errors when validation uses bins of its own: train over the first tensor's bins, the other splits over the second's."""
+    a = mse_by_split(train_bins, predicted, splits.where("split = 'train'"), keys=keys)
+    return a.unionByName(mse_by_split(valid_bins, predicted, splits.where("split <> 'train'"), keys=keys))
+
+
 def mse_per_experiment(t: DataFrame, predicted: DataFrame, n_bins: int, keys: list[str] = KEYS) -> DataFrame:
     """(row_id, col_id, mse): mean over all bins; a cell missing from either side reads 0."""
     joined = predicted.join(t, [*keys, *CELL], "left")

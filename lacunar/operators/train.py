@@ -8,6 +8,7 @@ frame is cut in the shared folder, where it is also the checkpoint to restart fr
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
@@ -15,7 +16,7 @@ from math import erfc, sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacunar.sources.shared import cut
@@ -247,17 +248,48 @@ def errors(states: DataFrame, s: State, splits: dict[tuple[int, int], str], full
     return float(objective), *(float(x / n) for x, n in zip(sse[:3], count, strict=True))
 
 
-def train(t: DataFrame, splits: dict[tuple[int, int], str], bins: DataFrame, start: State, o: Options, n_workers: int, keys: list[str] = KEYS) -> Fit:
+def save_checkpoint(path: str, iteration: int, states: DataFrame, s: State, best: tuple | None, valid: list[float], since: int, searches: int, o: Options, trace: list[tuple]) -> None:
+    """All a run needs to go on: bin states now and at the minimum as Parquet, the rest as one JSON row written last, so
+    that a checkpoint without it doesn't count. Older checkpoints are kept by name until the caller removes them."""
+    spark = states.sparkSession
+    where = f"{path}/{iteration:08d}"
+    states.write.mode("overwrite").parquet(f"{where}/states")
+    if best:
+        best[1].write.mode("overwrite").parquet(f"{where}/best")
+    rest = {"iteration": iteration, "flat": s.flat().tolist(), "best": [best[0], best[2].flat().tolist(), best[3]] if best else None, "valid": valid, "since": since, "searches": searches, "rate": o.rate, "beta1": o.beta1, "trace": trace}
+    spark.createDataFrame([(iteration, json.dumps(rest))], "iteration int, rest string").coalesce(1).write.mode("append").json(f"{path}/index")
+
+
+def load_checkpoint(spark: SparkSession, path: str, like: State) -> dict:
+    """The latest whole checkpoint under `path`."""
+    row = spark.read.schema("iteration int, rest string").json(f"{path}/index").orderBy(F.desc("iteration")).first()
+    x, where = json.loads(row["rest"]), f"{path}/{row['iteration']:08d}"
+    x["states"], x["state"] = spark.read.parquet(f"{where}/states"), like.from_flat(np.array(x["flat"]))
+    if x["best"]:
+        x["best"] = (x["best"][0], spark.read.parquet(f"{where}/best"), like.from_flat(np.array(x["best"][1])), x["best"][2])
+    x["trace"] = [tuple(r) for r in x["trace"]]
+    return x
+
+
+def train(t: DataFrame, splits: dict[tuple[int, int], str], bins: DataFrame, start: State, o: Options, n_workers: int, keys: list[str] = KEYS, checkpoint: str | None = None, every: int = 80, restart: bool = False) -> Fit:
     """Trains on the centered tensor `t`: steps, an evaluation every `per_mse`, the best state kept, and at convergence a
     halved rate from the best state on, `searches` times. Stops for good after that, by `max_iters`, by patience (no new
-    minimum in twice the window and its spacing), or when the objective is not a number."""
+    minimum in twice the window and its spacing), or when the objective is not a number. With `checkpoint`, a folder, the
+    run is saved every `every` iterations; with `restart` it goes on from the latest one there."""
     spark = t.sparkSession
     plane = spark.createDataFrame([(r, c, k) for (r, c), k in splits.items()], "row_id int, col_id int, split string")
     mine = t.join(F.broadcast(plane.where("split = 'train'")), ["row_id", "col_id"], "left_semi")
     full = cut(packed(t, keys))
     states, s = bin_states(mine, bins, n_workers, keys), start
     best, trace, valid, since, searches, iteration = None, [], [], 0, o.searches, 0
+    if restart:
+        x = load_checkpoint(spark, checkpoint, start)
+        states = x["states"].repartition(n_workers, *keys).sortWithinPartitions(*keys)
+        s, best, trace, valid, since, searches, iteration = (x[k] for k in ("state", "best", "trace", "valid", "since", "searches", "iteration"))
+        o = replace(o, rate=x["rate"], beta1=x["beta1"])
     while o.max_iters is None or iteration < o.max_iters:
+        if checkpoint and iteration and iteration % every == 0:
+            save_checkpoint(checkpoint, iteration, states, s, best, valid, since, searches, o, trace)
         states, s = step(states, s, o, iteration, keys)
         iteration += 1
         if iteration % o.per_mse and iteration != o.max_iters:

@@ -404,6 +404,30 @@ def mse_by_split(spark, d):
     return out.select("split", r6("sse", "sse"), "n", r6("mse", "mse"))
 
 
+@query(f"""WITH {E_PRED}, {E_SPLIT}, half AS (SELECT *, CASE WHEN start < 60 THEN 'train' ELSE 'other' END AS part FROM e),
+n AS (SELECT part, count(DISTINCT start) AS bins FROM half GROUP BY part), pl AS (SELECT split, CASE split WHEN 'train' THEN 'train' ELSE 'other' END AS part, count(*) AS k FROM s GROUP BY split),
+x AS (SELECT split, sum((predicted - value) ** 2) AS sse FROM half JOIN p USING (start, row_id, col_id) JOIN s USING (row_id, col_id) WHERE part = CASE split WHEN 'train' THEN 'train' ELSE 'other' END GROUP BY split)
+SELECT split, round(coalesce(sse, 0), 6) AS sse, k * bins AS n, round(coalesce(sse, 0) / (k * bins), 6) AS mse FROM pl JOIN n USING (part) LEFT JOIN x USING (split)""")
+def mse_split_loci(spark, d):
+    t = fx.e(spark, d)
+    out = stats.mse_split_loci(t.where("start < 60"), t.where("start >= 60"), e_predicted(spark, d), fx.splits(spark, *E_SHAPE))
+    return out.select("split", r6("sse", "sse"), "n", r6("mse", "mse"))
+
+
+@query(f"WITH {SQL_E}, b AS (SELECT *, ntile(4) OVER (PARTITION BY contig, start ORDER BY row_id, col_id) AS k FROM e) SELECT round(avg(value), 6) AS mean, count(*) AS n FROM b WHERE k < 4")
+def global_mean_bin_masks(spark, d):
+    """Masks that differ from bin to bin: three of four subsets train."""
+    t = fx.e(spark, d)
+    masks = folds.bin_subsets(t, 4, KEYS).withColumn("split", F.when(F.col("subset") < 3, F.lit("train")).otherwise(F.lit("valid")))
+    return stats.in_bin_split(t, masks, "train").agg(r6(F.avg("value"), "mean"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT i AS t, round(0.005 * power(1 - 1e-6, i - 1), 9) AS rate, round(0.9 * power(1 - 1e-6, i - 1), 9) AS beta1 FROM range(1, 2000) x(i)")
+def decay_schedule(spark, d):
+    t = F.col("t")
+    return spark.range(1, 2000).withColumnRenamed("id", "t").select("t", F.round(scalar.decayed(0.005, t), 9).alias("rate"), F.round(scalar.decayed(0.9, t), 9).alias("beta1"))
+
+
 @query(f"WITH {E_PRED}, n AS (SELECT count(DISTINCT start) AS bins FROM e) SELECT p.row_id, p.col_id, round(sum((predicted - coalesce(value, 0)) ** 2) / max(bins), 6) AS mse FROM p LEFT JOIN e USING (start, row_id, col_id), n GROUP BY ALL")
 def mse_per_experiment(spark, d):
     t = fx.e(spark, d)

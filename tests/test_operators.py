@@ -261,3 +261,50 @@ def test_stream_imputes_arriving_bins(spark, tmp_path):
     q = impute_stream(spark.readStream.schema(t.schema).parquet(f"{tmp_path}/in"), axes, [(r, c) for r in range(2) for c in range(2)], 1.0, f"{tmp_path}/out", f"{tmp_path}/ck")
     q.awaitTermination(60)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 12
+
+
+def small_run(spark):
+    rng = np.random.default_rng(3)
+    data = cells(spark, [("a", b, r, c, float(rng.normal())) for b in range(12) for r in range(4) for c in range(3)])
+    splits = {(r, c): "valid" if (r + c) % 5 == 4 else "train" for r in range(4) for c in range(3)}
+    bins = model.init_bins(data.select("contig", "start").distinct(), 2, 1)
+    return data, splits, bins, tr.State.of(model.init_axes(4, 3, 2, 1))
+
+
+def test_restart_goes_on_where_it_stopped(spark, tmp_path):
+    data, splits, bins, start = small_run(spark)
+    o = tr.Options(rank=2, batch=50, per_mse=1, max_iters=4)
+    whole = tr.train(data, splits, bins, start, o, 2, checkpoint=f"{tmp_path}/c", every=2)
+    again = tr.train(data, splits, bins, start, o, 2, checkpoint=f"{tmp_path}/c", every=100, restart=True)
+    assert np.allclose(whole.trace, again.trace)
+    assert np.allclose(whole.state.flat(), again.state.flat())
+
+
+def test_only_named_axes_move(spark):
+    data, splits, bins, start = small_run(spark)
+    o = tr.Options(rank=2, batch=30, per_mse=1, max_iters=1, cols=False, bins=False)
+    fit = tr.train(data, splits, bins, start, o, 2)
+    assert np.allclose(fit.state.cols, start.cols) and not np.allclose(fit.state.rows, start.rows)
+    before = {r["start"]: r["factors"] for r in bins.collect()}
+    assert all(np.allclose(before[r["start"]], r["factors"]) for r in tr.factors_of(fit.states).collect())
+
+
+def test_new_row_for_a_trained_model(spark):
+    data, splits, _, _ = small_run(spark)
+    plane = spark.createDataFrame([(r, c, s) for (r, c), s in splits.items()], "row_id int, col_id int, split string")
+    new = cells(spark, [("a", b, 0, c, 1.0) for b in range(10) for c in range(2)])
+    names = lambda n: spark.createDataFrame([(f"c{i}", i) for i in range(n)], "col_name string, col_id int")
+    axes, fit = pipelines.add_row(data, new, names(3), names(2), plane, model.init_axes(4, 3, 2, 1), tr.Options(rank=2, batch=50, per_mse=1, max_iters=1), 2)
+    assert axes.rows.shape == (5, 2) and axes.cols.shape == (3, 2) and fit.states.count() == 10
+
+
+def test_noise_of_scale_zero_changes_nothing(spark):
+    bins = model.init_bins(spark.createDataFrame([("a", 1)], "contig string, start long"), 3, 1)
+    assert model.with_noise(bins, 4, 0.0).first()["factors"] == bins.first()["factors"]
+    assert model.with_noise(bins, 4, 0.1).first()["factors"] != bins.first()["factors"]
+
+
+def test_search_options():
+    o = pipelines.search_options(tr.Options(), {"ratezzzexp": 0.0, "ri2": 4.0})
+    assert o.rate == 1.0 and o.ri2 == 4.0
+    assert [c["ri2"] for c, _ in pipelines.search(o, [{"ri2": 3.0}, {"ri2": 1.0}], lambda x: x.ri2)] == [1.0, 3.0]
