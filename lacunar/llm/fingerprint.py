@@ -8,6 +8,8 @@ bucket tell whether all are equal. A bucket that fails has the SHA-256 of the fo
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,18 +35,31 @@ def digest(form: Column) -> Column:
     return F.concat(half(F.xxhash64(form)), half(F.xxhash64(F.lit(1), form)))
 
 
-def colliding(forms: DataFrame, broadcast_rows: int = 1 << 20) -> list[str]:
-    """Digests of (d, form) that stand for more than one form.
+def mixed_buckets(forms: DataFrame) -> list[str]:
+    """Digests of (d, form) that stand for more than one form: the forms of a bucket meet as their minimum and maximum,
+    taken before the shuffle, so a bucket of any size sends two per task."""
+    bad = forms.groupBy("d").agg(F.min("form").alias("a"), F.max("form").alias("b")).where("a <> b")
+    return [r["d"] for r in bad.select("d").collect()]  # two texts under one 128-bit hash: none in practice
+
 
-    Only buckets with two rows or more are compared. Their digests go to all executors while they are at most
-    `broadcast_rows` (40 MB), by a join beyond that; the forms of a bucket meet as their minimum and maximum, taken
-    before the shuffle, so a bucket of any size sends two per task.
+def colliding(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1 << 20) -> list[str]:
+    """Digests that stand for more than one canonical form.
+
+    Only documents whose digest another shares are read again and compared. Their ids, and the digests that occur
+    twice, go to all executors while they are at most `broadcast_rows` (40 MB), by a join beyond that. (ICU's results
+    are taken for not deterministic by Spark, which then computes an expression as often as it is named; forms are
+    columns of their own for that reason.)
     """
-    twice = forms.groupBy("d").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d")
-    twice = cut(twice)
-    some = forms.join(F.broadcast(twice) if twice.count() <= broadcast_rows else twice, "d")
-    bad = some.groupBy("d").agg(F.min("form").alias("a"), F.max("form").alias("b")).where("a <> b")
-    return [r["d"] for r in bad.select("d").collect()]  # two texts under one 128-bit hash: none in practice
+
+    def small(df: DataFrame) -> DataFrame:
+        df = cut(df)
+        return F.broadcast(df) if df.count() <= broadcast_rows else df
+
+    known = cut(docs.select(F.col(id_col).alias("_i"), canonical(F.col(text_col)).alias("form")).select("_i", digest(F.col("form")).alias("d")))
+    twice = known.groupBy("d").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d")
+    again = known.join(small(twice), "d").select("_i").distinct()
+    some = docs.select(F.col(id_col).alias("_k"), F.col(text_col).alias("_t")).join(small(again), F.col("_k").eqNullSafe(F.col("_i")))
+    return mixed_buckets(some.select(canonical(F.col("_t")).alias("form")).select(digest(F.col("form")).alias("d"), "form"))
 
 
 def fingerprint(form: Column, bad: list[str]) -> Column:
@@ -52,23 +67,25 @@ def fingerprint(form: Column, bad: list[str]) -> Column:
     return F.when(d.isin(bad), F.concat(d, F.sha2(form, 256))).otherwise(d) if bad else d
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", into: str = "fingerprint") -> DataFrame:
+def with_fingerprint(docs: DataFrame, text_col: str, into: str, bad: list[str]) -> DataFrame:
+    return docs.withColumn("_form", canonical(F.col(text_col))).withColumn(into, fingerprint(F.col("_form"), bad)).drop("_form")
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", into: str = "fingerprint") -> DataFrame:
     """`docs` with its texts' fingerprints: equal exactly for equal canonical forms. Null and empty texts are equal."""
-    form = canonical(F.col(text_col))
-    bad = colliding(docs.select(form.alias("form")).select(digest(F.col("form")).alias("d"), "form"))
-    return docs.withColumn("_form", form).withColumn(into, fingerprint(F.col("_form"), bad)).drop("_form")
+    return with_fingerprint(docs, text_col, into, colliding(docs, id_col, text_col))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, fingerprint, n, first_id): each document with the size and smallest id of its group of equal forms."""
-    rows = fingerprints(docs, text_col).select(id_col, "fingerprint")
+    rows = fingerprints(docs, id_col, text_col).select(id_col, "fingerprint")
     groups = rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first_id"))
     return rows.join(groups, "fingerprint").select(id_col, "fingerprint", "n", "first_id")
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", rows: int = 2048, most: int = 1 << 16, cells: int = 4096) -> DataFrame:
-    """`docs` with a column `next`, a struct of the columns of the document that follows by descending id; after the
-    last comes the first. Ids that repeat follow one another in the order of their hash; null ids come last.
+def with_next(docs: DataFrame, id_col: str = "doc_id", derive: Callable[[DataFrame], DataFrame] = lambda d: d, rows: int = 2048, most: int = 1 << 16, cells: int = 4096) -> DataFrame:
+    """`docs` with the columns `derive` adds and a column `next`, a struct of the columns of the document that follows by
+    descending id; after the last comes the first. Ids that repeat follow one another in the order of their hash; null ids come last.
 
     Ids are cut into stretches of about `rows` documents (`most` stretches at most, so that the one row per stretch
     that is handed to its neighbour has a bounded size). A stretch that holds too much, where ids are clumped, is cut
@@ -77,7 +94,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", rows: int = 2048, most: i
     names, i = docs.columns, F.col(id_col)
     low, high, n = docs.agg(F.min(id_col), F.max(id_col), F.count(F.lit(1))).first()
     if not n:
-        return docs.withColumn("next", F.struct(*names))
+        return derive(docs).withColumn("next", F.struct(*derive(docs).columns))
     if low is None:
         low = high = 0
     wanted = max(256, min(most, n // rows))
@@ -97,9 +114,9 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", rows: int = 2048, most: i
     ends = ends.select(F.col("_s").alias("_own"), F.col("x.i").alias("_i"), F.col("x.t").alias("_t"), F.coalesce("above", "least").alias("_to"), F.col("above").isNull().alias("_wrap"))
     guards = keyed.withColumn("_tt", -F.lit(1) * F.shiftrightunsigned(tie, 1)).join(F.broadcast(ends), (F.col("_s") == F.col("_own")) & i.eqNullSafe(F.col("_i")) & (F.col("_tt") == F.col("_t")))
     guards = guards.select(*names, F.col("_to").alias("_s"), F.lit(1).alias("_guard"))
-    both = keyed.withColumn("_guard", F.lit(0)).unionByName(guards)
+    both = derive(keyed.withColumn("_guard", F.lit(0))).unionByName(derive(guards))
     here = Window.partitionBy("_s").orderBy("_guard", i.desc_nulls_last(), F.shiftrightunsigned(tie, 1))
-    return both.withColumn("next", F.lead(F.struct(*names)).over(here)).where("_guard = 0").drop("_guard", "_s")
+    return both.withColumn("next", F.lead(F.struct(*(c for c in both.columns if c not in ("_guard", "_s")))).over(here)).where("_guard = 0").drop("_guard", "_s")
 
 
 def edited_text(text: Column, following: Column) -> Column:

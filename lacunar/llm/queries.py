@@ -63,11 +63,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An exact digest's likeness is 1 for equal fingerprints, which the operator has confirmed byte by byte, and else 0."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    form = fingerprint.canonical(F.col("text"))
-    bad = fingerprint.colliding(docs.select(form.alias("form")).select(fingerprint.digest(F.col("form")).alias("d"), "form"))
-    rows = fingerprint.with_next(docs.withColumn("f", fingerprint.fingerprint(form, bad)))
+    bad = fingerprint.colliding(docs)
+    rows = fingerprint.with_next(docs, derive=lambda d: fingerprint.with_fingerprint(d, "text", "f", bad))
     rows = rows.select("doc_id", "text", F.col("f").alias("fingerprint"), F.col("next.f").alias("next_f"), fingerprint.edited_text(F.col("text"), F.col("next.text")).alias("edited"))
-    rows = rows.withColumn("edited_fingerprint", fingerprint.fingerprint(fingerprint.canonical(F.col("edited")), bad))
+    rows = fingerprint.with_fingerprint(rows, "edited", "edited_fingerprint", bad)
     same = lambda a, b: (a == b).cast("double")
     return rows.select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", same(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), same(F.col("fingerprint"), F.col("next_f")).alias("near_next"))
 
