@@ -27,20 +27,21 @@ def stripped(line: Column) -> Column:
 
 
 def _long_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(_id, pos, line, h) of the lines long enough. h is a hash of the line in full lower case: lines with equal keys
+    """(_id, _text, pos, line, h) of the lines long enough; _text tells rows that share an id apart. h is a hash of the line in full lower case: lines with equal keys
     have equal h, others seldom, so it serves to find candidates without the slow exact key."""
-    lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
+    lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
     lines = lines.where(F.octet_length("line") >= min_chars).withColumn("line", stripped(F.col("line"))).where(F.char_length("line") >= min_chars)
     return lines.withColumn("h", F.xxhash64(F.lower("line")))
 
 
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, broadcast_rows: int = 1 << 20) -> DataFrame:
-    """(id_col, dropped array<bigint>, n_dropped bigint) for the documents that lose lines; bit p % 64 of word p / 64 is
+    """(id_col, _text, dropped array<bigint>, n_dropped bigint) for the documents that lose lines; bit p % 64 of word p / 64 is
     set if line p goes.
 
     A key of at least `min_chars` code points that stands in at least `min_docs` documents keeps only its lines in the
     document with the largest id. Null texts have one empty line, which always stays. Rows with a null id count as no
-    document and lose nothing; rows that share an id count as one document. Extra columns are ignored.
+    document and lose nothing; rows that share an id count as one document, and the hash _text of the whole text says
+    which of them a bitmap is for. Extra columns are ignored.
 
     First the hashes that at least `min_docs` documents hold are found, then the exact keys of their lines alone. Up to
     `broadcast_rows` such hashes (16 MB) go to the executors as they are; more are joined by a shuffle.
@@ -52,14 +53,14 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     few = held.count() <= broadcast_rows
     some = lines.join(F.broadcast(held) if few else held, "h")
     key = ascii_lower(F.col("line"))
-    exact = cut(some.withColumn("key", key).select("_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")))
+    exact = cut(some.withColumn("key", key).select("_id", "_text", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")))
     firsts = exact.groupBy("h1", "h2", "_id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("_id").alias("first_id")).where(F.col("n") >= min_docs).select("h1", "h2", "first_id")
     firsts = cut(firsts)  # then both sides of the join are plain, and Spark can split the lines of a hot hash
     few = firsts.count() <= broadcast_rows
     marks = exact.join(F.broadcast(firsts) if few else firsts, ["h1", "h2"]).where(F.col("_id") < F.col("first_id"))
-    words = marks.groupBy("_id", F.shiftright("pos", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, pos & 63)")).alias("bits"))
-    found = words.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m"), F.max("w").alias("last"), F.sum(F.bit_count("bits")).alias("n_dropped"))
-    return found.select(F.col("_id").alias(id_col), F.transform(F.sequence(F.lit(0), "last"), lambda w: F.coalesce(F.element_at("m", w), F.lit(0).cast("long"))).alias("dropped"), "n_dropped")
+    words = marks.groupBy("_id", "_text", F.shiftright("pos", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, pos & 63)")).alias("bits"))
+    found = words.groupBy("_id", "_text").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m"), F.max("w").alias("last"), F.sum(F.bit_count("bits")).alias("n_dropped"))
+    return found.select(F.col("_id").alias(id_col), "_text", F.transform(F.sequence(F.lit(0), "last"), lambda w: F.coalesce(F.element_at("m", w), F.lit(0).cast("long"))).alias("dropped"), "n_dropped")
 
 
 def kept_text(text: Column, dropped: Column) -> Column:
@@ -70,11 +71,11 @@ def kept_text(text: Column, dropped: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """`docs` with repeated lines taken out of `text_col`, and n_lines and n_dropped added (replaced, if there)."""
-    maps = keep_bitmaps(docs, id_col, text_col, min_chars, min_docs).select(F.col(id_col).alias("_key"), F.col("dropped").alias("_dropped"), F.col("n_dropped").alias("_n_dropped"))
-    out = docs.join(maps, F.col(id_col) == F.col("_key"), "left")
+    maps = keep_bitmaps(docs, id_col, text_col, min_chars, min_docs).select(F.col(id_col).alias("_key"), F.col("_text").alias("_version"), F.col("dropped").alias("_dropped"), F.col("n_dropped").alias("_n_dropped"))
+    out = docs.join(maps, (F.col(id_col) == F.col("_key")) & (F.xxhash64(text_col) == F.col("_version")), "left")
     text = F.col(text_col)
     return out.withColumns({
         "n_lines": F.size(lines_of(text)).cast("long"),
         "n_dropped": F.coalesce(F.col("_n_dropped"), F.lit(0)).cast("long"),
         text_col: kept_text(text, F.col("_dropped")),
-    }).drop("_key", "_dropped", "_n_dropped")
+    }).drop("_key", "_version", "_dropped", "_n_dropped")

@@ -320,6 +320,13 @@ def test_line_dedup_brute_force(spark, broadcast_rows, monkeypatch):
     assert got == lines_by_hand(rows) and any(x[1] for x in got.values())
 
 
+def test_line_dedup_rows_that_share_an_id(spark):
+    line = "a line that five documents or more do share " * 1
+    rows = [(i, f"{line}\nown {i}", "en", "a") for i in range(6)] + [(0, f"x\n{line}", "en", "a"), (0, f"{line}\nown 0", "en", "a")]
+    got = sorted(r["text"] for r in linededup.dedup_lines(docs(spark, rows)).where("doc_id = 0").collect())
+    assert got == ["own 0", "own 0", "x"]
+
+
 def test_line_dedup_odd_rows(spark, odd, none):
     out = linededup.dedup_lines(odd)
     assert out.count() == len(odd_rows()) and linededup.dedup_lines(none).count() == 0
@@ -381,6 +388,12 @@ def test_warc_foreign_files(spark, tmp_path):
     assert got == sorted((f"r{i}", i * 1000) for i in range(5) for _ in (0, 1))
 
 
+def test_warc_repeated_rows(spark):
+    rows = [(1, "u", "same " * 30), (2, "u", "same " * 30), (2, "u", "same " * 30), (2, "u", "other " * 30), (None, "u", "same " * 30)]
+    got = sorted((r["record_id"], r["record_type"]) for r in warc.page_records(pages(spark, rows)).collect())
+    assert got == [("<urn:page:1>", "response"), ("<urn:page:2>", "response"), ("<urn:page:2>", "revisit"), ("<urn:page:2>", "revisit")]
+
+
 def test_warc_empty(spark, tmp_path):
     warc.write_warc(warc.page_records(pages(spark, [])), f"file://{tmp_path}/w")
     assert warc.read_warc(spark, f"file://{tmp_path}/w").count() == 0
@@ -441,11 +454,18 @@ def test_canonical_forms(spark):
 
 def test_colliding_digests_are_told_apart(spark):
     forms = spark.createDataFrame([("x", "a"), ("x", "a"), ("y", "b"), ("y", "c"), ("z", "d")], "d string, form string")
-    assert fingerprint.colliding(forms) == ["y"] and fingerprint.colliding(forms, 0) == ["y"]
+    assert fingerprint.mixed_buckets(forms) == ["y"]
     got = forms.select("form", fingerprint.fingerprint(F.col("form"), [forms.sparkSession.range(1).select(fingerprint.digest(F.lit("b"))).first()[0]]).alias("f")).collect()
     assert {len(r["f"]) for r in got if r["form"] != "b"} == {32} and {len(r["f"]) for r in got if r["form"] == "b"} == {96}
 
 
+@pytest.mark.parametrize("broadcast_rows", [0, 1 << 20])
+def test_shared_digests_are_compared(spark, odd, broadcast_rows, monkeypatch):
+    assert fingerprint.colliding(odd, broadcast_rows=broadcast_rows) == []
+    monkeypatch.setattr(fingerprint, "digest", lambda form: F.substring(form, 1, 1))
+    assert fingerprint.colliding(odd, broadcast_rows=broadcast_rows)
+
+
 @pytest.mark.parametrize("spread", [1, 10**12])
 def test_next_document(spark, spread):
     ids = [k * (spread if k > 500 else 1) for k in range(900)]
