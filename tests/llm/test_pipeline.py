@@ -37,3 +37,31 @@ def test_stages_take_nulls_and_repeats(spark):
     docs = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "a", 0), (3, "one two three four", "en", None, 18), (3, "one two three four", "en", None, 18), (None, "x y z", None, "a", 5)], kind)
     for _, stage in cp.STAGES:
         assert stage(spark, docs, d).count() >= 0
+
+
+def test_native_operators_stay_in_the_jvm(spark):
+    import re
+
+    for name in ("op5_line_dedup", "op7_sharding", "op8_fingerprint"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+        physical = plan[plan.index("== Physical Plan ==") :]
+        assert not re.search("Python|Pandas|Arrow", physical) and "CartesianProduct" not in physical and "NestedLoop" not in physical
+        scans = re.findall(r"ReadSchema: struct<([^>]*)>", physical)
+        assert scans and all("lang" not in s and "n_chars" not in s for s in scans)
+
+
+def test_queries_refuse_a_cluster_without_a_shared_folder(spark, monkeypatch):
+    import pytest
+
+    from lacunar.sources import shared
+
+    class Elsewhere:
+        class sparkContext:  # noqa: N801
+            master = "yarn"
+            getCheckpointDir = staticmethod(lambda: None)
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *_: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Elsewhere)
