@@ -308,3 +308,16 @@ def test_search_options():
     o = pipelines.search_options(tr.Options(), {"ratezzzexp": 0.0, "ri2": 4.0})
     assert o.rate == 1.0 and o.ri2 == 4.0
     assert [c["ri2"] for c, _ in pipelines.search(o, [{"ri2": 3.0}, {"ri2": 1.0}], lambda x: x.ri2)] == [1.0, 3.0]
+
+
+def test_interval_joins_are_equi_joins(spark):
+    a = spark.range(1000).select(F.lit("x").alias("contig"), F.col("id").alias("start"), (F.col("id") + 3).alias("end"))
+    for df in (intervals.overlaps(a, a), intervals.flagged(a, a), intervals.window_means(a, a.withColumn("value", F.lit(1.0)))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_filters_and_columns_reach_the_scan(spark, tmp_path):
+    spark.createDataFrame([("a", 1, 0, 0, 1.0)], "contig string, start long, row_id int, col_id int, value double").write.parquet(f"{tmp_path}/t")
+    plan = stats.row_bias(readers.load_tensor(spark, f"{tmp_path}/t").where("contig = 'a'"))._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(contig,a)" in plan and "start" not in plan.split("ReadSchema:")[1].split(">")[0]
