@@ -37,9 +37,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges, so no neighbour list is ever gathered and a node with very many links is only a skewed join, which Spark
     splits. Every round is cut by a checkpoint. Edges with a null end are ignored, loops keep their node.
     """
-    e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null")
-    nodes = cut(e.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-    e = cut(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = cut(edges.select(F.greatest(F.col(a).cast("long"), F.col(b).cast("long")).alias("u"), F.least(F.col(a).cast("long"), F.col(b).cast("long")).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct())
+    nodes = e.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    e = e.where("u <> v")
     last = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

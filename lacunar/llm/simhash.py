@@ -228,7 +228,7 @@ def link_fingerprints(found: DataFrame, distance: int = 3, node_rows: int = 4096
     for other in done:
         rows = rows.unionByName(other)
     stars = rows.repartition("mask", "pattern").sortWithinPartitions("mask", "pattern", gray_rank(F.col("fingerprint"))).mapInArrow(_stars(distance), "a bigint, b bigint")
-    groups = components(stars.distinct())
+    groups = components(stars)
     return firsts.join(groups, firsts["id"] == groups["node"], "left").select("fingerprint", F.coalesce("component", "id").alias("component_id"))
 
 
