@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,10 +32,31 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in f if line.strip())}
 
 
-def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one word. A heap of pairs keeps long words near-linear."""
+NEVER = 1 << 60
+
+
+def fold(word: bytes, ranks: dict[bytes, int], short: int = 64) -> list[int]:
+    """Ids of one word. Up to `short` bytes the pairs' ranks are a list that is searched for its least; a heap of pairs
+    keeps longer words near-linear."""
     if word in ranks:
         return [ranks[word]]
+    if len(word) <= short:
+        get = ranks.get
+        parts = [word[i : i + 1] for i in range(len(word))]
+        pairs = [get(word[i : i + 2], NEVER) for i in range(len(word) - 1)]
+        while pairs and (low := min(pairs)) != NEVER:
+            i = pairs.index(low)
+            parts[i] += parts.pop(i + 1)
+            del pairs[i]
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], NEVER)
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], NEVER)
+        return [ranks[p] for p in parts]
+    return _fold_long(word, ranks)
+
+
+def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     n = len(word)
     end = list(range(1, n + 1))  # end of the piece that starts here
     before = list(range(-1, n - 1))  # start of the piece before
@@ -64,7 +86,7 @@ class _Words(dict):
         self.ranks = ranks
 
     def __missing__(self, word: str) -> bytes:
-        self[word] = ids = np.array(fold(word.encode(), self.ranks), np.int32).tobytes()
+        self[word] = ids = array("i", fold(word.encode(), self.ranks)).tobytes()
         return ids
 
 
