@@ -17,8 +17,13 @@ from pyspark.sql import functions as F
 
 
 def ring_owners(spark, n_shards: int, vnodes: int, cells: int) -> list[list[int]]:
-    """For each cell the shards met clockwise from it, by hashed virtual nodes: the first owns the cell."""
-    points = spark.range(n_shards * vnodes).select((F.col("id") % n_shards).cast("int").alias("shard"), F.pmod(F.xxhash64(F.lit("vnode"), "id"), F.lit(cells)).alias("at"), F.xxhash64("id").alias("tie")).orderBy("at", "tie", "shard").collect()
+    """For each cell the shards met clockwise from it, by hashed virtual nodes: the first owns the cell.
+
+    A point is named by (shard, replica), whatever the number of shards: one more shard adds its own points and no
+    other point moves or changes its owner.
+    """
+    named = spark.range(n_shards * vnodes).select(F.floor(F.col("id") / vnodes).cast("int").alias("shard"), (F.col("id") % vnodes).cast("int").alias("replica"))
+    points = named.select("shard", F.pmod(F.xxhash64(F.lit("vnode"), "shard", "replica"), F.lit(cells)).alias("at"), F.xxhash64("shard", "replica").alias("tie")).orderBy("at", "tie", "shard").collect()
     at, order = [p["at"] for p in points], [p["shard"] for p in points]
     return at, order
 

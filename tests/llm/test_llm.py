@@ -429,6 +429,17 @@ def test_shards_move_little(spark):
     assert sum(a[i] != b[i] for i in b) < 0.05 * len(b)
 
 
+def test_one_more_shard_moves_little(spark):
+    """The points of 24 shards stay when a 25th comes; rows move to the new shard, hardly between old ones."""
+    points = [set(zip(*sharding.ring_owners(spark, n, 64, 1 << 14))) for n in (24, 25)]
+    assert points[0] <= points[1] and {s for _, s in points[1] - points[0]} == {24}
+    d = spark.range(20000).withColumnRenamed("id", "doc_id")
+    a, b = ({r["doc_id"]: r["shard"] for r in sharding.shard_rows(d, n).collect()} for n in (24, 25))
+    moved = [k for k in a if a[k] != b[k]]
+    old = [k for k in moved if b[k] != 24]
+    assert len(moved) <= 0.12 * len(a) and len(old) <= 0.06 * len(a), (len(moved), len(old))
+
+
 def test_shards_odd_rows(spark, odd, none):
     got = sharding.shard_rows(odd, 3).collect()
     assert len(got) == len(odd_rows()) and len({(r["shard"], r["slot"]) for r in got}) == len(got)
