@@ -39,6 +39,49 @@ def test_stages_take_nulls_and_repeats(spark):
         assert stage(spark, docs, d).count() >= 0
 
 
+def test_near_duplicates_brute_force(spark):
+    """Edited copies: the stage keeps the smallest id of each component over all pairs of 5-word Jaccard 0.8 or more."""
+    import random
+
+    from lacunar.llm.jaccard import similar_documents
+
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(400)]
+    texts = []
+    for n in [3, 5, 9, 30, 69, 120, 400] * 6:
+        base = [rng.choice(words) for _ in range(n)]
+        for edits in (0, 0, 1, 1, 2, 3, 4):
+            copy = base[:]
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+    base = [rng.choice(words) for _ in range(90)]  # one large group, most of it at 0.8 to 0.9
+    for _ in range(60):
+        copy = base[:]
+        copy[rng.randrange(90)] = rng.choice(words)
+        texts.append(" ".join(copy))
+    texts += ["", " \t", None]
+    rng.shuffle(texts)
+
+    def grams(t):
+        w = (t or "").split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = [grams(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if root[i] != root[j] and (a == b or 5 * len(a & b) >= 4 * len(a | b)):
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)] + [(None, texts[0], "en", "a", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    for block in (128, 8):  # 8: the large group is divided
+        got = {r["doc_id"]: r["component_id"] for r in similar_documents(docs, block=block).collect()}
+        assert got.pop(None) is None and got == dict(enumerate(root))
+    kept = [r["doc_id"] for r in cp.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted(kept, key=lambda x: (x is None, x)) == [*sorted(set(root)), None]
+
+
 def test_native_operators_stay_in_the_jvm(spark):
     import re
 
