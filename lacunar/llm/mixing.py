@@ -74,17 +74,13 @@ def sainte_lague(votes: list[float], seats: int, room: list[int]) -> list[int]:
     return got
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: int = 7, shards: int = 512, block: int | None = None) -> DataFrame:
-    """(id_col, source_col, size, source_size, target, base, lo, hi, taken): what the mix takes of every document.
-
-    The document is taken whole `base` times and its words lo to hi (from 0, hi left out) once more; taken counts all
-    that. Sources stand by code point, null last, with `weights` in turn. `block` is the number of words in a block, by
-    default a ten-thousandth of the smallest target, at least 1 and at most 1024. Null and empty texts have size 0 and
-    are never taken; ids may be null or repeat. Extra columns are ignored. What reaches the driver is one number per
-    source and shard: `shards` and the number of sources at most.
-    """
+def _planned(docs: DataFrame, id_col: str, source_col: str, text_col: str, weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: int = 7, shards: int = 512, block: int | None = None, keep: bool = False) -> DataFrame:
+    """The result of mix(). With `keep`, each row also carries its whole row of `docs` as the struct _row."""
     spark = docs.sparkSession
-    rows = cut(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), n_words(F.col(text_col)).alias("size"), seeded(F.col(id_col), seed).alias("_h")))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), n_words(F.col(text_col)).alias("size"), seeded(F.col(id_col), seed).alias("_h"), *([F.struct(*docs.columns).alias("_row")] if keep else []))
+    if not keep:  # texts are not stored again: words are counted a second time instead
+        rows = cut(rows)
+    tie = [F.xxhash64(F.col("_row")[text_col])] if keep else []
     fine = rows.withColumn("_cell", F.pmod("_h", F.lit(shards))).groupBy("_source", "_cell").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
     names = sorted({r["_source"] for r in fine}, key=lambda s: (s is None, (s or "").encode()))  # UTF-8 keeps the order of code points
     number = {s: i for i, s in enumerate(names)}
@@ -111,24 +107,34 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
             plan.append((name, width[i], k, sizes[i], targets[i], q // n if n else 0, q % n * block if n else 0))
     known = spark.createDataFrame(plan, "_name string, _width int, _k int, source_size long, target double, base long, extra long")
     wide = spark.createDataFrame([(s, w) for s, w in zip(names, width, strict=True)], "_name string, _width int")
-    sharded = rows.join(wide, F.col("_source").eqNullSafe(F.col("_name"))).withColumn("_k", F.pmod("_h", F.col("_width")).cast("int")).drop("_name", "_width")
-    before = F.sum("size").over(Window.partitionBy("_source", "_k").orderBy("_h", F.col("_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1))
-    out = sharded.withColumn("_at", F.coalesce(before, F.lit(0))).join(known.withColumnRenamed("_k", "_kk"), F.col("_source").eqNullSafe(F.col("_name")) & (F.col("_k") == F.col("_kk")))
+    sharded = rows.join(F.broadcast(wide), F.col("_source").eqNullSafe(F.col("_name"))).withColumn("_k", F.pmod("_h", F.col("_width")).cast("int")).drop("_name", "_width")
+    before = F.sum("size").over(Window.partitionBy("_source", "_k").orderBy("_h", F.col("_id").asc_nulls_last(), "size", *tie).rowsBetween(Window.unboundedPreceding, -1))
+    out = sharded.withColumn("_at", F.coalesce(before, F.lit(0))).join(F.broadcast(known.withColumnRenamed("_k", "_kk")), F.col("_source").eqNullSafe(F.col("_name")) & (F.col("_k") == F.col("_kk")))
     hi = F.least(F.greatest(F.col("extra") - F.col("_at"), F.lit(0)), F.col("size"))
-    return out.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), "size", "source_size", "target", "base", F.lit(0).cast("long").alias("lo"), hi.alias("hi"), (F.col("base") * F.col("size") + hi).alias("taken"))
+    return out.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), "size", "source_size", "target", "base", F.lit(0).cast("long").alias("lo"), hi.alias("hi"), (F.col("base") * F.col("size") + hi).alias("taken"), *(["_row"] if keep else []))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: int = 7, shards: int = 512, block: int | None = None) -> DataFrame:
+    """(id_col, source_col, size, source_size, target, base, lo, hi, taken): what the mix takes of every document.
+
+    The document is taken whole `base` times and its words lo to hi (from 0, hi left out) once more; taken counts all
+    that. Sources stand by code point, null last, with `weights` in turn. `block` is the number of words in a block, by
+    default a ten-thousandth of the smallest target, at least 1 and at most 1024. Null and empty texts have size 0 and
+    are never taken; ids may be null or repeat. Extra columns are ignored. What reaches the driver is one number per
+    source and shard: `shards` and the number of sources at most.
+    """
+    return _planned(docs, id_col, source_col, text_col, weights, most, seed, shards, block)
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
-    """The mix itself, with the columns of `docs`: each document once for every whole time it is taken, and its first
-    words once more where the last block ends in it. Ids must be unique; a row with a null id is never taken."""
-    plan = mix(docs, id_col, source_col, text_col, **options).where(F.col("taken") > 0).select(F.col(id_col).alias("_key"), "base", "hi", "size")
+    """The mix itself, with the columns of `docs`: each row once for every whole time it is taken, and its first words
+    once more where the last block ends in it. Rows travel through the plan, so each is taken as its own plan says
+    whether its id is null, shared or its own."""
+    plan = _planned(docs, id_col, source_col, text_col, **options, keep=True).where(F.col("taken") > 0)
     whole = F.expr("base + if(hi = size, 1, 0)").cast("int")
     part = F.when((F.col("hi") > 0) & (F.col("hi") < F.col("size")), F.col("hi"))
-    copies = plan.select("_key", F.explode(F.concat(F.array_repeat(F.lit(-1).cast("long"), whole), F.when(part.isNotNull(), F.array(part)).otherwise(F.array().cast("array<bigint>")))).alias("_take"))
-    out = docs.join(copies, F.col(id_col) == F.col("_key"))
-    text = F.col(text_col)
-    first = F.expr(f"array_join(slice(regexp_extract_all(`{text_col}`, '[^\\\\x20\\\\x09-\\\\x0D]+', 0), 1, int(_take)), ' ')")
-    out = out.withColumn(text_col, F.when(F.col("_take") < 0, text).otherwise(first))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length(text_col).cast("long"))
-    return out.select(*docs.columns)
+    out = plan.select("_row", F.explode(F.concat(F.array_repeat(F.lit(-1).cast("long"), whole), F.when(part.isNotNull(), F.array(part)).otherwise(F.array().cast("array<bigint>")))).alias("_take"))
+    first = F.expr(f"array_join(slice(regexp_extract_all(_row.`{text_col}`, '[^\\\\x20\\\\x09-\\\\x0D]+', 0), 1, int(_take)), ' ')")
+    out = out.select("_take", F.when(F.col("_take") < 0, F.col("_row")[text_col]).otherwise(first).alias("_text"), "_row")
+    new = {text_col: F.col("_text")} | ({"n_chars": F.char_length("_text").cast("long")} if "n_chars" in docs.columns else {})
+    return out.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -229,6 +230,26 @@ def test_mixing_targets_and_bounds(spark):
     assert mixed.select(F.sum(mixing.n_words(F.col("text")))).first()[0] == sum(r["taken"] for r in got)
 
 
+def test_mixed_documents_take_each_row_by_its_own_plan(spark):
+    """Rows that share an id, or have none, come back as often as the plan takes them."""
+    rows = [(1, f"a{k} " * 40, "en", "a") for k in range(6)] + [(None, f"n{k} " * 30, "en", "b") for k in range(5)]
+    rows += [(2, "same words here " * 10, "de", "b")] * 4 + [(k, f"w{k} " * k, "fr", "c") for k in range(3, 60)]
+    d = docs(spark, rows)
+    plan = [r.asDict() for r in mixing.mix(d).collect()]
+    assert len(plan) == len(rows)
+    want, words = Counter(), Counter()
+    for r in plan:
+        want[r["doc_id"], r["source"]] += r["base"] + (r["hi"] > 0)
+        words[r["doc_id"], r["source"]] += r["taken"]
+    got, had = Counter(), Counter()
+    for r in mixing.mixed_documents(d).collect():
+        got[r["doc_id"], r["source"]] += 1
+        had[r["doc_id"], r["source"]] += len(r["text"].split())
+    assert got == +want and had == +words and got[1, "a"] and got[None, "b"] and got[2, "b"]
+    total = sum(len(r[1].split()) for r in rows)
+    assert sum(had.values()) <= 3 * total
+
+
 def test_mixing_odd_rows(spark, odd, none):
     assert mixing.mix(odd).count() == len(odd_rows()) and mixing.mix(none).count() == 0
     assert mixing.mix(docs(spark, [(1, None, None, None), (2, "", "en", "a")])).agg(F.sum("taken")).first()[0] == 0
