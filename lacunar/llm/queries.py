@@ -42,10 +42,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives go to the shared folder. Responses are read with their payloads, whose size and digest are taken anew;
-    revisits by their headers alone."""
+    revisits by their headers alone. Pages with a null id come back as responses with a null id."""
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    warc.write_warc(warc.page_records(table(spark, sf_dir, "pages").select("page_id", "url", "html")), path)
-    number = lambda c: F.regexp_extract(c, r"page:(-?\d+)>", 1).cast("long")
+    warc.write_warc(warc.page_records(table(spark, sf_dir, "pages").select("page_id", "url", "html"), nameless=True), path)
+    number = lambda c: F.regexp_extract(c, r"page:(-?\d+)>", 1).try_cast("long")
     full = warc.read_warc(spark, path, ["record_id", "record_type", "payload"]).where("record_type = 'response'")
     full = full.select("record_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", F.lit(None).cast("string").alias("refers_to"))
     again = warc.read_warc(spark, path, ["record_id", "record_type", "refers_to", "payload_digest", "full_length"]).where("record_type = 'revisit'")

@@ -266,19 +266,20 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100) -> DataFrame:
+def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100, nameless: bool = False) -> DataFrame:
     """WARC records (columns of SCHEMA) of pages: of those with equal payloads of at least `least` bytes the smallest id
     is a response and the others revisit it; smaller payloads are all responses. A null html is an empty payload. Rows
-    with a null id are left out; rows that share an id are a record each, under one record id."""
+    with a null id are left out, or with `nameless` are all responses under the id <urn:page:null>; rows that share an
+    id are a record each, under one record id."""
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
-    rows = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(url_col).alias("target_uri"), payload.alias("payload"))
-    keys = rows.select("_id", F.octet_length("payload").cast("long").alias("full_length"), F.sha2("payload", 256).alias("d"))
+    rows = pages.where(F.lit(nameless) | F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(url_col).alias("target_uri"), payload.alias("payload"))
+    keys = rows.where("_id is not null").select("_id", F.octet_length("payload").cast("long").alias("full_length"), F.sha2("payload", 256).alias("d"))
     firsts = keys.where(F.col("full_length") >= least).groupBy("d").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     again = keys.where(F.col("full_length") >= least).join(firsts, "d").where("_id <> first").select(F.col("_id").alias("_own"), F.col("d").alias("_d"), "first").distinct()
     name = lambda c: F.when(c.isNotNull(), F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">")))
     out = rows.join(again, (F.col("_id") == F.col("_own")) & (F.sha2("payload", 256) == F.col("_d")), "left")
     return out.select(
-        name(F.col("_id")).alias("record_id"),
+        F.coalesce(name(F.col("_id")), F.lit("<urn:page:null>")).alias("record_id"),
         F.when(F.col("first").isNull(), F.lit("response")).otherwise(F.lit("revisit")).alias("record_type"),
         "target_uri",
         name(F.col("first")).alias("refers_to"),

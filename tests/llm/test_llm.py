@@ -415,6 +415,15 @@ def test_warc_repeated_rows(spark):
     assert got == [("<urn:page:1>", "response"), ("<urn:page:2>", "response"), ("<urn:page:2>", "revisit"), ("<urn:page:2>", "revisit")]
 
 
+def test_warc_query_keeps_pages_without_id(spark, tmp_path):
+    from lacunar.llm.queries import op6_warc
+
+    rows = [(7, "u", "same " * 30), (8, "u", "same " * 30), (None, "u", "same " * 30), (None, "v", "same " * 30), (None, None, None)]
+    pages(spark, rows).write.parquet(f"{tmp_path}/pages.parquet")
+    got = Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in op6_warc(spark, str(tmp_path)).collect())
+    assert got == Counter({(7, 150, "response", None): 1, (8, 150, "revisit", 7): 1, (None, 150, "response", None): 2, (None, 0, "response", None): 1})
+
+
 def test_warc_empty(spark, tmp_path):
     warc.write_warc(warc.page_records(pages(spark, [])), f"file://{tmp_path}/w")
     assert warc.read_warc(spark, f"file://{tmp_path}/w").count() == 0
