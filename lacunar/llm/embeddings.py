@@ -172,7 +172,7 @@ def link_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """
     spark = vectors.sparkSession
     v = F.col(vector_col).cast("array<double>")
-    good = v.isNotNull() & (F.size(v) > 1) & ~F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists(v, lambda c: c != 0)
+    good = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists(v, lambda c: c != 0)
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), v.alias("vector"), F.coalesce(good & F.col(label_col).isNotNull() & F.col(id_col).isNotNull(), F.lit(False)).alias("good"))
     classes = cut(rows.where("good").groupBy("label", "vector").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")))
     found = None

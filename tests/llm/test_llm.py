@@ -310,6 +310,14 @@ def test_traversal_order_and_bounds():
     assert all(low[a, cell[b]] <= gap[a, b] + 1e-9 for a in range(200) for b in range(200))
 
 
+def test_vectors_of_one_component(spark):
+    """Two such vectors of equal sign have cosine 1, of unlike sign -1."""
+    rows = [(1, [2.0], 0), (2, [0.5], 0), (3, [-1.0], 0), (4, [-3.0], 0), (5, [7.0], 0), (6, [1.0], 1), (7, [0.0], 0), (8, [1.0, 0.0], 0), (9, [], 0)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.link_embeddings(d).collect()}
+    assert got == {1: (2, 1, True), 2: (2, 1, False), 5: (2, 1, False), 3: (1, 3, True), 4: (1, 3, False), 6: (0, 6, True), 7: (0, 7, True), 8: (0, 8, True), 9: (0, 9, True)}
+
+
 # --- 5 line dedup ---
 
 
