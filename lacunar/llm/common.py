@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lacunar.sources.shared import cut, shared_dir, store
 
-__all__ = ["LOWER", "UPPER", "WHITE", "WORD", "ascii_lower", "components", "cut", "held_out", "shared_dir", "store", "table"]
+__all__ = ["LOWER", "UPPER", "WHITE", "WORD", "ascii_lower", "components", "cut", "held_out", "row_of", "shared_dir", "store", "table"]
 
 #: White space of the contracts: \x20 and \x09 to \x0D.
 WHITE = " \t\n\x0b\x0c\r"
@@ -20,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_of(df: DataFrame) -> Column:
+    """All columns of a frame as the one column `row`. While they travel in it, an operator may use any names beside it."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, other letters left alone; the fast path takes texts that are all ASCII."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

@@ -1,18 +1,24 @@
 """Removal of lines that many documents repeat, without moving text through the counting steps.
 
-Every line becomes a 128-bit hash of its key. The order the method streams in is (hash, document descending,
-position): the first row of a hash is the occurrence that stays. That first row and the number of documents are a
-`max` and a `count`, which Spark combines before the shuffle, so a line that stands in a third of all documents is one
-row per task; a sort of its occurrences would all meet in one task. What comes back to the documents is one small
-bitmap each (a bit per line, 64 to a word, up to the last dropped line), never text.
+Every long line leaves its document as a row (128-bit hash of its key, document, position). The rows are partitioned by
+range of (hash, document descending) and sorted by position on top, so a line that stands in a third of all documents
+is cut between documents and spread over many partitions. In that order the rows stream past once: a run of equal
+(hash, document) is one document that holds the line, the first row of a run of one hash is its first occurrence,
+which stays. Each partition leaves one row per run of a hash, its number of documents and its first one; runs that go
+on in the next partition are joined by these rows alone.
+
+What comes back to a document is a compressed bitmap of the lines to keep, never text: words of 64 lines, of which
+those that are all ones are left out and counted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, ascii_lower, cut
+from .common import WHITE, ascii_lower, cut, row_of, store
+
+HASH = ["h1", "h2"]
 
 
 def lines_of(text: Column) -> Column:
@@ -26,56 +32,66 @@ def stripped(line: Column) -> Column:
     return F.when(ends, F.btrim(line, F.lit(WHITE))).otherwise(line)
 
 
-def _long_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(_id, _text, pos, line, h) of the lines long enough; _text tells rows that share an id apart. h is a hash of the line in full lower case: lines with equal keys
-    have equal h, others seldom, so it serves to find candidates without the slow exact key."""
-    lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
-    lines = lines.where(F.octet_length("line") >= min_chars).withColumn("line", stripped(F.col("line"))).where(F.char_length("line") >= min_chars)
-    return lines.withColumn("h", F.xxhash64(F.lower("line")))
+def line_rows(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    """(h1, h2, after, version, pos) of the lines whose keys have `min_chars` code points or more.
+
+    `after` is the id with its bits turned, which puts documents in descending order without overflow; `version` is a
+    hash of the whole text and tells rows that share an id apart."""
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.bitwise_not(F.col(id_col).cast("long")).alias("after"), F.xxhash64(text_col).alias("version"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
+    rows = rows.where(F.octet_length("line") >= min_chars).withColumn("line", stripped(F.col("line"))).where(F.char_length("line") >= min_chars)
+    rows = rows.withColumn("key", ascii_lower(F.col("line")))
+    return rows.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "after", "version", "pos")
+
+
+def first_occurrences(rows: DataFrame, min_docs: int) -> DataFrame:
+    """(h1, h2, first) of the hashes that `min_docs` documents hold: `first` is the document that keeps its lines."""
+    ranged = rows.repartitionByRange(*HASH, "after").sortWithinPartitions(*HASH, "after", "pos")
+    # the range partitions hold each (hash, document) whole and in order, so this window streams over them as they are;
+    # of the aggregate, one row per partition and hash is shuffled
+    firsts = ranged.withColumn("place", F.row_number().over(Window.partitionBy(*HASH, "after").orderBy("pos"))).where("place = 1")
+    runs = firsts.groupBy(*HASH).agg(F.count(F.lit(1)).alias("docs"), F.min("after").alias("first"))
+    return runs.where(F.col("docs") >= min_docs).select(*HASH, "first")
 
 
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, broadcast_rows: int = 1 << 20) -> DataFrame:
-    """(id_col, _text, dropped array<bigint>, n_dropped bigint) for the documents that lose lines; bit p % 64 of word p / 64 is
-    set if line p goes.
+    """(id, version, keep array<struct<gap int, bits bigint>>, n_dropped bigint) for the documents that lose lines.
 
-    A key of at least `min_chars` code points that stands in at least `min_docs` documents keeps only its lines in the
-    document with the largest id. Null texts have one empty line, which always stays. Rows with a null id count as no
-    document and lose nothing; rows that share an id count as one document, and the hash _text of the whole text says
-    which of them a bitmap is for. Extra columns are ignored.
+    `keep` lists words of 64 lines in order: bit p % 64 of a word says whether line p stays; `gap` words of all ones were
+    left out before it, and all that follow the last. A key of at least `min_chars` code points that stands in at least
+    `min_docs` documents keeps only its lines in the document with the largest id. Null texts have one empty line, which
+    always stays. Rows with a null id count as no document and lose nothing; rows that share an id count as one
+    document. Extra columns are ignored.
 
-    First the hashes that at least `min_docs` documents hold are found, then the exact keys of their lines alone. Up to
-    `broadcast_rows` such hashes (16 MB) go to the executors as they are; more are joined by a shuffle.
+    Up to `broadcast_rows` hashes that repeat (32 MB) go to the executors as they are; more are joined by a shuffle,
+    where both sides are plain, so that Spark can split the rows of a hot hash.
     """
-    lines = _long_lines(docs, id_col, text_col, min_chars)
-    # a hash that stands five times in one document is a candidate too; the exact count below settles it
-    held = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("h")
-    held = cut(held)
-    few = held.count() <= broadcast_rows
-    some = lines.join(F.broadcast(held) if few else held, "h")
-    key = ascii_lower(F.col("line"))
-    exact = cut(some.withColumn("key", key).select("_id", "_text", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")))
-    firsts = exact.groupBy("h1", "h2", "_id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("_id").alias("first_id")).where(F.col("n") >= min_docs).select("h1", "h2", "first_id")
-    firsts = cut(firsts)  # then both sides of the join are plain, and Spark can split the lines of a hot hash
-    few = firsts.count() <= broadcast_rows
-    marks = exact.join(F.broadcast(firsts) if few else firsts, ["h1", "h2"]).where(F.col("_id") < F.col("first_id"))
-    words = marks.groupBy("_id", "_text", F.shiftright("pos", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, pos & 63)")).alias("bits"))
-    found = words.groupBy("_id", "_text").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m"), F.max("w").alias("last"), F.sum(F.bit_count("bits")).alias("n_dropped"))
-    return found.select(F.col("_id").alias(id_col), "_text", F.transform(F.sequence(F.lit(0), "last"), lambda w: F.coalesce(F.element_at("m", w), F.lit(0).cast("long"))).alias("dropped"), "n_dropped")
-
-
-def kept_text(text: Column, dropped: Column) -> Column:
+    rows = store(line_rows(docs, id_col, text_col, min_chars), "lines")
+    firsts = cut(first_occurrences(rows, min_docs))
+    gone = rows.join(F.broadcast(firsts) if firsts.count() <= broadcast_rows else firsts, HASH).where(F.col("after") > F.col("first"))
+    words = gone.groupBy("after", "version", F.shiftright("pos", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, pos & 63)")).alias("gone"))
+    found = words.groupBy("after", "version").agg(F.array_sort(F.collect_list(F.struct("w", F.bitwise_not("gone").alias("bits")))).alias("words"), F.sum(F.bit_count("gone")).alias("n_dropped"))
+    before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get("words", i - 1)["w"])
+    keep = F.transform("words", lambda x, i: F.struct((x["w"] - before(i) - 1).alias("gap"), x["bits"].alias("bits")))
+    return found.select(F.bitwise_not("after").alias("id"), "version", keep.alias("keep"), "n_dropped")
+
+
+def kept_text(text: Column, keep: Column) -> Column:
     """The lines that stay, joined by \\n; without a bitmap the text as it is (null: empty)."""
-    kept = F.filter(lines_of(text), lambda _, i: F.coalesce(F.getbit(F.get(dropped, F.shiftright(i, 6)), (i % 64).cast("int")), F.lit(0)) == 0)
-    return F.when(dropped.isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(kept, "\n"))
+    words = F.flatten(F.transform(keep, lambda k: F.concat(F.array_repeat(F.lit(-1).cast("long"), k["gap"]), F.array(k["bits"]))))
+    stays = lambda w, i: F.coalesce(F.getbit(F.get(w, F.shiftright(i, 6)), (i % 64).cast("int")), F.lit(1)) == 1
+    # the array of one element holds the unpacked words, so that they are unpacked once for all lines
+    kept = F.transform(F.array(words), lambda w: F.array_join(F.filter(lines_of(text), lambda _, i: stays(w, i)), "\n"))
+    return F.when(keep.isNull(), F.coalesce(text, F.lit(""))).otherwise(kept[0])
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """`docs` with repeated lines taken out of `text_col`, and n_lines and n_dropped added (replaced, if there)."""
-    maps = keep_bitmaps(docs, id_col, text_col, min_chars, min_docs).select(F.col(id_col).alias("_key"), F.col("_text").alias("_version"), F.col("dropped").alias("_dropped"), F.col("n_dropped").alias("_n_dropped"))
-    out = docs.join(maps, (F.col(id_col) == F.col("_key")) & (F.xxhash64(text_col) == F.col("_version")), "left")
-    text = F.col(text_col)
-    return out.withColumns({
-        "n_lines": F.size(lines_of(text)).cast("long"),
-        "n_dropped": F.coalesce(F.col("_n_dropped"), F.lit(0)).cast("long"),
-        text_col: kept_text(text, F.col("_dropped")),
-    }).drop("_key", "_version", "_dropped", "_n_dropped")
+    """`docs` with repeated lines taken out of `text_col`, and n_lines and n_dropped added (replaced, if there).
+
+    Columns of `docs` travel in a struct, so none of them can clash with the names used here."""
+    maps = keep_bitmaps(docs, id_col, text_col, min_chars, min_docs)
+    rows = docs.select(row_of(docs), F.col(id_col).cast("long").alias("own"), F.xxhash64(text_col).alias("hash"))
+    out = rows.join(maps, (F.col("own") == F.col("id")) & (F.col("hash") == F.col("version")), "left")
+    text = F.col("row")[text_col]
+    new = {text_col: kept_text(text, F.col("keep")), "n_lines": F.size(lines_of(text)).cast("long"), "n_dropped": F.coalesce("n_dropped", F.lit(0)).cast("long")}
+    names = [*docs.columns, *(c for c in ("n_lines", "n_dropped") if c not in docs.columns)]
+    return out.select(*(new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in names))
