@@ -105,19 +105,18 @@ def unpacked_text(lines: DataFrame, slots: DataFrame, n_slots: int, keys: list[s
     return scrub(long.join(F.broadcast(slots), "slot").select(*keys, *CELL, "value"))
 
 
-def with_ordinal(df: DataFrame, keys: list[str] = KEYS, into: str = "ordinal") -> DataFrame:
+def with_ordinal(df: DataFrame, keys: list[str | Column] = KEYS, into: str = "ordinal") -> DataFrame:
     """Rows numbered from 0 in the order of `keys`, without gathering them: each range-partition counts its own rows, and
     only the counts, one a partition, reach the driver. The partitions are cut off first, as their bounds are sampled."""
     ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"))
     ranged = cut(ranged)
-    sizes = sorted((r["_part"], r["n"]) for r in ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())
+    sizes = {r["_part"]: r["n"] for r in ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
     begins, total = [], 0
-    for part, n in sizes:
-        begins += [F.lit(part), F.lit(total)]
-        total += n
-    if not begins:
-        return df.withColumn(into, F.lit(0).cast("long"))
-    return ranged.withColumn(into, F.col("_at") + F.element_at(F.create_map(*begins), F.col("_part"))).drop("_part", "_at")
+    for part in range(max(sizes, default=-1) + 1):
+        begins.append(str(total))
+        total += sizes.get(part, 0)
+    begin = F.get(F.split(F.lit(",".join(begins)), ",").cast("array<bigint>"), F.col("_part"))
+    return ranged.withColumn(into, F.col("_at") + begin if begins else F.lit(0).cast("long")).drop("_part", "_at")
 
 
 def halves(bins: DataFrame, keys: list[str] = KEYS) -> DataFrame:
