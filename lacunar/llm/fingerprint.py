@@ -8,15 +8,16 @@ bucket tell whether all are equal. A bucket that fails has the SHA-256 of the fo
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from lacunar.operators.tensor import with_ordinal
+
+from .common import cut, row_of
 
-#: White_Space of Unicode; the composition before has folded most of it to U+0020.
-SPACES = r"[\x09-\x0D\x1C-\x20\x85\xA0  -     　]+"
+#: White_Space of Unicode as a Java class; the composition before has folded most of it to U+0020.
+SPACES = r"[\x09-\x0D\x20\x85\xA0  -     　]+"
+KEY = ["k1", "k2"]
 
 
 def canonical(text: Column) -> Column:
@@ -35,6 +36,20 @@ def digest(form: Column) -> Column:
     return F.concat(half(F.xxhash64(form)), half(F.xxhash64(F.lit(1), form)))
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, k1, k2): rows with a key of 128 bits that rows of equal id and text share, a null id too."""
+    named = F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col), F.col(id_col).isNull(), F.col(text_col).isNull())
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("k1"), named.alias("k2"))
+
+
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, k1, k2, n, d) of every row, cut off: its key, length and digest. (ICU's results are taken for not
+    deterministic by Spark, which then computes an expression as often as it is named; forms are columns of their own
+    for that reason.)"""
+    forms = keyed(docs, id_col, text_col).select("id", *KEY, F.coalesce(F.char_length("text"), F.lit(0)).alias("n"), canonical(F.col("text")).alias("form"))
+    return cut(forms.select("id", *KEY, "n", digest(F.col("form")).alias("d")))
+
+
 def mixed_buckets(forms: DataFrame) -> list[str]:
     """Digests of (d, form) that stand for more than one form: the forms of a bucket meet as their minimum and maximum,
     taken before the shuffle, so a bucket of any size sends two per task."""
@@ -42,33 +57,33 @@ def mixed_buckets(forms: DataFrame) -> list[str]:
     return [r["d"] for r in bad.select("d").collect()]  # two texts under one 128-bit hash: none in practice
 
 
-def colliding(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1 << 20) -> list[str]:
+def colliding(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1 << 20, known: DataFrame | None = None) -> list[str]:
     """Digests that stand for more than one canonical form.
 
-    Only documents whose digest another shares are read again and compared. Their ids, and the digests that occur
-    twice, go to all executors while they are at most `broadcast_rows` (40 MB), by a join beyond that. (ICU's results
-    are taken for not deterministic by Spark, which then computes an expression as often as it is named; forms are
-    columns of their own for that reason.)
+    Only documents whose digest another shares are read again and compared. Their keys, and the digests that occur
+    twice, go to all executors while they are at most `broadcast_rows` (40 MB), by a join beyond that. known: digests().
     """
 
     def small(df: DataFrame) -> DataFrame:
         df = cut(df)
         return F.broadcast(df) if df.count() <= broadcast_rows else df
 
-    known = cut(docs.select(F.col(id_col).alias("_i"), canonical(F.col(text_col)).alias("form")).select("_i", digest(F.col("form")).alias("d")))
-    twice = known.groupBy("d").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d")
-    again = known.join(small(twice), "d").select("_i").distinct()
-    some = docs.select(F.col(id_col).alias("_k"), F.col(text_col).alias("_t")).join(small(again), F.col("_k").eqNullSafe(F.col("_i")))
-    return mixed_buckets(some.select(canonical(F.col("_t")).alias("form")).select(digest(F.col("form")).alias("d"), "form"))
+    known = digests(docs, id_col, text_col) if known is None else known
+    twice = known.groupBy("d").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("d")
+    again = known.join(small(twice), "d").select(*KEY).distinct()
+    some = keyed(docs, id_col, text_col).join(small(again), KEY)
+    return mixed_buckets(some.select(canonical(F.col("text")).alias("form")).select(digest(F.col("form")).alias("d"), "form"))
 
 
-def fingerprint(form: Column, bad: list[str]) -> Column:
-    d = digest(form)
+def told_apart(d: Column, form: Column, bad: list[str]) -> Column:
+    """The digest `d` of a form, with its SHA-256 added if the digest stands for more than one form."""
     return F.when(d.isin(bad), F.concat(d, F.sha2(form, 256))).otherwise(d) if bad else d
 
 
 def with_fingerprint(docs: DataFrame, text_col: str, into: str, bad: list[str]) -> DataFrame:
-    return docs.withColumn("_form", canonical(F.col(text_col))).withColumn(into, fingerprint(F.col("_form"), bad)).drop("_form")
+    """`docs` with the fingerprints of a text column in the column `into`, which is replaced if it is there."""
+    rows = docs.select(row_of(docs), canonical(F.col(text_col)).alias("form"))
+    return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns if c != into), told_apart(digest(F.col("form")), F.col("form"), bad).alias(into))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", into: str = "fingerprint") -> DataFrame:
@@ -78,50 +93,37 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, fingerprint, n, first_id): each document with the size and smallest id of its group of equal forms."""
-    rows = fingerprints(docs, id_col, text_col).select(id_col, "fingerprint")
+    rows = with_fingerprint(docs.select(id_col, text_col), text_col, "fingerprint", colliding(docs, id_col, text_col)).select(id_col, "fingerprint")
     groups = rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first_id"))
     return rows.join(groups, "fingerprint").select(id_col, "fingerprint", "n", "first_id")
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", derive: Callable[[DataFrame], DataFrame] = lambda d: d, rows: int = 2048, most: int = 1 << 16, cells: int = 4096) -> DataFrame:
-    """`docs` with the columns `derive` adds and a column `next`, a struct of the columns of the document that follows by
-    descending id; after the last comes the first. Ids that repeat follow one another in the order of their hash; null ids come last.
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: DataFrame | None = None) -> DataFrame:
+    """(id_col, text_col, n, d, next_d, head): every row with its length and digest, the digest of the document that
+    follows by descending id (after the last comes the first), and as many code points of that one's beginning as a third
+    of its own, rounded down. known: digests().
 
-    Ids are cut into stretches of about `rows` documents (`most` stretches at most, so that the one row per stretch
-    that is handed to its neighbour has a bounded size). A stretch that holds too much, where ids are clumped, is cut
-    again. The documents are shuffled once.
+    Rows that share an id follow one another in the order of a hash, null ids come last; of equal rows each but the last
+    is followed by its like. Only numbers and digests are put in order. A text is shuffled once, by a hash of its row,
+    and from there its head goes to the one row that needs it. Extra columns are left out.
     """
-    names, i = docs.columns, F.col(id_col)
-    low, high, n = docs.agg(F.min(id_col), F.max(id_col), F.count(F.lit(1))).first()
-    if not n:
-        return derive(docs).withColumn("next", F.struct(*derive(docs).columns))
-    if low is None:
-        low = high = 0
-    wanted = max(256, min(most, n // rows))
-    first = min(cells, wanted)
-    width = (high - low) / first or 1.0
-    at = (i.cast("double") - F.lit(float(low))) / F.lit(width)  # rounding keeps the order of ids, which is all that counts
-    cell = F.when(at.isNull(), F.lit(-1)).otherwise(F.least(F.greatest(F.floor(at), F.lit(0)), F.lit(first - 1))).cast("int")
-    held = {r["c"]: r["n"] for r in docs.select(cell.alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}  # `cells` rows at most
-    pieces = F.array(*(F.lit(max(1, -(-held.get(c, 0) * wanted // n))) for c in range(first)))
-    fine = F.when(cell < 0, F.lit(0)).otherwise(F.floor((at - cell) * F.get(pieces, cell))).cast("long")
-    keyed = docs.withColumn("_s", cell.cast("long") * F.lit(1 << 32) + fine)
-    # the largest row of each stretch follows the smallest of the stretch above it
-    tie = F.xxhash64(*names)
-    firsts = keyed.groupBy("_s").agg(F.max(F.struct(i.alias("i"), (-F.lit(1) * F.shiftrightunsigned(tie, 1)).alias("t"))).alias("x"))
-    order = Window.orderBy(F.col("_s").desc())
-    ends = firsts.select("_s", "x", F.lag("_s").over(order).alias("above"), F.min("_s").over(Window.partitionBy()).alias("least"))
-    ends = ends.select(F.col("_s").alias("_own"), F.col("x.i").alias("_i"), F.col("x.t").alias("_t"), F.coalesce("above", "least").alias("_to"), F.col("above").isNull().alias("_wrap"))
-    guards = keyed.withColumn("_tt", -F.lit(1) * F.shiftrightunsigned(tie, 1)).join(F.broadcast(ends), (F.col("_s") == F.col("_own")) & i.eqNullSafe(F.col("_i")) & (F.col("_tt") == F.col("_t")))
-    guards = guards.select(*names, F.col("_to").alias("_s"), F.lit(1).alias("_guard"))
-    both = derive(keyed.withColumn("_guard", F.lit(0))).unionByName(derive(guards))
-    here = Window.partitionBy("_s").orderBy("_guard", i.desc_nulls_last(), F.shiftrightunsigned(tie, 1))
-    return both.withColumn("next", F.lead(F.struct(*(c for c in both.columns if c not in ("_guard", "_s")))).over(here)).where("_guard = 0").drop("_guard", "_s")
-
-
-def edited_text(text: Column, following: Column) -> Column:
-    """The last third (rounded down) of the code points replaced by as many, or all, of the first of the following text."""
-    text, following = F.coalesce(text, F.lit("")), F.coalesce(following, F.lit(""))
-    n = F.char_length(text)
-    third = F.floor(n / 3).cast("int")
-    return F.concat(F.substring(text, F.lit(1), n - third), F.substring(following, F.lit(1), third))
+    known = digests(docs, id_col, text_col) if known is None else known
+    one = known.groupBy(*KEY).agg(F.first("id").alias("id"), F.first("n").alias("n"), F.first("d").alias("d"), F.count(F.lit(1)).alias("copies"))
+    ordered = with_ordinal(one, [F.col("id").desc_nulls_last(), *map(F.col, KEY)])
+    total = max(1, ordered.count())
+    after = ordered.select(F.pmod(F.col("ordinal") - 1, F.lit(total)).alias("ordinal"), F.col("k1").alias("to1"), F.col("k2").alias("to2"), F.col("d").alias("next_d"))
+    pairs = cut(ordered.join(after, "ordinal").select(*KEY, "n", "d", "copies", "to1", "to2", "next_d"))
+    place = F.row_number().over(Window.partitionBy(*KEY).orderBy("id"))
+    texts = keyed(docs, id_col, text_col).repartition(*KEY).withColumn("place", place)
+    third = lambda n: F.floor(n / 3).cast("int")
+    wanted = pairs.select(F.col("to1").alias("k1"), F.col("to2").alias("k2"), F.col("k1").alias("for1"), F.col("k2").alias("for2"), third(F.col("n")).alias("third"))
+    heads = texts.where("place = 1").join(wanted, KEY).select(F.col("for1").alias("k1"), F.col("for2").alias("k2"), F.substring(F.coalesce("text", F.lit("")), F.lit(1), F.col("third")).alias("head"))
+    out = texts.join(pairs.drop("to1", "to2"), KEY).join(heads, KEY)
+    own = F.col("place") < F.col("copies")
+    mine = F.substring(F.coalesce("text", F.lit("")), F.lit(1), third(F.col("n")))
+    return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n", "d", F.when(own, F.col("d")).otherwise(F.col("next_d")).alias("next_d"), F.when(own, mine).otherwise(F.col("head")).alias("head"))
+
+
+def edited_text(text: Column, n: Column, head: Column) -> Column:
+    """A text of `n` code points with its last third (rounded down) replaced by `head`."""
+    return F.concat(F.substring(F.coalesce(text, F.lit("")), F.lit(1), (n - F.floor(n / 3)).cast("int")), head)

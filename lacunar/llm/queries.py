@@ -61,14 +61,24 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An exact digest's likeness is 1 for equal fingerprints, which the operator has confirmed byte by byte, and else 0."""
+    """An exact digest's likeness is 1 for equal canonical forms and else 0. The forms of a text and its edited text are
+    compared byte by byte here, those of two documents by the operator."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    bad = fingerprint.colliding(docs)
-    rows = fingerprint.with_next(docs, derive=lambda d: fingerprint.with_fingerprint(d, "text", "f", bad))
-    rows = rows.select("doc_id", "text", F.col("f").alias("fingerprint"), F.col("next.f").alias("next_f"), fingerprint.edited_text(F.col("text"), F.col("next.text")).alias("edited"))
-    rows = fingerprint.with_fingerprint(rows, "edited", "edited_fingerprint", bad)
-    same = lambda a, b: (a == b).cast("double")
-    return rows.select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", same(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), same(F.col("fingerprint"), F.col("next_f")).alias("near_next"))
+    known = fingerprint.digests(docs)
+    bad = fingerprint.colliding(docs, known=known)
+    rows = fingerprint.with_next(docs, known=known)
+    rows = rows.select("doc_id", "text", "n", "d", "next_d", fingerprint.edited_text(F.col("text"), F.col("n"), F.col("head")).alias("edited"))
+    rows = rows.withColumn("form", fingerprint.canonical(F.col("edited"))).withColumn("edited_d", fingerprint.digest(F.col("form")))
+    near = F.when(F.col("d") != F.col("edited_d"), F.lit(False)).otherwise(fingerprint.canonical(F.col("text")) == F.col("form"))
+    if bad:  # digests that stand for several forms: their documents' fingerprints come from the forms
+        rows = rows.withColumn("own", fingerprint.canonical(F.col("text")))
+    full = lambda d, form: fingerprint.told_apart(F.col(d), F.col(form), bad)
+    near_next = (F.col("d") == F.col("next_d")) & ~F.col("d").isin(bad) if bad else F.col("d") == F.col("next_d")
+    return rows.select(
+        "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        full("d", "own" if bad else "form").alias("fingerprint"), full("edited_d", "form").alias("edited_fingerprint"),
+        near.cast("double").alias("near_edited"), near_next.cast("double").alias("near_next"),
+    )
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str, path: str | None = None, pattern: str | None = None) -> DataFrame:
