@@ -42,10 +42,11 @@ def k_means(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
 def bounds(x: np.ndarray, book: np.ndarray) -> np.ndarray:
     """A lower bound of the distance from each row to each centroid's region: 0 for its own, else the largest distance
     to a plane that parts the region from another centroid's, of which the nearest centroid's is taken."""
-    d2 = (x**2).sum(1)[:, None] - 2 * x @ book.T + (book**2).sum(1)
+    square = (book**2).sum(1)
+    d2 = (x**2).sum(1)[:, None] - 2 * x @ book.T + square
     near = d2.argmin(1)
-    gap = np.sqrt(np.maximum(((book[:, None] - book[None]) ** 2).sum(2), 1e-30))
-    low = (d2 - d2[np.arange(len(x)), near][:, None]) / (2 * gap[near])
+    gap = np.sqrt(np.maximum(square[near, None] + square - 2 * book[near] @ book.T, 1e-30))
+    low = (d2 - d2[np.arange(len(x)), near][:, None]) / (2 * gap)
     low[np.arange(len(x)), near] = 0
     return np.maximum(low, 0)
 
@@ -98,37 +99,59 @@ class Index:
         return traverse(*self.bounds(x), self.limit)
 
 
-def _unit(rows: pa.Array | list) -> np.ndarray:
-    x = np.array([np.asarray(r, float) for r in rows])
+def _unit(rows: pa.Array | pa.ChunkedArray | pd.Series) -> np.ndarray:
+    """Rows of equal length, as doubles scaled to length one."""
+    if isinstance(rows, pd.Series):
+        x = np.array([np.asarray(r, float) for r in rows])
+    else:
+        flat = rows.combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows
+        x = flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _deal(index: Index, blocks: int):
-    """Rows (label, cell, block, query, id, copies, vector): one as data in its own cell, one as a query in every cell
-    and block it visits. A large cell's data lie in `blocks` blocks by id."""
+def _deal(index: Index, places_only: bool = False):
+    """Rows (label, cell, query, id, copies, vector): one as data in the vector's own cell, one as a query in every cell
+    that it visits. With `places_only` label, cell and query alone."""
+    step = max(1, (1 << 21) // max(len(b) for b in index.books))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            raw = b.column(3)
-            x = _unit(raw.to_pylist())
-            ids, n2 = b.column(1).to_numpy(), len(index.books[1])
-            c1, c2 = index.cells(x)
-            rows, v1, v2 = index.visits(x)
-            take = np.concatenate([np.arange(len(x)), np.repeat(rows, blocks)])
-            cell = np.concatenate([c1 * n2 + c2, np.repeat(v1 * n2 + v2, blocks)])
-            block = np.concatenate([ids % blocks, np.tile(np.arange(blocks), len(rows))])
-            query = np.arange(len(take)) >= len(x)
-            for s in range(0, len(take), 1 << 14):
-                t = pa.array(take[s : s + (1 << 14)])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(t), pa.array(cell[s : s + (1 << 14)]), pa.array(block[s : s + (1 << 14)]), pa.array(query[s : s + (1 << 14)]), b.column(1).take(t), b.column(2).take(t), raw.take(t)], ["label", "cell", "block", "query", "id", "copies", "vector"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                b = whole.slice(at, step)
+                raw, n2 = b.column(3), len(index.books[1])
+                x = _unit(raw)
+                c1, c2 = index.cells(x)
+                rows, v1, v2 = index.visits(x)
+                take = np.concatenate([np.arange(len(x)), rows])
+                cell = np.concatenate([c1 * n2 + c2, v1 * n2 + v2])
+                query = np.arange(len(take)) >= len(x)
+                for s in range(0, len(take), 1 << 14):
+                    t, part = pa.array(take[s : s + (1 << 14)]), slice(s, s + (1 << 14))
+                    places = [b.column(0).take(t), pa.array(cell[part]), pa.array(query[part])]
+                    rest = [] if places_only else [b.column(1).take(t), b.column(2).take(t), raw.take(t)]
+                    yield pa.RecordBatch.from_arrays(places + rest, ["label", "cell", "query", "id", "copies", "vector"][: len(places + rest)])
 
     return each
 
 
+def blocked(dealt: DataFrame, places: DataFrame, block_rows: int, broadcast_rows: int = 1 << 18) -> DataFrame:
+    """Rows of _deal() with the columns db and qb; `places` are the same rows without the rest. A cell with n data rows has ceil(n / block_rows) blocks of data and as
+    many of queries as its queries need; each block of the one meets each of the other, in a group of its own. Only
+    cells that are larger than a block are looked up, the others are one group each."""
+    cells = places.groupBy("label", "cell").agg(F.sum((~F.col("query")).cast("long")).alias("d"), F.sum(F.col("query").cast("long")).alias("q"))
+    part = lambda n: F.greatest(F.ceil(F.col(n) / block_rows), F.lit(1)).cast("int")
+    hot = cut(cells.where((F.col("d") > block_rows) | (F.col("q") > block_rows)).select(F.col("label").alias("l"), F.col("cell").alias("c"), part("d").alias("nd"), part("q").alias("nq")))
+    few = hot.count() <= broadcast_rows  # 6 MB
+    known = dealt.join(F.broadcast(hot) if few else hot, (F.col("label") == F.col("l")) & (F.col("cell") == F.col("c")), "left")
+    nd, nq = F.coalesce("nd", F.lit(1)), F.coalesce("nq", F.lit(1))
+    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    meet = F.when(F.col("query"), F.transform(every(nd), lambda d: F.struct(d.alias("db"), own(nq).alias("qb")))).otherwise(F.transform(every(nq), lambda q: F.struct(own(nd).alias("db"), q.alias("qb"))))
+    return known.select("label", "cell", F.explode(meet).alias("m"), "query", "id", "copies", "vector").select("label", "cell", "m.db", "m.qb", "query", "id", "copies", "vector")
+
+
 def _verify(index: Index, threshold: float, step: int = 2048):
-    """For one cell and block: for each query the vectors linked to it, and stars of links. When traversals stop early
+    """For one block of queries and one of data of a cell: for each query the vectors linked to it, and stars of links. When traversals stop early
     a pair may be seen from one side only; the other side is then credited here."""
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -161,32 +184,31 @@ def _verify(index: Index, threshold: float, step: int = 2048):
     return each
 
 
-def link_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, recall: float = 0.999, sample_rows: int = 20_000, cell_rows: int = 64, block_rows: int = 4096, seed: int = 3) -> DataFrame:
+def link_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, recall: float = 0.999, sample_rows: int = 20_000, cell_rows: int = 64, block_rows: int = 512, seed: int = 3) -> DataFrame:
     """(id_col, n_links, component_id, kept): near-duplicate links between vectors of equal label.
 
     n_links counts the other vectors, copies too, at cosine >= threshold; component_id is the smallest id reachable;
     kept says whether it is the vector's own. Vectors or labels that are null, and vectors that are empty, zero or hold
     null or non-finite components, link with nothing, nor do vectors of different lengths. Repeated rows of one id
-    count as one vector each. Codebooks are fitted on at most `sample_rows` vectors, those of the smallest hashes; the
-    grid has about `cell_rows` vectors to a cell. Extra columns are ignored.
+    count as one vector each. Codebooks are fitted on at most `sample_rows` vectors, those of the smallest hashes, which
+    reach the driver as Arrow batches; each length of vectors has books of its own. The grid has about `cell_rows`
+    vectors to a cell of a label, up to a codebook of sample_rows / 8 centroids (400 million vectors a label by default);
+    beyond that cells grow and are cut into more blocks of `block_rows`. Extra columns are ignored.
     """
-    spark = vectors.sparkSession
-    v = F.col(vector_col).cast("array<double>")
+    v = F.col(vector_col)
     good = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists(v, lambda c: c != 0)
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), v.alias("vector"), F.coalesce(good & F.col(label_col).isNotNull() & F.col(id_col).isNotNull(), F.lit(False)).alias("good"))
     classes = cut(rows.where("good").groupBy("label", "vector").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")))
+    kinds = dict(rows.dtypes)
     found = None
-    for size, n in sorted((r["s"], r["n"]) for r in classes.groupBy(F.size("vector").alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()):
+    for size, n in sorted((r["s"], r["n"]) for r in classes.groupBy(F.size("vector").alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()):  # a row per length
         own = classes.where(F.size("vector") == size)
-        sample = _unit([r["vector"] for r in own.select("vector", F.xxhash64(F.lit(seed), "id").alias("h")).orderBy("h").limit(sample_rows).collect()])
-        k = int(np.clip(round((n / cell_rows) ** 0.5), 1, 256))
+        sample = _unit(own.select("vector", F.xxhash64(F.lit(seed), "id").alias("h")).orderBy("h").limit(sample_rows).select("vector").toArrow().column(0))
+        k = int(np.clip(round((n / cell_rows) ** 0.5), 1, max(1, sample_rows // 8)))
         index = Index(sample, threshold, recall, k, seed)
-        # the fullest cell tells how many blocks its data need
-        dealt = own.select("label", "id", "copies", "vector").mapInArrow(_deal(index, 1), f"label {dict(rows.dtypes)['label']}, cell long, block long, query boolean, id long, copies long, vector array<double>")
-        full = dealt.where("not query").groupBy("label", "cell").count().agg(F.max("count")).first()[0] or 1
-        if full > block_rows:
-            dealt = own.select("label", "id", "copies", "vector").mapInArrow(_deal(index, -(-full // block_rows)), dealt.schema)
-        part = dealt.groupBy("label", "cell", "block").applyInPandas(_verify(index, threshold), "id long, star long, links long")
+        own, place = own.select("label", "id", "copies", "vector"), f"label {kinds['label']}, cell long, query boolean"
+        dealt = own.mapInArrow(_deal(index), f"{place}, id long, copies long, vector {kinds['vector']}")
+        part = blocked(dealt, own.mapInArrow(_deal(index, True), place), block_rows).groupBy("label", "cell", "db", "qb").applyInPandas(_verify(index, threshold), "id long, star long, links long")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return vectors.select(id_col, F.lit(0).cast("long").alias("n_links"), F.col(id_col).cast("long").alias("component_id"), F.lit(True).alias("kept"))
