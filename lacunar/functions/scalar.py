@@ -89,5 +89,5 @@ def colour_of(name: Column) -> Column:
 def track_line(file_name: Column, colour: Column, url: Column) -> Column:
     """A browser's track line; slashes of the URL's path stay as they are."""
     quoted = F.replace(F.replace(F.url_encode(url), F.lit("%2F"), F.lit("/")), F.lit("+"), F.lit("%20"))
-    quoted = F.regexp_replace(quoted, "^https?%3A", "http:")
+    quoted = F.regexp_replace(quoted, "^([a-z0-9]+)%3A", "$1:")
     return F.concat(F.lit("track type=bigWig maxHeightPixels=50 name="), file_name, F.lit(" visibility=full color="), colour, F.lit(" bigDataUrl="), quoted)

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lacunar.functions.scalar import missing_as_zero, part_number
 from lacunar.operators import intervals, tensor
 
-INTERVAL = "contig string, start bigint, end bigint"
+def track(spark: SparkSession, path: str) -> DataFrame:
+    """bedGraph text: contig, start, end, value; '.' and NaN read 0. Track and browser lines and comments are no data."""
+    return _track_rows(spark.read.text(path)).select("contig", "start", "end", "value")
 
 
-def track(spark: SparkSession, path: str) -> DataFrame:
-    """bedGraph text: contig, start, end, value; '.' and NaN read 0."""
-    rows = spark.read.csv(path, sep="\t", comment="t", schema=f"{INTERVAL}, v string")
-    return rows.select("contig", "start", "end", missing_as_zero(F.col("v")).alias("value"))
+def _track_rows(lines: DataFrame) -> DataFrame:
+    """Columns of bedGraph lines next to the others of `lines`."""
+    parts = F.split("value", r"\s+")
+    rows = lines.where(~F.col("value").rlike(r"^(track|browser)\s|^(track|browser)$|^#|^\s*$"))
+    others = [c for c in lines.columns if c != "value"]
+    return rows.select(*others, parts[0].alias("contig"), parts[1].cast("long").alias("start"), parts[2].cast("long").alias("end"), missing_as_zero(F.get(parts, 3)).alias("value"))
 
 
 def intervals_of(spark: SparkSession, path: str) -> DataFrame:
@@ -46,8 +51,6 @@ def packed_lines(spark: SparkSession, path: str, regions: DataFrame | None = Non
 def numbered_parts(spark: SparkSession, path: str) -> DataFrame:
     """Text lines with the number of the part they come from and their place in it, for positional joins of part lists."""
     rows = spark.read.text(path).select("value", part_number(F.input_file_name()).alias("part"), F.monotonically_increasing_id().alias("_i"))
-    from pyspark.sql.window import Window
-
     return rows.withColumn("line", F.row_number().over(Window.partitionBy("part").orderBy("_i")) - 1).drop("_i")
 
 
@@ -68,11 +71,30 @@ def load_tensor(spark: SparkSession, path: str, fraction: float | None = None, s
     return tensor.scrub(t)
 
 
+def load(spark: SparkSession, path: str, form: str = "parquet", slots: DataFrame | None = None, n_slots: int | None = None) -> DataFrame:
+    """A tensor's cells in any of the formats there are: `parquet` (cells), `packed` (assembled lines, whose slots are
+    given) or `csv` (cells with a header)."""
+    if form == "parquet":
+        return load_tensor(spark, path)
+    if form == "csv":
+        return tensor.scrub(spark.read.csv(path, header=True, schema="contig string, start bigint, row_id int, col_id int, value double"))
+    if form == "packed":
+        return tensor.unpacked_text(packed_lines(spark, path), slots, n_slots or slots.count(), ["contig", "start"])
+    raise ValueError(f"unknown format: {form}")
+
+
 def assemble(spark: SparkSession, files: DataFrame, windows: DataFrame) -> DataFrame:
-    """The tensor of all tracks of a file map over fixed windows, on the asinh scale: each track's means per window."""
-    ids = tensor.catalogue(files)
-    out = None
-    for r in ids.collect():  # one per track file
-        one = intervals.window_means(windows, track(spark, r["url"])).select("contig", "start", F.lit(r["row_id"]).alias("row_id"), F.lit(r["col_id"]).alias("col_id"), F.asinh("value").alias("value"))
-        out = one if out is None else out.unionByName(one)
-    return tensor.scrub(out)
+    """The tensor of all tracks of a file map over fixed windows, on the asinh scale: each track's means per window.
+
+    All tracks are one scan: a line's file name, looked up in the map, says which row and column it belongs to, and the
+    windows are joined once."""
+    ids = tensor.catalogue(files).select("url", "row_id", "col_id")
+    urls = [r["url"] for r in ids.select("url").collect()]  # one per track file
+    if not urls:
+        return spark.createDataFrame([], "contig string, start bigint, row_id int, col_id int, value double")
+    name = lambda c: F.regexp_replace(c, r"^[a-z0-9]+:/*", "/")
+    lines = spark.read.text(urls).select("value", F.url_decode(F.regexp_replace(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")), r"^[a-z0-9]+:/*", "/")).alias("file"))
+    rows = _track_rows(lines).join(F.broadcast(ids.select(name(F.col("url")).alias("file"), "row_id", "col_id")), "file")
+    met = intervals.overlaps(windows.select("contig", "start", "end"), rows.select("contig", "start", "end", "value", "row_id", "col_id"))
+    means = met.groupBy("contig", "start", F.col("b_row_id").alias("row_id"), F.col("b_col_id").alias("col_id")).agg(F.asinh(F.avg("b_value")).alias("value"))
+    return tensor.scrub(means)
