@@ -7,7 +7,8 @@ block's compressed sizes in an extra field, so a reader can step over a record o
 
 Reading: partitions are the manifest's stretches, or whole files where there is no manifest. Filters on record_type and
 on the header columns are taken from the plan; a record's headers are parsed first, and its payload is inflated only
-if they pass and a payload column is asked for. Plain and ordinary record-compressed WARC files are read too.
+if they pass and a payload column is asked for. Plain and ordinary record-compressed WARC files are read too. A file
+that is damaged or cut short raises an error that names it; no record is left out or shortened in silence.
 """
 
 from __future__ import annotations
@@ -67,11 +68,23 @@ def parse_headers(block: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:] if x)}
 
 
+class Damaged(ValueError):
+    """A record that is cut short or whose bytes don't fit its checksum."""
+
+
 class Records:
-    """Records of an open file from where it stands: headers first, then payload() or the next record."""
+    """Records of an open file from where it stands: headers first, then payload() or the next record. A record that is
+    not whole raises Damaged, also if its payload is stepped over; its checksum is looked at with the payload."""
 
     def __init__(self, f, stop: int | None):
         self.f, self.stop, self.inflated = f, stop, 0
+        at = f.tell()
+        self.size = f.seek(0, 2)
+        f.seek(at)
+
+    def whole(self, end: int, what: str) -> None:
+        if end > self.size:
+            raise Damaged(f"{what} ends at byte {end} of {self.size}")
 
     def __iter__(self) -> Iterator[tuple[dict[str, str], object]]:
         f = self.f
@@ -84,13 +97,26 @@ class Records:
                 yield from self._plain()
                 return
             if lead[3] & 4 and lead[12:14] == b"WL":
+                self.whole(start + 28, "a member's header")
                 size, first, length = struct.unpack("<III", lead[16:28])
-                headers = parse_headers(zlib.decompressobj(-15).decompress(f.read(first), length))
-
-                def payload(at=start + 28 + first, n=size - 28 - first - 8, headers=headers) -> bytes:
+                self.whole(start + size, f"the member at byte {start}")
+                try:
+                    head = zlib.decompressobj(-15).decompress(f.read(first), length)
+                except zlib.error as e:
+                    raise Damaged(f"the member at byte {start}: {e}") from e
+                headers = parse_headers(head)
+
+                def payload(start=start, first=first, size=size, head=head, headers=headers) -> bytes:
                     self.inflated += 1
-                    f.seek(at)
-                    return zlib.decompressobj(-15).decompress(f.read(n))[: int(headers.get("content-length", 0))]
+                    f.seek(start + 28 + first)
+                    try:
+                        body = zlib.decompressobj(-15).decompress(f.read(size - 28 - first - 8))
+                    except zlib.error as e:
+                        raise Damaged(f"the member at byte {start}: {e}") from e
+                    n, known = int(headers.get("content-length", 0)), struct.unpack("<II", f.read(8))
+                    if known != (zlib.crc32(body, zlib.crc32(head)), len(head) + len(body) & 0xFFFFFFFF) or len(body) < n:
+                        raise Damaged(f"the member at byte {start} doesn't fit its checksum or length")
+                    return body[:n]
 
                 yield headers, payload
                 f.seek(start + size)
@@ -106,11 +132,14 @@ class Records:
             while not block.endswith(b"\r\n\r\n"):
                 line = f.readline()
                 if not line:
+                    if block:
+                        raise Damaged(f"the file ends within a record's headers at byte {self.size}")
                     return
                 if block or line.strip():
                     block += line
             headers = parse_headers(block)
             at, n = f.tell(), int(headers.get("content-length", 0))
+            self.whole(at + n, "a payload")
 
             def payload(at=at, n=n) -> bytes:
                 self.inflated += 1
@@ -124,11 +153,17 @@ class Records:
         """Ordinary gzip: members follow one another and have to be inflated to find their ends."""
         left = b""
         while True:
-            z, out = zlib.decompressobj(31), []
+            z, out, begun = zlib.decompressobj(31), [], False
             while not z.eof:
                 if not left and not (left := self.f.read(1 << 16)):
+                    if begun:
+                        raise Damaged(f"the file ends within a gzip member at byte {self.size}")
                     return
-                out.append(z.decompress(left))
+                begun = True
+                try:
+                    out.append(z.decompress(left))
+                except zlib.error as e:
+                    raise Damaged(f"a gzip member before byte {self.f.tell()}: {e}") from e
                 left = z.unused_data
             yield from Records(io.BytesIO(b"".join(out)), None)
 
@@ -171,6 +206,13 @@ class WarcReader(DataSourceReader):
         base = self.path if info.type == fs.FileType.File else None
         return [Stretch(base or self.path + x.path[len(root) :], 0, None) for x in found if x.type == fs.FileType.File and ".warc" in x.base_name]
 
+    @staticmethod
+    def records(f, partition: Stretch) -> Iterator:
+        try:
+            yield from Records(f, partition.stop)
+        except ValueError as e:
+            raise Damaged(f"{partition.path}: {e}") from e
+
     def read(self, partition: Stretch | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # Spark's stand-in for no partitions at all
             return
@@ -188,7 +230,7 @@ class WarcReader(DataSourceReader):
         with where.open_input_file(name) as raw:
             f = io.BufferedReader(raw, 1 << 20) if hasattr(raw, "readinto") else raw
             f.seek(partition.start)
-            for headers, payload in Records(f, partition.stop):
+            for headers, payload in self.records(f, partition):
                 if any(headers.get(HEADERS[k].lower()) not in v for k, v in self.wanted.items()):
                     continue
                 for c, n, t in zip(columns, self.names, self.types, strict=True):
