@@ -203,12 +203,13 @@ def _stars(d: int, hold: int = 1 << 20):
     return each
 
 
-def link_fingerprints(found: DataFrame, distance: int = 3, node_rows: int = 4096, levels: int = 3) -> DataFrame:
+def link_fingerprints(found: DataFrame, distance: int = 3, node_rows: int = 4096) -> DataFrame:
     """(fingerprint, component_id) for the distinct fingerprints of (id bigint, fingerprint bigint).
 
     component_id is the smallest id reachable over links of at most `distance` differing bits. A node of more than
-    `node_rows` distinct fingerprints is divided over its free bits, `levels` times at most; after three times a
-    node has 15 free bits at distance 3, so its size is bounded whatever the data. Rows with a null id are left out.
+    `node_rows` distinct fingerprints is divided over its free bits, again and again: at distance 3 the free bits are 48,
+    36, 27, 21, 16 and 12 at most, and a node of 12 free bits holds 4,096 fingerprints at most. Division ends by itself
+    there, or, for a smaller `node_rows`, where there are no more free bits than parts. Rows with a null id are left out.
     """
     parts = distance + 1
     firsts = cut(found.where("id is not null and fingerprint is not null").groupBy("fingerprint").agg(F.min("id").alias("id")))
@@ -216,10 +217,13 @@ def link_fingerprints(found: DataFrame, distance: int = 3, node_rows: int = 4096
     node = F.col("fingerprint").bitwiseAND(F.col("mask")).alias("pattern")
     rows = firsts.withColumn("mask", F.explode(F.array(*map(F.lit, masks)))).select("mask", node, "id", "fingerprint")
     done: list[DataFrame] = []
-    for _ in range(levels):
+    while masks:
         hot = cut(rows.groupBy("mask", "pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > node_rows).drop("n"))
-        if hot.isEmpty():
+        masks = [r["mask"] for r in hot.select("mask").distinct().collect()]  # parts ** level of them at most
+        masks = [m for m in masks if 64 - (m & (1 << 64) - 1).bit_count() > parts]
+        if not masks:
             break
+        hot = hot.where(F.col("mask").isin(masks))
         done.append(rows.join(hot, ["mask", "pattern"], "left_anti"))
         children = {m: [signed(c) for c in divide(m & (1 << 64) - 1, parts)] for m in masks}
         masks = [c for cs in children.values() for c in cs]
