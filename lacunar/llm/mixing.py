@@ -16,7 +16,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, row_of
 
 WEIGHTS = (5, 2, 1)
 
@@ -74,56 +74,59 @@ def sainte_lague(votes: list[float], seats: int, room: list[int]) -> list[int]:
     return got
 
 
-def _planned(docs: DataFrame, id_col: str, source_col: str, text_col: str, weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: int = 7, shards: int = 512, block: int | None = None, keep: bool = False) -> DataFrame:
-    """The result of mix(). With `keep`, each row also carries its whole row of `docs` as the struct _row."""
+def _small(df: DataFrame, rows: int, most: int = 1 << 17) -> DataFrame:
+    """A table for a join: sent to all executors while it has at most `most` rows (a few MB)."""
+    return F.broadcast(df) if rows <= most else df
+
+
+def _planned(docs: DataFrame, id_col: str, source_col: str, text_col: str, weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: int = 7, shards: int = 512, shard_rows: int = 1 << 17, block: int | None = None, keep: bool = False) -> DataFrame:
+    """The result of mix(). With `keep`, each row also carries its whole row of `docs` as the struct `row`."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), n_words(F.col(text_col)).alias("size"), seeded(F.col(id_col), seed).alias("_h"), *([F.struct(*docs.columns).alias("_row")] if keep else []))
-    if not keep:  # texts are not stored again: words are counted a second time instead
-        rows = cut(rows)
-    tie = [F.xxhash64(F.col("_row")[text_col])] if keep else []
-    fine = rows.withColumn("_cell", F.pmod("_h", F.lit(shards))).groupBy("_source", "_cell").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
-    names = sorted({r["_source"] for r in fine}, key=lambda s: (s is None, (s or "").encode()))  # UTF-8 keeps the order of code points
-    number = {s: i for i, s in enumerate(names)}
-    sizes, counts = [0] * len(names), [0] * len(names)
-    for r in fine:
-        sizes[number[r["_source"]]] += r["size"]
-        counts[number[r["_source"]]] += r["n"]
-    # a source has as many shards as its share of the rows, a power of two that divides the cells evenly
+    narrow = [F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), seeded(F.col(id_col), seed).alias("h")]
+    counted = cut(docs.select(*narrow))  # texts are not stored again: where they are kept, words are counted a second time
+    rows = docs.select(*narrow, row_of(docs)) if keep else counted
+    tie = [F.xxhash64(F.col("row")[text_col])] if keep else []
+    totals = counted.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()  # a row per source
+    totals.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))  # UTF-8 keeps the order of code points
+    names, sizes, counts = ([r[c] for r in totals] for c in ("source", "size", "n"))
+    while shards * shard_rows < sum(counts) and shards < 1 << 16:
+        shards *= 2
+    # a source has as many shards as its share of the rows, a power of two: twice `shards` and the sources at most
     width = [min(shards, 1 << max(0, (shards * c // max(1, sum(counts))) - 1).bit_length()) for c in counts]
+    wide = spark.createDataFrame([(i, s, w) for i, (s, w) in enumerate(zip(names, width, strict=True))], "i int, name string, width int")
+    dealt = lambda df: df.join(_small(wide, len(names)), F.col("source").eqNullSafe(F.col("name"))).withColumn("k", F.pmod("h", F.col("width")).cast("int")).drop("name", "width")
     cells: list[dict[int, int]] = [{} for _ in names]
-    for r in fine:
-        i = number[r["_source"]]
-        cells[i][r["_cell"] % width[i]] = cells[i].get(r["_cell"] % width[i], 0) + r["size"]
+    for r in dealt(counted).groupBy("i", "k").agg(F.sum("size").alias("size")).collect():
+        cells[r["i"]][r["k"]] = r["size"]
     targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(names))], most)
     block = block or int(min(1024, max(1, min((t for t in targets if t), default=1) // 10000)))
     room = [sum(-(-x // block) for x in c.values()) * most for c in cells]
     quota = sainte_lague(targets, (2 * sum(sizes) + block) // (2 * block), room)
     plan = []
-    for i, name in enumerate(names):
+    for i in range(len(names)):
         keys = sorted(cells[i])
         per = sainte_lague([float(cells[i][k]) for k in keys], quota[i], [-(-cells[i][k] // block) * most for k in keys])
         for k, q in zip(keys, per, strict=True):
             n = -(-cells[i][k] // block)
-            plan.append((name, width[i], k, sizes[i], targets[i], q // n if n else 0, q % n * block if n else 0))
-    known = spark.createDataFrame(plan, "_name string, _width int, _k int, source_size long, target double, base long, extra long")
-    wide = spark.createDataFrame([(s, w) for s, w in zip(names, width, strict=True)], "_name string, _width int")
-    sharded = rows.join(F.broadcast(wide), F.col("_source").eqNullSafe(F.col("_name"))).withColumn("_k", F.pmod("_h", F.col("_width")).cast("int")).drop("_name", "_width")
-    before = F.sum("size").over(Window.partitionBy("_source", "_k").orderBy("_h", F.col("_id").asc_nulls_last(), "size", *tie).rowsBetween(Window.unboundedPreceding, -1))
-    out = sharded.withColumn("_at", F.coalesce(before, F.lit(0))).join(F.broadcast(known.withColumnRenamed("_k", "_kk")), F.col("_source").eqNullSafe(F.col("_name")) & (F.col("_k") == F.col("_kk")))
-    hi = F.least(F.greatest(F.col("extra") - F.col("_at"), F.lit(0)), F.col("size"))
-    return out.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), "size", "source_size", "target", "base", F.lit(0).cast("long").alias("lo"), hi.alias("hi"), (F.col("base") * F.col("size") + hi).alias("taken"), *(["_row"] if keep else []))
+            plan.append((i, k, sizes[i], targets[i], q // n if n else 0, q % n * block if n else 0))
+    known = spark.createDataFrame(plan, "i int, k int, source_size long, target double, base long, extra long")
+    before = F.sum("size").over(Window.partitionBy("i", "k").orderBy("h", F.col("id").asc_nulls_last(), "size", *tie).rowsBetween(Window.unboundedPreceding, -1))
+    out = dealt(rows).withColumn("at", F.coalesce(before, F.lit(0))).join(_small(known, len(plan)), ["i", "k"])
+    hi = F.least(F.greatest(F.col("extra") - F.col("at"), F.lit(0)), F.col("size"))
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "base", F.lit(0).cast("long").alias("lo"), hi.alias("hi"), (F.col("base") * F.col("size") + hi).alias("taken"), *(["row"] if keep else []))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: int = 7, shards: int = 512, block: int | None = None) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: int = 7, shards: int = 512, shard_rows: int = 1 << 17, block: int | None = None) -> DataFrame:
     """(id_col, source_col, size, source_size, target, base, lo, hi, taken): what the mix takes of every document.
 
     The document is taken whole `base` times and its words lo to hi (from 0, hi left out) once more; taken counts all
     that. Sources stand by code point, null last, with `weights` in turn. `block` is the number of words in a block, by
     default a ten-thousandth of the smallest target, at least 1 and at most 1024. Null and empty texts have size 0 and
-    are never taken; ids may be null or repeat. Extra columns are ignored. What reaches the driver is one number per
-    source and shard: `shards` and the number of sources at most.
+    are never taken; ids may be null or repeat. Extra columns are ignored. There are `shards` shards at least, and twice
+    as many again until one has about `shard_rows` documents or there are 65,536. What reaches the driver is one number
+    per source and one per shard.
     """
-    return _planned(docs, id_col, source_col, text_col, weights, most, seed, shards, block)
+    return _planned(docs, id_col, source_col, text_col, weights, most, seed, shards, shard_rows, block)
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
@@ -133,8 +136,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     plan = _planned(docs, id_col, source_col, text_col, **options, keep=True).where(F.col("taken") > 0)
     whole = F.expr("base + if(hi = size, 1, 0)").cast("int")
     part = F.when((F.col("hi") > 0) & (F.col("hi") < F.col("size")), F.col("hi"))
-    out = plan.select("_row", F.explode(F.concat(F.array_repeat(F.lit(-1).cast("long"), whole), F.when(part.isNotNull(), F.array(part)).otherwise(F.array().cast("array<bigint>")))).alias("_take"))
-    first = F.expr(f"array_join(slice(regexp_extract_all(_row.`{text_col}`, '[^\\\\x20\\\\x09-\\\\x0D]+', 0), 1, int(_take)), ' ')")
-    out = out.select("_take", F.when(F.col("_take") < 0, F.col("_row")[text_col]).otherwise(first).alias("_text"), "_row")
-    new = {text_col: F.col("_text")} | ({"n_chars": F.char_length("_text").cast("long")} if "n_chars" in docs.columns else {})
-    return out.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
+    out = plan.select("row", F.explode(F.concat(F.array_repeat(F.lit(-1).cast("long"), whole), F.when(part.isNotNull(), F.array(part)).otherwise(F.array().cast("array<bigint>")))).alias("take"))
+    # each word with the white space before it, so that the part is a prefix of the text as it stands
+    first = F.array_join(F.slice(F.regexp_extract_all(F.col("row")[text_col], F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.greatest(F.col("take"), F.lit(0)).cast("int")), "")
+    out = out.select("take", F.when(F.col("take") < 0, F.col("row")[text_col]).otherwise(first).alias("cut"), "row")
+    new = {text_col: F.col("cut")} | ({"n_chars": F.char_length("cut").cast("long")} if "n_chars" in docs.columns else {})
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

@@ -15,6 +15,8 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import row_of
+
 
 def ring_owners(spark, n_shards: int, vnodes: int, cells: int) -> list[list[int]]:
     """For each cell the shards met clockwise from it, by hashed virtual nodes: the first owns the cell.
@@ -45,16 +47,16 @@ def walk(loads: dict[int, int], at: list[int], order: list[int], room: list[int]
 
 
 def shard_rows(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", vnodes: int = 64, cells: int = 1 << 14) -> DataFrame:
-    """`docs` columns id_col and any others given, with shard int and slot long: shards differ by one row at most.
+    """`docs` with shard int and slot long, which replace columns of these names: shards differ by one row at most.
 
     Law `rows`: with N rows, N mod n_shards shards have room for one row more than the others, and all room is used, so
     the bound on the loads is the balance itself. Order on the ring is the hash of the id, then the id; null ids are
     keys like any other, and rows that share an id are told apart by the hash of their row. An empty input gives no row.
     """
     spark = docs.sparkSession
-    names = docs.columns
-    keyed = docs.withColumn("_h", F.xxhash64(F.lit("key"), id_col)).withColumn("_cell", F.pmod("_h", F.lit(cells)))
-    loads = {r["_cell"]: r["n"] for r in keyed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # as long as the ring at most
+    h = F.xxhash64(F.lit("key"), id_col)
+    keyed = docs.select(row_of(docs), F.col(id_col).alias("id"), h.alias("h"), F.pmod(h, F.lit(cells)).alias("cell"))
+    loads = {r["cell"]: r["n"] for r in keyed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # as long as the ring at most
     total = sum(loads.values())
     at, order = ring_owners(spark, n_shards, vnodes, cells)
     room = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
@@ -63,8 +65,9 @@ def shard_rows(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", vnod
     for cell, lo, hi, shard, slot in found:
         by_cell.setdefault(cell, []).append((lo, hi, shard, slot))
     plan = F.from_json(F.lit(json.dumps([[dict(zip("lhst", x, strict=True)) for x in by_cell.get(c, [])] for c in range(cells)])), "array<array<struct<l:bigint,h:bigint,s:int,t:bigint>>>")
-    stretches = spark.range(1).select(F.posexplode(plan).alias("_at", "_parts"))  # one row a cell: the ring's fixed length bounds the broadcast
-    rank = Window.partitionBy("_cell").orderBy("_h", F.col(id_col).asc_nulls_last(), F.xxhash64(*names))
-    ranked = keyed.withColumn("_r", F.row_number().over(rank).cast("long") - 1).join(F.broadcast(stretches), F.col("_cell") == F.col("_at"))
-    mine = F.filter("_parts", lambda p: (p["l"] <= F.col("_r")) & (F.col("_r") < p["h"]))[0]
-    return ranked.withColumn("_p", mine).select(*names, F.col("_p.s").alias("shard"), (F.col("_p.t") + F.col("_r") - F.col("_p.l")).alias("slot"))
+    stretches = spark.range(1).select(F.posexplode(plan).alias("at", "parts"))  # one row a cell: the ring's fixed length bounds the broadcast
+    rank = Window.partitionBy("cell").orderBy("h", F.col("id").asc_nulls_last(), F.xxhash64("row"))
+    ranked = keyed.withColumn("r", F.row_number().over(rank).cast("long") - 1).join(F.broadcast(stretches), F.col("cell") == F.col("at"))
+    mine = F.filter("parts", lambda p: (p["l"] <= F.col("r")) & (F.col("r") < p["h"]))[0]
+    new = {"shard": F.col("p.s"), "slot": F.col("p.t") + F.col("r") - F.col("p.l")}
+    return ranked.withColumn("p", mine).select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in new), *(c.alias(n) for n, c in new.items()))
