@@ -10,7 +10,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tensor import CELL, KEYS
+from lacunar.sources.shared import cut
+
+from .tensor import CELL, KEYS, plane
 
 
 def requested_cells(rows: DataFrame, cols: DataFrame, row_names: list[str] | None = None, col_names: list[str] | None = None) -> DataFrame:
@@ -23,7 +25,7 @@ def requested_cells(rows: DataFrame, cols: DataFrame, row_names: list[str] | Non
             raise ValueError(f"no requested {name} present in model")
         return some
 
-    return side(rows, "row_name", row_names).crossJoin(F.broadcast(side(cols, "col_name", col_names))).select(*CELL, "row_name", "col_name")
+    return side(rows, "row_name", row_names).crossJoin(plane(side(cols, "col_name", col_names))).select(*CELL, "row_name", "col_name")
 
 
 def missing_only(predicted: DataFrame, t: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -50,7 +52,7 @@ def heldout_average(predicted: DataFrame, splits: DataFrame, keys: list[str] = K
 
     predicted: united(); splits: (model, row_id, col_id, split)."""
     used = splits.where("split in ('train', 'valid')").select("model", *CELL).distinct().withColumn("used", F.lit(True))
-    out = predicted.join(F.broadcast(used), ["model", *CELL], "left")
+    out = predicted.join(plane(used), ["model", *CELL], "left")
     return out.groupBy(*keys, *CELL).agg(F.coalesce(F.avg(F.when(F.col("used").isNull(), F.col("predicted"))), F.lit(0.0)).alias("predicted"))
 
 
@@ -59,7 +61,7 @@ def fold_aware_average(predicted: DataFrame, test_of: DataFrame, observed: DataF
     any other observed cell the models of its own fold value.
 
     predicted: united() with a column test_fold; test_of: (row_id, col_id, fold); observed: (row_id, col_id)."""
-    plane = observed.select(*CELL).distinct().withColumn("seen", F.lit(True)).join(test_of.select(*CELL, "fold"), CELL, "full")
-    out = predicted.join(F.broadcast(plane), CELL, "left")
+    known = observed.select(*CELL).distinct().withColumn("seen", F.lit(True)).join(test_of.select(*CELL, "fold"), CELL, "full")
+    out = predicted.join(plane(cut(known)), CELL, "left")
     counts = F.col("seen").isNull() & F.col("fold").isNull() | (F.col("fold") == F.col("test_fold"))
     return out.groupBy(*keys, *CELL).agg(F.coalesce(F.avg(F.when(counts, F.col("predicted"))), F.lit(0.0)).alias("predicted"))

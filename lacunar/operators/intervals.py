@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .tensor import with_ordinal
 
 WIDTH = 1 << 14
 
@@ -33,10 +34,13 @@ def overlapping(a: DataFrame, b: DataFrame, width: int = WIDTH) -> DataFrame:
     return overlaps(a, b.select("contig", "start", "end"), width).select(*a.columns).distinct()
 
 
-def contained(a: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Rows of `a` that lie wholly within an interval of `bounds`, one or few per contig."""
-    b = bounds.select(F.col("contig").alias("_c"), F.col("start").alias("_lo"), F.col("end").alias("_hi"))
-    return a.join(b, (F.col("contig") == F.col("_c")) & (F.col("start") >= F.col("_lo")) & (F.col("end") <= F.col("_hi")), "left_semi")
+def contained(a: DataFrame, bounds: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Rows of `a` that lie wholly within an interval of `bounds`, however many of them there are: a row is looked for
+    in the coarse bin of its start alone, a bound is in every bin it touches."""
+    touched = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width)))
+    b = bounds.where("end >= start").select(F.col("contig").alias("_c"), F.col("start").alias("_lo"), F.col("end").alias("_hi"), touched.alias("_b"))
+    here = (F.col("contig") == F.col("_c")) & (F.floor(F.col("start") / width) == F.col("_b"))
+    return a.join(b, here & (F.col("start") >= F.col("_lo")) & (F.col("end") <= F.col("_hi")), "left_semi")
 
 
 def window_means(windows: DataFrame, features: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -61,7 +65,9 @@ def union_aligned(tracks: DataFrame, names: list[str]) -> DataFrame:
 def union_split(tracks: DataFrame, names: list[str], width: int = WIDTH) -> DataFrame:
     """Tracks of any intervals side by side: cut at every start and end, one row per piece that a track covers."""
     edges = tracks.select("contig", F.explode(F.array("start", "end")).alias("start")).distinct()
-    pieces = edges.withColumn("end", F.lead("start").over(Window.partitionBy("contig").orderBy("start"))).where("end is not null")
+    numbered = with_ordinal(edges, ["contig", "start"])  # an edge finds the next by its number: no contig is one task
+    after = numbered.select(F.col("contig").alias("_c"), F.col("start").alias("end"), (F.col("ordinal") - 1).alias("ordinal"))
+    pieces = numbered.join(after, "ordinal").where("contig = _c").select("contig", "start", "end")
     met = overlaps(pieces, tracks, width)
     wide = met.groupBy("contig", "start", "end").pivot("b_track", names).agg(F.first("b_value"))
     return wide.select("contig", "start", "end", *(F.coalesce(F.col(f"`{n}`"), F.lit(0.0)).alias(n) for n in names))

@@ -1,4 +1,8 @@
-"""Quality of predicted tracks, per experiment, all distributed: ranks by windows per experiment, then one aggregate.
+"""Quality of predicted tracks, per experiment, all distributed: ranks, then one aggregate.
+
+Experiments of at most `window_rows` bins are ranked by windows, each in one task. With a larger one all are put in order
+by range partitions, which cut through experiments: a row's place is its number in the whole order less its
+experiment's first, and ties are averaged from their counts.
 
 Input rows: exp, the bin keys, o (observed), p (predicted), optionally alt (another prediction). NaN and negative values
 read 0 on both sides, and so do missing ones. The top 1 % and 5 % are by value, then by the bin's order.
@@ -6,15 +10,19 @@ read 0 on both sides, and so do missing ones. The top 1 % and 5 % are by value,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import exp, lgamma, log
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lacunar.functions.scalar import clamp
+from lacunar.sources.shared import cut
 
-from .tensor import CELL, KEYS
+from .tensor import CELL, KEYS, with_ordinal
+from .tensor import plane as _plane
 
 
 def paired(observed: DataFrame, predicted: DataFrame, alt: DataFrame | None = None, keys: list[str] = KEYS) -> DataFrame:
@@ -31,16 +39,34 @@ def average_rank(value: str, by: str = "exp") -> Column:
     return F.rank().over(Window.partitionBy(by).orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(by, value)) - 1) / F.lit(2.0)
 
 
-def ranked(pairs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+def ranked(pairs: DataFrame, keys: list[str] = KEYS, window_rows: int = 1 << 20) -> DataFrame:
     """Adds n, the top percentile sizes k1 and k5, descending places po and pp (and pa), average ranks ro and rp."""
-    place = lambda c: F.row_number().over(Window.partitionBy("exp").orderBy(F.col(c).desc(), *keys))
-    out = pairs.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("exp")))
-    out = out.withColumns({"k1": F.round(F.col("n") * 0.01).cast("long"), "k5": F.round(F.col("n") * 0.05).cast("long"), "po": place("o"), "pp": place("p")})
-    if "alt" in pairs.columns:
-        out = out.withColumn("pa", place("alt"))
+    pairs = cut(pairs)
+    sizes = cut(pairs.groupBy("exp").agg(F.count(F.lit(1)).alias("n")))  # one row per cell of the plane
+    small = (sizes.agg(F.max("n")).first()[0] or 0) <= window_rows
+    out = pairs.join(_plane(sizes), "exp").withColumns({"k1": F.round(F.col("n") * 0.01).cast("long"), "k5": F.round(F.col("n") * 0.05).cast("long")})
+    values = {"po": ("o", "ro"), "pp": ("p", "rp")} | ({"pa": ("alt", None)} if "alt" in pairs.columns else {})
+    if not small:
+        for place, (value, rank) in values.items():
+            out = _placed(out, keys, value, place, rank)
+        return out
+    for place, (value, _) in values.items():
+        out = out.withColumn(place, F.row_number().over(Window.partitionBy("exp").orderBy(F.col(value).desc(), *keys)))
     return out.withColumns({"ro": average_rank("o"), "rp": average_rank("p")})
 
 
+def _placed(df: DataFrame, keys: list[str], value: str, place: str, rank: str | None) -> DataFrame:
+    """Adds the descending place of a value in its experiment and, on request, its average rank, by range partitions."""
+    order = [F.col("exp"), F.col(value).desc(), *map(F.col, keys)]
+    numbered = with_ordinal(df, order, "_at")
+    firsts = numbered.groupBy("exp").agg(F.min("_at").alias("_first"))
+    out = numbered.join(_plane(firsts), "exp").withColumn(place, F.col("_at") - F.col("_first") + 1).drop("_at", "_first")
+    if not rank:
+        return out
+    tied = cut(out.groupBy("exp", value).agg(F.count(F.lit(1)).alias("_times"), F.max(place).alias("_last")).where("_times > 1"))
+    return out.join(tied, ["exp", value], "left").withColumn(rank, F.col("n") + 1 - F.coalesce(F.col("_last") - (F.col("_times") - 1) / F.lit(2.0), F.col(place).cast("double"))).drop("_times", "_last")
+
+
 def _square(a: str, b: str) -> Column:
     return F.pow(F.col(a) - F.col(b), 2)
 
@@ -81,6 +107,25 @@ def metrics(r: DataFrame) -> DataFrame:
     return r.groupBy("exp").agg(F.max("n").alias("n"), *(c.alias(k) for k, c in out.items()))
 
 
+#: The metrics that come with a p-value.
+CORRELATIONS = ("gwcorrasinh", "gwspcorr", "gwcorr")
+
+
+def with_p_values(table: DataFrame) -> DataFrame:
+    """The table of metrics with <correlation>_p next to its correlations. As long as the plane, it passes through
+    Python in Arrow batches."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, more = b.column("n").to_pylist(), []
+            for name in CORRELATIONS:
+                more.append(pa.array([correlation_p_value(r, k) for r, k in zip(b.column(name).to_pylist(), n, strict=True)], pa.float64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, *(f"{c}_p" for c in CORRELATIONS)])
+
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in table.dtypes), *(f"{c}_p double" for c in CORRELATIONS)])
+    return table.mapInArrow(each, schema)
+
+
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function (Lentz)."""
     tiny, c, d = 1e-300, 1.0, 1 / (1 - (a + b) * x / (a + 1) or 1e-300)

@@ -9,13 +9,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacunar.functions.scalar import clamp, dot
+from lacunar.functions.scalar import clamp
+from lacunar.sources.shared import cut
 
-from .tensor import CELL, KEYS, packed
+from .tensor import CELL, KEYS, PLANE_ROWS, packed
 
 
 @dataclass
@@ -56,17 +58,52 @@ def with_noise(bins: DataFrame, seed: int, scale: float, keys: list[str] = KEYS)
     return bins.withColumn("factors", F.transform("factors", lambda x, k: x + draw(k)))
 
 
-def predicted(bins: DataFrame, rows: DataFrame, cols: DataFrame, mean: float = 0.0, cells: DataFrame | None = None, keys: list[str] = KEYS) -> DataFrame:
+def predicted(bins: DataFrame, rows: DataFrame, cols: DataFrame, mean: float = 0.0, cells: DataFrame | None = None, keys: list[str] = KEYS, unrolled: int = 8) -> DataFrame:
     """(keys, row_id, col_id, predicted) for the requested cells of every bin, all cells by default.
 
-    The products of row and column factors are formed once per cell of the plane, so a bin costs one dot product each.
-    The output is bins times cells by its nature; the plane's side is broadcast."""
+    The products of row and column factors are formed once per cell of the plane. Ranks up to `unrolled` are written out
+    as a sum, which Spark compiles; higher ranks are one matrix product per Arrow batch of bins. The output is bins times
+    cells by its nature; the plane is on every executor, so it must fit there: PLANE_CELLS cells at most."""
     plane = rows.select(F.col("id").alias("row_id"), F.col("factors").alias("_r"), F.col("bias").alias("_rb")).crossJoin(cols.select(F.col("id").alias("col_id"), F.col("factors").alias("_c"), F.col("bias").alias("_cb")))
     if cells is not None:
         plane = plane.join(F.broadcast(cells.select(*CELL)), CELL, "left_semi")
     plane = plane.select(*CELL, F.zip_with("_r", "_c", lambda x, y: x * y).alias("_z"), (F.col("_rb") + F.col("_cb") + F.lit(mean)).alias("_b"))
-    out = bins.crossJoin(F.broadcast(plane))
-    return out.select(*keys, *CELL, (dot(F.col("_z"), F.col("factors")) + F.col("_b") + F.col("bias")).alias("predicted"))
+    known = plane.limit(PLANE_CELLS + 1).collect()
+    if len(known) > PLANE_CELLS:
+        raise ValueError(f"a plane of more than {PLANE_CELLS} cells: ask for some of them at a time")
+    rank = len(known[0]["_z"]) if known else 0
+    if rank > unrolled:
+        return _predicted_in_batches(bins, known, keys)
+    spark = bins.sparkSession
+    local = spark.createDataFrame([(x["row_id"], x["col_id"], *x["_z"], x["_b"]) for x in known], ", ".join(["row_id int", "col_id int", *(f"_z{k} double" for k in range(rank)), "_b double"]))
+    total = F.col("_b") + F.col("bias")
+    if rank:
+        total = sum((F.col(f"_z{k}") * F.col(f"_f{k}") for k in range(1, rank)), F.col("_z0") * F.col("_f0")) + total
+    flat = bins.select(*keys, "bias", *(F.get("factors", F.lit(k)).alias(f"_f{k}") for k in range(rank)))
+    return flat.crossJoin(F.broadcast(local)).select(*keys, *CELL, total.alias("predicted"))
+
+
+#: The most cells of a plane that predictions are made for at once: with rank 100, 100 MB on an executor.
+PLANE_CELLS = 1 << 17
+
+
+def _predicted_in_batches(bins: DataFrame, known: list, keys: list[str], rows: int = 1 << 18) -> DataFrame:
+    """predicted() by matrix products, about `rows` cells of output at a time."""
+    z, b = np.array([x["_z"] for x in known]).T.copy(), np.array([x["_b"] for x in known])
+    cell = [np.array([x[c] for x in known], np.int32) for c in CELL]
+    kinds, step = dict(bins.dtypes), max(1, rows // len(known))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                part = whole.slice(at, step)
+                f = part.column(len(keys)).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                out = f @ z + b + part.column(len(keys) + 1).to_numpy(zero_copy_only=False)[:, None]
+                take = pa.array(np.repeat(np.arange(part.num_rows), len(b)))
+                names = [*keys, *CELL, "predicted"]
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(take) for k in range(len(keys))), *(pa.array(np.tile(c, part.num_rows)) for c in cell), pa.array(out.ravel())], names)
+
+    return bins.select(*keys, "factors", "bias").mapInArrow(each, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", row_id int, col_id int, predicted double")
 
 
 def clamped(p: DataFrame) -> DataFrame:
@@ -88,31 +125,41 @@ def solve_bins(t: DataFrame, axes: Axes, train: list[tuple[int, int]], ridge: fl
 
     Cells are packed per bin, then whole Arrow batches of bins are multiplied at once."""
     offset, _, solve = design(axes, train, ridge)
-    place = {cell: k for k, cell in enumerate(train)}
+    place = np.full((len(axes.rows), len(axes.cols)), -1)
+    place[tuple(np.array(train).T)] = np.arange(len(train))
     kinds = dict(t.dtypes)
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            d = np.zeros((len(pdf), len(train)))
-            for i, cells in enumerate(pdf["cells"]):
-                for x in cells:
-                    k = place.get((x["row_id"], x["col_id"]))
-                    if k is not None:
-                        d[i, k] = x["value"]
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bin_of, r, c, v = cell_arrays(b.column(len(keys)))
+            inside = (r < place.shape[0]) & (c < place.shape[1])
+            k = np.full(len(r), -1)
+            k[inside] = place[r[inside], c[inside]]
+            d = np.zeros((b.num_rows, len(train)))
+            d[bin_of[k >= 0], k[k >= 0]] = v[k >= 0]
             g = (d - offset) @ solve
-            out = pdf[keys].copy()
-            out["factors"], out["bias"] = list(g[:, :-1]), g[:, -1]
-            yield out
+            ends = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * axes.rank)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keys))), pa.ListArray.from_arrays(ends, pa.array(g[:, :-1].ravel())), pa.array(g[:, -1])], [*keys, "factors", "bias"])
 
-    return packed(t, keys).mapInPandas(each, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", factors array<double>, bias double")
+    return packed(t, keys).select(*keys, "cells").mapInArrow(each, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", factors array<double>, bias double")
+
+
+def cell_arrays(cells: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bin, row, column, value) of packed cells as four long arrays; null is no cell."""
+    n = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(cells), 0))
+    flat = cells.flatten()
+    part = lambda i, kind: flat.field(i).to_numpy(zero_copy_only=False).astype(kind)
+    return np.repeat(np.arange(len(cells)), n), part(0, int), part(1, int), part(2, float)
 
 
 def solve_bins_rank1(t: DataFrame, plane: DataFrame, ridge: float, keys: list[str] = KEYS) -> DataFrame:
     """(keys, g, gb): the same for rank one, by sums alone. plane: (row_id, col_id, z, offset) of the training cells.
 
     The sums over all training cells are those over the observed ones and, for the missing, over the plane once."""
+    plane = cut(plane)
+    small = plane.count() <= PLANE_ROWS
     flat = plane.agg(F.sum(F.col("z") * F.col("z")).alias("zz"), F.sum("z").alias("z"), F.count(F.lit(1)).alias("n"), F.sum(-F.col("z") * F.col("offset")).alias("ze0"), F.sum(-F.col("offset")).alias("e0"))
-    seen = t.join(F.broadcast(plane), CELL).groupBy(*keys).agg(F.sum(F.col("z") * F.col("value")).alias("zd"), F.sum("value").alias("d"))
+    seen = t.join(F.broadcast(plane) if small else plane, CELL).groupBy(*keys).agg(F.sum(F.col("z") * F.col("value")).alias("zd"), F.sum("value").alias("d"))
     s = t.select(*keys).distinct().join(seen, keys, "left").crossJoin(F.broadcast(flat))
     szz, sze, se = F.col("zz") + ridge, F.coalesce("zd", F.lit(0.0)) + F.col("ze0"), F.coalesce("d", F.lit(0.0)) + F.col("e0")
     det = szz * F.col("n") - F.col("z") * F.col("z")

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lacunar.functions.scalar import sum_of_squares
+from lacunar.sources.shared import cut
 
-from .tensor import CELL, KEYS
+from .tensor import CELL, KEYS, plane
 
 
 def in_split(t: DataFrame, splits: DataFrame, split: str) -> DataFrame:
     """Observed cells of one split. The table of splits is as long as the plane."""
-    return t.join(F.broadcast(splits.where(F.col("split") == split).select(*CELL)), CELL, "left_semi")
+    return t.join(plane(splits.where(F.col("split") == split).select(*CELL)), CELL, "left_semi")
 
 
 def in_bin_split(t: DataFrame, bin_splits: DataFrame, split: str, keys: list[str] = KEYS) -> DataFrame:
@@ -30,12 +32,12 @@ def row_bias(train: DataFrame) -> DataFrame:
 
 def col_bias(train: DataFrame, rows: DataFrame) -> DataFrame:
     """Column means of what the row means leave."""
-    return train.join(F.broadcast(rows), "row_id").groupBy("col_id").agg(F.avg(F.col("value") - F.col("row_bias")).alias("col_bias"))
+    return train.join(plane(cut(rows)), "row_id").groupBy("col_id").agg(F.avg(F.col("value") - F.col("row_bias")).alias("col_bias"))
 
 
 def bin_bias(train: DataFrame, rows: DataFrame, cols: DataFrame, bins: DataFrame | None = None, keys: list[str] = KEYS) -> DataFrame:
     """Bin means of what both leave; with `bins`, 0 for the bins that have no training cell."""
-    left = train.join(F.broadcast(rows), "row_id").join(F.broadcast(cols), "col_id").groupBy(*keys).agg(F.avg(F.col("value") - F.col("row_bias") - F.col("col_bias")).alias("bin_bias"))
+    left = train.join(plane(cut(rows)), "row_id").join(plane(cut(cols)), "col_id").groupBy(*keys).agg(F.avg(F.col("value") - F.col("row_bias") - F.col("col_bias")).alias("bin_bias"))
     return left if bins is None else bins.select(*keys).join(left, keys, "left").withColumn("bin_bias", F.coalesce("bin_bias", F.lit(0.0)))
 
 
@@ -44,7 +46,7 @@ def mse_by_split(t: DataFrame, predicted: DataFrame, splits: DataFrame, n_bins:
     observed or not. predicted: keys, row_id, col_id, predicted."""
     per = splits.groupBy("split").agg(F.count(F.lit(1)).alias("plane"))
     bins = t.select(*keys).distinct().agg(F.count(F.lit(1)).alias("bins")) if n_bins is None else None
-    sse = t.join(predicted, [*keys, *CELL]).join(F.broadcast(splits), CELL).groupBy("split").agg(F.sum(F.pow(F.col("predicted") - F.col("value"), 2)).alias("sse"))
+    sse = t.join(predicted, [*keys, *CELL]).join(plane(splits), CELL).groupBy("split").agg(F.sum(F.pow(F.col("predicted") - F.col("value"), 2)).alias("sse"))
     out = per.join(sse, "split", "left")
     out = out.crossJoin(F.broadcast(bins)) if bins is not None else out.withColumn("bins", F.lit(n_bins))
     n = F.col("plane") * F.col("bins")
@@ -68,16 +70,19 @@ def penalty(factors: DataFrame, vector: str = "factors", bias: str = "bias") ->
     return factors.agg(F.sum(sum_of_squares(F.col(vector))).alias("factors2"), F.sum(F.pow(F.col(bias), 2)).alias("bias2"))
 
 
-def objective(sse_train: float, rows: tuple[float, float], cols: tuple[float, float], bins: tuple[float, float], weights: dict[str, float]) -> float:
-    """Training error and weighted penalties; each axis is (factors2, bias2), weights are rc, rbc, ra, rba, ri, rbi."""
-    return sse_train + sum(w * x for w, x in zip((weights[k] for k in ("rc", "rbc", "ra", "rba", "ri", "rbi")), (*rows, *cols, *bins), strict=True))
+def objective(sse: DataFrame, rows: DataFrame, cols: DataFrame, bins: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(objective): training error and weighted penalties. sse: one row (sse); the others are penalty() of an axis;
+    weights are rc, rbc, ra, rba, ri, rbi."""
+    out, total = sse.select("sse"), F.col("sse")
+    for axis, part in (("c", rows), ("a", cols), ("i", bins)):
+        out = out.crossJoin(F.broadcast(part.select(F.col("factors2").alias(f"f{axis}"), F.col("bias2").alias(f"b{axis}"))))  # a row each
+        total = total + weights[f"r{axis}"] * F.col(f"f{axis}") + weights[f"rb{axis}"] * F.col(f"b{axis}")
+    return out.select(total.alias("objective"))
 
 
 def trace_windows(trace: DataFrame, win: int, spacing: int, shift: float) -> DataFrame:
     """(iter, z): for every point of an error trace (iter from 0 without gaps, error) that ends two windows of `win`
     points with `spacing` between them, the rank-sum statistic of the first against the second plus `shift`."""
-    from pyspark.sql.window import Window
-
     need = 2 * win + spacing
     ends = trace.where(F.col("iter") >= need - 1).select(F.col("iter").alias("end"))
     span = F.sequence(F.lit(0), F.lit(need - 1))

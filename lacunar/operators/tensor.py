@@ -15,6 +15,15 @@ KEYS = ["contig", "start"]
 CELL = ["row_id", "col_id"]
 
 
+#: The most rows a table of the plane (its cells, axes or experiments) may have to be sent to all executors, a few MB.
+PLANE_ROWS = 1 << 17
+
+
+def plane(df: DataFrame, rows: int = PLANE_ROWS) -> DataFrame:
+    """A table of the plane for a join: broadcast after counting it, by a shuffle beyond `rows`."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def dense_ids(names: DataFrame, name_col: str, id_col: str) -> DataFrame:
     """Sorted distinct names and their numbers from 0. For the axes, whose length is that of a catalogue."""
     return names.select(name_col).distinct().withColumn(id_col, (F.row_number().over(Window.orderBy(name_col)) - 1).cast("int"))
@@ -23,13 +32,13 @@ def dense_ids(names: DataFrame, name_col: str, id_col: str) -> DataFrame:
 def catalogue(experiments: DataFrame, row_name: str = "row_name", col_name: str = "col_name") -> DataFrame:
     """Experiments with row_id and col_id."""
     rows, cols = dense_ids(experiments, row_name, "row_id"), dense_ids(experiments, col_name, "col_id")
-    return experiments.join(F.broadcast(rows), row_name).join(F.broadcast(cols), col_name)
+    return experiments.join(plane(rows), row_name).join(plane(cols), col_name)
 
 
 def from_measurements(df: DataFrame, keys: list[str], row: Column, col_name: str, value: Column, ids: DataFrame) -> DataFrame:
     """One cell per (bin, row, column): the mean of its measurements, column names numbered by `ids`."""
     cells = df.groupBy(*keys, row.cast("int").alias("row_id"), F.col(col_name)).agg(F.avg(value).alias("value"))
-    return cells.join(F.broadcast(ids), col_name).select(*keys, "row_id", "col_id", "value")
+    return cells.join(plane(ids), col_name).select(*keys, "row_id", "col_id", "value")
 
 
 def scrub(t: DataFrame) -> DataFrame:
@@ -74,7 +83,7 @@ def merged(a: DataFrame, b: DataFrame, a_cols: DataFrame, b_cols: DataFrame, a_r
 
     a_cols and b_cols: (col_name, col_id) of each."""
     to = b_cols.select("col_name", F.col("col_id").alias("_from")).join(a_cols.select("col_name", F.col("col_id").alias("_to")), "col_name")
-    moved = b.join(F.broadcast(to), F.col("col_id") == F.col("_from")).select(*keys, (F.col("row_id") + a_rows).cast("int").alias("row_id"), F.col("_to").alias("col_id"), "value")
+    moved = b.join(plane(to), F.col("col_id") == F.col("_from")).select(*keys, (F.col("row_id") + a_rows).cast("int").alias("row_id"), F.col("_to").alias("col_id"), "value")
     both = a.select(*keys).distinct().join(b.select(*keys).distinct(), keys)
     return a.select(*keys, *CELL, "value").unionByName(moved).join(both, keys, "left_semi")
 
@@ -102,21 +111,22 @@ def unpacked_text(lines: DataFrame, slots: DataFrame, n_slots: int, keys: list[s
     parts = F.split("packed", r"\|")
     checked = lines.select(*keys, F.when(F.size(parts) == n_slots, parts).otherwise(F.raise_error(F.concat(F.lit("wrong number of fields: "), F.size(parts).cast("string")))).alias("parts"))
     long = checked.select(*keys, F.posexplode("parts").alias("slot", "v")).withColumn("value", F.asinh(F.col("v").try_cast("double")))
-    return scrub(long.join(F.broadcast(slots), "slot").select(*keys, *CELL, "value"))
+    return scrub(long.join(plane(slots), "slot").select(*keys, *CELL, "value"))
 
 
 def with_ordinal(df: DataFrame, keys: list[str | Column] = KEYS, into: str = "ordinal") -> DataFrame:
     """Rows numbered from 0 in the order of `keys`, without gathering them: each range-partition counts its own rows, and
     only the counts, one a partition, reach the driver. The partitions are cut off first, as their bounds are sampled."""
-    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"))
+    part, at = f"{into}__part", f"{into}__at"
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).select("*", F.spark_partition_id().alias(part), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias(at))
     ranged = cut(ranged)
-    sizes = {r["_part"]: r["n"] for r in ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r[part]: r["n"] for r in ranged.groupBy(part).agg(F.count(F.lit(1)).alias("n")).collect()}
     begins, total = [], 0
-    for part in range(max(sizes, default=-1) + 1):
+    for k in range(max(sizes, default=-1) + 1):
         begins.append(str(total))
-        total += sizes.get(part, 0)
-    begin = F.get(F.split(F.lit(",".join(begins)), ",").cast("array<bigint>"), F.col("_part"))
-    return ranged.withColumn(into, F.col("_at") + begin if begins else F.lit(0).cast("long")).drop("_part", "_at")
+        total += sizes.get(k, 0)
+    begin = F.get(F.split(F.lit(",".join(begins)), ",").cast("array<bigint>"), F.col(part))
+    return ranged.withColumn(into, F.col(at) + begin if begins else F.lit(0).cast("long")).drop(part, at)
 
 
 def halves(bins: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -140,3 +150,8 @@ def sampled(t: DataFrame, fraction: float, seed: int, keys: list[str] = KEYS) ->
 def partitioned(t: DataFrame, n: int, keys: list[str] = KEYS) -> DataFrame:
     """Bins dealt by hash to n partitions, sorted within each: one partition is one worker of the trainer."""
     return t.repartition(n, *keys).sortWithinPartitions(*keys)
+
+
+def in_bins(t: DataFrame, bins: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Cells of the bins (windows) that `bins` names, once each however often it names them."""
+    return t.join(bins.select(*keys), keys, "left_semi")

@@ -1,9 +1,10 @@
 """Training of the factor model: partition-parallel Nadam-style steps with parameter averaging.
 
-A step is a DataFrame job: each partition of bins is one worker that draws observed training cells and updates its bins
-and its own copy of the row and column parameters. The new bin states and the parameters come out as rows of one frame,
-told apart by `kind`, so a task that runs twice counts once; nothing travels through accumulators. Every iteration's
-frame is cut in the shared folder, where it is also the checkpoint to restart from.
+The cells of the training bins and the state of the bins are two tables, both dealt by the same hash into one bucket per
+worker, so that they meet without a shuffle, and the cells are written once for all iterations. A step is a DataFrame
+job: each bucket is one worker that draws observed training cells and updates its bins and its own copy of the row and
+column parameters. The new bin states and the parameters come out as rows of one table, told apart by `kind`, so a task
+that runs twice counts once; nothing travels through accumulators. Tables that no later step needs are removed.
 """
 
 from __future__ import annotations
@@ -11,22 +12,26 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from copy import deepcopy
 from dataclasses import dataclass, field, replace
 from math import erfc, sqrt
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacunar.sources.shared import cut
+from lacunar.sources.shared import dealt, forget
 
-from .model import Axes
-from .tensor import KEYS, packed
+from .model import Axes, cell_arrays, design
+from .tensor import KEYS, packed, plane
 
 
 @dataclass(frozen=True)
 class Options:
+    """Settings of a run. The defaults are fixed values. Iterations are counted by min_iters and max_iters, evaluations of
+    the error by win, spacing and wait_from."""
+
     rank: int = 100
     rate: float = 0.005
     beta1: float = 0.9
@@ -54,6 +59,9 @@ class Options:
     rows: bool = True
     cols: bool = True
     bins: bool = True
+    bail_at: int = 1000
+    bail_gain: float = 0.005
+    wait_from: str = "halving"  # or "minimum": what the evaluations before a convergence test are counted from
     seed: int = 5
 
     def scaled(self, n_rows: int, n_cols: int, n_bins: int) -> Options:
@@ -61,6 +69,11 @@ class Options:
         return replace(self, rc=self.rc / (self.rank * n_rows), ra=self.ra / (self.rank * n_cols), ri=self.ri / (self.rank * n_bins))
 
 
+#: What the trainers of rows and bins, and of rows alone, set otherwise. Fixed values.
+ROWS_BINS = {"cols": False, "burn_in_epochs": 1.05, "bail_gain": 0.02, "wait_from": "minimum"}
+ROWS_ONLY = {"cols": False, "bins": False, "burn_in_epochs": 1.05}
+
+
 class Moments:
     """Moments and update counts of a parameter table, one line per entity."""
 
@@ -138,50 +151,70 @@ def sgd_partition(cells: np.ndarray, values: np.ndarray, bins: np.ndarray, bin_m
             table[at], m.m[at], m.v[at], m.prod[at] = nadam(table[at], grad, m.m[at], m.v[at], int(m.t[at]), float(m.prod[at]), o)
 
 
-#: Columns of a bin's state next to its keys and packed cells.
+#: Columns of a bin's state next to its keys.
 STATE = "theta array<double>, m array<double>, v array<double>, t bigint, prod double"
 
 
-def bin_states(t: DataFrame, bins: DataFrame, n: int, keys: list[str] = KEYS) -> DataFrame:
-    """Training cells packed per bin with fresh states, dealt to n workers. t: centered training cells."""
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A column of equally long lists as a matrix of its own."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1).copy()
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+
+def bin_states(bins: DataFrame, n: int, keys: list[str] = KEYS) -> DataFrame:
+    """Fresh states of bins (keys, factors, bias), dealt to n workers."""
     zeros = F.transform("theta", lambda _: F.lit(0.0))
     theta = bins.select(*keys, F.concat("factors", F.array("bias")).alias("theta"))
-    return cut(theta.join(packed(t, keys), keys, "left").select(*keys, "cells", "theta", zeros.alias("m"), zeros.alias("v"), F.lit(0).cast("long").alias("t"), F.lit(1.0).alias("prod")).repartition(n, *keys).sortWithinPartitions(*keys))
+    return dealt(theta.select(*keys, "theta", zeros.alias("m"), zeros.alias("v"), F.lit(0).cast("long").alias("t"), F.lit(1.0).alias("prod"), F.lit("state").alias("kind")), n, keys)
+
+
+def bin_cells(t: DataFrame, n: int, keys: list[str] = KEYS) -> DataFrame:
+    """Centered cells packed per bin, dealt to n workers as their states are."""
+    return dealt(packed(t, keys), n, keys)
+
+
+def together(states: DataFrame, cells: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """States with their bins' cells. Both are in buckets, so nothing is shuffled; a broadcast would lose the buckets."""
+    own = states.where("kind = 'state'").select(*keys, "theta", "m", "v", "t", "prod")
+    return own.hint("merge").join(cells.hint("merge").select(*keys, "cells"), keys, "left").sortWithinPartitions(*keys)
 
 
-def step(states: DataFrame, s: State, o: Options, iteration: int, keys: list[str] = KEYS) -> tuple[DataFrame, State]:
+def step(states: DataFrame, cells: DataFrame, s: State, o: Options, iteration: int, n: int, keys: list[str] = KEYS) -> tuple[DataFrame, State]:
     """One parallel iteration: new bin states, and the average of the workers' parameters."""
-    kinds = {k: v for k, v in states.dtypes if k in keys}
-    names = [*keys, "cells", "theta", "m", "v", "t", "prod"]
+    kinds = dict(states.dtypes)
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(frames), ignore_index=True)
-        if pdf.empty:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        x = pa.Table.from_batches(held)
         own = State(s.rows.copy(), s.cols.copy()).from_flat(s.flat())
-        bins = np.array(pdf["theta"].tolist())
+        bins = _matrix(x["theta"])
         bm = Moments(bins.shape)
-        bm.m, bm.v, bm.t, bm.prod = np.array(pdf["m"].tolist()), np.array(pdf["v"].tolist()), pdf["t"].to_numpy().copy(), pdf["prod"].to_numpy().copy()
-        flat = [(i, x["row_id"], x["col_id"], x["value"]) for i, cells in enumerate(pdf["cells"]) for x in (() if cells is None else cells)]
-        cells = np.array([f[:3] for f in flat], int).reshape(-1, 3)
+        bm.m, bm.v, bm.t, bm.prod = _matrix(x["m"]), _matrix(x["v"]), x["t"].to_numpy().copy(), x["prod"].to_numpy().copy()
+        at, r, c, value = cell_arrays(x["cells"].combine_chunks())
         # the draw depends on the iteration and the worker's first bin, not on where the task runs
-        first = zlib.crc32("|".join(str(pdf[k][0]) for k in keys).encode())
-        sgd_partition(cells, np.array([f[3] for f in flat]), bins, bm, own, o, np.random.default_rng([o.seed, iteration, first]))
-        out = pdf[[*keys, "cells"]].copy()
-        out["theta"], out["m"], out["v"], out["t"], out["prod"] = list(bins), list(bm.m), list(bm.v), bm.t, bm.prod
-        out["kind"], out["params"] = "state", None
-        yield out
-        yield pd.DataFrame({**{k: [pdf[k][0]] for k in keys}, "cells": [None], "theta": [None], "m": [None], "v": [None], "t": [0], "prod": [0.0], "kind": ["params"], "params": [own.flat()]})
-
-    cells_type = dict(states.dtypes)["cells"]
-    out = cut(states.select(*names).mapInPandas(each, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", cells {cells_type}, {STATE}, kind string, params array<double>"))
+        first = zlib.crc32("|".join(str(x[k][0].as_py()) for k in keys).encode())
+        sgd_partition(np.c_[at, r, c], value, bins, bm, own, o, np.random.default_rng([o.seed, iteration + 1, first]))
+        names = [*keys, "theta", "m", "v", "t", "prod", "kind", "params"]
+        none = pa.nulls(len(x), pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([*(x[k].combine_chunks() for k in keys), _lists(bins), _lists(bm.m), _lists(bm.v), pa.array(bm.t), pa.array(bm.prod), pa.array(["state"] * len(x)), none], names)
+        empty = pa.nulls(1, pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([*(x[k].slice(0, 1).combine_chunks() for k in keys), empty, empty, empty, pa.array([0]), pa.array([0.0]), pa.array(["params"]), _lists(own.flat()[None])], names)
+
+    new = together(states, cells, keys).mapInArrow(each, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {STATE}, kind string, params array<double>")
+    out = dealt(new, n, keys, shuffle=False)  # a worker's rows are one bucket already
     mean = out.where("kind = 'params'").select(F.posexplode("params")).groupBy("pos").agg(F.avg("col").alias("x")).orderBy("pos").collect()  # as long as the two small axes
-    return out.where("kind = 'state'").select(*names), s.from_flat(np.array([r["x"] for r in mean])) if mean else s
+    return out, s.from_flat(np.array([r["x"] for r in mean])) if mean else s
 
 
 def factors_of(states: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """(keys, factors, bias) of bin states."""
-    return states.select(*keys, F.slice("theta", F.lit(1), F.size("theta") - 1).alias("factors"), F.element_at("theta", -1).alias("bias"))
+    return states.where("kind = 'state'").select(*keys, F.slice("theta", F.lit(1), F.size("theta") - 1).alias("factors"), F.element_at("theta", -1).alias("bias"))
 
 
 def rank_sum(a: list[float], b: list[float]) -> tuple[float, float]:
@@ -216,48 +249,87 @@ class Fit:
     trace: list[tuple[int, float, float, float, float]] = field(default_factory=list)
 
 
-def errors(states: DataFrame, s: State, splits: dict[tuple[int, int], str], full: DataFrame, o: Options, keys: list[str] = KEYS) -> tuple[float, float, float, float]:
+def _split_sums(s: State, splits: dict[tuple[int, int], str]):
+    """A function from bins (factors and bias) and their packed cells to the squared errors of train, valid and test."""
+    where = np.full((len(s.rows), len(s.cols)), 3)
+    for (r, c), split in splits.items():
+        where[r, c] = {"train": 0, "valid": 1, "test": 2}[split]
+    z = (s.rows[:, None, :-1] * s.cols[None, :, :-1]).reshape(-1, s.rows.shape[1] - 1).T
+    base, n_cols = (s.rows[:, None, -1] + s.cols[None, :, -1]).ravel(), len(s.cols)
+    most = max(1, (1 << 22) // max(1, len(base)))
+
+    def sums(theta: np.ndarray, cells: pa.Array) -> np.ndarray:
+        out = np.zeros(4)
+        for a in range(0, len(theta), most):
+            own = theta[a : a + most]
+            full = own[:, :-1] @ z + base + own[:, -1:]
+            at, r, c, value = cell_arrays(cells.slice(a, most))
+            out += np.bincount(where[r, c], (full[at, r * n_cols + c] - value) ** 2, minlength=4)
+        return out[:3]
+
+    return sums
+
+
+def _summed(df: DataFrame, each, size: int) -> np.ndarray:
+    """Sums over all tasks of the vectors that `each` yields as lists."""
+    rows = df.mapInArrow(each, "sums array<double>").select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("x")).orderBy("pos").collect()
+    return np.array([r["x"] for r in rows]) if rows else np.zeros(size)
+
+
+def errors(states: DataFrame, s: State, splits: dict[tuple[int, int], str], full: DataFrame, o: Options, keys: list[str] = KEYS, valid: DataFrame | None = None) -> tuple[float, float, float, float]:
     """(objective, train, valid, test): squared errors by split over all its cells in all bins; one pass over the bins.
 
-    full: centered observed cells of all splits, packed per bin."""
-    place = {"train": 0, "valid": 1, "test": 2}
-    where = np.full((len(s.rows), len(s.cols)), -1)
-    for (r, c), split in splits.items():
-        where[r, c] = place[split]
-
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums, n = np.zeros(5), 0
-        for pdf in frames:
-            for theta, cells in zip(pdf["theta"], pdf["cells"], strict=True):
-                n += 1
-                sums[3] += theta[:-1] @ theta[:-1]
-                sums[4] += theta[-1] ** 2
-                if cells is None or not len(cells):
-                    continue
-                r, c, v = (np.array([x[k] for x in cells]) for k in ("row_id", "col_id", "value"))
-                e = ((s.rows[r, :-1] * s.cols[c, :-1]) @ theta[:-1] + s.rows[r, -1] + s.cols[c, -1] + theta[-1] - v) ** 2
-                w = where[r, c]
-                sums[:3] += np.bincount(w[w >= 0], e[w >= 0], minlength=3)[:3]
-        yield pd.DataFrame({"sums": [np.r_[sums, n]]})
-
-    joined = states.select(*keys, "theta").join(full, keys, "left")
-    rows = joined.select("theta", "cells").mapInPandas(each, "sums array<double>").select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("x")).orderBy("pos").collect()
-    sse = np.array([r["x"] for r in rows])
-    count = [max(1, sum(v == k for v in splits.values())) * max(1, sse[5]) for k in place]
-    objective = sse[0] + o.rc * (s.rows[:, :-1] ** 2).sum() + o.rbc * (s.rows[:, -1] ** 2).sum() + o.ra * (s.cols[:, :-1] ** 2).sum() + o.rba * (s.cols[:, -1] ** 2).sum() + o.ri * sse[3] + o.rbi * sse[4]
-    return float(objective), *(float(x / n) for x, n in zip(sse[:3], count, strict=True))
-
-
-def save_checkpoint(path: str, iteration: int, states: DataFrame, s: State, best: tuple | None, valid: list[float], since: int, searches: int, o: Options, trace: list[tuple]) -> None:
+    full: centered observed cells of all splits, bin_cells() of the same workers. With `valid`, packed cells of other
+    bins, the bins there are solved in closed form with ri2 and the valid and test errors are theirs."""
+    sums = _split_sums(s, splits)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(6)
+        for b in batches:
+            if b.num_rows:
+                theta = _matrix(b.column(0))
+                total += np.r_[sums(theta, b.column(1)), (theta[:, :-1] ** 2).sum(), (theta[:, -1] ** 2).sum(), len(theta)]
+        yield pa.RecordBatch.from_arrays([_lists(total[None])], ["sums"])
+
+    x = _summed(together(states, full, keys).select("theta", "cells"), each, 6)
+    other, bins = x[:3], x[5]
+    if valid is not None:
+        train = sorted(k for k, v in splits.items() if v == "train")
+        offset, _, solve = design(s.axes(0.0), train, o.ri2)
+        place = np.full((len(s.rows), len(s.cols)), -1)
+        place[tuple(np.array(train).T)] = np.arange(len(train))
+
+        def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(4)
+            for b in batches:
+                at, r, c, value = cell_arrays(b.column(0))
+                k = place[r, c]
+                d = np.zeros((b.num_rows, len(train)))
+                d[at[k >= 0], k[k >= 0]] = value[k >= 0]
+                total += np.r_[sums((d - offset) @ solve, b.column(0)), b.num_rows]
+            yield pa.RecordBatch.from_arrays([_lists(total[None])], ["sums"])
+
+        y = _summed(valid.select("cells"), solved, 4)
+        other, bins = y[:3], y[3]
+    sse = np.r_[x[0], other[1:]]
+    count = [max(1, sum(v == k for v in splits.values())) * max(1, n) for k, n in (("train", x[5]), ("valid", bins), ("test", bins))]
+    objective = x[0] + o.rc * (s.rows[:, :-1] ** 2).sum() + o.rbc * (s.rows[:, -1] ** 2).sum() + o.ra * (s.cols[:, :-1] ** 2).sum() + o.rba * (s.cols[:, -1] ** 2).sum() + o.ri * x[3] + o.rbi * x[4]
+    return float(objective), *(float(e / n) for e, n in zip(sse, count, strict=True))
+
+
+def save_checkpoint(path: str, iteration: int, states: DataFrame, s: State, best: tuple | None, rest: dict, o: Options, keep: int = 2) -> None:
     """All a run needs to go on: bin states now and at the minimum as Parquet, the rest as one JSON row written last, so
-    that a checkpoint without it doesn't count. Older checkpoints are kept by name until the caller removes them."""
+    that a checkpoint without it doesn't count. The last `keep` checkpoints stay, older ones are removed."""
     spark = states.sparkSession
     where = f"{path}/{iteration:08d}"
     states.write.mode("overwrite").parquet(f"{where}/states")
     if best:
         best[1].write.mode("overwrite").parquet(f"{where}/best")
-    rest = {"iteration": iteration, "flat": s.flat().tolist(), "best": [best[0], best[2].flat().tolist(), best[3]] if best else None, "valid": valid, "since": since, "searches": searches, "rate": o.rate, "beta1": o.beta1, "trace": trace}
-    spark.createDataFrame([(iteration, json.dumps(rest))], "iteration int, rest string").coalesce(1).write.mode("append").json(f"{path}/index")
+    all_ = {"iteration": iteration, "flat": s.flat().tolist(), "best": [best[0], best[2].flat().tolist(), best[3]] if best else None, "rate": o.rate, "beta1": o.beta1, **rest}
+    spark.createDataFrame([(iteration, json.dumps(all_))], "iteration int, rest string").coalesce(1).write.mode("append").json(f"{path}/index")
+    known = [r[0] for r in spark.read.schema("iteration int").json(f"{path}/index").distinct().orderBy(F.desc("iteration")).collect()]  # one per checkpoint
+    for old in known[keep:]:
+        forget(spark, f"{path}/{old:08d}")
 
 
 def load_checkpoint(spark: SparkSession, path: str, like: State) -> dict:
@@ -271,48 +343,69 @@ def load_checkpoint(spark: SparkSession, path: str, like: State) -> dict:
     return x
 
 
-def train(t: DataFrame, splits: dict[tuple[int, int], str], bins: DataFrame, start: State, o: Options, n_workers: int, keys: list[str] = KEYS, checkpoint: str | None = None, every: int = 80, restart: bool = False) -> Fit:
+def train(t: DataFrame, splits: dict[tuple[int, int], str], bins: DataFrame, start: State, o: Options, n_workers: int, keys: list[str] = KEYS, checkpoint: str | None = None, every: int = 80, restart: bool = False, valid_bins: DataFrame | None = None) -> Fit:
     """Trains on the centered tensor `t`: steps, an evaluation every `per_mse`, the best state kept, and at convergence a
-    halved rate from the best state on, `searches` times. Stops for good after that, by `max_iters`, by patience (no new
-    minimum in twice the window and its spacing), or when the objective is not a number. With `checkpoint`, a folder, the
-    run is saved every `every` iterations; with `restart` it goes on from the latest one there."""
+    halved rate from the best state on, `searches` times.
+
+    A convergence test comes once more than `win` evaluations have passed since the minimum that the last halving went
+    back to (with wait_from "minimum", since the latest one). The run stops for good when no halving is left, by
+    `max_iters`, by patience (no new minimum in twice the window and its spacing), when the training error fell by less
+    than `bail_gain` in `bail_at` iterations, or when an error is not a number. `valid_bins` are centered cells of other
+    bins, on which validation and test errors are then taken. With `checkpoint`, a folder, the run is saved every `every`
+    iterations; with `restart` it goes on from the latest one there."""
     spark = t.sparkSession
-    plane = spark.createDataFrame([(r, c, k) for (r, c), k in splits.items()], "row_id int, col_id int, split string")
-    mine = t.join(F.broadcast(plane.where("split = 'train'")), ["row_id", "col_id"], "left_semi")
-    full = cut(packed(t, keys))
-    states, s = bin_states(mine, bins, n_workers, keys), start
-    best, trace, valid, since, searches, iteration = None, [], [], 0, o.searches, 0
+    split_table = spark.createDataFrame([(r, c, k) for (r, c), k in splits.items()], "row_id int, col_id int, split string")
+    mine = t.join(plane(split_table.where("split = 'train'")), ["row_id", "col_id"], "left_semi")
+    full, cells = bin_cells(t, n_workers, keys), bin_cells(mine, n_workers, keys)
+    other = bin_cells(valid_bins, n_workers, keys) if valid_bins is not None else None
+    s, best, iteration, states = start, None, 0, None
+    run = {"trace": [], "valid": [], "low": 0, "anchor": 0, "searches": o.searches}
     if restart:
         x = load_checkpoint(spark, checkpoint, start)
-        states = x["states"].repartition(n_workers, *keys).sortWithinPartitions(*keys)
-        s, best, trace, valid, since, searches, iteration = (x[k] for k in ("state", "best", "trace", "valid", "since", "searches", "iteration"))
+        states = dealt(x["states"], n_workers, keys)
+        s, best, iteration, run = x["state"], x["best"], x["iteration"], {k: x[k] for k in run}
+        best = best and (best[0], dealt(best[1], n_workers, keys), *best[2:])  # the checkpoint it lies in may go
         o = replace(o, rate=x["rate"], beta1=x["beta1"])
+    else:
+        states = bin_states(bins, n_workers, keys)
     while o.max_iters is None or iteration < o.max_iters:
         if checkpoint and iteration and iteration % every == 0:
-            save_checkpoint(checkpoint, iteration, states, s, best, valid, since, searches, o, trace)
-        states, s = step(states, s, o, iteration, keys)
+            save_checkpoint(checkpoint, iteration, states, s, best, run, o)
+        last = states
+        states, s = step(last, cells, s, o, iteration, n_workers, keys)
+        if best is None or best[1] is not last:
+            forget(spark, last)
         iteration += 1
+        trace, valid = run["trace"], run["valid"]
+        if iteration == o.bail_at and trace and trace[0][2] - trace[-1][2] < o.bail_gain:
+            break
         if iteration % o.per_mse and iteration != o.max_iters:
             continue
-        row = errors(states, s, splits, full, o, keys)
-        if row[0] != row[0]:
+        row = errors(states, s, splits, full, o, keys, other)
+        if any(e != e for e in row):
             break
         trace.append((iteration, *row))
         valid.append(row[2])
         if best is None or row[2] < best[0]:
-            best, since = (row[2], states, s, len(valid)), 0
-        else:
-            since += 1
-        enough = o.min_iters is None or iteration >= o.min_iters
-        if enough and since > 2 * o.win + o.spacing:
+            if best is not None:
+                forget(spark, best[1])
+            best, run["low"] = (row[2], states, s, len(trace) - 1), len(valid) - 1
+        if (o.min_iters is None or iteration >= o.min_iters) and len(trace) - best[3] > 2 * o.win + o.spacing:
             break
-        if enough and len(valid) - best[3] + 1 > o.win and converged(valid, o):
-            if not searches:
+        waited = len(trace) - (best[3] if o.wait_from == "minimum" else run["anchor"])
+        if (o.min_iters is None or iteration >= o.min_iters) and waited > o.win and converged(valid, o):
+            if not run["searches"]:
                 break
-            searches -= 1
+            run["searches"] -= 1
+            run["anchor"] = best[3]
             o = replace(o, rate=o.rate / 2, beta1=2 * o.beta1 - 1)
-            states, s, valid, since = best[1], best[2], valid[: best[3]], 0
-    return Fit(best[1] if best else states, best[2] if best else s, trace)
+            run["valid"] = valid[: run["low"] + 1] + valid[-1:]  # those between are of an abandoned path
+            if states is not best[1]:
+                forget(spark, states)
+            states, s = best[1], best[2]
+    for table in (full, cells, other, None if best is None or states is best[1] else states):
+        forget(spark, table)
+    return Fit(best[1] if best else states, best[2] if best else s, run["trace"])
 
 
 def burn_in(t: DataFrame, bins: DataFrame, start: State, o: Options, n_bins: int, n_train: int, keys: list[str] = KEYS) -> State:
@@ -321,5 +414,65 @@ def burn_in(t: DataFrame, bins: DataFrame, start: State, o: Options, n_bins: int
     scale = 1 << 30
     pick = lambda df: df.where(F.pmod(F.xxhash64(F.lit(o.seed), *keys), F.lit(scale)) < int(share * scale))
     updates = int(o.burn_in_epochs * n_train * min(n_bins, o.burn_in_bins))
-    states = bin_states(pick(t), pick(bins), 1, keys)
-    return step(states, start, replace(o, batch=max(1, updates)), -1, keys)[1]
+    states, cells = bin_states(pick(bins), 1, keys), bin_cells(pick(t), 1, keys)
+    out, s = step(states, cells, start, replace(o, batch=max(1, updates)), -1, 1, keys)
+    for table in (states, cells, out):
+        forget(t.sparkSession, table)
+    return s
+
+
+def train_bins(t: DataFrame, splits: dict[tuple[int, int], str], bins: DataFrame, s: State, o: Options, n_workers: int, per_eval: int = 50_000, win: int = 20, spacing: int = 5, shift: float = 1e-5, p_value: float = 0.01, least_gain: float = 0.01, keys: list[str] = KEYS) -> DataFrame:
+    """(keys, factors, bias, evaluations): bins fitted to fixed rows and columns, each worker on its own and until its
+    own validation error stops falling.
+
+    After `batch` updates a worker takes its bins' errors every `per_eval` updates. With two windows of them it stops if
+    the best gain is below `least_gain`, and at convergence (or when one and a half times the windows passed without a
+    new minimum) it halves the rate from its best state, `searches` times, then stops. The best state counts. A worker
+    without training or validation cells leaves its bins as they are; `max_iters` bounds the evaluations, if set."""
+    known, kinds = _split_sums(s, splits), dict(t.dtypes)
+    is_train = np.zeros((len(s.rows), len(s.cols)), bool)
+    for (r, c), split in splits.items():
+        is_train[r, c] = split == "train"
+    need = 2 * win + spacing
+    test = replace(o, win=win, spacing=spacing, shift=shift, p_value=p_value)
+
+    def fit(x: pa.Table, rng: np.random.Generator) -> tuple[np.ndarray, int]:
+        packed_cells, theta = x["cells"].combine_chunks(), _matrix(x["theta"])
+        at, r, c, value = cell_arrays(packed_cells)
+        own = is_train[r, c]
+        cells, values, m, rate = np.c_[at, r, c][own], value[own], Moments(theta.shape), replace(o, rows=False, cols=False, bins=True)
+        if not len(cells):
+            return theta, 0
+        error = lambda: float(known(theta, packed_cells)[1])
+        scale = max(1, len(theta)) * max(1, sum(v == "valid" for v in splits.values()))
+        found, left = [error() / scale], o.searches
+        low, best = 0, (theta.copy(), m)
+        sgd_partition(cells, values, theta, m, s, rate, rng)
+        while o.max_iters is None or len(found) <= o.max_iters:
+            sgd_partition(cells, values, theta, m, s, replace(rate, batch=per_eval), rng)
+            found.append(error() / scale)
+            if found[-1] < found[low]:
+                low, best = len(found) - 1, (theta.copy(), deepcopy(m))
+            if len(found) < need:
+                continue
+            if found[0] - found[low] < least_gain:
+                break
+            if converged(found, test) or len(found) - low > 1.5 * need:
+                if not left:
+                    break
+                left -= 1
+                rate = replace(rate, rate=rate.rate / 2, beta1=2 * rate.beta1 - 1)
+                theta[:], m = best[0], deepcopy(best[1])
+                found = found[: low + 1]
+        return best[0], len(found)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            x = pa.Table.from_batches(held)
+            first = zlib.crc32("|".join(str(x[k][0].as_py()) for k in keys).encode())
+            theta, n = fit(x, np.random.default_rng([o.seed, first]))
+            yield pa.RecordBatch.from_arrays([*(x[k].combine_chunks() for k in keys), _lists(theta[:, :-1]), pa.array(theta[:, -1]), pa.array([n] * len(x), pa.int32())], [*keys, "factors", "bias", "evaluations"])
+
+    joined = together(bin_states(bins, n_workers, keys), bin_cells(t, n_workers, keys), keys)
+    return joined.mapInArrow(each, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", factors array<double>, bias double, evaluations int")

@@ -4,49 +4,65 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable
-from dataclasses import replace
+from dataclasses import asdict, replace
 from math import exp
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacunar.operators import impute, model, stats, tensor
 from lacunar.operators import train as tr
 from lacunar.operators.tensor import KEYS
+from lacunar.sources import sinks
+from lacunar.sources.shared import cut, exists, forget
 
 
 def splits_of(splits: DataFrame) -> dict[tuple[int, int], str]:
     return {(r["row_id"], r["col_id"]): r["split"] for r in splits.collect()}  # the plane's cells
 
 
-def train_model(t: DataFrame, splits: DataFrame, o: tr.Options, fraction: float = 1.0, n_workers: int = 8, keys: list[str] = KEYS) -> tuple[model.Axes, DataFrame, tr.Fit]:
+def train_model(t: DataFrame, splits: DataFrame, o: tr.Options, fraction: float = 1.0, n_workers: int = 8, keys: list[str] = KEYS, valid_on_other_bins: bool = False, out: str | None = None, command: dict | None = None, checkpoint: str | None = None, restart: bool = False) -> tuple[model.Axes, DataFrame, tr.Fit]:
     """(axes, bin factors of all bins, fit): centers, starts from biases, trains on a fraction of the bins, then solves all
-    bins in closed form."""
+    bins in closed form.
+
+    With `valid_on_other_bins` twice the fraction is drawn; the first half in order trains and the second is validated
+    on. With `out`, a folder, the command is recorded there first, and the trace and the model are saved at the end."""
+    spark = t.sparkSession
+    if out:
+        sinks.record_run(spark, f"{out}/command", command or {}, restart)
     n_rows, n_cols = t.select("row_id", "col_id").unionByName(splits.select("row_id", "col_id")).agg(F.max("row_id") + 1, F.max("col_id") + 1).first()
     mine = stats.in_split(t, splits, "train")
     mean = mine.agg(F.avg("value")).first()[0] or 0.0
     c, mine = tensor.centered(t, mean), tensor.centered(mine, mean)
-    rows = stats.row_bias(mine)
-    cols = stats.col_bias(mine, rows)
+    rows = cut(stats.row_bias(mine))
+    cols = cut(stats.col_bias(mine, rows))
     rb, cb = np.zeros(n_rows), np.zeros(n_cols)
     for r in rows.collect():
         rb[r["row_id"]] = r["row_bias"]
     for r in cols.collect():
         cb[r["col_id"]] = r["col_bias"]
-    some = tensor.sampled(c, fraction, o.seed, keys) if fraction < 1 else c
+    share = fraction * (2 if valid_on_other_bins else 1)
+    some, other = tensor.sampled(c, share, o.seed, keys) if share < 1 else c, None
+    if valid_on_other_bins:
+        halves = tensor.halves(some.select(*keys).distinct(), keys)
+        some, other = (tensor.in_bins(some, halves.where(F.col("half") == k), keys) for k in (0, 1))
+    some = cut(some)
     bins = model.init_bins(some.select(*keys).distinct(), o.rank, o.seed, keys)
     bias = stats.bin_bias(stats.in_split(some, splits, "train"), rows, cols, bins, keys)
-    bins = bins.drop("bias").join(bias.withColumnRenamed("bin_bias", "bias"), keys)
+    bins = cut(bins.drop("bias").join(bias.withColumnRenamed("bin_bias", "bias"), keys))
     n_bins = bins.count()
     o = o.scaled(n_rows, n_cols, n_bins)
     known = splits_of(splits)
     state = tr.State.of(model.init_axes(n_rows, n_cols, o.rank, o.seed, rb, cb))
-    if o.burn_in_epochs:
+    if o.burn_in_epochs and not restart:
         state = tr.burn_in(stats.in_split(some, splits, "train"), bins, state, o, n_bins, sum(v == "train" for v in known.values()), keys)
-    fit = tr.train(some, known, bins, state, o, n_workers, keys)
+    fit = tr.train(some, known, bins, state, o, n_workers, keys, checkpoint, restart=restart, valid_bins=other)
     axes = fit.state.axes(mean)
     solved = model.solve_bins(c, axes, sorted(k for k, v in known.items() if v == "train"), o.ri2, keys)
+    if out:
+        sinks.write_trace(spark, fit.trace, f"{out}/trace")
+        sinks.save_model(axes, solved, asdict(o), f"{out}/model")
     return axes, solved, fit
 
 
@@ -55,13 +71,33 @@ def predict_model(axes: model.Axes, bins: DataFrame, cells: DataFrame | None = N
     return model.predicted(bins, rows, cols, axes.mean, cells, keys)
 
 
-def bagged(t: DataFrame, folds: DataFrame, test_fold: int, o: tr.Options, bags: int, seed: int, keys: list[str] = KEYS, **options) -> tuple[DataFrame, DataFrame]:
-    """(predictions of all models, their splits) of `bags` models on validation folds drawn without replacement."""
+def solve_saved(spark: SparkSession, path: str, t: DataFrame, train: list[tuple[int, int]], cells: DataFrame | None = None, keys: list[str] = KEYS) -> DataFrame:
+    """Predictions of the asked cells by a saved model for the bins of a tensor, which it may never have seen: their
+    factors are solved from the cells in `train`."""
+    m = sinks.load_model(spark, path)
+    bins = model.solve_bins(tensor.centered(t, m["axes"].mean), m["axes"], sorted(train), m["settings"]["ri2"], keys)
+    return predict_model(m["axes"], bins, cells, keys)
+
+
+def bagged(t: DataFrame, folds: DataFrame, test_fold: int, o: tr.Options, bags: int, seed: int, keys: list[str] = KEYS, path: str | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """(predictions of all models, their splits) of `bags` models on validation folds drawn without replacement.
+
+    With `path` each model is saved there, and a run that starts again trains only those that are not there yet."""
+    spark = t.sparkSession
     known = sorted(r[0] for r in folds.where(F.col("test_fold") == test_fold).select("valid_fold").distinct().collect())
     outs, used = [], None
     for i, v in enumerate(random.Random(seed).sample(known, bags)):
         one = folds.where((F.col("test_fold") == test_fold) & (F.col("valid_fold") == v)).select("row_id", "col_id", "split")
-        axes, bins, _ = train_model(t, one, replace(o, seed=o.seed + i), keys=keys, **options)
+        where = f"{path}/bag-{test_fold}-{v}-{i}"
+        if path and exists(spark, f"{where}/manifest/_SUCCESS"):  # written last
+            m = sinks.load_model(spark, where)
+            axes, bins = m["axes"], m["bins"]
+        else:
+            axes, bins, _ = train_model(t, one, replace(o, seed=o.seed + i), keys=keys, **options)
+            if path:
+                forget(spark, where)
+                sinks.save_model(axes, bins, {**asdict(o), "seed": o.seed + i, "valid_fold": v}, where)
+                bins = spark.read.parquet(f"{where}/bins")
         outs.append(predict_model(axes, bins, keys=keys))
         part = one.withColumn("model", F.lit(i))
         used = part if used is None else used.unionByName(part)
@@ -85,7 +121,8 @@ def add_row(t: DataFrame, new: DataFrame, a_cols: DataFrame, b_cols: DataFrame,
 
 
 def search_options(base: tr.Options, params: dict[str, float]) -> tr.Options:
-    """Options with the given values; a name that ends in zzzexp stands for the exponential of its value."""
+    """Options with the given values. A name that ends in zzzexp, a fixed convention of parameter files, stands for the
+    exponential of its value."""
     return replace(base, **{k.removesuffix("zzzexp"): exp(v) if k.endswith("zzzexp") else v for k, v in params.items()})
 
 

@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lacunar.functions import scalar
 from lacunar.operators import folds, impute, intervals, metrics, model, stats, tensor
@@ -261,20 +261,38 @@ def fold_patch(spark, d):
     return folds.patched(fx.plane(spark, *E_SHAPE).withColumn("split", F.when((r % 4 == 0) | (c == 2), F.lit("valid")).otherwise(F.lit("train"))))
 
 
-@query(f"""WITH {E_SPLIT}, {RR}, v AS (SELECT t.fold AS test_fold, rr.row_id, rr.col_id, CAST((row_number() OVER (PARTITION BY t.fold ORDER BY {ORDER.replace("row_id", "rr.row_id").replace("col_id", "rr.col_id")}) - 1) % 8 AS INTEGER) AS vf
-FROM (SELECT DISTINCT fold FROM rr) t JOIN rr ON rr.fold <> t.fold)
-SELECT test_fold, CAST(k AS INTEGER) AS valid_fold, row_id, col_id, CASE WHEN vf = k THEN 'valid' ELSE 'train' END AS split FROM v, range(8) x(k)
-UNION ALL SELECT fold, CAST(k AS INTEGER), row_id, col_id, 'test' FROM rr, range(8) x(k)""")
+FOLDS = """SELECT CAST(t AS INTEGER) AS test_fold, CAST(v AS INTEGER) AS valid_fold, 100::BIGINT AS cells, 20::BIGINT AS tests, 10::BIGINT AS valids, 70::BIGINT AS trains,
+20::BIGINT AS rows_trained, 5::BIGINT AS cols_trained, {misplaced}0::BIGINT AS repeated FROM range(5) a(t), range(8) b(v)"""
+
+
+def fold_table(f: DataFrame, *more: Column) -> DataFrame:
+    """What must hold of nested folds: every cell once per pair of folds, equal folds, no row or column left untrained,
+    and no cell in two test or two validation folds."""
+    of = lambda split: F.col("split") == split
+    n = lambda c: F.sum(c.cast("long"))
+    trained = lambda c: F.count_distinct(F.when(of("train"), F.col(c)))
+    tests = f.where(of("test")).groupBy(*tensor.CELL).agg(F.count_distinct("test_fold").alias("k")).where("k <> 1")
+    valids = f.where(of("valid")).groupBy("test_fold", *tensor.CELL).agg(F.count(F.lit(1)).alias("k")).where("k <> 1")
+    repeated = tests.select("k").unionAll(valids.select("k")).agg(F.count(F.lit(1)).alias("repeated"))
+    out = f.groupBy("test_fold", "valid_fold").agg(F.count_distinct(*tensor.CELL).alias("cells"), n(of("test")).alias("tests"), n(of("valid")).alias("valids"), n(of("train")).alias("trains"), trained("row_id").alias("rows_trained"), trained("col_id").alias("cols_trained"), *more)
+    return out.crossJoin(F.broadcast(repeated))
+
+
+@query(FOLDS.format(misplaced="0::BIGINT AS misplaced, "))
 def nested_folds(spark, d):
-    """Test folds by a fixed order, and validation folds of the rest by the same."""
-    r, c = F.col("row_id"), F.col("col_id")
-    base = dealt(spark)
-    tests = base.select(F.col("fold").alias("test_fold")).distinct()
-    rest = tests.join(base, F.col("fold") != F.col("test_fold"))
-    number = (F.row_number().over(Window.partitionBy("test_fold").orderBy((r * 37 + c * 11) % 101, r, c)) - 1) % 8
-    k = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("valid_fold")
-    train = rest.withColumn("vf", number).select("test_fold", k, "row_id", "col_id", "vf").select("test_fold", "valid_fold", "row_id", "col_id", F.when(F.col("vf") == F.col("valid_fold"), F.lit("valid")).otherwise(F.lit("train")).alias("split"))
-    return train.unionByName(base.select(F.col("fold").alias("test_fold"), k, "row_id", "col_id", F.lit("test").alias("split")))
+    """Validation folds for test folds that are given: the observed cells of E, dealt in a fixed order."""
+    cells = folds.round_robin(tensor.observed_pattern(fx.e(spark, d)).unionByName(fx.plane(spark, *E_SHAPE)).distinct(), 5, [(F.col("row_id") * 37 + F.col("col_id") * 11) % 101, F.col("row_id"), F.col("col_id")])
+    known = [(r["row_id"], r["col_id"], r["fold"]) for r in cells.collect()]  # the plane
+    given = [[(r, c) for r, c, k in known if k == fold] for fold in range(5)]
+    f = folds.nested_folds(spark, [(r, c) for r, c, _ in known], 5, 8, 200, seed=3, fixed_test=given)
+    misplaced = F.sum(((F.col("split") == "test") != (F.col("test_fold") == F.col("fold"))).cast("long")).alias("misplaced")
+    return fold_table(f.join(F.broadcast(cells), tensor.CELL), misplaced)
+
+
+@query(FOLDS.format(misplaced=""))
+def best_folds(spark, d):
+    """Nested folds, test folds and all, by the best of 10,000 random deals each."""
+    return fold_table(folds.nested_folds(spark, [(r, c) for r in range(E_SHAPE[0]) for c in range(E_SHAPE[1])], seed=7))
 
 
 @query(f"WITH {SQL_E} SELECT contig, start, row_id, col_id, CAST(ntile(4) OVER (PARTITION BY contig, start ORDER BY row_id, col_id) - 1 AS INTEGER) AS subset FROM e")
@@ -382,15 +400,32 @@ def ridge_rank1_imputed(spark, d):
     return cells(impute.missing_only(p.select(*KEYS, "row_id", "col_id", "predicted"), t), "predicted")
 
 
-@query()
+def _rank4() -> tuple[model.Axes, list[tuple[int, int]]]:
+    """Axes drawn from a seed, and the training cells of the formula's split."""
+    train = [(r, c) for r in range(L_SHAPE[0]) for c in range(L_SHAPE[1]) if (r * 7 + c * 3) % 10 < 7]
+    return model.init_axes(*L_SHAPE, 4, 5), train
+
+
+def _rank4_sql() -> str:
+    """The solution as sums of values times fixed weights: columns of the pseudo-inverse, found here by solving the
+    normal equations of the design once per training cell."""
+    axes, train = _rank4()
+    z = np.array([[*(axes.rows[r] * axes.cols[c]), 1.0] for r, c in train])
+    w = np.linalg.solve(z.T @ z + np.diag([2.9] * 4 + [0.0]), z.T).T
+    rows = ", ".join(f"({r}, {c}, {', '.join(f'{x:.17e}::DOUBLE' for x in own)})" for (r, c), own in zip(train, w, strict=True))
+    sums = ", ".join(f"round(coalesce(sum((value - gm) * w{k}), 0), 6) AS {name}" for k, name in enumerate(["f0", "f1", "f2", "f3", "bias"]))
+    return f"""WITH {SQL_L}, g0 AS (SELECT avg(value) AS gm FROM l), wt(row_id, col_id, w0, w1, w2, w3, w4) AS (VALUES {rows}),
+o AS (SELECT l.*, gm, w0, w1, w2, w3, w4 FROM l CROSS JOIN g0 LEFT JOIN wt USING (row_id, col_id)) SELECT contig, start, {sums} FROM o GROUP BY contig, start"""
+
+
+@query(_rank4_sql())
 def ridge_rank4(spark, d):
     """The same in closed form at rank four, by one matrix product per batch of bins."""
     t = fx.l(spark, d)
+    axes, train = _rank4()
     mean = t.agg(F.avg("value")).first()[0]
-    axes = model.init_axes(*L_SHAPE, 4, 5, mean=mean)
-    train = [(r["row_id"], r["col_id"]) for r in fx.splits(spark, *L_SHAPE).where("split = 'train'").collect()]
-    sol = model.solve_bins(tensor.centered(t, mean), axes, sorted(train), 2.9)
-    return sol.select(*KEYS, F.transform("factors", lambda x: F.round(x, 6)).alias("factors"), r6("bias", "bias"))
+    sol = model.solve_bins(tensor.centered(t, mean), axes, train, 2.9)
+    return sol.select(*KEYS, *(r6(F.get("factors", F.lit(k)), f"f{k}") for k in range(4)), r6("bias", "bias"))
 
 
 # --- errors ---
@@ -451,11 +486,8 @@ def objective(spark, d):
     t = fx.e(spark, d)
     rows, cols = fx.axes3(spark, *E_SHAPE)
     sse = stats.mse_by_split(t, e_predicted(spark, d), fx.splits(spark, *E_SHAPE)).where("split = 'train'").select("sse")
-    parts = [stats.penalty(x).select(F.col("factors2").alias(f"f{i}"), F.col("bias2").alias(f"b{i}")) for i, x in enumerate((rows, cols, fx.bins3(t)))]
-    one = sse
-    for p in parts:
-        one = one.crossJoin(p)
-    return one.select(F.round(F.expr("sse + 0.5D * f0 + 0.25D * b0 + 0.1D * f1 + 0.2D * b1 + 0.01D * f2 + 0.02D * b2"), 6).alias("objective"))
+    weights = {"rc": 0.5, "rbc": 0.25, "ra": 0.1, "rba": 0.2, "ri": 0.01, "rbi": 0.02}
+    return stats.objective(sse, *(stats.penalty(x) for x in (rows, cols, fx.bins3(t))), weights).select(r6("objective", "objective"))
 
 
 TRACE = "tr AS (SELECT i, 1.0::DOUBLE / (1 + i) + 0.001::DOUBLE * ((i * 7) % 5) AS error FROM range(60) t(i))"

@@ -2,32 +2,99 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Only a local session may do without the setting."""
+    """The folder named in spark.checkpoint.dir. Only a local session may do without the setting: it gets a private
+    folder of its own, which is removed when the process ends."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file:///tmp/lacunar-checkpoints"
+        own = tempfile.mkdtemp(prefix="lacunar-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        base = f"file://{own}"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+#: Paths written inside scratch(), innermost last.
+_written: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What cut() and store() write in here is removed at the end, also after a failure. For blocks whose result does not
+    depend on it any more, such as a stage whose output has been written."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        for path in _written.pop():
+            _delete(spark, path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise a frame in the shared folder, so that losing an executor never recomputes what led to it."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if _written:
+        file = out._jdf.logicalPlan().rdd().getCheckpointFile()
+        if file.isDefined():
+            _written[-1].append(file.get())
+    return out
 
 
 def store(df: DataFrame, what: str) -> DataFrame:
     """As cut(), for a larger frame: a Parquet table in the shared folder, under a name used once."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _written:
+        _written[-1].append(path)
     return df.sparkSession.read.parquet(path)
+
+
+def dealt(df: DataFrame, n: int, keys: list[str], shuffle: bool = True) -> DataFrame:
+    """As store(), in n buckets by the hash of `keys`: joins of tables dealt alike shuffle nothing. Without `shuffle` the
+    rows of a partition must belong to one bucket already. forget() removes the table."""
+    spark, name = df.sparkSession, f"lacunar_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    rows = df.repartition(n, *keys) if shuffle else df
+    rows.write.option("path", path).bucketBy(n, *keys).sortBy(*keys).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    _tables[out] = (name, path)
+    return out
+
+
+#: Names and paths of the tables that dealt() has made.
+_tables: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def forget(spark: SparkSession, what: DataFrame | str | None) -> None:
+    """Removes a table of dealt(), or a path. Other frames are left alone."""
+    if isinstance(what, str):
+        _delete(spark, what)
+    elif what is not None and (known := _tables.pop(what, None)):
+        spark.sql(f"DROP TABLE IF EXISTS {known[0]}")
+        _delete(spark, known[1])
