@@ -198,7 +198,7 @@ class WarcReader(DataSourceReader):
         where, root = _open(self.path)
         manifest = where.get_file_info(f"{root}/{MANIFEST}")
         if manifest.type == fs.FileType.File:
-            with where.open_input_stream(f"{root}/{MANIFEST}") as f:
+            with where.open_input_stream(f"{root}/{MANIFEST}", compression=None) as f:
                 files = json.loads(f.read())
             return [Stretch(f"{self.path}/{x['name']}", a, b) for x in files for a, b in zip(x["at"], x["at"][1:])]
         info = where.get_file_info(root)
@@ -206,16 +206,15 @@ class WarcReader(DataSourceReader):
         base = self.path if info.type == fs.FileType.File else None
         return [Stretch(base or self.path + x.path[len(root) :], 0, None) for x in found if x.type == fs.FileType.File and ".warc" in x.base_name]
 
-    @staticmethod
-    def records(f, partition: Stretch) -> Iterator:
+    def read(self, partition: Stretch | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's stand-in for no partitions at all
+            return
         try:
-            yield from Records(f, partition.stop)
+            yield from self.batches(partition)
         except ValueError as e:
             raise Damaged(f"{partition.path}: {e}") from e
 
-    def read(self, partition: Stretch | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:  # Spark's stand-in for no partitions at all
-            return
+    def batches(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
         where, name = _open(partition.path)
         columns: list[list] = [[] for _ in self.names]
         kinds = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}
@@ -230,7 +229,7 @@ class WarcReader(DataSourceReader):
         with where.open_input_file(name) as raw:
             f = io.BufferedReader(raw, 1 << 20) if hasattr(raw, "readinto") else raw
             f.seek(partition.start)
-            for headers, payload in self.records(f, partition):
+            for headers, payload in Records(f, partition.stop):
                 if any(headers.get(HEADERS[k].lower()) not in v for k, v in self.wanted.items()):
                     continue
                 for c, n, t in zip(columns, self.names, self.types, strict=True):
@@ -260,7 +259,8 @@ class WarcWriter(DataSourceWriter):
     def write(self, iterator) -> Written:
         where, root = _open(self.path)
         name, at, place = f"part-{uuid.uuid4().hex}.warc.gz", [0], 0
-        with where.open_output_stream(f"{root}/{name}") as out:
+        # the members are compressed one by one here; by the file's name the stream would compress them all once more
+        with where.open_output_stream(f"{root}/{name}", compression=None) as out:
             for row in iterator:
                 payload = bytes(row["payload"] or b"")
                 values = {h: row[c] for c, h in HEADERS.items() if c != "content_length" and row[c] is not None}
@@ -275,7 +275,7 @@ class WarcWriter(DataSourceWriter):
 
     def commit(self, messages) -> None:
         where, root = _open(self.path)
-        with where.open_output_stream(f"{root}/{MANIFEST}") as f:
+        with where.open_output_stream(f"{root}/{MANIFEST}", compression=None) as f:
             f.write(json.dumps([{"name": m.name, "at": m.at} for m in messages if m and len(m.at) > 1]).encode())
 
     def abort(self, messages) -> None:
