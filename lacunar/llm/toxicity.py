@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, store
+from .common import cut, held_out, row_of, store
 
 #: Seed lexicon of the first voter: common insults in four languages. Fixed values.
 SEEDS = (
@@ -115,16 +115,16 @@ class Voters:
         return sorted(out), votes
 
 
-def read_votes(docs: DataFrame, voters: Voters, id_col: str, text_col: str) -> DataFrame:
-    """(id_col, hits array<int>, votes bigint) of every whole text."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def read_votes(docs: DataFrame, voters: Voters, text_col: str) -> DataFrame:
+    """(row, hits array<int>, votes bigint) of every whole text; `row` holds the columns of `docs`."""
+    at, rows = docs.columns.index(text_col), docs.select(row_of(docs))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [voters.hits(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h for h, _ in got], pa.list_(pa.int32())), pa.array([v for _, v in got], pa.int64())], [id_col, "hits", "votes"])
+            got = [voters.hits(t.as_py()) for t in b.column(0).field(at)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h for h, _ in got], pa.list_(pa.int32())), pa.array([v for _, v in got], pa.int64())], ["row", "hits", "votes"])
 
-    return docs.select(id_col, F.col(text_col)).mapInArrow(each, f"`{id_col}` {kind}, hits array<int>, votes bigint")
+    return rows.mapInArrow(each, f"row {rows.dtypes[0][1]}, hits array<int>, votes bigint")
 
 
 def vote_moments(votes: DataFrame, n: int) -> tuple[int, np.ndarray]:
@@ -206,26 +206,23 @@ def train_linear(hits: list[list[int]], y: np.ndarray, n: int, share: np.ndarray
     return w, float(b)
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = 12_000, terms: int = 1024, lexicons: int = 24, patterns: int = 16, threshold: float = 0.3, seed: int = 5) -> DataFrame:
-    """(id_col, score double, predicted int, posterior double) of every whole text.
-
-    Labels come from `labels` (doc_id, toxic), held-out rows aside, `rows` of them at most; the classifier is fitted on
-    at most as many documents. Null and empty texts hold no term and get the score of such texts. Without labels only the
-    seed lexicon votes, at an assumed prior of 0.1. Repeated rows and null ids come back as they are.
-    """
+def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, keep: bool, rows: int = 12_000, terms: int = 1024, lexicons: int = 24, patterns: int = 16, threshold: float = 0.3, seed: int = 5) -> DataFrame:
+    """(row, score, predicted, posterior). `row` is the document's row, or without `keep` its id alone."""
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     mined, prior = mine_terms(text, labels, rows, terms, seed)
     voters = Voters(mined, lexicons, patterns)
-    read = store(read_votes(docs, voters, id_col, text_col), "votes")
+    votes = read_votes(docs if keep else docs.select(id_col, text_col), voters, text_col)
+    id_ = F.col("row")[id_col]
+    read = store(votes if keep else votes.select(F.struct(id_.alias(id_col)).alias("row"), "hits", "votes"), "votes")
     n, together = vote_moments(read, voters.n)
     model = LabelModel(n, together, prior or 0.1)
-    free = read.where(~held_out(F.col(id_col)))
+    free = read.select(id_.alias("id"), "hits", "votes").where(~held_out(F.col("id")))
     size = free.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("votes") != 0).cast("int")).alias("v")).first()
-    h = F.xxhash64(F.lit(seed + 1), id_col)
+    h = F.xxhash64(F.lit(seed + 1), "id")
     # fired and silent documents in halves, each weighted by what it stands for
     weights, bias = np.zeros(len(voters.terms)), log(model.prior / (1 - model.prior))
     if size["n"]:
-        half = lambda q, k: free.where(q).where(F.pmod(h, F.lit(max(1, k))) < rows // 2).orderBy(h, id_col, "votes").limit(rows // 2).select("hits", "votes").collect()
+        half = lambda q, k: free.where(q).where(F.pmod(h, F.lit(max(1, k))) < rows // 2).orderBy(h, "id", "votes").limit(rows // 2).select("hits", "votes").collect()
         fired = half("votes <> 0", size["v"])
         silent = half("votes = 0", size["n"] - size["v"])
         some = fired + silent
@@ -238,5 +235,21 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     s = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
     gain = F.array(*(F.lit(float(g)) for g in model.gain))
     lp = F.lit(log(model.prior / (1 - model.prior))) + F.when(F.col("votes") == 0, F.lit(min(model.silence, -2.0))).otherwise(F.aggregate(F.sequence(F.lit(0), F.lit(voters.n - 1)), F.lit(0.0), lambda a, j: a + F.when(F.getbit("votes", j) == 1, F.get(gain, j)).otherwise(F.lit(0.0))))
-    out = read.select(id_col, s.alias("score"), (1 / (1 + F.exp(-lp))).alias("posterior"))
+    out = read.select("row", s.alias("score"), (1 / (1 + F.exp(-lp))).alias("posterior"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(id_col, score double, predicted int, posterior double) of every whole text.
+
+    Labels come from `labels` (doc_id, toxic), held-out rows aside, `rows` (12,000) of them at most; the classifier is
+    fitted on at most as many documents. Null and empty texts hold no term and get the score of such texts. Without labels
+    only the seed lexicon votes, at an assumed prior of 0.1. Repeated rows and null ids come back as they are. Of `docs`
+    only the id and the text are read, so other columns can't clash."""
+    return _scored(docs, labels, id_col, text_col, False, **options).select(F.col("row")[id_col].alias(id_col), "score", "predicted", "posterior")
+
+
+def clean_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `docs` that are not predicted toxic. They travel with their votes, so nothing is joined or shuffled."""
+    kept = _scored(docs, labels, id_col, text_col, True, **options).where("predicted = 0")
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -110,6 +110,34 @@ def test_toxicity_odd_rows(spark, odd, none):
     assert toxicity.score(none, labels(spark, [(1, 0, 1)])).count() == 0
 
 
+def test_toxicity_does_not_depend_on_partitions_or_on_which_label_comes_first(spark):
+    """A third of the labels are contradicted, once or twice; near copies are about."""
+    rows, marks = toxic_docs(300)
+    rows += [(1000 + i, t + " tail", "en", "a") for i, t, *_ in rows[:60]]
+    marks += [(i, 0, 1 - t) for i, _, t in marks[::3]] + [(i, 0, t) for i, _, t in marks[::6]] + [(1000 + i, 0, t) for i, _, t in marks[:60]]
+    d, m = docs(spark, rows), labels(spark, marks)
+    key = lambda out: {r["doc_id"]: r["score"] for r in out.collect()}
+    a, b = key(toxicity.score(d.repartition(3), m.repartition(2))), key(toxicity.score(d.repartition(7), labels(spark, marks[::-1]).repartition(5)))
+    assert a.keys() == b.keys() and max(abs(a[i] - b[i]) for i in a) < 1e-6
+
+
+def test_clean_documents_are_those_not_predicted_toxic(spark):
+    rows, marks = toxic_docs(200)
+    d = docs(spark, [*rows, (None, "nothing bad", "en", "a"), rows[1], (900, None, None, None)])
+    bad = {r["doc_id"] for r in toxicity.score(d, labels(spark, marks)).where("predicted = 1").collect()}
+    clean = toxicity.clean_documents(d, labels(spark, marks))
+    assert bad and clean.dtypes == d.dtypes
+    assert sorted(map(repr, clean.collect())) == sorted(repr(r) for r in d.collect() if r["doc_id"] not in bad)
+
+
+def test_classifier_weighs_rows_by_what_they_stand_for():
+    """Ten silent rows that stand for ninety count as ninety."""
+    hits, y = [[0]] * 10 + [[]] * 10, np.r_[np.full(10, 0.9), np.full(10, 0.05)]
+    many = toxicity.train_linear([[0]] * 10 + [[]] * 90, np.r_[np.full(10, 0.9), np.full(90, 0.05)], 1)
+    few = toxicity.train_linear(hits, y, 1, np.r_[np.full(10, 1.0), np.full(10, 9.0)])
+    assert np.allclose(few[0], many[0]) and np.isclose(few[1], many[1])
+
+
 def test_label_model_finds_good_voters():
     rng = np.random.default_rng(0)
     y = rng.random(20_000) < 0.15
@@ -175,6 +203,16 @@ def test_simhash_links_brute_force(spark, node_rows):
     assert all(got[simhash.signed(f)] == want[i] for i, f in rows)
 
 
+def test_simhash_divides_dense_nodes_to_the_end(spark):
+    """All fingerprints agree on 50 bits, so the first levels divide nothing; nodes still end small and no link is lost."""
+    rng = random.Random(3)
+    fps = list(enumerate({(0xABCDE << 40) | rng.getrandbits(14) << 5 for _ in range(700)}))
+    df = spark.createDataFrame([(i, simhash.signed(f)) for i, f in fps], "id long, fingerprint long")
+    got = {r["fingerprint"]: r["component_id"] for r in simhash.link_fingerprints(df, node_rows=16).collect()}
+    want = groups_by_hand(sorted(fps))
+    assert all(got[simhash.signed(f)] == want[i] for i, f in fps)
+
+
 def test_simhash_odd_rows(spark, odd, none):
     rows = [tuple(r) for r in simhash.near_duplicates(odd).collect()]
     assert len(rows) == len(odd_rows())
@@ -230,6 +268,26 @@ def test_mixing_targets_and_bounds(spark):
     assert mixed.select(F.sum(mixing.n_words(F.col("text")))).first()[0] == sum(r["taken"] for r in got)
 
 
+def test_mixing_many_sources_and_shards(spark):
+    """More shards when there are more rows, and sources by the hundred: targets and bounds hold all the same."""
+    rows = [(i, " ".join(["w"] * (5 + i % 40)), "en", f"s{i % 300:03d}") for i in range(3000)]
+    got = mixing.mix(docs(spark, rows), shards=2, shard_rows=16).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert len(got) == 3000 and len(target) == 300 and abs(sum(target.values()) - sum(r["size"] for r in got)) < 1e-6
+    assert all(abs(taken[s] - target[s]) <= 0.05 * target[s] + 2 for s in target) and all(r["taken"] <= 3 * r["size"] for r in got)
+
+
+def test_a_cut_copy_is_a_prefix(spark):
+    text = " \tone  two\n\nthree\x0bfour five\r\nsix " + "seven\n" * 200
+    rows = [(i, text, "en", "ab"[i % 2]) for i in range(40)]
+    out = [r["text"] for r in mixing.mixed_documents(docs(spark, rows), block=37).collect()]
+    assert all(text.startswith(t) for t in out) and any(t != text for t in out)
+    assert {r["n_chars"] for r in mixing.mixed_documents(docs(spark, rows), block=37).collect()} == {len(t) for t in out}
+
+
 def test_mixed_documents_take_each_row_by_its_own_plan(spark):
     """Rows that share an id, or have none, come back as often as the plan takes them."""
     rows = [(1, f"a{k} " * 40, "en", "a") for k in range(6)] + [(None, f"n{k} " * 30, "en", "b") for k in range(5)]
@@ -269,7 +327,7 @@ def vectors(seed=0, n=300):
     return [(i, [float(np.float32(v)) for v in row], int(i * 7 % 5 != 0)) for i, row in enumerate(x)]
 
 
-@pytest.mark.parametrize(("recall", "block_rows"), [(1.0, 4096), (0.999, 4096), (1.0, 8)])
+@pytest.mark.parametrize(("recall", "block_rows"), [(1.0, 4096), (0.999, 4096), (1.0, 8), (0.999, 3)])
 def test_embeddings_brute_force(spark, recall, block_rows):
     rows = vectors()
     x = np.array([r[1] for r in rows])
@@ -285,6 +343,19 @@ def test_embeddings_brute_force(spark, recall, block_rows):
     assert all(got[i]["kept"] == (parent[i] == i) for i in range(len(x)))
 
 
+def test_hot_cells_are_cut_on_both_sides(spark):
+    """A cell that is larger than a block meets itself block by block; each query meets each vector once."""
+    rows = [(0, 5, q, i, 1, [1.0]) for q in (False, True) for i in range(100)] + [(0, 6, False, 200, 1, [1.0]), (0, 6, True, 201, 1, [1.0])]
+    df = spark.createDataFrame(rows, "label int, cell long, query boolean, id long, copies long, vector array<float>")
+    got = embeddings.blocked(df, df.select("label", "cell", "query"), 16).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault((r["cell"], r["db"], r["qb"]), ([], []))[r["query"]].append(r["id"])
+    pairs = Counter((c, a, b) for (c, *_), (data, queries) in groups.items() for a in data for b in queries)
+    assert pairs == Counter([(5, a, b) for a in range(100) for b in range(100)] + [(6, 200, 201)])
+    assert max(len(d) + len(q) for d, q in groups.values()) <= 64 and len(groups) == 50
+
+
 def test_embeddings_odd_rows(spark):
     v = [1.0, 0.0, 2.0, 1.0]
     rows = [(1, v, 1), (2, v, 1), (3, v, None), (4, None, 1), (5, [0.0] * 4, 1), (6, [1.0, None, 2.0, 1.0], 1), (7, [float("nan"), 0.0, 2.0, 1.0], 1), (8, [float("inf"), 0.0, 2.0, 1.0], 1), (9, [], 1), (10, v, 2), (11, [1.0, 0.0], 1), (12, [2.0, 0.0], 1)]
@@ -337,6 +408,39 @@ def lines_by_hand(rows, min_chars=40, min_docs=5):
     return out
 
 
+def test_line_dedup_spreads_a_hot_line(spark):
+    """A line of a third of all documents is cut between documents by the range partitions, and nothing but one row per
+    partition and hash is shuffled after that."""
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.xxhash64("id")).alias("h1"), (F.col("id") % 1 + 1).alias("h2"), F.bitwise_not("id").alias("after"), F.col("id").alias("version"), F.length(F.col("id").cast("string")).alias("pos"))
+    ranged = rows.repartitionByRange(8, "h1", "h2", "after")
+    assert ranged.where("h1 = 7").select(F.spark_partition_id()).distinct().count() > 1
+    first = linededup.first_occurrences(rows, 5)
+    assert [tuple(r) for r in first.collect()] == [(7, 1, ~29_997)]
+    plan = first._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange") == 2 and "rangepartitioning" in plan and plan.index("Window") < plan.index("rangepartitioning")
+
+
+def test_keep_bitmaps_are_compressed(spark):
+    """Words of lines that all stay are left out, however long the text."""
+    line = "a line that five documents or more do share, to be sure"
+    long = "\n".join(f"own {k}" for k in range(100_000)) + f"\n{line}\nend"
+    rows = [(i, line, "en", "a") for i in range(10, 16)] + [(1, long, "en", "a"), (2, f"{line}\n" * 130 + "x", "en", "a")]
+    maps = {r["id"]: r for r in linededup.keep_bitmaps(docs(spark, rows)).collect()}
+    assert [tuple(w) for w in maps[1]["keep"]] == [(100_000 // 64, ~(1 << 100_000 % 64))] and maps[1]["n_dropped"] == 1
+    assert [w["gap"] for w in maps[2]["keep"]] == [0, 0, 0] and maps[2]["n_dropped"] == 130
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in linededup.dedup_lines(docs(spark, rows)).collect()}
+    assert got == lines_by_hand(rows)
+
+
+def test_line_dedup_of_very_long_lines_and_words(spark):
+    word = "é" * 300_000
+    rows = [(i, f"{word}\n{i}", "en", "a") for i in range(5)] + [(9, f"{word} {word}", "en", "a")]
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in linededup.dedup_lines(docs(spark, rows)).collect()}
+    assert got == lines_by_hand(rows) and got[0][1] == 1 and got[4][1] == 0
+    found = {r["doc_id"]: r["fingerprint"] & (1 << 64) - 1 for r in simhash.fingerprints(docs(spark, rows)).collect()}
+    assert found == {i: simhash_by_hand(t) for i, t, *_ in rows}
+
+
 @pytest.mark.parametrize("broadcast_rows", [0, 1 << 20])
 def test_line_dedup_brute_force(spark, broadcast_rows, monkeypatch):
     rng = random.Random(6)
@@ -387,6 +491,29 @@ def test_warc_round_trip_and_push_down(spark, tmp_path):
     assert sorted(r["record_id"] for r in some.collect()) == [name(5), name(9)]
 
 
+def test_every_stretch_of_a_written_archive_reads_alone(spark, tmp_path):
+    """The files on disk are the members themselves: a stretch begins with one, holds its own records and no others, and
+    headers are read without inflating a payload."""
+    from pyspark.sql.types import StructType
+
+    rows = [(i, f"http://{i}", random.Random(i).randbytes(3000).hex()) for i in range(60)]
+    warc.write_warc(warc.page_records(pages(spark, rows)).coalesce(2), f"file://{tmp_path}/w", split_bytes=20_000)
+    reader = warc.WarcReader(f"file://{tmp_path}/w", StructType.fromDDL("record_id string"))
+    parts, seen = reader.partitions(), []
+    assert len(parts) > 6
+    for p in parts:
+        got = [r["record_id"] for b in reader.read(p) for r in b.to_pylist()]
+        assert got
+        seen += got
+        with open(p.path.removeprefix("file://"), "rb") as f:
+            f.seek(p.start)
+            assert f.read(14)[12:] == b"WL"
+            f.seek(p.start)
+            records = warc.Records(f, p.stop)
+            assert len([h for h, _ in records]) == len(got) and records.inflated == 0 and f.tell() == p.stop
+    assert sorted(seen) == sorted(f"<urn:page:{i}>" for i in range(60))
+
+
 def test_warc_reader_skips_payloads(tmp_path):
     from pyspark.sql.datasource import EqualTo, In
     from pyspark.sql.types import StructType
@@ -417,6 +544,41 @@ def test_warc_foreign_files(spark, tmp_path):
     assert got == sorted((f"r{i}", i * 1000) for i in range(5) for _ in (0, 1))
 
 
+def test_damaged_archives_raise(tmp_path):
+    """Cut short anywhere, or with a byte turned, an archive is an error and never a shorter result."""
+    import gzip
+
+    from pyspark.sql.types import StructType
+
+    one = lambda i, body: b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: r%d\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, len(body), body)
+    bodies = [bytes(random.Random(i).choices(b"abcdef \n", k=500)) for i in range(3)]
+    records = [one(i, b) for i, b in enumerate(bodies)]
+    own = [warc.member(warc.header_block({"WARC-Record-ID": f"r{i}", "WARC-Type": "response", "Content-Length": "500"}), b, 6) for i, b in enumerate(bodies)]
+    files = {"plain.warc": b"".join(records), "gz.warc.gz": b"".join(map(gzip.compress, records)), "own.warc.gz": b"".join(own)}
+    whole = {"plain.warc": [len(b"".join(records[:k])) for k in range(4)], "gz.warc.gz": [len(b"".join(map(gzip.compress, records[:k]))) for k in range(4)], "own.warc.gz": [len(b"".join(own[:k])) for k in range(4)]}
+
+    def read(data, name, columns="record_id string, payload binary"):
+        (tmp_path / name).write_bytes(data)
+        reader = warc.WarcReader(str(tmp_path / name), StructType.fromDDL(columns))
+        return [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+
+    for name, data in files.items():
+        assert [r["payload"] for r in read(data, name)] == bodies
+        for columns in ("record_id string, payload binary", "record_id string"):
+            for cut in range(1, len(data), 61):
+                if any(k <= cut <= k + (4 if name == "plain.warc" else 0) for k in whole[name]):
+                    continue  # at the end of a record
+                rest = [k for k in whole[name][1:] if name == "plain.warc" and cut >= k - 4]
+                if rest and cut < whole[name][-1] and cut >= whole[name][len(rest)] - 4 and cut <= whole[name][len(rest)]:
+                    continue  # within the blank lines after a payload
+                with pytest.raises(ValueError, match=name):
+                    read(data[:cut], name, columns)
+    turned = bytearray(files["own.warc.gz"])
+    turned[len(own[0]) - 60] ^= 1
+    with pytest.raises(ValueError, match="own"):
+        read(bytes(turned), "own.warc.gz")
+
+
 def test_warc_repeated_rows(spark):
     rows = [(1, "u", "same " * 30), (2, "u", "same " * 30), (2, "u", "same " * 30), (2, "u", "other " * 30), (None, "u", "same " * 30)]
     got = sorted((r["record_id"], r["record_type"]) for r in warc.page_records(pages(spark, rows)).collect())
@@ -518,10 +680,23 @@ def test_shared_digests_are_compared(spark, odd, broadcast_rows, monkeypatch):
 @pytest.mark.parametrize("spread", [1, 10**12])
 def test_next_document(spark, spread):
     ids = [k * (spread if k > 500 else 1) for k in range(900)]
-    d = spark.createDataFrame([(i, f"t{i}") for i in random.Random(1).sample(ids, len(ids))], "doc_id long, text string")
-    got = {r["doc_id"]: r["next"]["doc_id"] for r in fingerprint.with_next(d, rows=8).collect()}
+    d = spark.createDataFrame([(i, f"t{i}" * 3) for i in random.Random(1).sample(ids, len(ids))], "doc_id long, text string")
+    got = {r["doc_id"]: r["head"] for r in fingerprint.with_next(d).collect()}
     down = sorted(ids, reverse=True)
-    assert got == dict(zip(down, down[1:] + down[:1], strict=True))
+    assert got == {i: (f"t{after}" * 3)[: len(f"t{i}")] for i, after in zip(down, down[1:] + down[:1], strict=True)}
+
+
+def test_only_heads_follow_a_text(spark):
+    """Texts are shuffled once, on a hash of their row, and reused; the order is made of keys alone."""
+    d = spark.createDataFrame([(i, f"t{i}") for i in range(50)], "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        plan = fingerprint.with_next(d)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("REPARTITION_BY_COL") <= 2 and "ReusedExchange" in plan and "rangepartitioning" not in plan
 
 
 def test_fingerprints_odd_rows(spark, odd, none):

@@ -32,11 +32,108 @@ def test_stages_take_an_empty_table(spark, tmp_path):
 
 
 def test_stages_take_nulls_and_repeats(spark):
+    """Null texts and ids stay; repeated rows stay repeated, in the mix as often as its plan says."""
     d = "/root/testdata/sf0.001"
+    kind = "doc_id long, text string, lang string, source string, n_chars long, row string, k int, _k int, id long, h long"
+    more = ("x", 1, 2, 3, 4)
+    rows = [(1, None, None, None, None, *more), (2, "", "en", "a", 0, *more), (3, "one two three four", "en", None, 18, *more), (3, "one two three four", "en", None, 18, *more), (None, "x y z", None, "a", 5, *more)]
+    docs = spark.createDataFrame(rows, kind)
+    key = lambda df: sorted(map(repr, df.collect()))
+    for stage in (cp.drop_toxic, cp.drop_near_duplicates):
+        out = stage(spark, docs, d)
+        assert out.dtypes == docs.dtypes
+        lost = [] if stage is cp.drop_toxic else [2]  # null and empty texts are equal sets of shingles
+        assert key(out) == key(docs.where(~docs["doc_id"].isin(lost) | docs["doc_id"].isNull()) if lost else docs)
+    lines = cp.drop_lines(spark, docs, d)
+    assert sorted((repr(r["doc_id"]), r["text"], r["n_chars"]) for r in lines.collect()) == sorted((repr(i), t or "", len(t or "")) for i, t, *_ in rows)
+    mixed = cp.mix_sources(spark, docs, d).collect()
+    words = {"a": 0, None: 0}
+    for r in mixed:
+        words[r["source"]] += len(r["text"].split())
+    assert mixed and {r["text"] for r in mixed if r["source"] == "a"} <= {"x y z", "x", "x y"} and words["a"] + words[None] == 11
+    out = cp.encode(spark, docs, d).collect()
+    assert sorted((repr(r["doc_id"]), r["n_tokens"] > 0) for r in out) == sorted((repr(i), bool(t)) for i, t, *_ in rows)
+
+
+def test_run_equals_the_stages_by_hand(spark, tmp_path):
+    """The whole pipeline against its stages in plain Python, the mix's plan by SQL, the ids by tiktoken."""
+    import hashlib
+    import random
+
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    import public_tokenizers
+    import tiktoken
+
+    from lacunar.llm import bpe, toxicity
+    from lacunar.sources import shared
+
+    from test_llm import WORDS, lines_by_hand
+
+    rng = random.Random(11)
+    shared_line = "This line stands in many documents, and it is long enough to count"
+    rows, marks = [], []
+    for i in range(260):
+        text = "\n".join(" ".join(rng.choice(WORDS) for _ in range(rng.randrange(3, 14))) for _ in range(rng.randrange(1, 6)))
+        if i % 3 == 0:
+            text += f"\n \t{shared_line}  \n" + rng.choice(WORDS)
+        if i % 9 == 0:
+            text += " zorg blarf"
+        if i % 7 == 3:
+            text = rows[-1][1].replace("\n", " \n")
+        rows.append((i, text, "en", rng.choice(["a", "a", "b", "c", None]), len(text)))
+        marks.append((i, 0, int("zorg" in text)))
     kind = "doc_id long, text string, lang string, source string, n_chars long"
-    docs = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "a", 0), (3, "one two three four", "en", None, 18), (3, "one two three four", "en", None, 18), (None, "x y z", None, "a", 5)], kind)
-    for _, stage in cp.STAGES:
-        assert stage(spark, docs, d).count() >= 0
+    docs, labels = spark.createDataFrame(rows, kind), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    toxic = {r["doc_id"] for r in toxicity.score(docs, labels).where("predicted = 1").collect()}
+    assert toxic and toxic <= {i for i, _, t in marks if t}
+    kept = [r for r in rows if r[0] not in toxic]
+    lines = lines_by_hand(kept)
+    assert any(x[1] for x in lines.values())
+    kept = [(i, lines[i][2], lang, source, len(lines[i][2])) for i, _, lang, source, _ in kept]
+
+    def grams(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = [grams(r[1]) for r in kept], list(range(len(kept)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if root[i] != root[j] and (a == sets[j] or 5 * len(a & sets[j]) >= 4 * len(a | sets[j])):
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    kept = [r for i, r in enumerate(kept) if root[i] == i]
+    assert len(kept) < len(sets)
+    pq.write_table(pa.table(dict(zip(("doc_id", "text", "lang", "source", "n_chars"), map(list, zip(*kept)), strict=True))), tmp_path / "kept.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/kept.parquet')")
+    cur = con.execute(SQL["op3_mixing"])
+    names = [x[0] for x in cur.description]
+    text_of, want = {r[0]: r[1] for r in kept}, []
+    for x in (dict(zip(names, r, strict=True)) for r in cur.fetchall()):
+        text = text_of[x["doc_id"]]
+        want += [(x["doc_id"], text)] * (x["base"] + (0 < x["hi"] == x["size"]))
+        if 0 < x["hi"] < x["size"]:
+            words, at = text.split(), 0
+            for w in words[: x["hi"]]:
+                at = text.index(w, at) + len(w)
+            want.append((x["doc_id"], text[:at]))
+    assert any(t != text_of[i] for i, t in want) and any("\n" in t for i, t in want if t != text_of[i])
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    final = sorted((i, len(ids := enc.encode_ordinary(t)), sha(",".join(map(str, ids)).encode()), sha(t.encode())) for i, t in want)
+    got = cp.run(spark, str(tmp_path))
+    assert sorted((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got.collect()) == final
+    # of the run only the last stage's table is left
+    import glob
+
+    base = shared.shared_dir(spark).removeprefix("file://")
+    mine = {f.split("/pipeline-")[1].split("/")[0]: f for f in got.inputFiles()}
+    assert [g.rsplit("/", 1)[1] for name in mine for g in glob.glob(f"{base}/pipeline-{name}/*")] == ["4"]
 
 
 def test_near_duplicates_brute_force(spark):
