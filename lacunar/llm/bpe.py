@@ -17,6 +17,7 @@ import heapq
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -132,34 +133,83 @@ def joined_ids(ids: Column) -> Column:
     return F.array_join(ids.cast("array<string>"), ",")
 
 
-def fold_words(words: DataFrame, ranks: dict[bytes, int], word_col: str = "word", buckets: int = 1 << 15) -> DataFrame:
-    """(word_col, ids array<int>) for a table of distinct words, by higher-order functions alone.
+NO_RANK = 2**31 - 1
+SHIFT = 17
 
-    The rank map is a literal array of small maps, found by hash, since a map is searched from its start. A word of n
-    bytes takes time in proportion to n squared; null words give null."""
-    import json
 
-    spark = words.sparkSession
-    # the hash of each piece comes from Spark itself, so that both sides agree
-    listed = spark.createDataFrame([(p.hex().upper(), r) for p, r in ranks.items()], "p string, r int")
-    small: list[dict[str, int]] = [{} for _ in range(buckets)]
-    for row in listed.select("p", "r", F.pmod(F.xxhash64("p"), F.lit(buckets)).alias("b")).collect():  # the vocabulary
-        small[row["b"]][row["p"]] = row["r"]
-    table = F.from_json(F.lit(json.dumps(small)), "array<map<string,int>>")
+def _let(value: Column, use) -> Column:
+    """use(value) with the value computed once: lambdas know no common subexpressions, but bind their argument."""
+    return F.transform(F.array(value), use)[0]
+
 
-    def rank(p: Column) -> Column:
-        return F.coalesce(F.element_at(F.get(table, F.pmod(F.xxhash64(p), F.lit(buckets)).cast("int")), p), F.lit(2**31 - 1))
+@lru_cache(4)
+def _pair_table(pieces: tuple[bytes, ...]) -> tuple[str, int, int]:
+    """The rank of every pair of pieces that make a piece, as two hash tables in one list of numbers, each at the
+    remainder of its key by a prime (cuckoo hashing): pair times 2 ** SHIFT plus rank, -1 where there is none."""
+    known = {p: r for r, p in enumerate(pieces) if p}
+    todo = [(known[p[:k]] << SHIFT | known[p[k:]], r) for p, r in known.items() for k in range(1, len(p)) if p[:k] in known and p[k:] in known]
+    prime = lambda n: next(k for k in range(n, 2 * n) if all(k % d for d in range(2, int(k**0.5) + 1)))
+    a = prime(max(7, len(todo)))
+    b = prime(a + 2)
+    held: list[tuple[int, int] | None] = [None] * (a + b)
+    for item in todo:
+        side = 0
+        for _ in range(10_000):
+            at = a + item[0] % b if side else item[0] % a
+            held[at], item = item, held[at]
+            if item is None:
+                break
+            side = 0 if at >= a else 1
+        else:
+            raise ValueError("the pairs don't fit their table")
+    return ",".join(str(x[0] << SHIFT | x[1]) if x else "-1" for x in held), a, b
 
-    byte_list = F.transform(F.sequence(F.lit(1), F.octet_length(word_col)), lambda i: F.substring(F.hex(F.encode(word_col, "UTF-8")), i * 2 - 1, F.lit(2)))
 
-    def ranked(parts: Column) -> Column:
-        return F.transform(parts, lambda p, i: F.struct(F.when(i + 1 < F.size(parts), rank(F.concat(p, F.get(parts, i + 1)))).otherwise(F.lit(2**31 - 1)).alias("r"), i.alias("i")))
+def fold_words(words: DataFrame, ranks: dict[bytes, int], word_col: str = "word", buckets: int = 1 << 15) -> DataFrame:
+    """(word_col, ids array<int>) for a table of distinct words, by higher-order functions alone.
 
-    def merge(parts: Column, _: Column) -> Column:
-        low = F.array_min(ranked(parts))
-        at = low["i"]
-        return F.when(low["r"] == 2**31 - 1, parts).otherwise(F.concat(F.slice(parts, 1, at), F.array(F.concat(F.get(parts, at), F.get(parts, at + 1))), F.slice(parts, at + 3, F.size(parts))))
+    A word's bytes become ids, and the ranks of adjacent pairs stand beside them. Each step of the fold merges the pair of
+    the lowest rank, the first of equals, and looks up the two pairs that the merge makes. Ranks are a literal table of
+    pairs. Whether a word is a piece as it stands is told by a literal array of small maps, found by hash, since a map is
+    searched from its start. A word of n bytes takes time in proportion to n squared; null words give null. Every single
+    byte must be a piece, and ranks be below 131,072."""
+    import json
 
-    whole = rank(F.hex(F.encode(word_col, "UTF-8")))
-    parts = F.aggregate(F.sequence(F.lit(1), F.octet_length(word_col)), byte_list, merge)
-    return words.select(word_col, F.when(F.octet_length(word_col) == 0, F.array().cast("array<int>")).when(whole != 2**31 - 1, F.array(whole)).otherwise(F.transform(parts, rank)).alias("ids"))
+    pieces = [b""] * (max(ranks.values()) + 1)
+    small: list[dict[str, int]] = [{} for _ in range(buckets)]
+    for piece, r in ranks.items():
+        pieces[r] = piece
+        small[crc32(piece) % buckets][piece.hex().upper()] = r
+    if len(pieces) > 1 << SHIFT or any(bytes([k]) not in ranks for k in range(256)):
+        raise ValueError("every byte must have a rank, and ranks be below 131,072")
+    listed, a, b = _pair_table(tuple(pieces))
+    pairs = F.split(F.lit(listed), ",").cast("array<bigint>")
+    of_byte = F.split(F.lit(",".join(str(ranks[bytes([k])]) for k in range(256))), ",").cast("array<int>")
+    whole_table = F.from_json(F.lit(json.dumps(small)), "array<map<string,int>>")
+    raw = F.encode(word_col, "UTF-8")
+
+    def rank(x: Column, y: Column) -> Column:
+        def probe(k: Column, at: Column, other: Column) -> Column:
+            return _let(F.get(pairs, at), lambda e: F.when(F.shiftright(e, SHIFT) == k, e.bitwiseAND(F.lit((1 << SHIFT) - 1)).cast("int")).otherwise(other))
+
+        return _let(x.cast("bigint") * (1 << SHIFT) + y, lambda k: probe(k, (k % a).cast("int"), probe(k, (k % b + a).cast("int"), F.lit(NO_RANK))))
+
+    none = F.array().cast("array<int>")
+
+    def merge(state: Column, _: Column) -> Column:
+        p, r = state["p"], state["r"]
+
+        def at(m: Column, i: Column) -> Column:
+            left = F.when(i > 1, F.array(rank(F.get(p, i - 2), m))).otherwise(none)
+            right = F.when(i + 1 < F.size(p), F.array(rank(m, F.get(p, i + 1)))).otherwise(none)
+            parts = F.concat(F.slice(p, F.lit(1), i - 1), F.array(m), F.slice(p, i + 2, F.size(p)))
+            return F.struct(parts.alias("p"), F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, F.size(p))).alias("r"))
+
+        return _let(F.coalesce(F.array_min(r), F.lit(NO_RANK)), lambda m: F.when(m == NO_RANK, state).otherwise(_let(F.array_position(r, m).cast("int"), lambda i: at(m, i))))
+
+    letters = F.slice(F.split(F.decode(raw, "ISO-8859-1"), ""), F.lit(1), F.octet_length(word_col))
+    ids = F.transform(letters, lambda c: F.get(of_byte, F.ascii(c)))
+    begin = _let(ids, lambda p: F.struct(p.alias("p"), F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x, i: rank(x, F.get(p, i + 1))).alias("r")))
+    folded = F.aggregate(F.sequence(F.lit(2), F.octet_length(word_col)), begin, merge)["p"]
+    whole = F.element_at(F.get(whole_table, (F.crc32(raw) % buckets).cast("int")), F.hex(raw))
+    return words.select(word_col, F.when(F.col(word_col).isNull(), F.lit(None)).when(F.octet_length(word_col) == 0, none).when(whole.isNotNull(), F.array(whole)).otherwise(folded).alias("ids"))

@@ -42,12 +42,12 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("k1"), named.alias("k2"))
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, k1, k2, n, d) of every row, cut off: its key, length and digest. (ICU's results are taken for not
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bad: list[str] | None = None) -> DataFrame:
+    """(id, k1, k2, n, d) of every row, cut off: its key, length and digest, with the digests in `bad` told apart. (ICU's results are taken for not
     deterministic by Spark, which then computes an expression as often as it is named; forms are columns of their own
     for that reason.)"""
     forms = keyed(docs, id_col, text_col).select("id", *KEY, F.coalesce(F.char_length("text"), F.lit(0)).alias("n"), canonical(F.col("text")).alias("form"))
-    return cut(forms.select("id", *KEY, "n", digest(F.col("form")).alias("d")))
+    return cut(forms.select("id", *KEY, "n", told_apart(digest(F.col("form")), F.col("form"), bad or []).alias("d")))
 
 
 def mixed_buckets(forms: DataFrame) -> list[str]:

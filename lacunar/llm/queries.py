@@ -66,18 +66,15 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     known = fingerprint.digests(docs)
     bad = fingerprint.colliding(docs, known=known)
+    if bad:  # several forms under one digest: all digests again, these with more to them
+        known = fingerprint.digests(docs, bad=bad)
     rows = fingerprint.with_next(docs, known=known)
     rows = rows.select("doc_id", "text", "n", "d", "next_d", fingerprint.edited_text(F.col("text"), F.col("n"), F.col("head")).alias("edited"))
-    rows = rows.withColumn("form", fingerprint.canonical(F.col("edited"))).withColumn("edited_d", fingerprint.digest(F.col("form")))
+    rows = rows.withColumn("form", fingerprint.canonical(F.col("edited"))).withColumn("edited_d", fingerprint.told_apart(fingerprint.digest(F.col("form")), F.col("form"), bad))
     near = F.when(F.col("d") != F.col("edited_d"), F.lit(False)).otherwise(fingerprint.canonical(F.col("text")) == F.col("form"))
-    if bad:  # digests that stand for several forms: their documents' fingerprints come from the forms
-        rows = rows.withColumn("own", fingerprint.canonical(F.col("text")))
-    full = lambda d, form: fingerprint.told_apart(F.col(d), F.col(form), bad)
-    near_next = (F.col("d") == F.col("next_d")) & ~F.col("d").isin(bad) if bad else F.col("d") == F.col("next_d")
     return rows.select(
-        "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        full("d", "own" if bad else "form").alias("fingerprint"), full("edited_d", "form").alias("edited_fingerprint"),
-        near.cast("double").alias("near_edited"), near_next.cast("double").alias("near_next"),
+        "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.col("d").alias("fingerprint"),
+        F.col("edited_d").alias("edited_fingerprint"), near.cast("double").alias("near_edited"), (F.col("d") == F.col("next_d")).cast("double").alias("near_next"),
     )
 
 

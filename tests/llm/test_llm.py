@@ -666,7 +666,7 @@ def test_canonical_forms(spark):
 def test_colliding_digests_are_told_apart(spark):
     forms = spark.createDataFrame([("x", "a"), ("x", "a"), ("y", "b"), ("y", "c"), ("z", "d")], "d string, form string")
     assert fingerprint.mixed_buckets(forms) == ["y"]
-    got = forms.select("form", fingerprint.fingerprint(F.col("form"), [forms.sparkSession.range(1).select(fingerprint.digest(F.lit("b"))).first()[0]]).alias("f")).collect()
+    got = forms.select("form", fingerprint.told_apart(fingerprint.digest(F.col("form")), F.col("form"), [forms.sparkSession.range(1).select(fingerprint.digest(F.lit("b"))).first()[0]]).alias("f")).collect()
     assert {len(r["f"]) for r in got if r["form"] != "b"} == {32} and {len(r["f"]) for r in got if r["form"] == "b"} == {96}
 
 
@@ -734,7 +734,9 @@ def test_bpe_equals_tiktoken(spark, vocabulary, odd, none):
 
 def test_bpe_higher_order_fold(spark, vocabulary):
     ranks, _ = vocabulary
-    words = spark.createDataFrame([(w,) for w in ["hello", " world", "x", "", "éèqzj", "aaaaaaaaaaaa", None]], "word string")
+    rng = random.Random(4)
+    some = ["".join(rng.choice("abetrsnioé ñ9-中😀") for _ in range(rng.randrange(1, 24))) for _ in range(200)]
+    words = spark.createDataFrame([(w,) for w in ["hello", " world", "x", "", "éèqzj", "aaaaaaaaaaaa", "ab" * 60, None, *some]], "word string")
     got = {r["word"]: r["ids"] for r in bpe.fold_words(words, ranks).collect()}
     assert got.pop(None) is None and all(ids == bpe.fold(w.encode(), ranks) for w, ids in got.items() if w) and got[""] == []
 
