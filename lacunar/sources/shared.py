@@ -75,13 +75,15 @@ def store(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def dealt(df: DataFrame, n: int, keys: list[str], shuffle: bool = True) -> DataFrame:
+def dealt(df: DataFrame, n: int, keys: list[str], shuffle: bool = True, codec: str = "snappy") -> DataFrame:
     """As store(), in n buckets by the hash of `keys`: joins of tables dealt alike shuffle nothing. Without `shuffle` the
-    rows of a partition must belong to one bucket already. forget() removes the table."""
+    rows of a partition must belong to few buckets already. forget() removes the table."""
     spark, name = df.sparkSession, f"lacunar_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     rows = df.repartition(n, *keys) if shuffle else df
-    rows.write.option("path", path).bucketBy(n, *keys).sortBy(*keys).format("parquet").saveAsTable(name)
+    if _written:
+        _written[-1].append(path)
+    rows.write.option("path", path).option("compression", codec).bucketBy(n, *keys).sortBy(*keys).format("parquet").saveAsTable(name)
     out = spark.table(name)
     _tables[out] = (name, path)
     return out
