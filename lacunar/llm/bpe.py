@@ -1,19 +1,17 @@
 """Byte-level BPE encoding and decoding with a given rank file.
 
 A word is one match of the splitting pattern. Its bytes are folded: the adjacent pair with the lowest rank, the first of
-equals, becomes one piece until no pair has a rank. Words repeat, so each worker folds a distinct word once and keeps
-its packed ids in a table of bounded length; a text is then the concatenation of its words' ids. Encoding is one pass
-over the texts with no shuffle. Decoding is Spark's own higher-order functions: the ids index a literal array of pieces
-and the pieces are concatenated.
-
-`fold_words` is the same fold as Spark higher-order functions over a literal rank map, for a table of distinct words.
-It gives the same ids; whole documents don't go through it, for the reasons and figures in the README.
+equals, becomes one piece until no pair has a rank. `folded` does so with Spark's higher-order functions over a literal
+rank map, once for each distinct word. Texts stay where they are: one pass over them writes, block by block, each text as
+numbers of words and the block's words; only the words move to be folded, and their ids move back to their block. Decoding
+is higher-order functions too: the ids index a literal array of pieces and the pieces are concatenated.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import os
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,9 +20,11 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lacunar.sources.shared import dealt
+
 
 @lru_cache(4)
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -80,42 +80,138 @@ def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
-class _Words(dict):
-    """Packed ids of words, folded when first asked for."""
+class _Open(Exception):
+    """A piece of a text that the next piece may belong to."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
 
-    def __missing__(self, word: str) -> bytes:
-        self[word] = ids = array("i", fold(word.encode(), self.ranks)).tobytes()
-        return ids
+class _Block(dict):
+    """Words of some texts, numbered as they come. As a dictionary: the packed numbers of the words in a blank and a piece
+    that has no blank, found when first asked for."""
 
+    def __init__(self, split, blanks: bool):
+        self.split, self.blanks, self.words, self.length = split, blanks, {}, 0
+        self.name = int.from_bytes(os.urandom(8)) >> 1
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", hold: int = 1 << 19) -> DataFrame:
-    """(id_col, ids array<int>): the ids of each whole text, without special tokens. Null and empty texts have none.
+    def pack(self, text: str) -> bytes:
+        n = self.words
+        return array("i", [n.setdefault(w, len(n)) for w in self.split(text)]).tobytes()
 
-    Every row comes back once, repeated rows and null ids too; extra columns are ignored. A worker holds the ids of
-    `hold` distinct words at most and starts again when they are more; results don't depend on it.
-    """
+    def __missing__(self, piece: str) -> bytes:
+        if not piece or piece[-1].isspace():
+            raise _Open
+        self[piece] = packed = self.pack(" " + piece)
+        return packed
+
+    def add(self, text: str) -> bytes:
+        """Packed numbers of a text's words."""
+        pieces = text.split(" ") if self.blanks else [text]
+        try:
+            packed = b"".join([self.pack(pieces[0]), *map(self.__getitem__, pieces[1:-1])]) if len(pieces) > 1 and not pieces[0][-1:].isspace() else None
+            packed = self.pack(text) if packed is None else packed + self.pack(" " + pieces[-1])
+        except _Open:
+            packed = self._runs(pieces)
+        self.length += len(packed)
+        return packed
+
+    def _runs(self, pieces: list[str]) -> bytes:
+        """As add(), for texts with blanks after other white space: pieces go together until one ends in something else."""
+        out, run = [], pieces[0]
+        for piece in pieces[1:]:
+            if run and not run[-1].isspace():
+                out.append(self[run[1:]] if out and " " not in run[1:] else self.pack(run))
+                run = " " + piece
+            else:
+                run += " " + piece
+        return b"".join([*out, self.pack(run)])
+
+
+LONG = 256
+
+
+def _numbered(docs: DataFrame, pattern: str, id_col: str, text_col: str, blanks: bool, hold: int) -> DataFrame:
+    """(block, id, codes, words): a row for each text with its packed word numbers, and one for each block with its words."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, words = regex.compile(pattern).findall, _Words(ranks)
-        of = words.__getitem__
+        split = regex.compile(pattern).findall
+        block = None
+
+        def rows(ids: pa.Array, codes: list[bytes]) -> pa.RecordBatch:
+            n = len(codes)
+            return pa.RecordBatch.from_arrays([pa.array([block.name] * n, pa.int64()), ids, pa.array(codes, pa.binary()), pa.nulls(n, pa.list_(pa.string()))], ["block", "id", "codes", "words"])
+
+        def words(id_type: pa.DataType) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([block.name], pa.int64()), pa.nulls(1, id_type), pa.nulls(1, pa.binary()), pa.array([list(block.words)], pa.list_(pa.string()))], ["block", "id", "codes", "words"])
+
         for b in batches:
-            at, packed, size = 0, [], 0
+            at, codes, size, id_type = 0, [], 0, b.column(0).type
             for i in range(b.num_rows):
-                packed.append(b"".join(map(of, split(b.column(1)[i].as_py() or ""))))
-                size += len(packed[-1])
-                if len(words) > hold:
-                    words.clear()
-                if size > 1 << 24 or i == b.num_rows - 1:
-                    ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
-                    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(packed)), ids], [id_col, "ids"])
-                    at, packed, size = i + 1, [], 0
+                block = _Block(split, blanks) if block is None else block  # one without pieces is false
+                codes.append(block.add(b.column(1)[i].as_py() or ""))
+                size += len(codes[-1])
+                full = len(block.words) > hold or block.length > 1 << 25
+                if full or size > 1 << 24 or i == b.num_rows - 1:
+                    yield rows(b.column(0).slice(at, len(codes)), codes)
+                    at, codes, size = i + 1, [], 0
+                if full:
+                    yield words(id_type)
+                    block = None
+        if block is not None:
+            yield words(id_type)
+
+    return docs.select(id_col, F.col(text_col)).mapInArrow(each, f"block long, id {kind}, codes binary, words array<string>")
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", blanks: bool = False, hold: int = 1 << 18) -> DataFrame:
+    """(id_col, ids array<int>): the ids of each whole text, without special tokens. Null and empty texts have none.
 
-    return docs.select(id_col, F.col(text_col)).mapInArrow(each, f"`{id_col}` {kind}, ids array<int>")
+    Every row comes back once, repeated rows and null ids too; extra columns are ignored. `blanks` says that by this
+    pattern no match goes on from a character that isn't white space into a blank, as is true of the usual ones: texts are
+    then cut there first, and each distinct piece is matched once. A block ends after a text by which it has more than
+    `hold` distinct words, or 8 million words in all; results don't depend on it. A word goes to one task with one row for
+    each block that has it. Words over 256 bytes, for which the higher-order fold takes its square, are folded by a heap.
+    """
+    n = max(1, min(docs.rdd.getNumPartitions(), 100_000))
+    kept = dealt(_numbered(docs, pattern, id_col, text_col, blanks, hold), n, ["block"], shuffle=False, codec="zstd")
+    words = kept.where("words IS NOT NULL").select("block", F.posexplode("words").alias("code", "word"))
+    words = words.repartition(max(n, docs.sparkSession.sparkContext.defaultParallelism), "word")
+    same = Window.partitionBy("word").orderBy("block")
+    words = words.withColumn("nth", F.row_number().over(same))
+    long = F.octet_length("word") > LONG
+    words = words.withColumn("ids", F.when((F.col("nth") == 1) & ~long, folded(F.col("word"), ranks)))
+    words = words.select("block", "code", F.first("ids", ignorenulls=True).over(same).alias("ids"), F.when(long, F.col("word")).alias("long"))
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def each(texts: pa.Table, words: pa.Table) -> pa.Table:
+        words = words.combine_chunks().sort_by("code")
+        of = words.column("ids").to_pylist() if words.column("long").null_count < words.num_rows else None
+        if of is not None:
+            of = [fold(w.encode(), ranks) if w is not None else x for x, w in zip(of, words.column("long").to_pylist(), strict=True)]
+            ids = pa.array(of, pa.list_(pa.int32()))
+        else:
+            ids = pa.concat_arrays(words.column("ids").chunks) if words.num_rows else pa.array([], pa.list_(pa.int32()))
+        flat, starts = ids.values.to_numpy(), ids.offsets.to_numpy()
+        lens, starts = np.diff(starts), starts[:-1]
+        out = []
+        for b in texts.to_batches(max_chunksize=1024):
+            names, codes = b.column("id"), b.column("codes").to_pylist()
+            at = 0
+            while at < len(codes):
+                end, size = at, 0
+                while end < len(codes) and size < 1 << 22:
+                    size += len(codes[end])
+                    end += 1
+                numbers = np.frombuffer(b"".join(codes[at:end]), np.int32)
+                n = lens[numbers]
+                ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+                where = np.arange(ends[-1]) + np.repeat(starts[numbers] - ends[:-1], n)
+                texts_end = ends[np.cumsum([0, *(len(c) // 4 for c in codes[at:end])])]
+                out.append(pa.RecordBatch.from_arrays([names.slice(at, end - at), pa.ListArray.from_arrays(pa.array(texts_end, pa.int32()), pa.array(flat[where], pa.int32()))], [id_col, "ids"]))
+                at = end
+        return pa.Table.from_batches(out, pa.schema([(id_col, texts.schema.field("id").type), ("ids", pa.list_(pa.int32()))]))
+
+    texts = kept.where("codes IS NOT NULL").select("block", "id", "codes")
+    return texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(each, f"`{id_col}` {id_type}, ids array<int>")
 
 
 def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
@@ -165,8 +261,8 @@ def _pair_table(pieces: tuple[bytes, ...]) -> tuple[str, int, int]:
     return ",".join(str(x[0] << SHIFT | x[1]) if x else "-1" for x in held), a, b
 
 
-def fold_words(words: DataFrame, ranks: dict[bytes, int], word_col: str = "word", buckets: int = 1 << 15) -> DataFrame:
-    """(word_col, ids array<int>) for a table of distinct words, by higher-order functions alone.
+def folded(word: Column, ranks: dict[bytes, int], buckets: int = 1 << 15) -> Column:
+    """The ids of a word, by higher-order functions alone.
 
     A word's bytes become ids, and the ranks of adjacent pairs stand beside them. Each step of the fold merges the pair of
     the lowest rank, the first of equals, and looks up the two pairs that the merge makes. Ranks are a literal table of
@@ -183,33 +279,42 @@ def fold_words(words: DataFrame, ranks: dict[bytes, int], word_col: str = "word"
     if len(pieces) > 1 << SHIFT or any(bytes([k]) not in ranks for k in range(256)):
         raise ValueError("every byte must have a rank, and ranks be below 131,072")
     listed, a, b = _pair_table(tuple(pieces))
-    pairs = F.split(F.lit(listed), ",").cast("array<bigint>")
-    of_byte = F.split(F.lit(",".join(str(ranks[bytes([k])]) for k in range(256))), ",").cast("array<int>")
-    whole_table = F.from_json(F.lit(json.dumps(small)), "array<map<string,int>>")
-    raw = F.encode(word_col, "UTF-8")
+    tables = F.struct(
+        F.split(F.lit(listed), ",").cast("array<bigint>").alias("pairs"),
+        F.split(F.lit(",".join(str(ranks[bytes([k])]) for k in range(256))), ",").cast("array<int>").alias("bytes"),
+        F.from_json(F.lit(json.dumps(small)), "array<map<string,int>>").alias("whole"),
+    )
+    none = F.array().cast("array<int>")
 
-    def rank(x: Column, y: Column) -> Column:
-        def probe(k: Column, at: Column, other: Column) -> Column:
-            return _let(F.get(pairs, at), lambda e: F.when(F.shiftright(e, SHIFT) == k, e.bitwiseAND(F.lit((1 << SHIFT) - 1)).cast("int")).otherwise(other))
+    def ids_of(known: Column) -> Column:
+        def rank(x: Column, y: Column) -> Column:
+            def probe(k: Column, at: Column, other: Column) -> Column:
+                return _let(F.get(known["pairs"], at), lambda e: F.when(F.shiftright(e, SHIFT) == k, e.bitwiseAND(F.lit((1 << SHIFT) - 1)).cast("int")).otherwise(other))
 
-        return _let(x.cast("bigint") * (1 << SHIFT) + y, lambda k: probe(k, (k % a).cast("int"), probe(k, (k % b + a).cast("int"), F.lit(NO_RANK))))
+            return _let(x.cast("bigint") * (1 << SHIFT) + y, lambda k: probe(k, (k % a).cast("int"), probe(k, (k % b + a).cast("int"), F.lit(NO_RANK))))
 
-    none = F.array().cast("array<int>")
+        def merge(state: Column, _: Column) -> Column:
+            p, r = state["p"], state["r"]
+
+            def at(m: Column, i: Column) -> Column:
+                left = F.when(i > 1, F.array(rank(F.get(p, i - 2), m))).otherwise(none)
+                right = F.when(i + 1 < F.size(p), F.array(rank(m, F.get(p, i + 1)))).otherwise(none)
+                parts = F.concat(F.slice(p, F.lit(1), i - 1), F.array(m), F.slice(p, i + 2, F.size(p)))
+                return F.struct(parts.alias("p"), F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, F.size(p))).alias("r"))
+
+            return _let(F.coalesce(F.array_min(r), F.lit(NO_RANK)), lambda m: F.when(m == NO_RANK, state).otherwise(_let(F.array_position(r, m).cast("int"), lambda i: at(m, i))))
 
-    def merge(state: Column, _: Column) -> Column:
-        p, r = state["p"], state["r"]
+        raw = F.encode(word, "UTF-8")
+        letters = F.slice(F.split(F.decode(raw, "ISO-8859-1"), ""), F.lit(1), F.octet_length(word))
+        ids = F.transform(letters, lambda c: F.get(known["bytes"], F.ascii(c)))
+        begin = _let(ids, lambda p: F.struct(p.alias("p"), F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x, i: rank(x, F.get(p, i + 1))).alias("r")))
+        steps = F.aggregate(F.sequence(F.lit(2), F.octet_length(word)), begin, merge)["p"]
+        whole = F.element_at(F.get(known["whole"], (F.crc32(raw) % buckets).cast("int")), F.hex(raw))
+        return F.when(F.octet_length(word) == 0, none).otherwise(_let(whole, lambda w: F.when(w.isNotNull(), F.array(w)).otherwise(steps)))
 
-        def at(m: Column, i: Column) -> Column:
-            left = F.when(i > 1, F.array(rank(F.get(p, i - 2), m))).otherwise(none)
-            right = F.when(i + 1 < F.size(p), F.array(rank(m, F.get(p, i + 1)))).otherwise(none)
-            parts = F.concat(F.slice(p, F.lit(1), i - 1), F.array(m), F.slice(p, i + 2, F.size(p)))
-            return F.struct(parts.alias("p"), F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, F.size(p))).alias("r"))
+    return F.when(word.isNotNull(), _let(tables, ids_of))
 
-        return _let(F.coalesce(F.array_min(r), F.lit(NO_RANK)), lambda m: F.when(m == NO_RANK, state).otherwise(_let(F.array_position(r, m).cast("int"), lambda i: at(m, i))))
 
-    letters = F.slice(F.split(F.decode(raw, "ISO-8859-1"), ""), F.lit(1), F.octet_length(word_col))
-    ids = F.transform(letters, lambda c: F.get(of_byte, F.ascii(c)))
-    begin = _let(ids, lambda p: F.struct(p.alias("p"), F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x, i: rank(x, F.get(p, i + 1))).alias("r")))
-    folded = F.aggregate(F.sequence(F.lit(2), F.octet_length(word_col)), begin, merge)["p"]
-    whole = F.element_at(F.get(whole_table, (F.crc32(raw) % buckets).cast("int")), F.hex(raw))
-    return words.select(word_col, F.when(F.col(word_col).isNull(), F.lit(None)).when(F.octet_length(word_col) == 0, none).when(whole.isNotNull(), F.array(whole)).otherwise(folded).alias("ids"))
+def fold_words(words: DataFrame, ranks: dict[bytes, int], word_col: str = "word") -> DataFrame:
+    """(word_col, ids array<int>) for a table of distinct words."""
+    return words.select(word_col, folded(F.col(word_col), ranks).alias("ids"))

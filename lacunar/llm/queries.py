@@ -79,11 +79,13 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Rank file and pattern are parameters; by default those of the multilingual public vocabulary."""
+    """Rank file and pattern are parameters; by default those of the multilingual public vocabulary, whose pattern lets no
+    match run on into a blank."""
     import public_tokenizers
 
     ranks = bpe.load_ranks(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern or public_tokenizers.PATTERN)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = bpe.encode(docs, ranks, pattern or public_tokenizers.PATTERN, blanks=pattern is None)
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.joined_ids(F.col("ids")).cast("binary"), 256).alias("ids_sha256"), F.sha2(bpe.decoded(F.col("ids"), ranks), 256).alias("decoded_sha256"))
 
 

@@ -722,9 +722,11 @@ def test_bpe_equals_tiktoken(spark, vocabulary, odd, none):
     rng = random.Random(2)
     alphabet = [chr(c) for c in range(48)] + list("abcdeé'sտ中१²́   😀") + ["<|endoftext|>", "ab" * 40]
     rows = odd_rows() + [(100 + i, "".join(rng.choice(alphabet) for _ in range(rng.randrange(60))), None, None) for i in range(300)] + [(999, "ab" * 30_000, None, None)]
+    white = [" ", " ", " ", "  ", "\n", "\t ", " \n ", "\x1c", "\x85", "\u2003", "\u3000 "]
+    rows += [(500 + i, "".join(rng.choice(["a", "the", "it's", "9", ".", "é"]) + rng.choice(white) for _ in range(rng.randrange(9))) + rng.choice(["", " ", "x"]), None, None) for i in range(300)]
     d = docs(spark, rows)
-    for hold in (5, 1 << 19):
-        got = bpe.encode(d, ranks, pattern, hold=hold).select("doc_id", "ids", bpe.decoded(F.col("ids"), ranks).alias("b"), bpe.joined_ids(F.col("ids")).alias("j")).collect()
+    for hold, blanks in ((5, True), (1 << 18, True), (20, False)):
+        got = bpe.encode(d, ranks, pattern, blanks=blanks, hold=hold).select("doc_id", "ids", bpe.decoded(F.col("ids"), ranks).alias("b"), bpe.joined_ids(F.col("ids")).alias("j")).collect()
         want = sorted((repr(i), enc.encode_ordinary(t or "")) for i, t, *_ in rows)
         assert sorted((repr(r["doc_id"]), r["ids"]) for r in got) == want
         assert sorted((repr(r["doc_id"]), bytes(r["b"])) for r in got) == sorted((repr(i), (t or "").encode()) for i, t, *_ in rows)
