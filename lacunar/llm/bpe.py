@@ -3,8 +3,9 @@
 A word is one match of the splitting pattern. Its bytes are folded: the adjacent pair with the lowest rank, the first of
 equals, becomes one piece until no pair has a rank. `folded` does so with Spark's higher-order functions over a literal
 rank map, once for each distinct word. Texts stay where they are: one pass over them writes, block by block, each text as
-numbers of words and the block's words; only the words move to be folded, and their ids move back to their block. Decoding
-is higher-order functions too: the ids index a literal array of pieces and the pieces are concatenated.
+numbers of words and the block's words; only the words move to be folded, and their ids move back to their block. Common
+words, a table of fixed length, are folded beforehand and don't move. Decoding is higher-order functions too: the ids
+index a literal array of pieces and the pieces are concatenated.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ import base64
 import heapq
 import os
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
@@ -85,11 +88,11 @@ class _Open(Exception):
 
 
 class _Block(dict):
-    """Words of some texts, numbered as they come. As a dictionary: the packed numbers of the words in a blank and a piece
-    that has no blank, found when first asked for."""
+    """Words of some texts, numbered as they come, after the common ones. As a dictionary: the packed numbers of the words
+    in a blank and a piece that has no blank, found when first asked for."""
 
-    def __init__(self, split, blanks: bool):
-        self.split, self.blanks, self.words, self.length = split, blanks, {}, 0
+    def __init__(self, split, blanks: bool, common: dict[str, int]):
+        self.split, self.blanks, self.words, self.length = split, blanks, dict(common), 0
         self.name = int.from_bytes(os.urandom(8)) >> 1
 
     def pack(self, text: str) -> bytes:
@@ -99,6 +102,8 @@ class _Block(dict):
     def __missing__(self, piece: str) -> bytes:
         if not piece or piece[-1].isspace():
             raise _Open
+        if len(self) > 1 << 19:
+            self.clear()
         self[piece] = packed = self.pack(" " + piece)
         return packed
 
@@ -128,7 +133,27 @@ class _Block(dict):
 LONG = 256
 
 
-def _numbered(docs: DataFrame, pattern: str, id_col: str, text_col: str, blanks: bool, hold: int) -> DataFrame:
+def _common(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str, rows: int, most: int) -> pa.Table:
+    """(word, ids) of the words that occur most, and twice at least, in about `rows` texts drawn from all; `most` at most."""
+    spark = docs.sparkSession
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, seen = regex.compile(pattern).findall, Counter()
+        for b in batches:
+            for text in b.column(0):
+                seen.update(split(text.as_py() or ""))
+            if len(seen) > 1 << 18:
+                yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
+                seen.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
+
+    drawn = docs.select(F.col(text_col).alias("text")).sample(min(1.0, rows / max(1, docs.count())), 5)
+    counts = drawn.mapInArrow(each, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where((F.col("n") > 1) & (F.octet_length("word") <= LONG))
+    words = spark.createDataFrame(counts.orderBy(F.desc("n"), "word").limit(most).select("word").toArrow())
+    return words.withColumn("at", F.monotonically_increasing_id()).repartition(2 * spark.sparkContext.defaultParallelism).select("at", "word", folded(F.col("word"), ranks).alias("ids")).toArrow().sort_by("at")
+
+
+def _numbered(docs: DataFrame, pattern: str, id_col: str, text_col: str, blanks: bool, hold: int, common: dict[str, int]) -> DataFrame:
     """(block, id, codes, words): a row for each text with its packed word numbers, and one for each block with its words."""
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -141,15 +166,15 @@ def _numbered(docs: DataFrame, pattern: str, id_col: str, text_col: str, blanks:
             return pa.RecordBatch.from_arrays([pa.array([block.name] * n, pa.int64()), ids, pa.array(codes, pa.binary()), pa.nulls(n, pa.list_(pa.string()))], ["block", "id", "codes", "words"])
 
         def words(id_type: pa.DataType) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([block.name], pa.int64()), pa.nulls(1, id_type), pa.nulls(1, pa.binary()), pa.array([list(block.words)], pa.list_(pa.string()))], ["block", "id", "codes", "words"])
+            return pa.RecordBatch.from_arrays([pa.array([block.name], pa.int64()), pa.nulls(1, id_type), pa.nulls(1, pa.binary()), pa.array([list(islice(block.words, len(common), None))], pa.list_(pa.string()))], ["block", "id", "codes", "words"])
 
         for b in batches:
             at, codes, size, id_type = 0, [], 0, b.column(0).type
             for i in range(b.num_rows):
-                block = _Block(split, blanks) if block is None else block  # one without pieces is false
+                block = _Block(split, blanks, common) if block is None else block  # one without pieces is false
                 codes.append(block.add(b.column(1)[i].as_py() or ""))
                 size += len(codes[-1])
-                full = len(block.words) > hold or block.length > 1 << 25
+                full = len(block.words) - len(common) > hold or block.length > 1 << 25
                 if full or size > 1 << 24 or i == b.num_rows - 1:
                     yield rows(b.column(0).slice(at, len(codes)), codes)
                     at, codes, size = i + 1, [], 0
@@ -162,17 +187,22 @@ def _numbered(docs: DataFrame, pattern: str, id_col: str, text_col: str, blanks:
     return docs.select(id_col, F.col(text_col)).mapInArrow(each, f"block long, id {kind}, codes binary, words array<string>")
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", blanks: bool = False, hold: int = 1 << 18) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", blanks: bool = False, hold: int = 1 << 18, sample_rows: int = 8192, most: int = 1 << 17) -> DataFrame:
     """(id_col, ids array<int>): the ids of each whole text, without special tokens. Null and empty texts have none.
 
     Every row comes back once, repeated rows and null ids too; extra columns are ignored. `blanks` says that by this
     pattern no match goes on from a character that isn't white space into a blank, as is true of the usual ones: texts are
-    then cut there first, and each distinct piece is matched once. A block ends after a text by which it has more than
-    `hold` distinct words, or 8 million words in all; results don't depend on it. A word goes to one task with one row for
-    each block that has it. Words over 256 bytes, for which the higher-order fold takes its square, are folded by a heap.
+    then cut there first, and each distinct piece is matched once. The common words are `most` at most, from about
+    `sample_rows` texts drawn from all. A block ends after a text by which it has more than `hold` other words, or 8 million
+    words in all. Ids don't depend on these three. A word goes to one task with one row for each block that has it. Words
+    over 256 bytes, for which the higher-order fold takes its square, are folded by a heap.
     """
+    known = _common(docs, ranks, pattern, text_col, sample_rows, most)
+    common = {w: i for i, w in enumerate(known.column("word").to_pylist())}
+    known_ids = pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *(c.cast(pa.list_(pa.int32())) for c in known.column("ids").chunks)])
+    known_flat, known_starts = known_ids.flatten().to_numpy(), np.cumsum([0, *known_ids.value_lengths().to_numpy()], dtype=np.int64)
     n = max(1, min(docs.rdd.getNumPartitions(), 100_000))
-    kept = dealt(_numbered(docs, pattern, id_col, text_col, blanks, hold), n, ["block"], shuffle=False, codec="zstd")
+    kept = dealt(_numbered(docs, pattern, id_col, text_col, blanks, hold, common), n, ["block"], shuffle=False, codec="zstd")
     words = kept.where("words IS NOT NULL").select("block", F.posexplode("words").alias("code", "word"))
     words = words.repartition(max(n, docs.sparkSession.sparkContext.defaultParallelism), "word")
     same = Window.partitionBy("word").orderBy("block")
@@ -190,8 +220,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
             ids = pa.array(of, pa.list_(pa.int32()))
         else:
             ids = pa.concat_arrays(words.column("ids").chunks) if words.num_rows else pa.array([], pa.list_(pa.int32()))
-        flat, starts = ids.values.to_numpy(), ids.offsets.to_numpy()
-        lens, starts = np.diff(starts), starts[:-1]
+        flat = np.concatenate([known_flat, ids.flatten().to_numpy()])
+        lens = np.concatenate([np.diff(known_starts), ids.value_lengths().to_numpy()])
+        starts = np.cumsum(lens) - lens
         out = []
         for b in texts.to_batches(max_chunksize=1024):
             names, codes = b.column("id"), b.column("codes").to_pylist()
