@@ -99,10 +99,19 @@ class _Block(dict):
         n = self.words
         return array("i", [n.setdefault(w, len(n)) for w in self.split(text)]).tobytes()
 
+    @staticmethod
+    def planes(packed: bytes) -> bytes:
+        """The numbers' first bytes, then their second ones, and so on: high bytes are mostly zero and compress well so."""
+        return np.frombuffer(packed, np.uint8).reshape(-1, 4).T.tobytes()
+
+    @staticmethod
+    def numbers(planes: bytes) -> np.ndarray:
+        return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+
     def __missing__(self, piece: str) -> bytes:
         if not piece or piece[-1].isspace():
             raise _Open
-        if len(self) > 1 << 19:
+        if len(self) > 1 << 18:
             self.clear()
         self[piece] = packed = self.pack(" " + piece)
         return packed
@@ -116,7 +125,7 @@ class _Block(dict):
         except _Open:
             packed = self._runs(pieces)
         self.length += len(packed)
-        return packed
+        return self.planes(packed)
 
     def _runs(self, pieces: list[str]) -> bytes:
         """As add(), for texts with blanks after other white space: pieces go together until one ends in something else."""
@@ -232,7 +241,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                 while end < len(codes) and size < 1 << 22:
                     size += len(codes[end])
                     end += 1
-                numbers = np.frombuffer(b"".join(codes[at:end]), np.int32)
+                numbers = np.concatenate([_Block.numbers(c) for c in codes[at:end]])
                 n = lens[numbers]
                 ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
                 where = np.arange(ends[-1]) + np.repeat(starts[numbers] - ends[:-1], n)
@@ -295,7 +304,7 @@ def _pair_table(pieces: tuple[bytes, ...]) -> tuple[str, int, int]:
 def folded(word: Column, ranks: dict[bytes, int], buckets: int = 1 << 15) -> Column:
     """The ids of a word, by higher-order functions alone.
 
-    A word's bytes become ids, and the ranks of adjacent pairs stand beside them. Each step of the fold merges the pair of
+    A word's bytes become ids, and the ranks of adjacent pairs, at first from a table of two bytes, stand beside them. Each step of the fold merges the pair of
     the lowest rank, the first of equals, and looks up the two pairs that the merge makes. Ranks are a literal table of
     pairs. Whether a word is a piece as it stands is told by a literal array of small maps, found by hash, since a map is
     searched from its start. A word of n bytes takes time in proportion to n squared; null words give null. Every single
@@ -313,16 +322,19 @@ def folded(word: Column, ranks: dict[bytes, int], buckets: int = 1 << 15) -> Col
     tables = F.struct(
         F.split(F.lit(listed), ",").cast("array<bigint>").alias("pairs"),
         F.split(F.lit(",".join(str(ranks[bytes([k])]) for k in range(256))), ",").cast("array<int>").alias("bytes"),
+        F.split(F.lit(",".join(str(ranks.get(bytes([x, y]), NO_RANK)) for x in range(256) for y in range(256))), ",").cast("array<int>").alias("two"),
         F.from_json(F.lit(json.dumps(small)), "array<map<string,int>>").alias("whole"),
     )
     none = F.array().cast("array<int>")
 
     def ids_of(known: Column) -> Column:
         def rank(x: Column, y: Column) -> Column:
-            def probe(k: Column, at: Column, other: Column) -> Column:
-                return _let(F.get(known["pairs"], at), lambda e: F.when(F.shiftright(e, SHIFT) == k, e.bitwiseAND(F.lit((1 << SHIFT) - 1)).cast("int")).otherwise(other))
+            def probe(k: Column) -> Column:
+                held = [F.get(known["pairs"], at.cast("int")) for at in (k % a, k % b + a)]
+                found = [(F.shiftright(e, SHIFT) == k, e.bitwiseAND(F.lit((1 << SHIFT) - 1)).cast("int")) for e in held]
+                return F.when(*found[0]).when(*found[1]).otherwise(NO_RANK)
 
-            return _let(x.cast("bigint") * (1 << SHIFT) + y, lambda k: probe(k, (k % a).cast("int"), probe(k, (k % b + a).cast("int"), F.lit(NO_RANK))))
+            return _let(x.cast("bigint") * (1 << SHIFT) + y, probe)
 
         def merge(state: Column, _: Column) -> Column:
             p, r = state["p"], state["r"]
@@ -337,8 +349,11 @@ def folded(word: Column, ranks: dict[bytes, int], buckets: int = 1 << 15) -> Col
 
         raw = F.encode(word, "UTF-8")
         letters = F.slice(F.split(F.decode(raw, "ISO-8859-1"), ""), F.lit(1), F.octet_length(word))
-        ids = F.transform(letters, lambda c: F.get(known["bytes"], F.ascii(c)))
-        begin = _let(ids, lambda p: F.struct(p.alias("p"), F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x, i: rank(x, F.get(p, i + 1))).alias("r")))
+        def start(p: Column) -> Column:
+            two = F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x, i: F.get(known["two"], x * 256 + F.get(p, i + 1)))
+            return F.struct(F.transform(p, lambda x: F.get(known["bytes"], x)).alias("p"), two.alias("r"))
+
+        begin = _let(F.transform(letters, F.ascii), start)
         steps = F.aggregate(F.sequence(F.lit(2), F.octet_length(word)), begin, merge)["p"]
         whole = F.element_at(F.get(known["whole"], (F.crc32(raw) % buckets).cast("int")), F.hex(raw))
         return F.when(F.octet_length(word) == 0, none).otherwise(_let(whole, lambda w: F.when(w.isNotNull(), F.array(w)).otherwise(steps)))
