@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with a given rank file.
 
 A word is one match of the splitting pattern. Its bytes are folded: the adjacent pair with the lowest rank, the first of
-equals, becomes one piece until no pair has a rank. `folded` does so with Spark's higher-order functions over a literal
+equals, becomes one piece until no pair has a rank. `with_ids` does so with Spark's higher-order functions over a literal
 rank map, once for each distinct word. Texts stay where they are: one pass over them writes, block by block, each text as
 numbers of words and the block's words; only the words move to be folded, and their ids move back to their block. Common
 words, a table of fixed length, are folded beforehand and don't move. Decoding is higher-order functions too: the ids
@@ -23,7 +23,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lacunar.sources.shared import dealt
@@ -159,7 +159,8 @@ def _common(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: st
     drawn = docs.select(F.col(text_col).alias("text")).sample(min(1.0, rows / max(1, docs.count())), 5)
     counts = drawn.mapInArrow(each, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where((F.col("n") > 1) & (F.octet_length("word") <= LONG))
     words = spark.createDataFrame(counts.orderBy(F.desc("n"), "word").limit(most).select("word").toArrow())
-    return words.withColumn("at", F.monotonically_increasing_id()).repartition(2 * spark.sparkContext.defaultParallelism).select("at", "word", folded(F.col("word"), ranks).alias("ids")).toArrow().sort_by("at")
+    dealt_out = words.withColumn("at", F.monotonically_increasing_id()).repartition(2 * spark.sparkContext.defaultParallelism)
+    return with_ids(dealt_out, F.col("word"), ranks).toArrow().sort_by("at")
 
 
 def _numbered(docs: DataFrame, pattern: str, id_col: str, text_col: str, blanks: bool, hold: int, common: dict[str, int]) -> DataFrame:
@@ -217,7 +218,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     same = Window.partitionBy("word").orderBy("block")
     words = words.withColumn("nth", F.row_number().over(same))
     long = F.octet_length("word") > LONG
-    words = words.withColumn("ids", F.when((F.col("nth") == 1) & ~long, folded(F.col("word"), ranks)))
+    words = with_ids(words, F.when((F.col("nth") == 1) & ~long, F.col("word")), ranks)
     words = words.select("block", "code", F.first("ids", ignorenulls=True).over(same).alias("ids"), F.when(long, F.col("word")).alias("long"))
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -279,7 +280,7 @@ def _let(value: Column, use) -> Column:
 
 
 @lru_cache(4)
-def _pair_table(pieces: tuple[bytes, ...]) -> tuple[str, int, int]:
+def _pair_table(pieces: tuple[bytes, ...]) -> tuple[np.ndarray, int, int]:
     """The rank of every pair of pieces that make a piece, as two hash tables in one list of numbers, each at the
     remainder of its key by a prime (cuckoo hashing): pair times 2 ** SHIFT plus rank, -1 where there is none."""
     known = {p: r for r, p in enumerate(pieces) if p}
@@ -298,33 +299,43 @@ def _pair_table(pieces: tuple[bytes, ...]) -> tuple[str, int, int]:
             side = 0 if at >= a else 1
         else:
             raise ValueError("the pairs don't fit their table")
-    return ",".join(str(x[0] << SHIFT | x[1]) if x else "-1" for x in held), a, b
+    return np.array([x[0] << SHIFT | x[1] if x else -1 for x in held], np.int64), a, b
 
 
-def folded(word: Column, ranks: dict[bytes, int], buckets: int = 1 << 15) -> Column:
-    """The ids of a word, by higher-order functions alone.
-
-    A word's bytes become ids, and the ranks of adjacent pairs, at first from a table of two bytes, stand beside them. Each step of the fold merges the pair of
-    the lowest rank, the first of equals, and looks up the two pairs that the merge makes. Ranks are a literal table of
-    pairs. Whether a word is a piece as it stands is told by a literal array of small maps, found by hash, since a map is
-    searched from its start. A word of n bytes takes time in proportion to n squared; null words give null. Every single
-    byte must be a piece, and ranks be below 131,072."""
-    import json
-
+def _tables(spark: SparkSession, ranks: dict[bytes, int], buckets: int) -> DataFrame:
+    """One row with what the fold looks up: `pairs` (see _pair_table), the ids of single bytes, the ranks of two bytes,
+    and the ids of whole pieces in hexadecimal, as small maps found by hash since a map is searched from its start."""
     pieces = [b""] * (max(ranks.values()) + 1)
-    small: list[dict[str, int]] = [{} for _ in range(buckets)]
+    small: list[list[tuple[str, int]]] = [[] for _ in range(buckets)]
     for piece, r in ranks.items():
         pieces[r] = piece
-        small[crc32(piece) % buckets][piece.hex().upper()] = r
-    if len(pieces) > 1 << SHIFT or any(bytes([k]) not in ranks for k in range(256)):
+        small[crc32(piece) % buckets].append((piece.hex().upper(), r))
+    two = [ranks.get(bytes([x, y]), NO_RANK) for x in range(256) for y in range(256)]
+    columns = {
+        "pairs": pa.array([_pair_table(tuple(pieces))[0]], pa.list_(pa.int64())),
+        "bytes": pa.array([[ranks[bytes([k])] for k in range(256)]], pa.list_(pa.int32())),
+        "two": pa.array([two], pa.list_(pa.int32())),
+        "whole": pa.array([small], pa.list_(pa.map_(pa.string(), pa.int32()))),
+    }
+    return spark.createDataFrame(pa.table(columns)).select(F.struct(*columns).alias("t"))
+
+
+def with_ids(words: DataFrame, word: Column, ranks: dict[bytes, int], buckets: int = 1 << 15) -> DataFrame:
+    """`words` with the column `ids`: the ids of the column `word`, by higher-order functions alone.
+
+    A word's bytes become ids, and the ranks of adjacent pairs, at first from a table of two bytes, stand beside them.
+    Each step of the fold merges the pair of the lowest rank, the first of equals, and looks up the two pairs that the
+    merge makes. The rank tables are a literal row that a scalar subquery hands to the fold: written into the expression
+    they would be part of every plan's text, some 9 MB that the driver builds and keeps for each query and update. A word
+    of n bytes takes time in proportion to n squared; null words give null. Every single byte must be a piece, and ranks
+    be below 131,072."""
+    if max(ranks.values(), default=0) >= 1 << SHIFT or any(bytes([k]) not in ranks for k in range(256)):
         raise ValueError("every byte must have a rank, and ranks be below 131,072")
-    listed, a, b = _pair_table(tuple(pieces))
-    tables = F.struct(
-        F.split(F.lit(listed), ",").cast("array<bigint>").alias("pairs"),
-        F.split(F.lit(",".join(str(ranks[bytes([k])]) for k in range(256))), ",").cast("array<int>").alias("bytes"),
-        F.split(F.lit(",".join(str(ranks.get(bytes([x, y]), NO_RANK)) for x in range(256) for y in range(256))), ",").cast("array<int>").alias("two"),
-        F.from_json(F.lit(json.dumps(small)), "array<map<string,int>>").alias("whole"),
-    )
+    tables = _tables(words.sparkSession, ranks, buckets)
+    pieces = [b""] * (max(ranks.values()) + 1)
+    for piece, r in ranks.items():
+        pieces[r] = piece
+    _, a, b = _pair_table(tuple(pieces))
     none = F.array().cast("array<int>")
 
     def ids_of(known: Column) -> Column:
@@ -358,9 +369,12 @@ def folded(word: Column, ranks: dict[bytes, int], buckets: int = 1 << 15) -> Col
         whole = F.element_at(F.get(known["whole"], (F.crc32(raw) % buckets).cast("int")), F.hex(raw))
         return F.when(F.octet_length(word) == 0, none).otherwise(_let(whole, lambda w: F.when(w.isNotNull(), F.array(w)).otherwise(steps)))
 
-    return F.when(word.isNotNull(), _let(tables, ids_of))
+    # the subquery is a column for the analyser only, which wants none within a higher-order function; the two projections
+    # become one
+    held = words.withColumn("_rank_tables", tables.scalar())
+    return held.select(*words.columns, F.when(word.isNotNull(), _let(F.col("_rank_tables"), ids_of)).alias("ids"))
 
 
 def fold_words(words: DataFrame, ranks: dict[bytes, int], word_col: str = "word") -> DataFrame:
     """(word_col, ids array<int>) for a table of distinct words."""
-    return words.select(word_col, folded(F.col(word_col), ranks).alias("ids"))
+    return with_ids(words.select(word_col), F.col(word_col), ranks)
