@@ -743,6 +743,16 @@ def test_bpe_higher_order_fold(spark, vocabulary):
     assert got.pop(None) is None and all(ids == bpe.fold(w.encode(), ranks) for w, ids in got.items() if w) and got[""] == []
 
 
+def test_bpe_rank_tables_stay_out_of_plans(spark, vocabulary):
+    """The rank tables are no part of a plan's text, and no column of rows on their way."""
+    ranks, pattern = vocabulary
+    words = spark.createDataFrame([("hello",), ("xyzzy",)], "word string")
+    for df in (bpe.fold_words(words, ranks), bpe.encode(docs(spark, [(1, "hello xyzzy", None, None)]), ranks, pattern)):
+        done = df._jdf.queryExecution()
+        assert len(done.executedPlan().toString()) < 100_000
+        assert "_rank_tables" not in done.optimizedPlan().toString() and "scalar-subquery" in done.optimizedPlan().toString()
+
+
 # --- 10 language ---
 
 
