@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import bpe, fingerprint, langid, toxicity, warc
 from .common import held_out, shared_dir, table
 from .embeddings import link_embeddings
+from .filteraudit import filter_audit
 from .linededup import dedup_lines
 from .mixing import mix
 from .sharding import shard_rows
@@ -95,7 +96,12 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_mixing, op4_embeddings, op5_line_dedup, op6_warc, op7_sharding, op8_fingerprint, op9_bpe, op10_langid)}
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return filter_audit(docs, table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_mixing, op4_embeddings, op5_line_dedup, op6_warc, op7_sharding, op8_fingerprint, op9_bpe, op10_langid, op13_filter_audit)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -128,6 +134,28 @@ SELECT doc_id, size, source_size, target, source, base::BIGINT AS base, 0::BIGIN
 
 SQL = {
     "op3_mixing": _MIX,
+    "op13_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+lab AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+low AS (SELECT text, min(doc_id) AS first_id FROM d GROUP BY text),
+f AS (SELECT d.part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+             list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: CASE x
+               WHEN 'A' THEN len(words) < 50 WHEN 'B' THEN 100 * len(list_distinct(words)) < 65 * len(words)
+               WHEN 'C' THEN 100 * len(regexp_extract_all(d.text, '[A-Z]')) > 5 * length(d.text)
+               WHEN 'D' THEN regexp_matches(d.text, '[#$%&*|]') ELSE coalesce(d.doc_id > first_id, false) END) AS fails
+      FROM d JOIN low USING (text) LEFT JOIN lab USING (doc_id)),
+x(l) AS (SELECT unnest(['A', 'B', 'C', 'D', 'E'])),
+o AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+s AS (SELECT filter_order, k::INTEGER AS step, filter_order[k] AS l, string_split(filter_order[1:k-1], '') AS before FROM o, range(1, 6) t(k)),
+r AS (SELECT part, filter_order, step, l,
+             count(*) FILTER (NOT list_contains(fails, l) AND NOT list_has_any(fails, before)) AS kept,
+             count(*) FILTER (list_contains(fails, l) AND NOT list_has_any(fails, before)) AS removed,
+             count(*) FILTER (list_contains(fails, l) AND list_has_any(fails, before)) AS redundant,
+             count(*) FILTER (fails = [l]) AS unique_fails,
+             count(*) FILTER (good = 1 AND list_contains(fails, l) AND NOT list_has_any(fails, before)) AS good_lost,
+             count(*) FILTER (toxic = 1 AND list_contains(fails, l) AND NOT list_has_any(fails, before)) AS toxic_lost
+      FROM f, s GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, l)::BIGINT AS shapley FROM r""",
     "op4_embeddings": """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings

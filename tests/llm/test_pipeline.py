@@ -4,7 +4,7 @@ from lacunar.llm.queries import QUERIES, SQL
 
 def test_stages_and_names():
     assert [n for n, _ in cp.STAGES] == ["toxicity", "line dedup", "near duplicates", "mixing", "encoding"]
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(SQL) <= set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, len(QUERIES) + 1)) and set(SQL) <= set(QUERIES)
 
 
 def test_each_stage_takes_effect(spark, tmp_path):
