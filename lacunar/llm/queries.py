@@ -11,6 +11,7 @@ from . import bpe, fingerprint, langid, toxicity, warc
 from .common import held_out, shared_dir, table
 from .embeddings import link_embeddings
 from .filteraudit import filter_audit
+from .lexical import ranked_search
 from .linededup import dedup_lines
 from .mixing import mix
 from .sharding import shard_rows
@@ -96,12 +97,17 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of benchmark against all documents."""
+    return ranked_search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return filter_audit(docs, table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_mixing, op4_embeddings, op5_line_dedup, op6_warc, op7_sharding, op8_fingerprint, op9_bpe, op10_langid, op13_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_mixing, op4_embeddings, op5_line_dedup, op6_warc, op7_sharding, op8_fingerprint, op9_bpe, op10_langid, op12_lexical_search, op13_filter_audit)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -134,6 +140,18 @@ SELECT doc_id, size, source_size, target, source, base::BIGINT AS base, 0::BIGIN
 
 SQL = {
     "op3_mixing": _MIX,
+    "op12_lexical_search": rf"""
+WITH tok AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+len AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id),
+s AS (SELECT count(*) AS N0, sum(n)::BIGINT AS L0 FROM len),
+p AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * N0 + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM p, s GROUP BY term, N0),
+q AS (SELECT item_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+b AS (SELECT item_id, term, count(*) AS times FROM q GROUP BY ALL),
+r AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * N0) // L0))))::BIGINT AS score
+      FROM b JOIN w USING (term) JOIN p USING (term) JOIN len USING (doc_id), s GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM r WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20""",
     "op13_filter_audit": r"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 lab AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
