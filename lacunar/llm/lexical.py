@@ -4,10 +4,11 @@ Documents are read once. What stays of a document is its length and its occurren
 for; from this table come the counts that all documents decide (N, L and the terms' frequencies), and then the scores.
 A shard is a stretch of the table that fits in memory, put in order of doc_id. There each term's postings are cut into
 blocks by dynamic programming, so that the sum over all postings of (their block's largest score less their own) plus a
-cost for each block is least. A search adds up the bounds of the blocks that lie over each document, and reads only
-blocks with a document in them that can still be among the best: the pivots are found for a whole shard at once, those
-with the highest bounds first, and each wave of them raises the threshold for the next. The threshold also carries over
-to the next shard of a task. What leaves a task are its best documents for each query, so nothing grows with the lists.
+cost for each block is least. A search adds up the bounds of the blocks that lie over each document and takes the lists
+by their largest scores: only a document of a list whose bound, with those of all lists after it, still reaches the
+threshold can be a pivot, and only blocks are read over which the bounds reach it. Pivots are found for a shard at once,
+in waves that each raise the threshold for the next; it also carries over to the next shard of a task. What leaves a
+task are its best documents for each query, so nothing grows with the lists.
 
 No shuffle moves postings, and no document depends on how many others hold its terms.
 """
@@ -137,49 +138,78 @@ class Shard:
         self.doc, self.score, terms = doc[order], score[order], terms[order]
         self.terms, begin = np.unique(terms, return_index=True)
         begin = np.r_[begin, len(terms)]
+        self.key = np.repeat(np.arange(len(self.terms)), np.diff(begin)) * (self.n_docs + 1) + self.doc  # ascending: list, then document
         self.start = block_starts(self.score, begin, cost)
         self.end = np.r_[self.start[1:], len(terms)]
         self.low, self.high = (self.doc[self.start], self.doc[self.end - 1]) if len(terms) else (self.start, self.start)
         self.top = np.maximum.reduceat(self.score, self.start) if len(terms) else self.start
+        self.most = np.maximum.reduceat(self.score, begin[:-1]) if len(terms) else self.start  # of each list
         self.blocks = np.searchsorted(self.start, begin)  # the blocks of list i: blocks[i] to blocks[i + 1]
 
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, least: int = 1, waves: tuple[int, ...] = (256, 2048)) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, scores) of the k best with a score of `least` or more, best first, equal scores by number."""
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, least: int = 1, wave: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, scores) of the k best with a score of `least` or more, best first, equal scores by number.
+
+        Lists are taken by the largest score in them, highest first, until those left add up to less than the k-th best
+        score so far: a document that stands in none of the lists taken can't be a pivot any more. Of a list only the
+        blocks are read that hold a place where the bounds of the blocks there, of all lists, reach the threshold. Each
+        wave of lists has twice the postings of the one before."""
         none = np.zeros(0, np.int64)
         at = np.searchsorted(self.terms, terms)
         there = (at < len(self.terms)) & (weights > 0)
         there[there] = self.terms[at[there]] == terms[there]
         at, weights = at[there], weights[there]
-        b = _ranges(self.blocks[at], self.blocks[at + 1])
-        if not len(b):
+        if not len(at):
             return none, none
-        by = np.repeat(weights, self.blocks[at + 1] - self.blocks[at])
-        edge = self.n_docs + 1
+        order = np.argsort(-self.most[at] * weights, kind="stable")
+        at, weights = at[order], weights[order]
+        first, last = self.blocks[at], self.blocks[at + 1]
+        b, edge = _ranges(first, last), self.n_docs + 1
+        by = np.repeat(weights, last - first)
         # whole numbers below 2 ** 53, so sums of doubles are exact
         bound = np.cumsum(np.bincount(self.low[b], self.top[b] * by, edge) - np.bincount(self.high[b] + 1, self.top[b] * by, edge))[:-1]
-        least = max(1, least)
-        found, scores, done = none, none, np.zeros(self.n_docs, bool)
-        for wave in (*waves, self.n_docs):
-            live = (bound >= least) & ~done
-            if (n := int(live.sum())) > wave:
-                live &= bound >= np.partition(bound[live], n - wave)[n - wave]
-            if not n:
-                break
-            done |= live
+        rest = np.cumsum((self.most[at] * weights)[::-1])[::-1]  # what the lists from here on can add to a score at most
+        size = np.cumsum(self.end[last - 1] - self.start[first])
+        found, scores, seen, j, least = none, none, np.zeros(self.n_docs, bool), 0, max(1, least)
+        while j < len(at) and rest[j] >= least:
+            to = max(j + 1, int(np.searchsorted(size, (size[j - 1] if j else 0) + wave, side="right")))
+            live = (bound >= least) & ~seen
             before = np.r_[0, np.cumsum(live)]
-            met = before[self.high[b] + 1] > before[self.low[b]]  # blocks without a live document are skipped
-            p = _ranges(self.start[b[met]], self.end[b[met]])
-            w = np.repeat(by[met], self.end[b[met]] - self.start[b[met]])
-            inside = live[self.doc[p]]
-            sums = np.bincount(self.doc[p][inside], self.score[p][inside] * w[inside], self.n_docs)
-            new = np.flatnonzero(live & (sums >= least))
-            found, scores = np.r_[found, new], np.r_[scores, sums[new].astype(np.int64)]
+            own = _ranges(first[j:to], last[j:to])
+            own = own[before[self.high[own] + 1] > before[self.low[own]]]
+            docs = np.unique(self.doc[_ranges(self.start[own], self.end[own])])
+            docs = docs[live[docs]]
+            seen[docs] = True
+            sums = self._scores(at, weights, docs)
+            good = sums >= least
+            found, scores = np.r_[found, docs[good]], np.r_[scores, sums[good]]
             best = np.lexsort((found, -scores))[:k]
             found, scores = found[best], scores[best]
             if len(found) == k:
                 least = max(least, int(scores[-1]))
+            j, wave = to, 2 * wave
         return found, scores
 
+    def _scores(self, lists: np.ndarray, weights: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """The documents' scores. Few documents are sought in every list; for more, the blocks that may hold them are read."""
+        if not len(docs):
+            return np.zeros(0, np.int64)
+        first, last = self.blocks[lists], self.blocks[lists + 1]
+        if 4 * len(docs) * len(lists) < (self.end[last - 1] - self.start[first]).sum():
+            want = lists[:, None] * (self.n_docs + 1) + docs
+            p = np.minimum(np.searchsorted(self.key, want.ravel()), len(self.key) - 1)
+            hit = (self.key[p] == want.ravel()).reshape(want.shape)
+            return (self.score[p].reshape(want.shape) * hit * weights[:, None]).sum(0)
+        place = np.full(self.n_docs, -1)
+        place[docs] = np.arange(len(docs))
+        before = np.r_[0, np.cumsum(place >= 0)]
+        b, by = _ranges(first, last), np.repeat(weights, last - first)
+        met = before[self.high[b] + 1] > before[self.low[b]]
+        b, by = b[met], by[met]
+        p = _ranges(self.start[b], self.end[b])
+        at = place[self.doc[p]]
+        own = at >= 0
+        return np.bincount(at[own], (self.score[p] * np.repeat(by, self.end[b] - self.start[b]))[own], len(docs)).astype(np.int64)
+
 
 def _searched(queries: list[tuple[int | None, np.ndarray, np.ndarray]], n_docs: int, total: int, k: int, docs: int, postings: int, cost: float):
     """mapInArrow over occurrences(): the task's k best documents (item_id, doc_id, score) of every query."""
