@@ -33,18 +33,20 @@ def own_failures(text: Column) -> Column:
     return sum((F.when(c, F.lit(1 << k)).otherwise(F.lit(0)) for k, c in enumerate(fails)), F.lit(0))
 
 
-def failure_masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
+def failure_masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source", broadcast_rows: int = 1 << 18) -> DataFrame:
     """(doc_id bigint, part string, mask int) of every row of `docs`.
 
     Null texts are empty, a null part is the empty string. Bit 4: another row's id is smaller and its text the same, in
     any part. Rows that share an id are no copies of each other; a row with a null id is none, and makes none. Texts are
-    told apart by their SHA-256, so that the groups move digests, not texts. Extra columns are ignored.
+    told apart by their SHA-256, so that the groups move digests, not texts. Up to `broadcast_rows` texts with copies (10 MB of digests) go to all
+    executors; more are joined by a shuffle, in which Spark splits the rows of a hot text. Extra columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(part_col), F.lit("")).alias("part"), own_failures(text).alias("own"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
     rows = store(rows, "masks")
     # a hot text is one row a task before the shuffle; texts that stand once never meet the rows again
-    firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
+    firsts = store(rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first"), "firsts")
+    firsts = F.broadcast(firsts) if firsts.count() <= broadcast_rows else firsts
     copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
     return rows.join(firsts, "digest", "left").select("doc_id", "part", (F.col("own") + F.when(copy, F.lit(16)).otherwise(F.lit(0))).alias("mask"))
 

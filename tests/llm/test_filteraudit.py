@@ -95,7 +95,7 @@ def test_hot_text_and_source(spark):
     """A third of all rows in one source, and one text for half of them: counts are whole, copies but the first are E."""
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("source"), F.when(F.col("id") % 2 == 0, "same text").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
     masks = failure_masks(docs)
-    assert masks.where("mask >= 16").count() == 1499
+    assert masks.where("mask >= 16").count() == failure_masks(docs, broadcast_rows=0).where("mask >= 16").count() == 1499
     cells = {r["part"]: sum(r["n"]) for r in mask_cells(masks, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()}
     assert cells["hot"] == 1000 and sum(cells.values()) == 3000
 
