@@ -14,6 +14,7 @@ from .filteraudit import filter_audit
 from .lexical import ranked_search
 from .linededup import dedup_lines
 from .mixing import mix
+from .outliers import quality_rules
 from .sharding import shard_rows
 from .simhash import near_duplicates
 
@@ -97,6 +98,11 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rows of benchmark against all documents."""
     return ranked_search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
@@ -107,7 +113,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(docs, table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_mixing, op4_embeddings, op5_line_dedup, op6_warc, op7_sharding, op8_fingerprint, op9_bpe, op10_langid, op12_lexical_search, op13_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_mixing, op4_embeddings, op5_line_dedup, op6_warc, op7_sharding, op8_fingerprint, op9_bpe, op10_langid, op11_quality_rules, op12_lexical_search, op13_filter_audit)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
