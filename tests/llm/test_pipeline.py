@@ -179,6 +179,39 @@ def test_near_duplicates_brute_force(spark):
     assert sorted(kept, key=lambda x: (x is None, x)) == [*sorted(set(root)), None]
 
 
+def test_near_duplicates_tell_texts_of_one_id_apart(spark):
+    """A row goes by its own text, not because another row under its id goes."""
+    long = " ".join(f"w{k}" for k in range(40))
+    near, other = long.replace("w39", "x"), " ".join(f"v{k}" for k in range(40))
+    rows = [(1, long), (5, long), (5, other), (7, near), (7, "something else"), (7, "something else"), (9, other), (None, long), (3, None), (4, "")]
+    docs = spark.createDataFrame([(*r, "en", "a", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = cp.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted((repr(r["doc_id"]), r["text"] or "") for r in kept) == sorted((repr(i), t or "") for i, t in [(1, long), (5, other), (7, "something else"), (7, "something else"), (None, long), (3, None)])
+
+
+def test_texts_around_one_passage_are_not_compared_pairwise(spark, monkeypatch):
+    """600 texts share a passage of more than half their words: buckets hold hundreds of them that are not similar. The
+    shingles' prefixes leave few comparisons; near copies among them are still found."""
+    from lacunar.llm import jaccard
+
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts = [" ".join(f"u{i}-{k}" for k in range(25)) + " " + passage for i in range(600)]
+    texts += [t.replace(" p59", " q") for t in texts[::100]]  # near copies of six of them
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    compared = []
+    plain = jaccard._compared
+
+    def counting(with_text, members, *rest):
+        compared.append([tuple(r) for r in members.select("group", "odd", "n").collect()])
+        return plain(with_text, members, *rest)
+
+    monkeypatch.setattr(jaccard, "_compared", counting)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(docs, block=8).collect()}
+    assert got == {i: (i - 600) * 100 if i >= 600 else i for i in range(606)}
+    assert len(compared) == 2 and compared[1] is not None  # large groups were there and were divided
+    assert sum(n for group in compared for _, odd, n in group if odd) < 20 * 606  # comparisons: odd members times members
+
+
 def test_native_operators_stay_in_the_jvm(spark):
     import re
 
