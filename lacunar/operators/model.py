@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -58,50 +59,69 @@ def with_noise(bins: DataFrame, seed: int, scale: float, keys: list[str] = KEYS)
     return bins.withColumn("factors", F.transform("factors", lambda x, k: x + draw(k)))
 
 
-def predicted(bins: DataFrame, rows: DataFrame, cols: DataFrame, mean: float = 0.0, cells: DataFrame | None = None, keys: list[str] = KEYS, unrolled: int = 8) -> DataFrame:
+#: The most cells of a plane that are sent to the executors at once. A larger plane is predicted block by block.
+PLANE_CELLS = 1 << 17
+
+
+def predicted(bins: DataFrame, rows: DataFrame, cols: DataFrame, mean: float = 0.0, cells: DataFrame | None = None, keys: list[str] = KEYS, unrolled: int = 8, block: int = PLANE_CELLS) -> DataFrame:
     """(keys, row_id, col_id, predicted) for the requested cells of every bin, all cells by default.
 
     The products of row and column factors are formed once per cell of the plane. Ranks up to `unrolled` are written out
-    as a sum, which Spark compiles; higher ranks are one matrix product per Arrow batch of bins. The output is bins times
-    cells by its nature; the plane is on every executor, so it must fit there: PLANE_CELLS cells at most."""
-    plane = rows.select(F.col("id").alias("row_id"), F.col("factors").alias("_r"), F.col("bias").alias("_rb")).crossJoin(cols.select(F.col("id").alias("col_id"), F.col("factors").alias("_c"), F.col("bias").alias("_cb")))
-    if cells is not None:
-        plane = plane.join(F.broadcast(cells.select(*CELL)), CELL, "left_semi")
-    plane = plane.select(*CELL, F.zip_with("_r", "_c", lambda x, y: x * y).alias("_z"), (F.col("_rb") + F.col("_cb") + F.lit(mean)).alias("_b"))
-    known = plane.limit(PLANE_CELLS + 1).collect()
-    if len(known) > PLANE_CELLS:
-        raise ValueError(f"a plane of more than {PLANE_CELLS} cells: ask for some of them at a time")
-    rank = len(known[0]["_z"]) if known else 0
+    as a sum, which Spark compiles; higher ranks are matrix products of an Arrow batch of bins with some thousand cells.
+    The output is bins times cells by its nature. A plane of more than `block` cells is cut into blocks of about so many,
+    each of which reads the bins again."""
+    n = rows.count() * cols.count() if cells is None else cells.count()
+    blocks = max(1, -(-n // block))
+    rank = (rows.select(F.size("factors")).first() or [0])[0]
+    part = lambda df, k: df.where(F.pmod(F.xxhash64(*CELL), F.lit(blocks)) == k) if blocks > 1 else df
+    if rank > unrolled and cells is None:
+        return _predicted_in_batches(bins, rows, cols, mean, None, keys)
     if rank > unrolled:
-        return _predicted_in_batches(bins, known, keys)
-    spark = bins.sparkSession
-    local = spark.createDataFrame([(x["row_id"], x["col_id"], *x["_z"], x["_b"]) for x in known], ", ".join(["row_id int", "col_id int", *(f"_z{k} double" for k in range(rank)), "_b double"]))
+        return reduce(DataFrame.unionByName, (_predicted_in_batches(bins, rows, cols, mean, part(cells, k), keys) for k in range(blocks)))
+    whole = rows.select(F.col("id").alias("row_id"), F.col("factors").alias("_r"), F.col("bias").alias("_rb")).crossJoin(cols.select(F.col("id").alias("col_id"), F.col("factors").alias("_c"), F.col("bias").alias("_cb")))
+    if cells is not None:
+        whole = whole.join(F.broadcast(cells.select(*CELL)) if blocks == 1 else cells.select(*CELL), CELL, "left_semi")
+    whole = whole.select(*CELL, *((F.get("_r", F.lit(k)) * F.get("_c", F.lit(k))).alias(f"_z{k}") for k in range(rank)), (F.col("_rb") + F.col("_cb") + F.lit(mean)).alias("_b"))
     total = F.col("_b") + F.col("bias")
     if rank:
         total = sum((F.col(f"_z{k}") * F.col(f"_f{k}") for k in range(1, rank)), F.col("_z0") * F.col("_f0")) + total
     flat = bins.select(*keys, "bias", *(F.get("factors", F.lit(k)).alias(f"_f{k}") for k in range(rank)))
-    return flat.crossJoin(F.broadcast(local)).select(*keys, *CELL, total.alias("predicted"))
+    made = (flat.crossJoin(F.broadcast(part(whole, k))).select(*keys, *CELL, total.alias("predicted")) for k in range(blocks))
+    return reduce(DataFrame.unionByName, made)
 
 
-#: The most cells of a plane that predictions are made for at once: with rank 100, 100 MB on an executor.
-PLANE_CELLS = 1 << 17
+def _axis(df: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, factors, biases) of an axis, as arrays on the driver."""
+    t = df.select("id", "factors", "bias").toArrow()
+    return t.column("id").to_numpy(), np.array(t.column("factors").to_pylist(), float).reshape(len(t), -1), t.column("bias").to_numpy()
 
 
-def _predicted_in_batches(bins: DataFrame, known: list, keys: list[str], rows: int = 1 << 18) -> DataFrame:
-    """predicted() by matrix products, about `rows` cells of output at a time."""
-    z, b = np.array([x["_z"] for x in known]).T.copy(), np.array([x["_b"] for x in known])
-    cell = [np.array([x[c] for x in known], np.int32) for c in CELL]
-    kinds, step = dict(bins.dtypes), max(1, rows // len(known))
+def _predicted_in_batches(bins: DataFrame, rows: DataFrame, cols: DataFrame, mean: float, cells: DataFrame | None, keys: list[str], at_once: int = 1 << 12, out_cells: int = 1 << 18) -> DataFrame:
+    """predicted() by matrix products of bins with `at_once` cells of the plane, formed on the executors from the two
+    axes; about `out_cells` cells of output at a time."""
+    (row_ids, r, rb), (col_ids, c, cb) = _axis(rows), _axis(cols)
+    n, chosen, kinds = len(row_ids) * len(col_ids), None, dict(bins.dtypes)
+    if cells is not None:
+        t = cells.select(*CELL).toArrow()
+        place = [{int(i): k for k, i in enumerate(ids)} for ids in (row_ids, col_ids)]
+        known = [(place[0][x], place[1][y]) for x, y in zip(*(t.column(k).to_pylist() for k in range(2)), strict=True) if x in place[0] and y in place[1]]
+        chosen, n = np.array(sorted(set(known)), np.int64).reshape(-1, 2), len(set(known))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, step):
-                part = whole.slice(at, step)
-                f = part.column(len(keys)).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                out = f @ z + b + part.column(len(keys) + 1).to_numpy(zero_copy_only=False)[:, None]
-                take = pa.array(np.repeat(np.arange(part.num_rows), len(b)))
-                names = [*keys, *CELL, "predicted"]
-                yield pa.RecordBatch.from_arrays([*(part.column(k).take(take) for k in range(len(keys))), *(pa.array(np.tile(c, part.num_rows)) for c in cell), pa.array(out.ravel())], names)
+        for whole in filter(len, batches):
+            f = whole.column(len(keys)).flatten().to_numpy(zero_copy_only=False).reshape(whole.num_rows, -1)
+            bias = whole.column(len(keys) + 1).to_numpy(zero_copy_only=False)
+            for begin in range(0, n, at_once):
+                at = np.arange(begin, min(n, begin + at_once))
+                i, j = np.divmod(at, len(col_ids)) if chosen is None else chosen[at].T
+                z, b = (r[i] * c[j]).T, rb[i] + cb[j] + mean
+                step = max(1, out_cells // len(at))
+                for first in range(0, whole.num_rows, step):
+                    own = slice(first, min(first + step, whole.num_rows))
+                    out = f[own] @ z + b + bias[own, None]
+                    take = pa.array(np.repeat(np.arange(own.start, own.stop), len(at)))
+                    ids = (pa.array(np.tile(x, own.stop - own.start).astype(np.int32)) for x in (row_ids[i], col_ids[j]))
+                    yield pa.RecordBatch.from_arrays([*(whole.column(k).take(take) for k in range(len(keys))), *ids, pa.array(out.ravel())], [*keys, *CELL, "predicted"])
 
     return bins.select(*keys, "factors", "bias").mapInArrow(each, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", row_id int, col_id int, predicted double")
 

@@ -81,15 +81,16 @@ class Moments:
         self.m, self.v, self.t, self.prod = np.zeros(shape), np.zeros(shape), np.zeros(shape[0], int), np.ones(shape[0])
 
 
-def nadam(theta: np.ndarray, grad: np.ndarray, m: np.ndarray, v: np.ndarray, t: int, prod: float, o: Options) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """One update of one entity. t counts from 1; prod is the product of the first-moment decays up to t - 1."""
+def nadam(theta: np.ndarray, grad: np.ndarray, m: np.ndarray, v: np.ndarray, t, prod, o: Options) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One update of one entity, or of several, a line each, with t and prod as columns. t counts from 1; prod is the
+    product of the first-moment decays up to t - 1."""
     fade = (1 - 1e-6) ** (t - 1)
     b, after, rate = o.beta1 * fade, o.beta1 * fade * (1 - 1e-6), o.rate * fade
-    prod *= b
+    prod = prod * b
     m = b * m + (1 - b) * grad
-    v = o.beta2 * v + (1 - o.beta2) * grad * grad
-    look = (1 - b) * grad / (1 - prod) + after * m / (1 - prod * after)
-    theta = theta - rate * look / (np.sqrt(v / (1 - o.beta2**t)) + o.epsilon)
+    v = o.beta2 * v + (1 - o.beta2) * (grad * grad)
+    look = (1 - b) / (1 - prod) * grad + after / (1 - prod * after) * m
+    theta = theta - rate * look / (np.sqrt(v) / (1 - o.beta2**t) ** 0.5 + o.epsilon)
     return (np.maximum(theta, 0) if o.nonneg else theta), m, v, prod
 
 
@@ -131,24 +132,63 @@ class State:
         return out
 
 
+def conflict_free(draws: np.ndarray) -> list[np.ndarray]:
+    """Draws, each a line of entities, dealt to batches in which no entity stands twice: each goes to the first batch that
+    is still free for it. A batch is the numbers of its draws, ascending. Entities are numbers from 0, other axes apart."""
+    taken = [[0] * (int(c.max()) + 1) for c in draws.T] if len(draws) else []  # per entity a bit for each batch that has it
+    batches: list[list[int]] = []
+    for k, line in enumerate(draws.tolist()):
+        used = 0
+        for axis, e in zip(taken, line, strict=True):
+            used |= axis[e]
+        bit = ~used & (used + 1)
+        for axis, e in zip(taken, line, strict=True):
+            axis[e] |= bit
+        if bit >> len(batches):
+            batches.append([])
+        batches[bit.bit_length() - 1].append(k)
+    return [np.array(b) for b in batches]
+
+
 def sgd_partition(cells: np.ndarray, values: np.ndarray, bins: np.ndarray, bin_m: Moments, s: State, o: Options, rng: np.random.Generator) -> None:
-    """`batch` updates in place. cells: (bin, row, column) of the observed training cells; bins: factors and bias."""
+    """`batch` updates in place. cells: (bin, row, column) of the observed training cells; bins: factors and bias.
+
+    The draws are dealt to batches without conflicts, and a batch is one update of whole matrices, the same as its draws
+    one after another. Axes that stay as they are make no conflict."""
     if not len(cells):
         return
-    for k in rng.integers(0, len(cells), o.batch):
-        i, r, c = cells[k]
-        rows, cols, g = s.rows[r], s.cols[c], bins[i]
-        err = (rows[:-1] * cols[:-1]) @ g[:-1] + rows[-1] + cols[-1] + g[-1] - values[k]
-        grads = []
-        if o.rows:
-            grads.append((s.rows, s.row_m, r, np.r_[err * cols[:-1] * g[:-1] + o.rc * rows[:-1], err + o.rbc * rows[-1]]))
-        if o.cols:
-            grads.append((s.cols, s.col_m, c, np.r_[err * rows[:-1] * g[:-1] + o.ra * cols[:-1], err + o.rba * cols[-1]]))
-        if o.bins:
-            grads.append((bins, bin_m, i, np.r_[err * rows[:-1] * cols[:-1] + o.ri * g[:-1], err + o.rbi * g[-1]]))
-        for table, m, at, grad in grads:  # all gradients are taken before any is applied
-            m.t[at] += 1
-            table[at], m.m[at], m.v[at], m.prod[at] = nadam(table[at], grad, m.m[at], m.v[at], int(m.t[at]), float(m.prod[at]), o)
+    axes = [(o.rows, 1, s.rows, s.row_m, o.rc, o.rbc), (o.cols, 2, s.cols, s.col_m, o.ra, o.rba), (o.bins, 0, bins, bin_m, o.ri, o.rbi)]
+    moving = [x for x in axes if x[0]]
+    if not moving:
+        return
+    # the moving tables one above the other, so that a batch is one update
+    base = np.cumsum([0, *(len(x[2]) for x in moving)])
+    theta, m, v = (np.concatenate(x) for x in ([x[2] for x in moving], [x[3].m for x in moving], [x[3].v for x in moving]))
+    t, prod = (np.concatenate(x)[:, None] for x in ([x[3].t for x in moving], [x[3].prod for x in moving]))
+    weight = [np.r_[np.full(theta.shape[1] - 1, x[4]), x[5]] for x in moving]
+    place = {axis: k for k, (_, axis, *_) in enumerate(moving)}
+    picked = rng.integers(0, len(cells), o.batch)
+    drawn, wanted = cells[picked], values[picked]
+    at = drawn[:, [x[1] for x in moving]] + base[:-1]
+    fixed = {1: s.rows, 2: s.cols, 0: bins}
+    for batch in conflict_free(drawn[:, [x[1] for x in moving]]):
+        own, ids = at[batch], drawn[batch]
+        part = {a: theta.take(own[:, place[a]], 0) if a in place else fixed[a].take(ids[:, a], 0) for a in (0, 1, 2)}
+        g, rows, cols = part[0], part[1], part[2]
+        pairs = {1: cols[:, :-1] * g[:, :-1], 2: rows[:, :-1] * g[:, :-1], 0: rows[:, :-1] * cols[:, :-1]}
+        err = (pairs[0] * g[:, :-1]).sum(1) + rows[:, -1] + cols[:, -1] + g[:, -1] - wanted[batch]
+        lines = own.T.ravel()
+        grad = np.empty((len(lines), theta.shape[1]))
+        for k, (_, axis, *_) in enumerate(moving):
+            mine = slice(k * len(batch), (k + 1) * len(batch))
+            np.multiply(pairs[axis], err[:, None], out=grad[mine, :-1])
+            grad[mine, -1] = err
+            grad[mine] += weight[k] * part[axis]
+        t[lines] += 1
+        theta[lines], m[lines], v[lines], prod[lines] = nadam(theta.take(lines, 0), grad, m.take(lines, 0), v.take(lines, 0), t.take(lines, 0), prod.take(lines, 0), o)
+    for k, x in enumerate(moving):
+        mine = slice(base[k], base[k + 1])
+        x[2][:], x[3].m[:], x[3].v[:], x[3].t[:], x[3].prod[:] = theta[mine], m[mine], v[mine], t[mine, 0], prod[mine, 0]
 
 
 #: Columns of a bin's state next to its keys.
@@ -183,33 +223,84 @@ def together(states: DataFrame, cells: DataFrame, keys: list[str] = KEYS) -> Dat
     return own.hint("merge").join(cells.hint("merge").select(*keys, "cells"), keys, "left").sortWithinPartitions(*keys)
 
 
-def step(states: DataFrame, cells: DataFrame, s: State, o: Options, iteration: int, n: int, keys: list[str] = KEYS) -> tuple[DataFrame, State]:
-    """One parallel iteration: new bin states, and the average of the workers' parameters."""
+def slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """A bucket's rows cut into slices of about `size` rows, between half and one and a half times as many unless the
+    bucket itself has fewer. No more than that is held."""
+    held, n = [], 0
+    for whole in batches:
+        at = 0
+        while at < whole.num_rows:
+            part = whole.slice(at, size + (size + 1) // 2 - n)
+            at, n = at + part.num_rows, n + part.num_rows
+            held.append(part)
+            if n >= size + (size + 1) // 2:
+                x = pa.Table.from_batches(held)
+                yield x.slice(0, size)
+                rest = x.slice(size).combine_chunks()  # a copy, so that the slice before can go
+                held, n = rest.to_batches(), rest.num_rows
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def vector_sum(rows: DataFrame, vector: str, fan: int = 64) -> np.ndarray | None:
+    """The sum of a column of equally long vectors, as a tree: `fan` at a time are added up in a task as Arrow batches,
+    the last of them too, so one vector reaches the driver. Null without a row."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            if b.num_rows:
+                own = _matrix(b.column(0)).sum(0)
+                total = own if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([_lists(total[None])], ["x"])
+
+    part = rows.select(F.col(vector).alias("x")).mapInArrow(add, "x array<double>")  # one row a partition at most
+    n = rows.rdd.getNumPartitions()
+    while n > 1:
+        n = -(-n // fan)
+        part = part.repartition(n).mapInArrow(add, "x array<double>")
+    out = part.toArrow().column("x")
+    return np.array(out[0].as_py()) if len(out) else None
+
+
+def step(states: DataFrame, cells: DataFrame, s: State, o: Options, iteration: int, n: int, keys: list[str] = KEYS, slice_bins: int | None = None) -> tuple[DataFrame, State]:
+    """One parallel iteration: new bin states, and the average of the workers' parameters.
+
+    A worker is a slice of `slice_bins` bins (by default a whole bucket); a task goes through its bucket slice by slice and
+    holds one at a time. Of the parameters a task leaves their sum over its slices and how many there were."""
     kinds = dict(states.dtypes)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        x = pa.Table.from_batches(held)
-        own = State(s.rows.copy(), s.cols.copy()).from_flat(s.flat())
-        bins = _matrix(x["theta"])
-        bm = Moments(bins.shape)
-        bm.m, bm.v, bm.t, bm.prod = _matrix(x["m"]), _matrix(x["v"]), x["t"].to_numpy().copy(), x["prod"].to_numpy().copy()
-        at, r, c, value = cell_arrays(x["cells"].combine_chunks())
-        # the draw depends on the iteration and the worker's first bin, not on where the task runs
-        first = zlib.crc32("|".join(str(x[k][0].as_py()) for k in keys).encode())
-        sgd_partition(np.c_[at, r, c], value, bins, bm, own, o, np.random.default_rng([o.seed, iteration + 1, first]))
-        names = [*keys, "theta", "m", "v", "t", "prod", "kind", "params"]
-        none = pa.nulls(len(x), pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([*(x[k].combine_chunks() for k in keys), _lists(bins), _lists(bm.m), _lists(bm.v), pa.array(bm.t), pa.array(bm.prod), pa.array(["state"] * len(x)), none], names)
-        empty = pa.nulls(1, pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([*(x[k].slice(0, 1).combine_chunks() for k in keys), empty, empty, empty, pa.array([0]), pa.array([0.0]), pa.array(["params"]), _lists(own.flat()[None])], names)
+        names, total, last = [*keys, "theta", "m", "v", "t", "prod", "kind", "params"], None, None
+        for x in slices(batches, slice_bins or 1 << 40):
+            own = State(s.rows.copy(), s.cols.copy()).from_flat(s.flat())
+            bins = _matrix(x["theta"])
+            bm = Moments(bins.shape)
+            bm.m, bm.v, bm.t, bm.prod = _matrix(x["m"]), _matrix(x["v"]), x["t"].to_numpy().copy(), x["prod"].to_numpy().copy()
+            at, r, c, value = cell_arrays(x["cells"].combine_chunks())
+            # the draw depends on the iteration and the worker's first bin, not on where the task runs
+            first = zlib.crc32("|".join(str(x[k][0].as_py()) for k in keys).encode())
+            sgd_partition(np.c_[at, r, c], value, bins, bm, own, o, np.random.default_rng([o.seed, iteration + 1, first]))
+            none = pa.nulls(len(x), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(x[k].combine_chunks() for k in keys), _lists(bins), _lists(bm.m), _lists(bm.v), pa.array(bm.t), pa.array(bm.prod), pa.array(["state"] * len(x)), none], names)
+            flat = np.r_[own.flat(), 1.0]
+            total, last = flat if total is None else total + flat, x.select(keys).slice(0, 1).combine_chunks()
+        if total is not None:
+            empty = pa.nulls(1, pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(last[k].combine_chunks() for k in keys), empty, empty, empty, pa.array([0]), pa.array([0.0]), pa.array(["params"]), _lists(total[None])], names)
 
     new = together(states, cells, keys).mapInArrow(each, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {STATE}, kind string, params array<double>")
     out = dealt(new, n, keys, shuffle=False)  # a worker's rows are one bucket already
-    mean = out.where("kind = 'params'").select(F.posexplode("params")).groupBy("pos").agg(F.avg("col").alias("x")).orderBy("pos").collect()  # as long as the two small axes
-    return out, s.from_flat(np.array([r["x"] for r in mean])) if mean else s
+    total = vector_sum(out.where("kind = 'params'"), "params")
+    return out, s if total is None else s.from_flat(total[:-1] / total[-1])
+
+
+def laid_out(n_bins: int, slice_bins: int, least: int = 20, most: int = 4096) -> tuple[int, int]:
+    """(buckets, bins in a slice) for so many bins: slices of `slice_bins` bins, `least` of them at least, in `most` buckets
+    at most, which then hold several slices each."""
+    n = max(least, -(-n_bins // max(1, slice_bins)))
+    return min(n, most), max(1, -(-n_bins // n))
 
 
 def factors_of(states: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -272,8 +363,8 @@ def _split_sums(s: State, splits: dict[tuple[int, int], str]):
 
 def _summed(df: DataFrame, each, size: int) -> np.ndarray:
     """Sums over all tasks of the vectors that `each` yields as lists."""
-    rows = df.mapInArrow(each, "sums array<double>").select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("x")).orderBy("pos").collect()
-    return np.array([r["x"] for r in rows]) if rows else np.zeros(size)
+    total = vector_sum(df.mapInArrow(each, "sums array<double>"), "sums")
+    return np.zeros(size) if total is None else total
 
 
 def errors(states: DataFrame, s: State, splits: dict[tuple[int, int], str], full: DataFrame, o: Options, keys: list[str] = KEYS, valid: DataFrame | None = None) -> tuple[float, float, float, float]:
@@ -343,7 +434,7 @@ def load_checkpoint(spark: SparkSession, path: str, like: State) -> dict:
     return x
 
 
-def train(t: DataFrame, splits: dict[tuple[int, int], str], bins: DataFrame, start: State, o: Options, n_workers: int, keys: list[str] = KEYS, checkpoint: str | None = None, every: int = 80, restart: bool = False, valid_bins: DataFrame | None = None) -> Fit:
+def train(t: DataFrame, splits: dict[tuple[int, int], str], bins: DataFrame, start: State, o: Options, n_workers: int, keys: list[str] = KEYS, checkpoint: str | None = None, every: int = 80, restart: bool = False, valid_bins: DataFrame | None = None, slice_bins: int | None = None) -> Fit:
     """Trains on the centered tensor `t`: steps, an evaluation every `per_mse`, the best state kept, and at convergence a
     halved rate from the best state on, `searches` times.
 
@@ -352,7 +443,8 @@ def train(t: DataFrame, splits: dict[tuple[int, int], str], bins: DataFrame, sta
     `max_iters`, by patience (no new minimum in twice the window and its spacing), when the training error fell by less
     than `bail_gain` in `bail_at` iterations, or when an error is not a number. `valid_bins` are centered cells of other
     bins, on which validation and test errors are then taken. With `checkpoint`, a folder, the run is saved every `every`
-    iterations; with `restart` it goes on from the latest one there."""
+    iterations; with `restart` it goes on from the latest one there. Bins lie in `n_workers` buckets; each is one worker, or
+    with `slice_bins` as many as it has slices of so many bins."""
     spark = t.sparkSession
     split_table = spark.createDataFrame([(r, c, k) for (r, c), k in splits.items()], "row_id int, col_id int, split string")
     mine = t.join(plane(split_table.where("split = 'train'")), ["row_id", "col_id"], "left_semi")
@@ -372,7 +464,7 @@ def train(t: DataFrame, splits: dict[tuple[int, int], str], bins: DataFrame, sta
         if checkpoint and iteration and iteration % every == 0:
             save_checkpoint(checkpoint, iteration, states, s, best, run, o)
         last = states
-        states, s = step(last, cells, s, o, iteration, n_workers, keys)
+        states, s = step(last, cells, s, o, iteration, n_workers, keys, slice_bins)
         if best is None or best[1] is not last:
             forget(spark, last)
         iteration += 1
@@ -421,14 +513,15 @@ def burn_in(t: DataFrame, bins: DataFrame, start: State, o: Options, n_bins: int
     return s
 
 
-def train_bins(t: DataFrame, splits: dict[tuple[int, int], str], bins: DataFrame, s: State, o: Options, n_workers: int, per_eval: int = 50_000, win: int = 20, spacing: int = 5, shift: float = 1e-5, p_value: float = 0.01, least_gain: float = 0.01, keys: list[str] = KEYS) -> DataFrame:
+def train_bins(t: DataFrame, splits: dict[tuple[int, int], str], bins: DataFrame, s: State, o: Options, n_workers: int, per_eval: int = 50_000, win: int = 20, spacing: int = 5, shift: float = 1e-5, p_value: float = 0.01, least_gain: float = 0.01, keys: list[str] = KEYS, slice_bins: int | None = None) -> DataFrame:
     """(keys, factors, bias, evaluations): bins fitted to fixed rows and columns, each worker on its own and until its
     own validation error stops falling.
 
     After `batch` updates a worker takes its bins' errors every `per_eval` updates. With two windows of them it stops if
     the best gain is below `least_gain`, and at convergence (or when one and a half times the windows passed without a
     new minimum) it halves the rate from its best state, `searches` times, then stops. The best state counts. A worker
-    without training or validation cells leaves its bins as they are; `max_iters` bounds the evaluations, if set."""
+    without training or validation cells leaves its bins as they are; `max_iters` bounds the evaluations, if set. A worker is
+    a bucket, or with `slice_bins` a slice of one, held alone."""
     known, kinds = _split_sums(s, splits), dict(t.dtypes)
     is_train = np.zeros((len(s.rows), len(s.cols)), bool)
     for (r, c), split in splits.items():
@@ -467,9 +560,7 @@ def train_bins(t: DataFrame, splits: dict[tuple[int, int], str], bins: DataFrame
         return best[0], len(found)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if held:
-            x = pa.Table.from_batches(held)
+        for x in slices(batches, slice_bins or 1 << 40):
             first = zlib.crc32("|".join(str(x[k][0].as_py()) for k in keys).encode())
             theta, n = fit(x, np.random.default_rng([o.seed, first]))
             yield pa.RecordBatch.from_arrays([*(x[k].combine_chunks() for k in keys), _lists(theta[:, :-1]), pa.array(theta[:, -1]), pa.array([n] * len(x), pa.int32())], [*keys, "factors", "bias", "evaluations"])

@@ -22,10 +22,11 @@ def splits_of(splits: DataFrame) -> dict[tuple[int, int], str]:
     return {(r["row_id"], r["col_id"]): r["split"] for r in splits.collect()}  # the plane's cells
 
 
-def train_model(t: DataFrame, splits: DataFrame, o: tr.Options, fraction: float = 1.0, n_workers: int = 8, keys: list[str] = KEYS, valid_on_other_bins: bool = False, out: str | None = None, command: dict | None = None, checkpoint: str | None = None, restart: bool = False) -> tuple[model.Axes, DataFrame, tr.Fit]:
+def train_model(t: DataFrame, splits: DataFrame, o: tr.Options, fraction: float = 1.0, n_workers: int | None = None, keys: list[str] = KEYS, valid_on_other_bins: bool = False, out: str | None = None, command: dict | None = None, checkpoint: str | None = None, restart: bool = False, slice_bins: int = 1000) -> tuple[model.Axes, DataFrame, tr.Fit]:
     """(axes, bin factors of all bins, fit): centers, starts from biases, trains on a fraction of the bins, then solves all
     bins in closed form.
 
+    Workers are slices of `slice_bins` training bins, 20 at least; `n_workers` asks for so many, one a bucket, instead.
     With `valid_on_other_bins` twice the fraction is drawn; the first half in order trains and the second is validated
     on. With `out`, a folder, the command is recorded there first, and the trace and the model are saved at the end."""
     spark = t.sparkSession
@@ -57,7 +58,8 @@ def train_model(t: DataFrame, splits: DataFrame, o: tr.Options, fraction: float
     state = tr.State.of(model.init_axes(n_rows, n_cols, o.rank, o.seed, rb, cb))
     if o.burn_in_epochs and not restart:
         state = tr.burn_in(stats.in_split(some, splits, "train"), bins, state, o, n_bins, sum(v == "train" for v in known.values()), keys)
-    fit = tr.train(some, known, bins, state, o, n_workers, keys, checkpoint, restart=restart, valid_bins=other)
+    buckets, per_slice = (n_workers, None) if n_workers else tr.laid_out(n_bins, slice_bins)
+    fit = tr.train(some, known, bins, state, o, buckets, keys, checkpoint, restart=restart, valid_bins=other, slice_bins=per_slice)
     axes = fit.state.axes(mean)
     solved = model.solve_bins(c, axes, sorted(k for k, v in known.items() if v == "train"), o.ri2, keys)
     if out:
@@ -104,7 +106,7 @@ def bagged(t: DataFrame, folds: DataFrame, test_fold: int, o: tr.Options, bags:
     return impute.united(outs), used
 
 
-def add_row(t: DataFrame, new: DataFrame, a_cols: DataFrame, b_cols: DataFrame, splits: DataFrame, axes: model.Axes, o: tr.Options, n_workers: int = 8, keys: list[str] = KEYS) -> tuple[model.Axes, tr.Fit]:
+def add_row(t: DataFrame, new: DataFrame, a_cols: DataFrame, b_cols: DataFrame, splits: DataFrame, axes: model.Axes, o: tr.Options, n_workers: int | None = None, keys: list[str] = KEYS, slice_bins: int = 1000) -> tuple[model.Axes, tr.Fit]:
     """A new row entity for a trained model: its cells are stacked under the tensor's and train; columns stay as they are,
     rows and bins are fitted."""
     n = len(axes.rows)
@@ -115,8 +117,10 @@ def add_row(t: DataFrame, new: DataFrame, a_cols: DataFrame, b_cols: DataFrame,
     grown = model.Axes(np.vstack([axes.rows, extra.rows]), np.r_[axes.row_bias, extra.row_bias], axes.cols, axes.col_bias, axes.mean)
     c = tensor.centered(both, axes.mean)
     bins = model.init_bins(c.select(*keys).distinct(), axes.rank, o.seed, keys)
-    o = replace(o, cols=False).scaled(len(grown.rows), len(axes.cols), bins.count())
-    fit = tr.train(c, splits_of(all_splits), bins, tr.State.of(grown), o, n_workers, keys)
+    n_bins = bins.count()
+    o = replace(o, cols=False).scaled(len(grown.rows), len(axes.cols), n_bins)
+    buckets, per_slice = (n_workers, None) if n_workers else tr.laid_out(n_bins, slice_bins)
+    fit = tr.train(c, splits_of(all_splits), bins, tr.State.of(grown), o, buckets, keys, slice_bins=per_slice)
     return fit.state.axes(axes.mean), fit
 
 
