@@ -127,12 +127,13 @@ def _moments(x: DataFrame) -> DataFrame:
     return x.groupBy("gid", "start").agg(F.count(F.lit(1)).alias("n"), sums.alias("s"), products.alias("ss"))
 
 
-_ESTIMATE = "gid string, start int, mean array<double>, inverse array<double>, det double"
+_ESTIMATE = "gid string, start int, mean array<double>, inverse array<double>, det double, fell double"
 
 
 def _estimates(moments: DataFrame, scale: float) -> DataFrame:
     """(_ESTIMATE) of moments about `mean`: `scale` times the scatter plus the least spreads, inverted. A row a group and
-    start, so a task inverts a batch of small matrices at a time."""
+    start, so a task inverts a batch of small matrices at a time. `fell`: how far the determinant's logarithm fell from
+    that of the moments, `det`."""
     floors = np.diag([f * f for _, f in VECTOR.values()])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,9 +148,11 @@ def _estimates(moments: DataFrame, scale: float) -> DataFrame:
                 scatter[:, i, j] = scatter[:, j, i] = table("ss")[:, k] / n[:, 0] - shift[:, i] * shift[:, j]
             whole = scale * scatter + floors
             lists = lambda a: pa.array(a.reshape(b.num_rows, -1).tolist(), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column("gid"), b.column("start"), lists(about + shift), lists(np.linalg.inv(whole)), pa.array(np.linalg.slogdet(whole)[1])], ["gid", "start", "mean", "inverse", "det"])
+            det = np.linalg.slogdet(whole)[1]
+            fell = b.column("det").to_numpy(zero_copy_only=False) - det
+            yield pa.RecordBatch.from_arrays([b.column("gid"), b.column("start"), lists(about + shift), lists(np.linalg.inv(whole)), pa.array(det), pa.array(fell)], ["gid", "start", "mean", "inverse", "det", "fell"])
 
-    return moments.select("gid", "start", "n", "s", "ss", "mean").mapInArrow(each, _ESTIMATE)
+    return moments.select("gid", "start", "n", "s", "ss", "mean", "det").mapInArrow(each, _ESTIMATE)
 
 
 def _away(mean: str, into: str) -> list[Column]:
@@ -175,38 +178,37 @@ def _concentrated(x: DataFrame, estimates: DataFrame, small: bool, scale: float
     held = bins.groupBy("gid", "start").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("h"), F.sum("n").alias("all"))  # of fixed length: some hundred bins
     half = F.floor((F.col("all") + DIM + 1) / 2)
     last = F.aggregate("h", F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("bigint").alias("at")), lambda a, b: F.struct((a["n"] + b["n"]).alias("n"), F.coalesce(a["at"], F.when(a["n"] + b["n"] >= half, b["bin"])).alias("at")))["at"]
-    known = estimates.join(held.select("gid", "start", last.alias("last")), ["gid", "start"])
+    known = held.select("gid", "start", last.alias("last")).join(_sent(estimates, small), ["gid", "start"])
     near = _with_distance(x, known, small).where(F.floor(F.log2(F.col("d2") + 2.0**-20) * BINS) <= F.col("last"))
-    return _estimates(_moments(near).join(estimates.select("gid", "start", "mean"), ["gid", "start"]), scale)
+    return _estimates(_moments(near).join(_sent(estimates.select("gid", "start", "mean", "det"), small), ["gid", "start"]), scale)
 
 
 def robust_scatter(x: DataFrame, small: bool, steps: int = 30) -> DataFrame:
     """(gid, mean, inverse, det): the reweighted minimum-covariance-determinant estimate of every group.
 
     x: gid and the vector. The starts are the coordinates' medians with their median deviations, and the scatter of the
-    directions from the medians. `steps` bounds the concentration steps, which end once no determinant falls by 1e-6."""
+    directions from the medians. `steps` bounds the concentration steps, which end once no logarithm of a determinant falls by a
+    thousandth."""
     middle = store(_medians(x, {c: F.col(c) for c in VECTOR}), "medians")
     named = middle.select("gid", F.array(*VECTOR).alias("mean"))
     about = x.join(_sent(named, small), "gid")
     spread = _medians(about.select("gid", *_away("mean", "y")), {c: F.expr(f"abs(y{k})") for k, c in enumerate(VECTOR)})
     wide = F.array(*(F.greatest(1.4826 * F.col(c), F.lit(f)) for c, (_, f) in VECTOR.items()))
-    begin = store(named.join(spread.select("gid", wide.alias("wide")), "gid"), "spreads")
-    plain = begin.select("gid", F.lit(0).alias("start"), F.lit(1).cast("long").alias("n"), F.array(*[F.lit(0.0)] * DIM).alias("s"), F.array(*(F.pow(F.get("wide", F.lit(i)), 2) if i == j else F.lit(0.0) for i, j in PAIRS)).alias("ss"), "mean")
+    begin = store(spread.select("gid", wide.alias("wide")).join(_sent(named, small), "gid"), "spreads")
+    plain = begin.select("gid", F.lit(0).alias("start"), F.lit(1).cast("long").alias("n"), F.array(*[F.lit(0.0)] * DIM).alias("s"), F.array(*(F.pow(F.get("wide", F.lit(i)), 2) if i == j else F.lit(0.0) for i, j in PAIRS)).alias("ss"), "mean", F.lit(0.0).alias("det"))
     scaled = x.join(_sent(begin, small), "gid").select("gid", "wide", *_away("mean", "y")).select("gid", "wide", *(F.expr(f"y{k} / wide[{k}] AS z{k}") for k in range(DIM)))
     length = "sqrt(1e-18D + " + " + ".join(f"z{k} * z{k}" for k in range(DIM)) + ")"
     ways = scaled.withColumn("length", F.expr(length)).select("gid", F.lit(1).alias("start"), *(F.expr(f"{DIM**0.5}D * wide[{k}] * z{k} / length AS y{k}") for k in range(DIM)))
-    turned = _moments(ways).withColumn("s", F.array(*[F.lit(0.0)] * DIM)).join(named, "gid")
+    turned = _moments(ways).withColumns({"s": F.array(*[F.lit(0.0)] * DIM), "det": F.lit(0.0)}).join(_sent(named, small), "gid")
     found = store(_estimates(plain.unionByName(turned.select(*plain.columns)), 1.0), "estimates")
     for _ in range(steps):
-        new = store(_concentrated(x, found, small), "estimates")
-        fell = found.join(new.select("gid", "start", F.col("det").alias("now")), ["gid", "start"]).agg(F.max(F.col("det") - F.col("now"))).first()[0]
-        found = new
-        if fell is None or fell < 1e-6:
+        found = store(_concentrated(x, found, small), "estimates")
+        if (found.agg(F.max("fell")).first()[0] or 0.0) < 1e-3:
             break
     best = found.groupBy("gid").agg(F.min_by("start", F.struct("det", "start")).alias("start"))
-    half = store(_concentrated(x, found.join(best, ["gid", "start"]), small, HALF), "estimates")
+    half = store(_concentrated(x, found.join(_sent(best, small), ["gid", "start"]), small, HALF), "estimates")
     near = _with_distance(x, half, small).where(F.col("d2") <= NEAR)
-    return store(_estimates(_moments(near).join(half.select("gid", "start", "mean"), ["gid", "start"]), NEAR_SCALE), "estimates")
+    return store(_estimates(_moments(near).join(_sent(half.select("gid", "start", "mean", "det"), small), ["gid", "start"]), NEAR_SCALE), "estimates")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: int = 100, cutoff: float = CUTOFF, steps: int = 30) -> DataFrame:
