@@ -25,9 +25,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def seeded(id_: Column, seed: int) -> Column:
-    """60 bits that the seed and the id decide, the same in any SQL engine."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_.cast("string"), F.lit("null"))).cast("binary")), 1, 15), 16, 10).cast("long")
+def seeded(id_: Column, text: Column, seed: int) -> Column:
+    """60 bits that the seed and the id decide, the same in any SQL engine. Without an id the text decides, so that such
+    rows spread over the shards like others."""
+    key = F.coalesce(id_.cast("string"), F.concat(F.lit("null:"), F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def water_fill(sizes: list[int], weights: list[int], most: int = 3) -> list[float]:
@@ -82,7 +84,7 @@ def _small(df: DataFrame, rows: int, most: int = 1 << 17) -> DataFrame:
 def _planned(docs: DataFrame, id_col: str, source_col: str, text_col: str, weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: int = 7, shards: int = 512, shard_rows: int = 1 << 17, block: int | None = None, keep: bool = False) -> DataFrame:
     """The result of mix(). With `keep`, each row also carries its whole row of `docs` as the struct `row`."""
     spark = docs.sparkSession
-    narrow = [F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), seeded(F.col(id_col), seed).alias("h")]
+    narrow = [F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), seeded(F.col(id_col), F.col(text_col), seed).alias("h")]
     counted = cut(docs.select(*narrow))  # texts are not stored again: where they are kept, words are counted a second time
     rows = docs.select(*narrow, row_of(docs)) if keep else counted
     tie = [F.xxhash64(F.col("row")[text_col])] if keep else []

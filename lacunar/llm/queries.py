@@ -121,7 +121,7 @@ _WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 #: Power-of-two widths, the candidates for every seat, and the seats with the highest quotients.
 _MIX = """
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-                  CAST('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15) AS BIGINT) AS h FROM documents),
+                  CAST('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null:' || coalesce(text, ''))), 1, 15) AS BIGINT) AS h FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS size, count(*) AS n, (row_number() OVER (ORDER BY source NULLS LAST) - 1) AS i FROM d GROUP BY source),
 s1 AS (SELECT *, CASE i % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, 512 * n // (sum(n) OVER ()) - 1 AS x FROM s0),
 s2 AS (SELECT *, sum(size) OVER () AS total,

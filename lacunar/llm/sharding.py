@@ -4,7 +4,8 @@ The ring has a fixed number of cells. Shard s owns `vnodes` points on it; a key
 its cell. Only the load of each cell, a table as long as the ring, reaches the driver, which walks the ring once: a
 cell's keys, in hash order, go to its shard while there is room and continue clockwise to the next shard with room.
 The walk yields a few stretches (cell, from, to, shard, first slot); rows find theirs by their rank in their cell, so
-one shuffle of ids and sizes does all the work and no shard is ever sorted as a whole.
+one shuffle does all the work and no shard is ever sorted as a whole. Rows travel with what `docs` holds: give ids and
+sizes, and nothing else moves.
 """
 
 from __future__ import annotations
@@ -50,12 +51,14 @@ def shard_rows(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", vnod
     """`docs` with shard int and slot long, which replace columns of these names: shards differ by one row at most.
 
     Law `rows`: with N rows, N mod n_shards shards have room for one row more than the others, and all room is used, so
-    the bound on the loads is the balance itself. Order on the ring is the hash of the id, then the id; null ids are
-    keys like any other, and rows that share an id are told apart by the hash of their row. An empty input gives no row.
+    the bound on the loads is the balance itself. Order on the ring is the hash of the id, then the id; rows with
+    a null id are keyed by the hash of the whole row, and rows that share an id are told apart by the hash of their row. An empty input gives no row.
     """
     spark = docs.sparkSession
-    h = F.xxhash64(F.lit("key"), id_col)
-    keyed = docs.select(row_of(docs), F.col(id_col).alias("id"), h.alias("h"), F.pmod(h, F.lit(cells)).alias("cell"))
+    row = row_of(docs)
+    # rows without an id are keys by all that is in them, so that they spread over the ring like others
+    h = F.when(F.col(id_col).isNotNull(), F.xxhash64(F.lit("key"), id_col)).otherwise(F.xxhash64(F.lit("null"), row))
+    keyed = docs.select(row, F.col(id_col).alias("id"), h.alias("h"), F.pmod(h, F.lit(cells)).alias("cell"))
     loads = {r["cell"]: r["n"] for r in keyed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # as long as the ring at most
     total = sum(loads.values())
     at, order = ring_owners(spark, n_shards, vnodes, cells)

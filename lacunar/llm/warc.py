@@ -41,7 +41,8 @@ HEADERS = {
     "content_length": "Content-Length",
 }
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-MANIFEST = "_manifest.json"
+#: Each write leaves a manifest of its own, so that appends, at the same time too, never touch each other's.
+MANIFEST = "_manifest"
 
 
 def header_block(values: dict[str, str | None]) -> bytes:
@@ -196,12 +197,13 @@ class WarcReader(DataSourceReader):
 
     def partitions(self):
         where, root = _open(self.path)
-        manifest = where.get_file_info(f"{root}/{MANIFEST}")
-        if manifest.type == fs.FileType.File:
-            with where.open_input_stream(f"{root}/{MANIFEST}", compression=None) as f:
-                files = json.loads(f.read())
-            return [Stretch(f"{self.path}/{x['name']}", a, b) for x in files for a, b in zip(x["at"], x["at"][1:])]
         info = where.get_file_info(root)
+        if manifests := _manifests(where, root):
+            files = []
+            for path in manifests:
+                with where.open_input_stream(path, compression=None) as f:
+                    files += json.loads(f.read())
+            return [Stretch(f"{self.path}/{x['name']}", a, b) for x in files for a, b in zip(x["at"], x["at"][1:])]
         found = [info] if info.type == fs.FileType.File else where.get_file_info(fs.FileSelector(root, recursive=True))
         base = self.path if info.type == fs.FileType.File else None
         return [Stretch(base or self.path + x.path[len(root) :], 0, None) for x in found if x.type == fs.FileType.File and ".warc" in x.base_name]
@@ -250,9 +252,17 @@ class Written(WriterCommitMessage):
     at: list[int]
 
 
+def _manifests(where: fs.FileSystem, root: str) -> list[str]:
+    """The manifests of all writes to a folder, in order of their names."""
+    if where.get_file_info(root).type != fs.FileType.Directory:
+        return []
+    found = where.get_file_info(fs.FileSelector(root))
+    return sorted(x.path for x in found if x.type == fs.FileType.File and x.base_name.startswith(MANIFEST) and x.base_name.endswith(".json"))
+
+
 class WarcWriter(DataSourceWriter):
-    def __init__(self, path: str, split_bytes: int, level: int):
-        self.path, self.split, self.level = path, split_bytes, level
+    def __init__(self, path: str, split_bytes: int, level: int, overwrite: bool = False):
+        self.path, self.split, self.level, self.overwrite = path, split_bytes, level, overwrite
         where, root = _open(path)
         where.create_dir(root, recursive=True)
 
@@ -275,8 +285,15 @@ class WarcWriter(DataSourceWriter):
 
     def commit(self, messages) -> None:
         where, root = _open(self.path)
-        with where.open_output_stream(f"{root}/{MANIFEST}", compression=None) as f:
+        before = _manifests(where, root) if self.overwrite else []
+        with where.open_output_stream(f"{root}/{MANIFEST}-{uuid.uuid4().hex}.json", compression=None) as f:
             f.write(json.dumps([{"name": m.name, "at": m.at} for m in messages if m and len(m.at) > 1]).encode())
+        for path in before:  # what they name is no part of the archive any more
+            with where.open_input_stream(path, compression=None) as f:
+                names = [x["name"] for x in json.loads(f.read())]
+            where.delete_file(path)
+            for name in names:
+                where.delete_file(f"{root}/{name}")
 
     def abort(self, messages) -> None:
         where, root = _open(self.path)
@@ -300,7 +317,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options["path"].rstrip("/"), schema)
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return WarcWriter(self.options["path"].rstrip("/"), int(self.options.get("split_bytes", 8 << 20)), int(self.options.get("level", 6)))
+        return WarcWriter(self.options["path"].rstrip("/"), int(self.options.get("split_bytes", 8 << 20)), int(self.options.get("level", 6)), overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -332,9 +349,10 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     )
 
 
-def write_warc(records: DataFrame, path: str, **options) -> None:
+def write_warc(records: DataFrame, path: str, mode: str = "append", **options) -> None:
+    """Adds records to the archive under `path`; with mode "overwrite" they replace what earlier writes left there."""
     register(records.sparkSession)
-    records.write.format("warc").mode("append").options(path=path, **options).save()
+    records.write.format("warc").mode(mode).options(path=path, **options).save()
 
 
 def read_warc(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:

@@ -814,3 +814,32 @@ def test_language_odd_rows(spark, odd, none):
     assert {r["lang_pred"] for r in got if r["doc_id"] in (1, 2, 7)} == {"und"}
     assert langid.fit(none) is None and langid.predict(none, None).count() == 0
     assert langid.predict(docs(spark, [(1, "123 !?", "en", "a"), (2, None, "en", "a")]), langid.fit(docs(spark, lang_docs(30)))).select("lang_pred").distinct().collect() == [("und",)]
+
+
+def test_warc_appends_and_overwrites(spark, tmp_path):
+    """Two writes to one path: all records are there; an overwrite leaves only its own, and none of the files before."""
+    path = str(tmp_path / "w")
+    rows = [(i, f"http://x/{i}", f"<p>{i}</p>" * 40) for i in range(8)]
+    warc.write_warc(warc.page_records(pages(spark, rows[:5])), path)
+    warc.write_warc(warc.page_records(pages(spark, rows[5:])), path)
+    ids = lambda: sorted(r["record_id"] for r in warc.read_warc(spark, path, ["record_id"]).collect())
+    assert ids() == [f"<urn:page:{i}>" for i in range(8)]
+    warc.write_warc(warc.page_records(pages(spark, rows[:2])), path, mode="overwrite")
+    assert ids() == ["<urn:page:0>", "<urn:page:1>"]
+    named = {x["name"] for m in (tmp_path / "w").glob("_manifest*.json") for x in __import__("json").loads(m.read_text())}
+    assert {f.name for f in (tmp_path / "w").glob("*.warc.gz")} >= named and len(list((tmp_path / "w").glob("_manifest*.json"))) == 1
+
+
+def test_rows_without_an_id_spread(spark):
+    """100,000 rows with a null id lie on the whole ring and in all shards of their source, and nothing is lost."""
+    docs = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("word "), "id").alias("text"), F.lit("s").alias("source"))
+    rows = docs.select("doc_id", F.crc32("text").alias("c"))
+    out = sharding.shard_rows(rows, 24)
+    per = out.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("top")).collect()
+    assert len(per) == 24 and all(r["n"] == r["slots"] == r["top"] + 1 for r in per) and {r["n"] for r in per} == {4166, 4167}
+    plan = mixing.mix(docs)
+    h = mixing.seeded(F.col("doc_id"), F.col("text"), 7)
+    cells = docs.groupBy(F.pmod(h, F.lit(512)).alias("k")).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)), F.max("n")).first()
+    assert cells[0] == 512 and cells[1] < 300
+    taken, n = plan.agg(F.sum("taken"), F.count(F.lit(1))).first()
+    assert n == 100_000 and abs(taken - 200_000) < 2_000
