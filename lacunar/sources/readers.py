@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from lacunar.functions.scalar import missing_as_zero, part_number
 from lacunar.operators import intervals, tensor
 
+from .shared import exists
+
 def track(spark: SparkSession, path: str) -> DataFrame:
     """bedGraph text: contig, start, end, value; '.' and NaN read 0. Track and browser lines and comments are no data."""
     return _track_rows(spark.read.text(path)).select("contig", "start", "end", "value")
@@ -40,12 +42,37 @@ def file_map(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "").select(parts[0].alias("url"), parts[1].alias("row_name"), parts[2].alias("col_name"))
 
 
+def _packed(lines: DataFrame) -> DataFrame:
+    parts = F.split("value", r"\s+", 4)
+    return lines.where(F.col("value") != "").select(*(c for c in lines.columns if c != "value"), parts[0].alias("contig"), parts[1].cast("long").alias("start"), parts[2].cast("long").alias("end"), F.trim(parts[3]).alias("packed"))
+
+
+#: Where the index of a folder of parts lies. Spark's readers pass over names that begin so.
+INDEX = "_regions"
+
+
+def index_parts(spark: SparkSession, path: str) -> DataFrame:
+    """Writes and returns the index of a folder of assembled lines: (file, contig, start, end), where each part's lines of a
+    contig lie. One pass; a row for each part and contig. Parts that are added later need a new index."""
+    lines = _packed(spark.read.text(path).select("value", F.input_file_name().alias("file")))
+    lines.groupBy("file", "contig").agg(F.min("start").alias("start"), F.max("end").alias("end")).write.mode("overwrite").parquet(f"{path}/{INDEX}")
+    return spark.read.parquet(f"{path}/{INDEX}")
+
+
 def packed_lines(spark: SparkSession, path: str, regions: DataFrame | None = None) -> DataFrame:
-    """Assembled lines "contig start end v1|v2|...", those that overlap `regions` only. The region filter comes before the
-    values are split."""
-    parts = F.split("value", r"\s+")
-    lines = spark.read.text(path).where(F.col("value") != "").select(parts[0].alias("contig"), parts[1].cast("long").alias("start"), parts[2].cast("long").alias("end"), parts[3].alias("packed"))
-    return lines if regions is None else intervals.overlaps(lines, regions.select("contig", "start", "end")).select(*lines.columns)
+    """Assembled lines "contig start end v1|v2|...", with `regions` those that overlap one, once each however many they
+    overlap. If the folder has an index (index_parts()), only parts that a region meets are planned and read. The region
+    filter comes before the values are split."""
+    if regions is None:
+        return _packed(spark.read.text(path))
+    wanted = regions.select("contig", "start", "end")
+    if exists(spark, f"{path}/{INDEX}/_SUCCESS"):
+        met = intervals.overlapping(spark.read.parquet(f"{path}/{INDEX}"), wanted).select("file").distinct()
+        files = [r["file"] for r in met.collect()]  # paths of parts alone
+        if not files:
+            return _packed(spark.createDataFrame([], "value string"))
+        return intervals.overlapping(_packed(spark.read.text(files)), wanted)
+    return intervals.overlapping(_packed(spark.read.text(path)), wanted)
 
 
 def numbered_parts(spark: SparkSession, path: str) -> DataFrame:
@@ -87,14 +114,19 @@ def assemble(spark: SparkSession, files: DataFrame, windows: DataFrame) -> DataF
     """The tensor of all tracks of a file map over fixed windows, on the asinh scale: each track's means per window.
 
     All tracks are one scan: a line's file name, looked up in the map, says which row and column it belongs to, and the
-    windows are joined once."""
+    windows are joined once. An entry that no line comes from (an empty file, a glob, another form of the scheme than the
+    reader's) is an error, as its experiment would be missing without a word."""
     ids = tensor.catalogue(files).select("url", "row_id", "col_id")
     urls = [r["url"] for r in ids.select("url").collect()]  # one per track file
     if not urls:
         return spark.createDataFrame([], "contig string, start bigint, row_id int, col_id int, value double")
     name = lambda c: F.regexp_replace(c, r"^[a-z0-9]+:/*", "/")
     lines = spark.read.text(urls).select("value", F.url_decode(F.regexp_replace(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")), r"^[a-z0-9]+:/*", "/")).alias("file"))
-    rows = _track_rows(lines).join(F.broadcast(ids.select(name(F.col("url")).alias("file"), "row_id", "col_id")), "file")
+    known = ids.select(name(F.col("url")).alias("file"), "row_id", "col_id")
+    read = {r["file"] for r in lines.select("file").distinct().collect()}  # one per track file
+    if lost := sorted({r["file"] for r in known.select("file").collect()} - read):
+        raise ValueError(f"entries of the file map that no line was read for: {lost[:5]}")
+    rows = _track_rows(lines).join(F.broadcast(known), "file")
     met = intervals.overlaps(windows.select("contig", "start", "end"), rows.select("contig", "start", "end", "value", "row_id", "col_id"))
     means = met.groupBy("contig", "start", F.col("b_row_id").alias("row_id"), F.col("b_col_id").alias("col_id")).agg(F.asinh(F.avg("b_value")).alias("value"))
     return tensor.scrub(means)

@@ -779,6 +779,70 @@ def test_search_options():
     assert [c["ri2"] for c, _ in pipelines.search(o, [{"ri2": 3.0}, {"ri2": 1.0}], lambda x: x.ri2)] == [1.0, 3.0]
 
 
+def test_an_interval_is_a_few_rows_however_long(spark):
+    """Rows after binning: two at most at each level, none for levels that the other side doesn't have."""
+    long = [("x", 0, 250_000_000), ("x", 7, 1_000_000), ("y", 0, 1 << 40)]
+    short = [("x", s, s + 100) for s in range(0, 1 << 20, 4096)]
+    df = lambda rows: spark.createDataFrame(rows, "contig string, start long, end long")
+    assert intervals.explode_bins(df(long[:2])).count() <= 4 and intervals.explode_bins(df(short)).count() <= 2 * len(short)
+    levels = intervals.levels_of(intervals.WIDTH, df(short), df(long), df([]))
+    assert levels[0] == [0] and levels[2] == [] and len(levels[1]) == 3
+    assert intervals.explode_bins(df(short), above=levels[1]).count() <= 2 * 4 * len(short)
+    assert intervals.explode_bins(df(long[2:])).count() <= 1 << 5  # beyond the widest bins it touches several
+    a, b = long + short, long + [("y", 5, 6), ("x", 999_999, 1_000_001)]
+    got = sorted(((r["contig"], r["start"], r["end"]), (r["b_contig"], r["b_start"], r["b_end"])) for r in intervals.overlaps(df(a), df(b)).collect())
+    assert got == brute_overlaps(sorted(a), sorted(b))
+    assert sorted(map(tuple, intervals.contained(df(a), df(b)).collect())) == sorted(x for x in a if any(x[0] == y[0] and y[1] <= x[1] and x[2] <= y[2] for y in b))
+
+
+def test_overlapping_keeps_rows_as_often_as_they_stand(spark):
+    df = lambda rows: spark.createDataFrame(rows, "contig string, start long, end long")
+    a = df([("x", 0, 10), ("x", 0, 10), ("x", 20, 30)])
+    assert sorted(map(tuple, intervals.overlapping(a, df([("x", 1, 3), ("x", 2, 9), ("x", 9, 12)])).collect())) == [("x", 0, 10)] * 2
+
+
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_union_split_where_a_track_overlaps_itself(spark, parts):
+    """The interval that begins last counts, then the larger value; borders of ranges leave no trace."""
+    rng = random.Random(parts)
+    rows = [(c, s, s + rng.choice([1, 4, 30, 150]), t, float(rng.randrange(1, 9))) for c in "xyz" for t in "ab" for s in (rng.randrange(0, 120) for _ in range(25))] + [("x", 5, 5, "a", 1.0), ("x", 0, 500, "other", 1.0)]
+    t = spark.createDataFrame(rows, "contig string, start long, end long, track string, value double")
+    got = sorted(map(tuple, intervals.union_split(t, ["a", "b"], parts).collect()))
+    want = []
+    for contig in "xyz":
+        own = [r for r in rows if r[0] == contig and r[3] in "ab" and r[2] > r[1]]
+        edges = sorted({e for r in own for e in r[1:3]})
+        for lo, hi in zip(edges, edges[1:]):
+            over = {t: max((s, v) for _, s, e, u, v in own if u == t and s < hi and lo < e)[1] for t in "ab" if any(u == t and s < hi and lo < e for _, s, e, u, v in own)}
+            if over:
+                want.append((contig, lo, hi, over.get("a", 0.0), over.get("b", 0.0)))
+    assert got == want
+
+
+def test_region_reader_plans_only_the_parts_it_needs(spark, tmp_path):
+    """With an index parts that no region meets aren't read, not even broken ones; a line comes once for many regions."""
+    for k in range(4):
+        (tmp_path / f"part-{k}.txt").write_text("".join(f"c{k // 2} {s} {s + 25} {s}|{k}\n" for s in range(k * 1000, k * 1000 + 500, 25)))
+    path = str(tmp_path)
+    regions = spark.createDataFrame([("c0", 1010, 1060), ("c0", 1020, 1030), ("c1", 0, 10), ("c9", 0, 10)], "contig string, start long, end long")
+    plain = sorted(map(tuple, readers.packed_lines(spark, path, regions).collect()))
+    assert [r[1] for r in plain] == [1000, 1025, 1050]
+    assert readers.index_parts(spark, path).count() == 4
+    lines = readers.packed_lines(spark, path, regions)
+    assert sorted(map(tuple, lines.collect())) == plain
+    assert [f.rsplit("/", 1)[1] for f in lines.inputFiles()] == ["part-1.txt"]
+    assert readers.packed_lines(spark, path, regions.where("contig = 'c9'")).count() == 0
+    assert readers.packed_lines(spark, path).count() == 80
+
+
+def test_assemble_raises_for_entries_without_a_line(spark, tmp_path):
+    (tmp_path / "a.bed").write_text("x 0 10 1.0\n")
+    (tmp_path / "b.bed").write_text("")
+    files = spark.createDataFrame([(f"{tmp_path}/a.bed", "r", "c"), (f"{tmp_path}/b.bed", "r", "d")], "url string, row_name string, col_name string")
+    with pytest.raises(ValueError, match="b.bed"):
+        readers.assemble(spark, files, intervals.windows(spark, "x", 0, 20, 10))
+
+
 def test_interval_joins_are_equi_joins(spark):
     a = spark.range(1000).select(F.lit("x").alias("contig"), F.col("id").alias("start"), (F.col("id") + 3).alias("end"))
     for df in (intervals.overlaps(a, a), intervals.flagged(a, a), intervals.window_means(a, a.withColumn("value", F.lit(1.0)))):
