@@ -218,9 +218,17 @@ def track_union_split(spark, d):
 # --- splits and folds ---
 
 
-@query(f"WITH {E_SPLIT} SELECT * FROM s")
+#: The cells of the plane that E observes.
+SEEN = "seen AS (SELECT DISTINCT row_id, col_id FROM e)"
+
+
+def seen(spark, d) -> DataFrame:
+    return tensor.observed_pattern(fx.e(spark, d))
+
+
+@query(f"WITH {SQL_E}, {SEEN}, {E_SPLIT} SELECT s.* FROM s JOIN seen USING (row_id, col_id)")
 def split_assign(spark, d):
-    return fx.splits(spark, *E_SHAPE)
+    return seen(spark, d).withColumn("split", folds.formula_split(F.col("row_id"), F.col("col_id")))
 
 
 @query(f"WITH {SQL_E}, {E_SPLIT} SELECT split, count(*) AS n FROM e JOIN s USING (row_id, col_id) GROUP BY split")
@@ -234,35 +242,36 @@ def trainall_mask(spark, d):
 
 
 ORDER = "(row_id * 37 + col_id * 11) % 101, row_id, col_id"
-RR = f"rr AS (SELECT row_id, col_id, CAST((row_number() OVER (ORDER BY {ORDER}) - 1) % 5 AS INTEGER) AS fold FROM (SELECT row_id, col_id FROM s))"
+RR = f"rr AS (SELECT row_id, col_id, CAST((row_number() OVER (ORDER BY {ORDER}) - 1) % 5 AS INTEGER) AS fold FROM seen)"
 
 
-def dealt(spark) -> DataFrame:
+def dealt(spark, d) -> DataFrame:
     r, c = F.col("row_id"), F.col("col_id")
-    return folds.round_robin(fx.plane(spark, *E_SHAPE), 5, [(r * 37 + c * 11) % 101, r, c])
+    return folds.round_robin(seen(spark, d), 5, [(r * 37 + c * 11) % 101, r, c])
 
 
-@query(f"WITH {E_SPLIT}, {RR} SELECT * FROM rr")
+@query(f"WITH {SQL_E}, {SEEN}, {RR} SELECT * FROM rr")
 def fold_round_robin(spark, d):
-    return dealt(spark)
+    return dealt(spark, d)
 
 
-@query(f"""WITH {E_SPLIT}, {RR}, q AS (SELECT row_id AS k, fold, count(*) AS n FROM rr GROUP BY ALL), q2 AS (SELECT col_id AS k, fold, count(*) AS n FROM rr GROUP BY ALL)
+@query(f"""WITH {SQL_E}, {SEEN}, {RR}, q AS (SELECT row_id AS k, fold, count(*) AS n FROM rr GROUP BY ALL), q2 AS (SELECT col_id AS k, fold, count(*) AS n FROM rr GROUP BY ALL)
 SELECT CAST((SELECT sum(m) FROM (SELECT max(n) AS m FROM q GROUP BY k)) + (SELECT sum(m) FROM (SELECT max(n) AS m FROM q2 GROUP BY k)) AS BIGINT) AS quality""")
 def fold_quality(spark, d):
-    return folds.fold_quality(dealt(spark))
+    return folds.fold_quality(dealt(spark, d))
 
 
-@query("""WITH s AS (SELECT CAST(r AS INTEGER) AS row_id, CAST(c AS INTEGER) AS col_id, CASE WHEN r % 4 = 0 OR c = 2 THEN 'valid' ELSE 'train' END AS split FROM range(20) a(r), range(5) b(c)),
+@query(f"""WITH {SQL_E}, {SEEN}, s AS (SELECT row_id, col_id, CASE WHEN row_id % 4 = 0 OR col_id = 2 THEN 'valid' ELSE 'train' END AS split FROM seen),
 p AS (SELECT row_id, col_id, CASE WHEN split = 'valid' AND NOT bool_or(split = 'train') OVER (PARTITION BY row_id) THEN 'train' ELSE split END AS split FROM s)
 SELECT row_id, col_id, CASE WHEN split = 'valid' AND NOT bool_or(split = 'train') OVER (PARTITION BY col_id) THEN 'train' ELSE split END AS split FROM p""")
 def fold_patch(spark, d):
     r, c = F.col("row_id"), F.col("col_id")
-    return folds.patched(fx.plane(spark, *E_SHAPE).withColumn("split", F.when((r % 4 == 0) | (c == 2), F.lit("valid")).otherwise(F.lit("train"))))
+    return folds.patched(seen(spark, d).withColumn("split", F.when((r % 4 == 0) | (c == 2), F.lit("valid")).otherwise(F.lit("train"))))
 
 
-FOLDS = """SELECT CAST(t AS INTEGER) AS test_fold, CAST(v AS INTEGER) AS valid_fold, 100::BIGINT AS cells, 20::BIGINT AS tests, 80::BIGINT AS others,
-20::BIGINT AS rows_trained, 5::BIGINT AS cols_trained, 0::BIGINT AS repeated, {more} FROM range(5) a(t), range(8) b(v)"""
+FOLDS = f"""WITH {SQL_E}, {SEEN}, n AS (SELECT count(*) AS n, count(DISTINCT row_id) AS r, count(DISTINCT col_id) AS c FROM seen)
+SELECT CAST(t AS INTEGER) AS test_fold, CAST(v AS INTEGER) AS valid_fold, n AS cells, (n + 4 - t) // 5 AS tests, n - (n + 4 - t) // 5 AS others,
+r AS rows_trained, c AS cols_trained, 0::BIGINT AS repeated, {{more}} FROM n, range(5) a(t), range(8) b(v)"""
 
 
 def fold_table(f: DataFrame, *more: Column) -> DataFrame:
@@ -282,7 +291,7 @@ def fold_table(f: DataFrame, *more: Column) -> DataFrame:
 def nested_folds(spark, d):
     """Validation folds for test folds that are given: the cells of E, dealt in a fixed order. A cell may be taken from
     validation for a row that has no other to train on."""
-    cells = folds.round_robin(tensor.observed_pattern(fx.e(spark, d)).unionByName(fx.plane(spark, *E_SHAPE)).distinct(), 5, [(F.col("row_id") * 37 + F.col("col_id") * 11) % 101, F.col("row_id"), F.col("col_id")])
+    cells = dealt(spark, d)
     known = [(r["row_id"], r["col_id"], r["fold"]) for r in cells.collect()]  # the plane
     given = [[(r, c) for r, c, k in known if k == fold] for fold in range(5)]
     f = folds.nested_folds(spark, [(r, c) for r, c, _ in known], 5, 8, 200, seed=3, fixed_test=given)
@@ -290,10 +299,10 @@ def nested_folds(spark, d):
     return fold_table(f.join(F.broadcast(cells), tensor.CELL), misplaced)
 
 
-@query(FOLDS.format(more="10::BIGINT AS valids"))
+@query(FOLDS.format(more="(n - (n + 4 - t) // 5 + 7 - v) // 8 AS valids"))
 def best_folds(spark, d):
-    """Nested folds, test folds and all, by the best of 10,000 random deals each."""
-    f = folds.nested_folds(spark, [(r, c) for r in range(E_SHAPE[0]) for c in range(E_SHAPE[1])], seed=7)
+    """Nested folds of the cells that E observes, test folds and all, by the best of 10,000 random deals each."""
+    f = folds.nested_folds(spark, [(r["row_id"], r["col_id"]) for r in seen(spark, d).collect()], seed=7)  # the plane
     return fold_table(f, F.sum((F.col("split") == "valid").cast("long")).alias("valids"))
 
 
@@ -459,10 +468,11 @@ def global_mean_bin_masks(spark, d):
     return stats.in_bin_split(t, masks, "train").agg(r6(F.avg("value"), "mean"), F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT i AS t, round(0.005 * power(1 - 1e-6, i - 1), 9) AS rate, round(0.9 * power(1 - 1e-6, i - 1), 9) AS beta1 FROM range(1, 2000) x(i)")
+@query(f"WITH {SQL_E}, b AS (SELECT contig, start, count(*) AS t FROM e GROUP BY ALL) SELECT contig, start, t, round(0.005 * power(1 - 1e-6, t - 1), 9) AS rate, round(0.9 * power(1 - 1e-6, t - 1), 9) AS beta1 FROM b")
 def decay_schedule(spark, d):
+    """Rate and first decay of each bin after as many updates as it has cells."""
     t = F.col("t")
-    return spark.range(1, 2000).withColumnRenamed("id", "t").select("t", F.round(scalar.decayed(0.005, t), 9).alias("rate"), F.round(scalar.decayed(0.9, t), 9).alias("beta1"))
+    return fx.e(spark, d).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("t")).select(*KEYS, "t", F.round(scalar.decayed(0.005, t), 9).alias("rate"), F.round(scalar.decayed(0.9, t), 9).alias("beta1"))
 
 
 @query(f"WITH {E_PRED}, n AS (SELECT count(DISTINCT start) AS bins FROM e) SELECT p.row_id, p.col_id, round(sum((predicted - coalesce(value, 0)) ** 2) / max(bins), 6) AS mse FROM p LEFT JOIN e USING (start, row_id, col_id), n GROUP BY ALL")
@@ -492,14 +502,18 @@ def objective(spark, d):
     return stats.objective(sse, *(stats.penalty(x) for x in (rows, cols, fx.bins3(t))), weights).select(r6("objective", "objective"))
 
 
-TRACE = "tr AS (SELECT i, 1.0::DOUBLE / (1 + i) + 0.001::DOUBLE * ((i * 7) % 5) AS error FROM range(60) t(i))"
+#: An error for each bin of E in order: that of the predictions there.
+TRACE = f"""{E_PRED}, er AS (SELECT start, round(avg((predicted - value) ** 2), 9) AS error FROM e JOIN p USING (contig, start, row_id, col_id) GROUP BY start),
+tr AS (SELECT row_number() OVER (ORDER BY start) - 1 AS i, error FROM er)"""
 
 
-@query(f"""WITH {TRACE}, pt AS (SELECT e.i AS iter, k, tr.error + CASE WHEN k < 5 THEN 0 ELSE 0.00001::DOUBLE END AS e FROM range(11, 60) e(i), range(12) x(k), tr WHERE (k < 5 OR k >= 7) AND tr.i = e.i - 11 + k),
+@query(f"""WITH {TRACE}, pt AS (SELECT e.i AS iter, k, tr.error + CASE WHEN k < 5 THEN 0 ELSE 0.00001::DOUBLE END AS e FROM tr e, range(12) x(k), tr WHERE e.i >= 11 AND (k < 5 OR k >= 7) AND tr.i = e.i - 11 + k),
 rk AS (SELECT iter, k, rank() OVER (PARTITION BY iter ORDER BY e) + (count(*) OVER (PARTITION BY iter, e) - 1) / 2.0::DOUBLE AS r FROM pt)
 SELECT CAST(iter AS BIGINT) AS iter, round((sum(r) - 27.5) / sqrt(25 * 11 / 12.0::DOUBLE), 6) AS z FROM rk WHERE k < 5 GROUP BY iter""")
 def trace_windows(spark, d):
-    trace = spark.range(60).select(F.col("id").alias("iter"), (1 / (1 + F.col("id")) + 0.001 * ((F.col("id") * 7) % 5)).alias("error"))
+    met = fx.e(spark, d).join(e_predicted(spark, d), [*KEYS, *tensor.CELL])
+    per_bin = met.groupBy(*KEYS).agg(F.round(F.avg(F.pow(F.col("predicted") - F.col("value"), 2)), 9).alias("error"))
+    trace = tensor.with_ordinal(per_bin, into="iter").select("iter", "error")
     return stats.trace_windows(trace, 5, 2, 1e-5).select(F.col("iter").cast("long").alias("iter"), r6("z", "z"))
 
 
@@ -595,10 +609,20 @@ for _name, (_column, _sql) in METRICS.items():
     _metric(_name, _column, _sql)
 
 
-@query(f"WITH {PAIRS} SELECT exp, n, {', '.join(f'round({s}, 6) AS {c}' for c, s in METRICS.values())} FROM r GROUP BY exp, n")
+def sql_p_value(r: str) -> str:
+    """Two-sided p-value of a correlation by the finite series of the t distribution, which has one for even and one for odd
+    degrees of freedom. k!, (2k)! and so on by lgamma."""
+    even = f"abs({r}) * coalesce(list_sum(list_transform(range(0, (n - 2) // 2), lambda k: exp(lgamma(2 * k + 1) - 2 * lgamma(k + 1) - k * ln(4)) * pow(1 - {r} * {r}, k))), 0)"
+    odd = f"2 / pi() * (asin(abs({r})) + abs({r}) * coalesce(list_sum(list_transform(range(0, (n - 3) // 2), lambda k: exp(2 * lgamma(k + 1) + k * ln(4) - lgamma(2 * k + 2)) * pow(1 - {r} * {r}, k + 0.5))), 0))"
+    return f"CASE WHEN {r} IS NULL OR n < 3 THEN NULL WHEN n % 2 = 0 THEN 1 - {even} ELSE 1 - {odd} END"
+
+
+@query(f"""WITH {PAIRS}, m AS (SELECT exp, n, {', '.join(f'{s} AS {c}' for c, s in METRICS.values())} FROM r GROUP BY exp, n)
+SELECT exp, n, {', '.join(f'round({c}, 6) AS {c}' for c, _ in METRICS.values())}, {', '.join(f"round({sql_p_value(c)}, 6) + 0.0 AS {c}_p" for c in metrics.CORRELATIONS)} FROM m""")
 def metric_table(spark, d):
-    """All metrics of an experiment in one pass."""
-    return metrics.metrics(e_ranked(spark, d)).select("exp", "n", *(r6(c, c) for c, _ in METRICS.values()))
+    """All metrics of an experiment in one pass, correlations with their p-values."""
+    table = metrics.with_p_values(metrics.metrics(e_ranked(spark, d)))
+    return table.select("exp", "n", *(r6(c, c) for c, _ in METRICS.values()), *(r6(f"{c}_p", f"{c}_p") for c in metrics.CORRELATIONS))
 
 
 @query(f"WITH {PAIRS} SELECT exp, round({_auc('rp', 'start % 9 = 0')}, 6) AS catchpeakobs FROM r GROUP BY exp")
