@@ -81,7 +81,7 @@ PAIRS = [(i, j) for i in range(DIM) for j in range(i, DIM)]
 #: Of the chi-squared distribution with DIM = 6 degrees of freedom: what makes the scatter of the nearest half that of
 #: all, the 0.975 quantile, what makes the scatter within it that of all, and the 0.99999 quantile. Fixed values.
 HALF, NEAR, NEAR_SCALE, CUTOFF = 1.79, 14.45, 1.10, 33.1
-BINS = 32  # of a histogram, for each doubling of the distance
+BINS = 1024  # of a histogram, for each doubling of the distance: few rows share the bin at which the half is cut
 GRID = 256  # steps of a coordinate, for medians
 
 
@@ -175,7 +175,7 @@ def _concentrated(x: DataFrame, estimates: DataFrame, small: bool, scale: float
     The half is cut at a bin of a histogram of distances, ties and all, so it is the same for any partitions."""
     rows = _with_distance(x, estimates, small).withColumn("bin", F.floor(F.log2(F.col("d2") + 2.0**-20) * BINS))
     bins = rows.groupBy("gid", "start", "bin").agg(F.count(F.lit(1)).alias("n"))
-    held = bins.groupBy("gid", "start").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("h"), F.sum("n").alias("all"))  # of fixed length: some hundred bins
+    held = bins.groupBy("gid", "start").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("h"), F.sum("n").alias("all"))  # of fixed length: some ten thousand bins at most
     half = F.floor((F.col("all") + DIM + 1) / 2)
     last = F.aggregate("h", F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("bigint").alias("at")), lambda a, b: F.struct((a["n"] + b["n"]).alias("n"), F.coalesce(a["at"], F.when(a["n"] + b["n"] >= half, b["bin"])).alias("at")))["at"]
     known = held.select("gid", "start", last.alias("last")).join(_sent(estimates, small), ["gid", "start"])
@@ -203,7 +203,8 @@ def robust_scatter(x: DataFrame, small: bool, steps: int = 30) -> DataFrame:
     found = store(_estimates(plain.unionByName(turned.select(*plain.columns)), 1.0), "estimates")
     for _ in range(steps):
         found = store(_concentrated(x, found, small), "estimates")
-        if (found.agg(F.max("fell")).first()[0] or 0.0) < 1e-3:
+        fell = found.agg(F.max("fell")).first()[0] or 0.0
+        if fell < 1e-3:
             break
     best = found.groupBy("gid").agg(F.min_by("start", F.struct("det", "start")).alias("start"))
     half = store(_concentrated(x, found.join(_sent(best, small), ["gid", "start"]), small, HALF), "estimates")
