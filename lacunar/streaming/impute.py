@@ -1,5 +1,5 @@
 """Imputation of bins as they arrive. Solving and predicting a bin needs that bin alone, so each micro-batch of packed or
-long cells is handled by the batch operators; bins must arrive whole."""
+long cells is handled by the batch operators; bins must arrive whole, or pass through gather.whole_bins() first."""
 
 from __future__ import annotations
 
