@@ -135,6 +135,50 @@ def search(base: tr.Options, candidates: list[dict[str, float]], score: Callable
     return sorted(((c, score(search_options(base, c))) for c in candidates), key=lambda x: x[1])
 
 
+def halving(t: DataFrame, splits: DataFrame, base: tr.Options, candidates: list[dict[str, float]], rungs: tuple[int, ...] = (3, 9, 27), keep: float = 1 / 3, n_workers: int | None = None, keys: list[str] = KEYS, slice_bins: int = 1000) -> list[tuple[dict, int, float]]:
+    """(candidate, iterations, validation error) by successive halving, best first: all candidates are trained for the first
+    rung's iterations, the best share `keep` of them goes on to the next rung, one at least.
+
+    The cells are centered, dealt to buckets and written once for all candidates and rungs; a candidate that goes on does
+    so from its own state. Those that reached a later rung stand before those that did not; equal errors and errors that
+    aren't numbers (last) keep the order of `candidates`. Biases start from zero, as every candidate draws its own factors."""
+    known = splits_of(splits)
+    n_rows, n_cols = (1 + max(k[i] for k in known) for i in (0, 1))
+    mean = stats.in_split(t, splits, "train").agg(F.avg("value")).first()[0] or 0.0
+    c = cut(tensor.centered(t, mean))
+    names = cut(c.select(*keys).distinct())
+    n_bins = names.count()
+    buckets, per_slice = (n_workers, None) if n_workers else tr.laid_out(n_bins, slice_bins)
+    full, mine = tr.bin_cells(c, buckets, keys), tr.bin_cells(stats.in_split(c, splits, "train"), buckets, keys)
+    held: dict[int, tuple] = {}
+    alive, done, out = list(range(len(candidates))), 0, {}
+    try:
+        for rung in rungs:
+            found = []
+            for k in alive:
+                o = search_options(base, candidates[k]).scaled(n_rows, n_cols, n_bins)
+                if k not in held:
+                    held[k] = (tr.bin_states(model.init_bins(names, o.rank, o.seed, keys), buckets, keys), tr.State.of(model.init_axes(n_rows, n_cols, o.rank, o.seed)))
+                states, s = held[k]
+                for i in range(done, rung):
+                    last = states
+                    states, s = tr.step(last, mine, s, o, i, buckets, keys, per_slice)
+                    forget(t.sparkSession, last)
+                    held[k] = (states, s)
+                error = tr.errors(states, s, known, full, o, keys)[2]
+                found.append((error != error, error, k))
+                out[k] = (rung, error)
+            done = rung
+            alive = [k for *_, k in sorted(found, key=lambda x: (x[0], 0.0 if x[0] else x[1], x[2]))][: max(1, round(len(alive) * keep))]
+            for k in [k for k in held if k not in alive]:
+                forget(t.sparkSession, held.pop(k)[0])
+    finally:
+        for table in (full, mine, *(x[0] for x in held.values())):
+            forget(t.sparkSession, table)
+    order = sorted(out, key=lambda k: (-out[k][0], out[k][1] != out[k][1], 0.0 if out[k][1] != out[k][1] else out[k][1], k))
+    return [(candidates[k], *out[k]) for k in order]
+
+
 def random_candidates(ranges: dict[str, tuple[float, float]], n: int, seed: int) -> list[dict[str, float]]:
     rng = random.Random(seed)
     return [{k: rng.uniform(*r) for k, r in ranges.items()} for _ in range(n)]

@@ -85,3 +85,11 @@ def search_grid(spark, d):
     score = lambda o: pipelines.train_model(t, s, o, n_workers=4)[2].trace[-1][3]
     found = pipelines.search(replace(SMALL, max_iters=2), [{"ratezzzexp": -4.0}, {"ratezzzexp": -3.0, "ri": 0.1}], score)
     return spark.createDataFrame([(str(sorted(c.items())), e) for c, e in found], "candidate string, valid double")
+
+
+@query
+def search_halving(spark, d):
+    """Successive halving of four candidates on the cells of E: iterations each got, and the validation error it reached."""
+    candidates = [{"ratezzzexp": -9.0}, {"ratezzzexp": -3.0}, {"ratezzzexp": -4.0, "ri": 0.1}, {"ratezzzexp": -7.0}]
+    found = pipelines.halving(fx.e(spark, d), fx.splits(spark, 20, 5), SMALL, candidates, rungs=(1, 3), keep=0.5, n_workers=4)
+    return spark.createDataFrame([(str(sorted(c.items())), n, e) for c, n, e in found], "candidate string, iterations int, valid double")

@@ -884,6 +884,24 @@ def test_assemble_raises_for_entries_without_a_line(spark, tmp_path):
         readers.assemble(spark, files, intervals.windows(spark, "x", 0, 20, 10))
 
 
+def test_halving_gives_the_good_ones_more(spark, monkeypatch):
+    """Fewer iterations than a grid of full runs, the order repeats, and the cells are dealt once."""
+    data, splits, _, _ = small_run(spark)
+    table = spark.createDataFrame([(r, c, k) for (r, c), k in splits.items()], "row_id int, col_id int, split string")
+    base = tr.Options(rank=2, batch=80, rate=0.05)
+    candidates = [{"rate": 1e-7}, {"rate": 0.05}, {"rate": float("nan")}, {"rate": 0.01}]
+    steps, real = [], tr.step
+    monkeypatch.setattr(tr, "step", lambda *a, **k: steps.append(1) or real(*a, **k))
+    dealt, plain = [], tr.bin_cells
+    monkeypatch.setattr(tr, "bin_cells", lambda *a, **k: dealt.append(1) or plain(*a, **k))
+    got = pipelines.halving(data, table, base, candidates, rungs=(1, 3), keep=0.5, n_workers=2)
+    assert len(steps) == 4 * 1 + 2 * 2 and len(dealt) == 2
+    assert [g[1] for g in got] == [3, 3, 1, 1] and got[-1][0]["rate"] != got[-1][0]["rate"]
+    assert got[0][2] <= got[1][2] and got[0][2] == got[0][2]
+    again = pipelines.halving(data, table, base, candidates, rungs=(1, 3), keep=0.5, n_workers=2)
+    assert [(str(c), n) for c, n, _ in got] == [(str(c), n) for c, n, _ in again]
+
+
 def test_interval_joins_are_equi_joins(spark):
     a = spark.range(1000).select(F.lit("x").alias("contig"), F.col("id").alias("start"), (F.col("id") + 3).alias("end"))
     for df in (intervals.overlaps(a, a), intervals.flagged(a, a), intervals.window_means(a, a.withColumn("value", F.lit(1.0)))):
