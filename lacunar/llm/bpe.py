@@ -255,14 +255,16 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     return texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(each, f"`{id_col}` {id_type}, ids array<int>")
 
 
-def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
-    """The bytes that the ids stand for. The pieces are joined as hexadecimal text, which takes time in proportion to
-    their length, where binary values joined one by one would take its square."""
+def with_bytes(rows: DataFrame, ranks: dict[bytes, int], ids: str = "ids", into: str = "bytes") -> DataFrame:
+    """`rows` with the bytes that the column `ids` stands for; null ids give null. The pieces are joined as hexadecimal text,
+    which takes time in proportion to their length, where binary values joined one by one would take its square. As in
+    with_ids(), the literal table of pieces is a row that a scalar subquery hands over, so plans don't carry its text."""
     pieces = [""] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece.hex()
-    literal = F.split(F.lit(",".join(pieces)), ",")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(literal, i)), ""))
+    table = rows.sparkSession.createDataFrame(pa.table({"pieces": pa.array([pieces], pa.list_(pa.string()))}))
+    held = rows.withColumn("_pieces", table.scalar())  # this and the next projection become one
+    return held.select(*rows.columns, F.unhex(F.array_join(F.transform(ids, lambda i: F.get("_pieces", i)), "")).alias(into))
 
 
 def joined_ids(ids: Column) -> Column:

@@ -89,7 +89,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str, path: str | None = None, pattern:
     ranks = bpe.load_ranks(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = bpe.encode(docs, ranks, pattern or public_tokenizers.PATTERN, blanks=pattern is None)
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.joined_ids(F.col("ids")).cast("binary"), 256).alias("ids_sha256"), F.sha2(bpe.decoded(F.col("ids"), ranks), 256).alias("decoded_sha256"))
+    return bpe.with_bytes(ids, ranks).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.joined_ids(F.col("ids")).cast("binary"), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -726,7 +726,7 @@ def test_bpe_equals_tiktoken(spark, vocabulary, odd, none):
     rows += [(500 + i, "".join(rng.choice(["a", "the", "it's", "9", ".", "é"]) + rng.choice(white) for _ in range(rng.randrange(9))) + rng.choice(["", " ", "x"]), None, None) for i in range(300)]
     d = docs(spark, rows)
     for hold, blanks, most in ((5, True, 1), (1 << 18, True, 1 << 17), (20, False, 30)):
-        got = bpe.encode(d, ranks, pattern, blanks=blanks, hold=hold, most=most).select("doc_id", "ids", bpe.decoded(F.col("ids"), ranks).alias("b"), bpe.joined_ids(F.col("ids")).alias("j")).collect()
+        got = bpe.with_bytes(bpe.encode(d, ranks, pattern, blanks=blanks, hold=hold, most=most), ranks).select("doc_id", "ids", F.col("bytes").alias("b"), bpe.joined_ids(F.col("ids")).alias("j")).collect()
         want = sorted((repr(i), enc.encode_ordinary(t or "")) for i, t, *_ in rows)
         assert sorted((repr(r["doc_id"]), r["ids"]) for r in got) == want
         assert sorted((repr(r["doc_id"]), bytes(r["b"])) for r in got) == sorted((repr(i), (t or "").encode()) for i, t, *_ in rows)
