@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -114,8 +117,8 @@ def assemble(spark: SparkSession, files: DataFrame, windows: DataFrame) -> DataF
     """The tensor of all tracks of a file map over fixed windows, on the asinh scale: each track's means per window.
 
     All tracks are one scan: a line's file name, looked up in the map, says which row and column it belongs to, and the
-    windows are joined once. An entry that no line comes from (an empty file, a glob, another form of the scheme than the
-    reader's) is an error, as its experiment would be missing without a word."""
+    windows are joined once. An entry that names no file as the reader names it (a glob, say) is an error, as its experiment
+    would be missing without a word."""
     ids = tensor.catalogue(files).select("url", "row_id", "col_id")
     urls = [r["url"] for r in ids.select("url").collect()]  # one per track file
     if not urls:
@@ -123,9 +126,9 @@ def assemble(spark: SparkSession, files: DataFrame, windows: DataFrame) -> DataF
     name = lambda c: F.regexp_replace(c, r"^[a-z0-9]+:/*", "/")
     lines = spark.read.text(urls).select("value", F.url_decode(F.regexp_replace(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")), r"^[a-z0-9]+:/*", "/")).alias("file"))
     known = ids.select(name(F.col("url")).alias("file"), "row_id", "col_id")
-    read = {r["file"] for r in lines.select("file").distinct().collect()}  # one per track file
+    read = {unquote(re.sub(r"^[a-z0-9]+:/*", "/", f)) for f in lines.inputFiles()}  # a listing, not a scan
     if lost := sorted({r["file"] for r in known.select("file").collect()} - read):
-        raise ValueError(f"entries of the file map that no line was read for: {lost[:5]}")
+        raise ValueError(f"entries of the file map that name no file as it is read: {lost[:5]}")
     rows = _track_rows(lines).join(F.broadcast(known), "file")
     met = intervals.overlaps(windows.select("contig", "start", "end"), rows.select("contig", "start", "end", "value", "row_id", "col_id"))
     means = met.groupBy("contig", "start", F.col("b_row_id").alias("row_id"), F.col("b_col_id").alias("col_id")).agg(F.asinh(F.avg("b_value")).alias("value"))

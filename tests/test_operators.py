@@ -876,12 +876,14 @@ def test_region_reader_plans_only_the_parts_it_needs(spark, tmp_path):
     assert readers.packed_lines(spark, path).count() == 80
 
 
-def test_assemble_raises_for_entries_without_a_line(spark, tmp_path):
-    (tmp_path / "a.bed").write_text("x 0 10 1.0\n")
-    (tmp_path / "b.bed").write_text("")
-    files = spark.createDataFrame([(f"{tmp_path}/a.bed", "r", "c"), (f"{tmp_path}/b.bed", "r", "d")], "url string, row_name string, col_name string")
-    with pytest.raises(ValueError, match="b.bed"):
-        readers.assemble(spark, files, intervals.windows(spark, "x", 0, 20, 10))
+def test_assemble_raises_for_entries_that_name_no_file(spark, tmp_path):
+    (tmp_path / "a b.bed").write_text("x 0 10 1.0\n")
+    (tmp_path / "c.bed").write_text("x 0 10 1.0\n")
+    files = lambda *names: spark.createDataFrame([(f"{tmp_path}/{n}", "r", n) for n in names], "url string, row_name string, col_name string")
+    w = intervals.windows(spark, "x", 0, 20, 10)
+    assert readers.assemble(spark, files("a b.bed", "c.bed"), w).count() == 2
+    with pytest.raises(ValueError, match="name no file"):
+        readers.assemble(spark, files("a b.bed", "c*.bed"), w)
 
 
 def test_halving_gives_the_good_ones_more(spark, monkeypatch):
