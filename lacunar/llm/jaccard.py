@@ -1,7 +1,9 @@
 """Near-duplicate documents by the Jaccard similarity of their word shingles.
 
-Documents with equal sets of shingles are one row throughout. MinHash bands only say which documents may be similar, and
-no link counts before it is verified on the shingles. First every document of a bucket is compared with the bucket's
+Documents with equal sets of shingles are one row throughout. Two indexes say which documents may be similar: the SimHash
+index of simhash.py, whose components are taken over fingerprints of the sets, and MinHash bands for what lies beyond its
+distance (two sets of similarity 0.8 differ in some 10 of 64 bits). A bucket is a component or a band's key, and no link
+counts before it is verified on the shingles. First every document of a bucket is compared with the bucket's
 smallest one, which joins nearly all that belongs together with as many comparisons as there are rows. What is compared
 pair by pair then are buckets whose documents are still of several components, and in them only documents outside the
 bucket's largest component with all others. Where many such documents share a bucket, as texts around one long passage
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, cut, row_of, store
-from .simhash import CHUNK, _hashes
+from .simhash import CHUNK, _hashes, link_fingerprints, simhash_sets
 
 BANDS, ROWS = 40, 5
 _XOR, _ODD = np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
@@ -51,23 +53,25 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(id bigint, version, k1, k2, bands): the digest of each row's set of shingles and its band keys, null for an empty
-    set. `version` is a hash of the text as it stands, which with the id finds the row again."""
+    """(id bigint, version, k1, k2, fingerprint, bands): the digest of each row's set of shingles, its SimHash and its band
+    keys, both null for an empty set. `version` is a hash of the text as it stands, which with the id finds the row again."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t, n) for t in b.column(2).cast(pa.large_binary()).to_pylist()]
             digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets], np.int64).reshape(-1, 2)
             bands: list = [None] * len(sets)
+            codes: list = [None] * len(sets)
             full = [i for i, s in enumerate(sets) if len(s)]
             while full:  # CHUNK hashes at a time, or one longer set
                 most = max(1, int(np.searchsorted(np.cumsum([len(sets[i]) for i in full]), CHUNK)))
                 part, full = full[:most], full[most:]
-                for i, keys in zip(part, band_keys([sets[i] for i in part]).view(np.int64), strict=True):
-                    bands[i] = keys
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(bands, pa.list_(pa.int64()))], ["id", "version", "k1", "k2", "bands"])
+                some = [sets[i] for i in part]
+                for i, code, keys in zip(part, simhash_sets(some).view(np.int64), band_keys(some).view(np.int64), strict=True):
+                    codes[i], bands[i] = code, keys
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(codes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["id", "version", "k1", "k2", "fingerprint", "bands"])
 
-    return named(docs, id_col, text_col).mapInArrow(each, "id bigint, version bigint, k1 bigint, k2 bigint, bands array<bigint>")
+    return named(docs, id_col, text_col).mapInArrow(each, "id bigint, version bigint, k1 bigint, k2 bigint, fingerprint bigint, bands array<bigint>")
 
 
 def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -194,7 +198,7 @@ def _compared(with_text, members: DataFrame, n: int, least: Fraction, block: int
     return rows.repartition("group", "p", "q").sortWithinPartitions("group", "p", "q").mapInArrow(_leftovers(n, least), "a bigint, b bigint")
 
 
-def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = 128, broadcast_rows: int = 1 << 20) -> DataFrame:
+def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = 128, broadcast_rows: int = 1 << 20, distance: int = 3) -> DataFrame:
     """(id, version, component_id) of every row of `docs`: the smallest id reachable over links of `similarity` or more.
 
     Words are split at white space, A-Z lower-cased; a text of fewer than `shingle` words is one shingle. Null and empty
@@ -202,14 +206,16 @@ def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Different texts under one id are rows of their own, told apart by `version`, a hash of the text. Groups of more than
     2 * `block` documents are divided into blocks, and by prefixes before that if more than 2 * `block` of their documents
     are outside the largest component. Up to `broadcast_rows` documents that share a bucket with another (24 MB of ids) are
-    found by a broadcast, so that no other text moves; more by a shuffle.
+    found by a broadcast, so that no other text moves; more by a shuffle. `distance` is the SimHash index's.
     """
     least = Fraction(str(similarity))
     found = cut(sketches(docs, id_col, text_col, shingle))
-    known = found.where("id is not null").groupBy("k1", "k2").agg(F.min(F.struct("id", "version")).alias("rep"), F.first("bands").alias("bands"))
+    known = found.where("id is not null").groupBy("k1", "k2").agg(F.min(F.struct("id", "version")).alias("rep"), F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands"))
     # a node is a set of shingles; its number means nothing, and the checkpoint keeps it
-    sets = cut(known.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "rep.id", "rep.version", "bands"))
+    sets = cut(known.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "rep.id", "rep.version", "fingerprint", "bands"))
     buckets = sets.where("bands is not null").select(F.explode("bands").alias("group"), F.col("node").alias("id"))
+    coded = link_fingerprints(sets.select(F.col("node").alias("id"), "fingerprint"), distance)
+    buckets = buckets.unionByName(sets.join(coded, "fingerprint").select(F.xxhash64(F.lit("simhash"), "component_id").alias("group"), F.col("node").alias("id")))
     shared = buckets.groupBy("group").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").select("group", "centre")
     buckets = cut(buckets.join(shared, "group"))
     pairs = cut(buckets.where("id <> centre").select("centre", "id").distinct())

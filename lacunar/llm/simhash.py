@@ -69,6 +69,16 @@ def simhash_texts(texts: list[bytes | None], n: int = 3) -> np.ndarray:
     return np.packbits(2 * ones > total[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+def simhash_sets(sets: list[np.ndarray]) -> np.ndarray:
+    """Unsigned 64-bit fingerprints of sets of hashes, none of them empty."""
+    size, h = np.array([len(s) for s in sets]), np.concatenate(sets)
+    ends, ones = np.cumsum(size), np.zeros((len(sets), 64), np.int64)
+    for at in range(0, len(h), CHUNK):
+        i, j = np.searchsorted(ends, [at, min(at + CHUNK, len(h)) - 1], "right")
+        ones[i : j + 1] += _ones(h[at : at + CHUNK], np.maximum(ends[i : j + 1] - size[i : j + 1] - at, 0))
+    return np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id_col, fingerprint bigint): the 64 bits of each whole text, read as a signed number. One pass, no shuffle."""
     kind = docs.schema[id_col].dataType.simpleString()

@@ -179,6 +179,64 @@ def test_near_duplicates_brute_force(spark):
     assert sorted(kept, key=lambda x: (x is None, x)) == [*sorted(set(root)), None]
 
 
+def test_near_duplicates_come_by_the_simhash_index(spark, monkeypatch):
+    """With bands that name no candidates, links of 0.8 within components of fingerprints at most 3 bits apart are found."""
+    import random
+
+    import numpy as np
+
+    from lacunar.llm import jaccard
+
+    rng = random.Random(8)
+    texts = []
+    for n in [30, 100, 400, 2000] * 6:
+        base = [f"w{rng.randrange(500)}" for _ in range(n)]
+        for edits in (0, 1, 1, 2, 3):
+            copy = base[:]
+            for _ in range(edits):
+                copy[rng.randrange(n)] = f"w{rng.randrange(500)}"
+            texts.append(" ".join(copy))
+    texts += ["", "one two", "one two", "one  TWO"]
+    rng.shuffle(texts)
+    sets = [jaccard.shingles(t.encode(), 5) for t in texts]
+    bits = [sum(1 << k for k in range(64) if 2 * sum(int(h) >> k & 1 for h in s) > len(s)) for s in sets]
+
+    def joined(near):
+        root = list(range(len(texts)))
+        for i in range(len(texts)):
+            for j in range(i):
+                if root[i] != root[j] and near(i, j):
+                    lo, hi = sorted((root[i], root[j]))
+                    root = [lo if r == hi else r for r in root]
+        return root
+
+    coded = joined(lambda i, j: len(sets[i]) and len(sets[j]) and (bits[i] ^ bits[j]).bit_count() <= 3)
+    alike = lambda i, j: 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))
+    want = joined(lambda i, j: coded[i] == coded[j] and alike(i, j))
+    assert len(set(want)) < len(set(joined(lambda i, j: np.array_equal(sets[i], sets[j])))) - 20 and len(set(want)) > len(set(joined(alike)))
+
+    def blind(some):
+        return np.random.default_rng([len(s) for s in some]).integers(0, 1 << 63, (len(some), jaccard.BANDS)).astype(np.uint64) ^ np.array([s[0] for s in some])[:, None]
+
+    monkeypatch.setattr(jaccard, "band_keys", blind)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (128, 1):
+        assert {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(docs, block=block).collect()} == dict(enumerate(want))
+
+
+def test_fingerprints_of_sets_in_chunks(monkeypatch):
+    import numpy as np
+
+    from lacunar.llm import simhash
+
+    rng = np.random.default_rng(4)
+    sets = [rng.integers(0, 1 << 64, n, np.uint64) for n in (1, 2, 700, 3, 1, 64, 63, 1, 130)]
+    want = [sum(1 << k for k in range(64) if 2 * sum(int(h) >> k & 1 for h in s) > len(s)) for s in sets]
+    for chunk in (1 << 16, 64, 7, 1):
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        assert simhash.simhash_sets(sets).tolist() == want
+
+
 def test_near_duplicates_tell_texts_of_one_id_apart(spark):
     """A row goes by its own text, not because another row under its id goes."""
     long = " ".join(f"w{k}" for k in range(40))
