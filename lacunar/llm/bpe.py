@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lacunar.sources.shared import dealt
+from lacunar.sources.shared import dealt, short_batches
 
 
 @lru_cache(4)
@@ -207,6 +207,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     words in all. Ids don't depend on these three. A word goes to one task with one row for each block that has it. Words
     over 256 bytes, for which the higher-order fold takes its square, are folded by a heap.
     """
+    short_batches(docs.sparkSession)
     known = _common(docs, ranks, pattern, text_col, sample_rows, most)
     common = {w: i for i, w in enumerate(known.column("word").to_pylist())}
     known_ids = pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *(c.cast(pa.list_(pa.int32())) for c in known.column("ids").chunks)])

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, row_of, store
+from .common import components, cut, row_of, short_batches, store
 from .simhash import CHUNK, _hashes, link_fingerprints, simhash_sets
 
 BANDS, ROWS = 40, 5
@@ -208,6 +208,7 @@ def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are outside the largest component. Up to `broadcast_rows` documents that share a bucket with another (24 MB of ids) are
     found by a broadcast, so that no other text moves; more by a shuffle. `distance` is the SimHash index's.
     """
+    short_batches(docs.sparkSession)
     least = Fraction(str(similarity))
     found = cut(sketches(docs, id_col, text_col, shingle))
     known = found.where("id is not null").groupBy("k1", "k2").agg(F.min(F.struct("id", "version")).alias("rep"), F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands"))

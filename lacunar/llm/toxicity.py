@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, row_of, store
+from .common import cut, held_out, row_of, short_batches, store
 
 #: Seed lexicon of the first voter: common insults in four languages. Fixed values.
 SEEDS = (
@@ -210,6 +210,7 @@ def train_linear(hits: list[list[int]], y: np.ndarray, n: int, share: np.ndarray
 
 def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, keep: bool, rows: int = 12_000, terms: int = 1024, lexicons: int = 24, patterns: int = 16, threshold: float = 0.3, seed: int = 5) -> DataFrame:
     """(row, score, predicted, posterior). `row` is the document's row, or without `keep` its id alone."""
+    short_batches(docs.sparkSession)
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     mined, prior = mine_terms(text, labels, rows, terms, seed)
     voters = Voters(mined, lexicons, patterns)

@@ -743,6 +743,21 @@ def test_bpe_higher_order_fold(spark, vocabulary):
     assert got.pop(None) is None and all(ids == bpe.fold(w.encode(), ranks) for w, ids in got.items() if w) and got[""] == []
 
 
+def test_long_texts_come_in_short_batches(spark):
+    """2,000 texts of 20 kB: no Arrow batch of the encoder's input is over the limit by more than one text."""
+    import pyarrow as pa
+    from lacunar.sources.shared import short_batches
+
+    short_batches(spark)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes], pa.int64())})
+
+    got = [r["n"] for r in spark.range(2000, numPartitions=1).select(F.repeat(F.lit("x"), 20_000).alias("t")).mapInArrow(sizes, "n long").collect()]
+    assert max(got) < 6 << 20 and sum(got) > 40_000_000
+
+
 def test_bpe_rank_tables_stay_out_of_plans(spark, vocabulary):
     """The rank tables are no part of a plan's text, and no column of rows on their way."""
     ranks, pattern = vocabulary
