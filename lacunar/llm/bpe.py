@@ -39,25 +39,30 @@ def load_ranks(path: str) -> dict[bytes, int]:
 NEVER = 1 << 60
 
 
-def fold(word: bytes, ranks: dict[bytes, int], short: int = 64) -> list[int]:
+SHORT = 64
+
+
+def fold(word: bytes, ranks: dict[bytes, int], short: int = SHORT) -> list[int]:
     """Ids of one word. Up to `short` bytes the pairs' ranks are a list that is searched for its least; a heap of pairs
     keeps longer words near-linear."""
     if word in ranks:
         return [ranks[word]]
-    if len(word) <= short:
-        get = ranks.get
-        parts = [word[i : i + 1] for i in range(len(word))]
-        pairs = [get(word[i : i + 2], NEVER) for i in range(len(word) - 1)]
-        while pairs and (low := min(pairs)) != NEVER:
-            i = pairs.index(low)
-            parts[i] += parts.pop(i + 1)
-            del pairs[i]
-            if i:
-                pairs[i - 1] = get(parts[i - 1] + parts[i], NEVER)
-            if i < len(pairs):
-                pairs[i] = get(parts[i] + parts[i + 1], NEVER)
-        return [ranks[p] for p in parts]
-    return _fold_long(word, ranks)
+    return _fold_short(word, ranks) if len(word) <= short else _fold_long(word, ranks)
+
+
+def _fold_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    get = ranks.get
+    parts = [word[i : i + 1] for i in range(len(word))]
+    pairs = [get(word[i : i + 2], NEVER) for i in range(len(word) - 1)]
+    while pairs and (low := min(pairs)) != NEVER:
+        i = pairs.index(low)
+        parts[i] += parts.pop(i + 1)
+        del pairs[i]
+        if i:
+            pairs[i - 1] = get(parts[i - 1] + parts[i], NEVER)
+        if i < len(pairs):
+            pairs[i] = get(parts[i] + parts[i + 1], NEVER)
+    return [ranks[p] for p in parts]
 
 
 def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -273,13 +278,16 @@ def joined_ids(ids: Column) -> Column:
     return F.array_join(ids.cast("array<string>"), ",")
 
 
-NO_RANK = 2**31 - 1
-SHIFT = 17
+#: Bits of an id, of a place in the word, and of both. A rank above all others stands for none.
+SHIFT, PLACE = 17, 28
+ABOVE = SHIFT + PLACE
+NONE = 1 << SHIFT + ABOVE
 
 
-def _let(value: Column, use) -> Column:
-    """use(value) with the value computed once: lambdas know no common subexpressions, but bind their argument."""
-    return F.transform(F.array(value), use)[0]
+def _let(value: Column, use, like: Column | None = None) -> Column:
+    """use(value) with the value computed once: lambdas know no common subexpressions, but bind their argument. What a
+    transform returns is copied; where the result is an array and a column `like` it is there, an aggregate copies none."""
+    return F.transform(F.array(value), use)[0] if like is None else F.aggregate(F.array(value), like, lambda _, x: use(x))
 
 
 @lru_cache(4)
@@ -305,72 +313,81 @@ def _pair_table(pieces: tuple[bytes, ...]) -> tuple[np.ndarray, int, int]:
     return np.array([x[0] << SHIFT | x[1] if x else -1 for x in held], np.int64), a, b
 
 
-def _tables(spark: SparkSession, ranks: dict[bytes, int], buckets: int) -> DataFrame:
-    """One row with what the fold looks up: `pairs` (see _pair_table), the ids of single bytes, the ranks of two bytes,
-    and the ids of whole pieces in hexadecimal, as small maps found by hash since a map is searched from its start."""
-    pieces = [b""] * (max(ranks.values()) + 1)
-    small: list[list[tuple[str, int]]] = [[] for _ in range(buckets)]
-    for piece, r in ranks.items():
-        pieces[r] = piece
-        small[crc32(piece) % buckets].append((piece.hex().upper(), r))
-    two = [ranks.get(bytes([x, y]), NO_RANK) for x in range(256) for y in range(256)]
-    columns = {
-        "pairs": pa.array([_pair_table(tuple(pieces))[0]], pa.list_(pa.int64())),
-        "bytes": pa.array([[ranks[bytes([k])] for k in range(256)]], pa.list_(pa.int32())),
-        "two": pa.array([two], pa.list_(pa.int32())),
-        "whole": pa.array([small], pa.list_(pa.map_(pa.string(), pa.int32()))),
-    }
+@lru_cache(4)
+def _unreached(pieces: tuple[bytes, ...]) -> list[tuple[bytes, int]]:
+    """Pieces, with their ranks, that folding their bytes doesn't lead to; trained vocabularies have none."""
+    ranks = {p: r for r, p in enumerate(pieces) if p}
+    return [(p, r) for p, r in ranks.items() if len(_fold_short(p, ranks) if len(p) <= SHORT else _fold_long(p, ranks)) > 1]
+
+
+def _tables(spark: SparkSession, pieces: tuple[bytes, ...], buckets: int) -> DataFrame:
+    """One row with what the fold looks up: `pairs` (see _pair_table), `start`, the elements of the fold for a byte and
+    the next one (256: none) at place 0, and the ids of pieces that the fold doesn't reach in hexadecimal, as small maps
+    found by hash since a map is searched from its start."""
+    ranks = {p: r for r, p in enumerate(pieces) if p}
+    start = [(ranks.get(bytes([x, y]), NONE >> ABOVE) << ABOVE if y < 256 else NONE) | ranks[bytes([x])] for x in range(256) for y in range(257)]
+    columns = {"pairs": pa.array([_pair_table(pieces)[0]], pa.list_(pa.int64())), "start": pa.array([start], pa.list_(pa.int64()))}
+    if left := _unreached(pieces):
+        small: list[list[tuple[str, int]]] = [[] for _ in range(buckets)]
+        for piece, r in left:
+            small[crc32(piece) % buckets].append((piece.hex().upper(), r))
+        columns["whole"] = pa.array([small], pa.list_(pa.map_(pa.string(), pa.int32())))
     return spark.createDataFrame(pa.table(columns)).select(F.struct(*columns).alias("t"))
 
 
 def with_ids(words: DataFrame, word: Column, ranks: dict[bytes, int], buckets: int = 1 << 15) -> DataFrame:
     """`words` with the column `ids`: the ids of the column `word`, by higher-order functions alone.
 
-    A word's bytes become ids, and the ranks of adjacent pairs, at first from a table of two bytes, stand beside them.
-    Each step of the fold merges the pair of the lowest rank, the first of equals, and looks up the two pairs that the
-    merge makes. The rank tables are a literal row that a scalar subquery hands to the fold: written into the expression
-    they would be part of every plan's text, some 9 MB that the driver builds and keeps for each query and update. A word
-    of n bytes takes time in proportion to n squared; null words give null. Every single byte must be a piece, and ranks
-    be below 131,072."""
+    A word's bytes become elements: in one number the rank of the pair that an element makes with the next, the place of
+    its first byte, and its id. The least element is the pair of the lowest rank, the first of equals. Each step of the
+    fold merges it and looks up the two pairs that the merge makes. The rank tables are a literal row that a scalar
+    subquery hands to the fold: written into the expression they would be part of every plan's text, some 9 MB that the
+    driver builds and keeps for each query and update. A word of n bytes takes time in proportion to n squared; null words
+    give null. Every single byte must be a piece, and ranks be below 131,072."""
     if max(ranks.values(), default=0) >= 1 << SHIFT or any(bytes([k]) not in ranks for k in range(256)):
         raise ValueError("every byte must have a rank, and ranks be below 131,072")
-    tables = _tables(words.sparkSession, ranks, buckets)
-    pieces = [b""] * (max(ranks.values()) + 1)
+    by_rank = [b""] * (max(ranks.values()) + 1)
     for piece, r in ranks.items():
-        pieces[r] = piece
-    _, a, b = _pair_table(tuple(pieces))
+        by_rank[r] = piece
+    pieces = tuple(by_rank)
+    tables = _tables(words.sparkSession, pieces, buckets)
+    _, a, b = _pair_table(pieces)
     none = F.array().cast("array<int>")
+    id_bits, place_bits = F.lit((1 << SHIFT) - 1), F.lit((1 << ABOVE) - (1 << SHIFT))
 
     def ids_of(known: Column) -> Column:
-        def rank(x: Column, y: Column) -> Column:
+        def id_(e: Column) -> Column:
+            return e.bitwiseAND(id_bits)
+
+        def element(x: Column, y: Column, low: Column) -> Column:
+            """Of the ids x and y; `low` is the element's place and id."""
+
             def probe(k: Column) -> Column:
                 held = [F.get(known["pairs"], at.cast("int")) for at in (k % a, k % b + a)]
-                found = [(F.shiftright(e, SHIFT) == k, e.bitwiseAND(F.lit((1 << SHIFT) - 1)).cast("int")) for e in held]
-                return F.when(*found[0]).when(*found[1]).otherwise(NO_RANK)
-
-            return _let(x.cast("bigint") * (1 << SHIFT) + y, probe)
+                found = [(F.shiftright(e, SHIFT) == k, id_(e) * (1 << ABOVE)) for e in held]
+                return F.when(*found[0]).when(*found[1]).otherwise(NONE) + low
 
-        def merge(state: Column, _: Column) -> Column:
-            p, r = state["p"], state["r"]
+            return _let(x * (1 << SHIFT) + y, probe)
 
+        def merge(s: Column, _: Column) -> Column:
             def at(m: Column, i: Column) -> Column:
-                left = F.when(i > 1, F.array(rank(F.get(p, i - 2), m))).otherwise(none)
-                right = F.when(i + 1 < F.size(p), F.array(rank(m, F.get(p, i + 1)))).otherwise(none)
-                parts = F.concat(F.slice(p, F.lit(1), i - 1), F.array(m), F.slice(p, i + 2, F.size(p)))
-                return F.struct(parts.alias("p"), F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, F.size(p))).alias("r"))
+                new = F.shiftright(m, ABOVE)
+                low = m.bitwiseAND(place_bits).bitwiseOR(new)
+                after = F.slice(s, i + 2, F.size(s))
+                right = F.when(i + 1 < F.size(s), element(new, id_(F.get(s, i + 1)), low)).otherwise(low + NONE)
+                left = _let(F.get(s, i - 2), lambda e: element(id_(e), new, e.bitwiseAND(F.lit((1 << ABOVE) - 1))))
+                return F.when(i > 1, F.concat(F.slice(s, F.lit(1), i - 2), F.array(left, right), after)).otherwise(F.concat(F.array(right), after))
 
-            return _let(F.coalesce(F.array_min(r), F.lit(NO_RANK)), lambda m: F.when(m == NO_RANK, state).otherwise(_let(F.array_position(r, m).cast("int"), lambda i: at(m, i))))
+            return _let(F.array_min(s), lambda m: F.when(m >= NONE, s).otherwise(_let(F.array_position(s, m).cast("int"), lambda i: at(m, i), like=s)), like=s)
 
         raw = F.encode(word, "UTF-8")
         letters = F.slice(F.split(F.decode(raw, "ISO-8859-1"), ""), F.lit(1), F.octet_length(word))
-        def start(p: Column) -> Column:
-            two = F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x, i: F.get(known["two"], x * 256 + F.get(p, i + 1)))
-            return F.struct(F.transform(p, lambda x: F.get(known["bytes"], x)).alias("p"), two.alias("r"))
-
-        begin = _let(F.transform(letters, F.ascii), start)
-        steps = F.aggregate(F.sequence(F.lit(2), F.octet_length(word)), begin, merge)["p"]
-        whole = F.element_at(F.get(known["whole"], (F.crc32(raw) % buckets).cast("int")), F.hex(raw))
-        return F.when(F.octet_length(word) == 0, none).otherwise(_let(whole, lambda w: F.when(w.isNotNull(), F.array(w)).otherwise(steps)))
+        begin = _let(F.transform(letters, F.ascii), lambda p: F.transform(p, lambda x, i: F.get(known["start"], x * 257 + F.coalesce(F.get(p, i + 1), F.lit(256))) + i * (1 << SHIFT)))
+        steps = F.transform(F.aggregate(F.sequence(F.lit(2), F.octet_length(word)), begin, merge), lambda e: id_(e).cast("int"))
+        if _unreached(pieces):
+            whole = F.element_at(F.get(known["whole"], (F.crc32(raw) % buckets).cast("int")), F.hex(raw))
+            steps = _let(whole, lambda w: F.when(w.isNotNull(), F.array(w)).otherwise(steps))
+        return F.when(F.octet_length(word) == 0, none).otherwise(steps)
 
     # the subquery is a column for the analyser only, which wants none within a higher-order function; the two projections
     # become one

@@ -743,6 +743,25 @@ def test_bpe_higher_order_fold(spark, vocabulary):
     assert got.pop(None) is None and all(ids == bpe.fold(w.encode(), ranks) for w, ids in got.items() if w) and got[""] == []
 
 
+def test_bpe_fold_ties_and_unreached_pieces(spark):
+    """Equal ranks by two splits of one piece, the highest rank there is, long words, a piece that no merges lead to."""
+    ranks = {bytes([k]): k for k in range(256)}
+    ranks |= {b"ab": 300, b"bc": 301, b"abc": 302, b"ca": 303, b"xyz": 400, b"zz": (1 << 17) - 1}
+    rng = random.Random(6)
+    some = ["".join(rng.choice("abcz") for _ in range(rng.randrange(1, 40))) for _ in range(300)] + ["xyz", "axyz", "zz", "zzzz", "abcbcabca" * 40]
+    got = {r["word"]: r["ids"] for r in bpe.fold_words(spark.createDataFrame([(w,) for w in some], "word string"), ranks).collect()}
+    assert got == {w: bpe.fold(w.encode(), ranks) for w in some} and got["xyz"] == [400] and len(got["axyz"]) == 4
+
+
+def test_bpe_steps_copy_no_arrays(spark, vocabulary):
+    """A step of the fold binds what it needs by aggregates, which copy no result, and the tables of a vocabulary that
+    merges reach as a whole hold no map of pieces."""
+    ranks, _ = vocabulary
+    df = bpe.fold_words(spark.createDataFrame([("hello",)], "word string"), ranks)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") >= 3 and "whole" not in plan
+
+
 def test_long_texts_come_in_short_batches(spark):
     """2,000 texts of 20 kB: no Arrow batch of the encoder's input is over the limit by more than one text."""
     import pyarrow as pa
