@@ -226,16 +226,18 @@ def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = store(named(docs, id_col, text_col).join(known_nodes, (F.col("id") == F.col("_id")) & (F.col("version") == F.col("_version"))).select("node", "text"), "texts")
     # (id, text) of the nodes that `rows` names as _node, beside its other columns; repeated rows of `docs` come as often
     with_text = lambda rows: texts.join(rows, F.col("_node") == F.col("node")).select(*(c for c in rows.columns if c != "_node"), F.col("_node").alias("id"), "text")
-    width = pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / (4 * block)).cast("int").alias("parts"))
+    # cut, so that both sides of the next join are plain and Spark can split the rows of a large centre
+    width = cut(pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / (4 * block)).cast("int").alias("parts")))
     members = pairs.join(width, "centre").select("centre", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("id").alias("_node"))
     centres = width.select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("centre").alias("_node"))
     rows = with_text(members.unionByName(centres)).select("centre", "part", "id", "text")
     stars = cut(rows.repartition("centre", "part").sortWithinPartitions("centre", "part", F.col("id") != F.col("centre")).mapInArrow(_stars(shingle, least), "a bigint, b bigint"))
-    joined = components(stars)
+    joined = cut(components(stars))
     rooted = buckets.join(joined, F.col("id") == F.col("node"), "left").select("group", "id", F.coalesce("component", "id").alias("root"))
     left = cut(_open_groups(rooted))
     wide = F.col("odds") > 2 * block
-    links = stars.unionByName(_compared(with_text, left.where(~wide), shingle, least, block))
+    # what is joined already comes as stars around the smallest nodes, so that few rounds are left
+    links = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_compared(with_text, left.where(~wide), shingle, least, block))
     if left.where(wide).limit(1).count():
         parts = _open_groups(_prefixes(with_text, left.where(wide), shingle, least))
         links = links.unionByName(_compared(with_text, parts, shingle, least, block))
