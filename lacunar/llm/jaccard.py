@@ -186,8 +186,9 @@ def _open_groups(members: DataFrame) -> DataFrame:
 
 
 def _compared(with_text, members: DataFrame, n: int, least: Fraction, block: int) -> DataFrame:
-    """Links (a, b) of _open_groups(): blocks of all members meet blocks of the odd ones; small groups are one block."""
-    parts = lambda c: F.when(F.col("n") <= 2 * block, F.lit(1)).otherwise(F.ceil(F.col(c) / block)).cast("int")
+    """Links (a, b) of _open_groups(): blocks of all members meet blocks of the odd ones; up to 2 * `block` of
+    either are one block."""
+    parts = lambda c: F.when(F.col(c) <= 2 * block, F.lit(1)).otherwise(F.ceil(F.col(c) / block)).cast("int")
     mine = lambda k: F.pmod(F.xxhash64(F.lit(7), "id"), F.col(k)).cast("int")
     laid = members.withColumns({"ps": parts("n"), "qs": parts("odds")}).withColumns({"p": mine("ps"), "q": mine("qs")})
     as_one = F.transform(F.sequence(F.lit(0), F.col("qs") - 1), lambda q: F.struct(F.col("p").alias("p"), q.alias("q"), F.lit(False).alias("odd")))
@@ -205,7 +206,7 @@ def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts have the empty set and are similar to each other alone. A row with a null id has no component and makes no link.
     Different texts under one id are rows of their own, told apart by `version`, a hash of the text. Groups of more than
     2 * `block` documents are divided into blocks, and by prefixes before that if more than 2 * `block` of their documents
-    are outside the largest component. Up to `broadcast_rows` documents that share a bucket with another (24 MB of ids) are
+    are outside the largest component, also after the links of the other groups are known. Up to `broadcast_rows` documents that share a bucket with another (24 MB of ids) are
     found by a broadcast, so that no other text moves; more by a shuffle. `distance` is the SimHash index's.
     """
     short_batches(docs.sparkSession)
@@ -233,14 +234,20 @@ def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = with_text(members.unionByName(centres)).select("centre", "part", "id", "text")
     stars = cut(rows.repartition("centre", "part").sortWithinPartitions("centre", "part", F.col("id") != F.col("centre")).mapInArrow(_stars(shingle, least), "a bigint, b bigint"))
     joined = cut(components(stars))
-    rooted = buckets.join(joined, F.col("id") == F.col("node"), "left").select("group", "id", F.coalesce("component", "id").alias("root"))
-    left = cut(_open_groups(rooted))
-    wide = F.col("odds") > 2 * block
+    rooted = lambda rows, known: rows.join(known, F.col("id") == F.col("node"), "left").select("group", "id", F.coalesce("component", "id").alias("root"))
     # what is joined already comes as stars around the smallest nodes, so that few rounds are left
-    links = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_compared(with_text, left.where(~wide), shingle, least, block))
+    as_links = lambda known: known.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    left = cut(_open_groups(rooted(buckets, joined)))
+    wide = F.col("odds") > 2 * block
+    links = as_links(joined).unionByName(_compared(with_text, left.where(~wide), shingle, least, block))
     if left.where(wide).limit(1).count():
-        parts = _open_groups(_prefixes(with_text, left.where(wide), shingle, least))
-        links = links.unionByName(_compared(with_text, parts, shingle, least, block))
+        # the links of the other groups first: they leave fewer documents outside the largest component of a large group
+        joined = cut(components(links))
+        left = cut(_open_groups(rooted(left.where(wide).select("group", "id"), joined)))
+        parts = left.where(~wide)
+        if left.where(wide).limit(1).count():
+            parts = parts.unionByName(_open_groups(_prefixes(with_text, left.where(wide), shingle, least)))
+        links = as_links(joined).unionByName(_compared(with_text, parts, shingle, least, block))
     groups = components(links).withColumnRenamed("node", "_node")
     whole = sets.join(groups, F.col("node") == F.col("_node"), "left").select("k1", "k2", "id", F.coalesce("component", "node").alias("root"))
     smallest = whole.groupBy("root").agg(F.min("id").alias("component_id"))
